@@ -1,0 +1,36 @@
+"""Connected components of a link table, by minimum labels and pointer jumping."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from rolewise.llm.common import durable
+
+
+def connected_components(links: DataFrame) -> DataFrame:
+    """``node`` and ``label``, the least node that it can reach, for every node of ``links(a, b)``.
+
+    Each round takes the least label among a node's neighbours and then the label of that label, so that long chains
+    shorten by half or better.  Rounds write their labels to the checkpoint folder and end when no label changes.
+    Minima are aggregated before they are shuffled, so a node with very many links is one row by task.  No links give
+    an empty table.
+    """
+    both = durable(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
+    labels = durable(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
+    while True:
+        near = (
+            both.join(labels, F.col("b") == F.col("node"))
+            .groupBy(F.col("a").alias("node"))
+            .agg(F.min("label").alias("near"))
+        )
+        hooked = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("next"))
+        roots = labels.select(F.col("node").alias("next"), F.col("label").alias("root"))
+        moved = durable(
+            hooked.join(roots, "next", "left").select(
+                "node", F.least("next", "root").alias("label"), (F.least("next", "root") < F.col("label")).alias("moved")
+            )
+        )
+        labels = moved.select("node", "label")
+        if moved.where("moved").isEmpty():
+            return labels
