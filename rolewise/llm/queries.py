@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rolewise.llm import mixing, sentencepieces, sharding, simhash_dedup
+from rolewise.llm import chat_format, mixing, sentencepieces, sharding, simhash_dedup
 from rolewise.llm.common import documents
 
 
@@ -22,6 +22,11 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.token_digests(documents(spark, sf_dir))
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat_format.with_probe(spark, spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return chat_format.read_back(chat_format.format_turns(turns))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.placement(documents(spark, sf_dir))
 
@@ -30,9 +35,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_mixing": op2_mixing,
     "op5_sentencepiece": op5_sentencepiece,
+    "op9_chat_format": op9_chat_format,
     "op10_sharding": op10_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op9_chat_format": chat_format.ORACLE_SQL,
     "op10_sharding": sharding.ORACLE_SQL,
 }
