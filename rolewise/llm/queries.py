@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rolewise.llm import chat_format, mixing, sentencepieces, sharding, simhash_dedup
+from rolewise.llm import chat_format, media, mixing, sentencepieces, sharding, simhash_dedup
 from rolewise.llm.common import documents
 
 
@@ -18,6 +18,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(documents(spark, sf_dir))
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_digests(documents(spark, sf_dir))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.token_digests(documents(spark, sf_dir))
 
@@ -34,6 +38,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_mixing": op2_mixing,
+    "op4_media": op4_media,
     "op5_sentencepiece": op5_sentencepiece,
     "op9_chat_format": op9_chat_format,
     "op10_sharding": op10_sharding,
