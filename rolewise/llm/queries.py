@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rolewise.llm import chat_format, html_text, media, mixing, sentencepieces, sharding, simhash_dedup
+from rolewise.llm import chat_format, html_text, language_id, media, mixing, sentencepieces, sharding, simhash_dedup
 from rolewise.llm.common import documents
 
 
@@ -30,6 +30,10 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict(documents(spark, sf_dir))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = chat_format.with_probe(spark, spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     return chat_format.read_back(chat_format.format_turns(turns))
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_media": op4_media,
     "op5_sentencepiece": op5_sentencepiece,
     "op7_html_text": op7_html_text,
+    "op8_language_id": op8_language_id,
     "op9_chat_format": op9_chat_format,
     "op10_sharding": op10_sharding,
 }
