@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rolewise.llm import chat_format, html_text, language_id, media, mixing, sentencepieces, sharding, simhash_dedup, toxicity
+from rolewise.llm import chat_format, fingerprints, html_text, language_id, media, mixing, sentencepieces, sharding, simhash_dedup, toxicity
 from rolewise.llm.common import documents
 
 
@@ -18,6 +18,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(documents(spark, sf_dir))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compared(documents(spark, sf_dir))
+
+
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(documents(spark, sf_dir))
 
@@ -50,6 +54,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_mixing": op2_mixing,
+    "op3_fingerprints": op3_fingerprints,
     "op4_media": op4_media,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_toxicity": op6_toxicity,
