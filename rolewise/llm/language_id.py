@@ -135,21 +135,37 @@ def predict(docs: DataFrame, model: Model | None = None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frozen = shared.value
         for batch in batches:
-            found, scores = [], []
-            for letters, text in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
-                if not letters or not frozen.langs:
-                    found.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                bits = code_lengths(text.as_py(), frozen)
-                best = int(bits.argmin())
-                found.append(frozen.langs[best])
-                scores.append(float(1 / np.exp2(np.minimum(bits[best] - bits, 0)).sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+            found = [_best(t, shared.value) for t in batch.column(2)]
+            names, scores = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), letters.alias("letters"), F.col("text").cast("string").cast("binary").alias("text"))
+    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.when(_has_letter(), F.col("text").cast("string").cast("binary")))
     return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+
+
+def _has_letter() -> Column:
+    return F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False))
+
+
+def _best(text: pa.Scalar, model: Model) -> tuple[str, float]:
+    """The language of a text with letters, or of a null one none, and its chance."""
+    if not text.is_valid or not model.langs:
+        return UNKNOWN, 0.0
+    bits = code_lengths(text.as_py(), model)
+    best = int(bits.argmin())
+    return model.langs[best], float(1 / np.exp2(np.minimum(bits[best] - bits, 0)).sum())
+
+
+def keep_known(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that aren't predicted ``und``, with all their columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known = [_best(t, shared.value)[0] != UNKNOWN for t in batch.column(at).cast(pa.binary())]
+            yield batch.filter(pa.array(known, pa.bool_()))
+
+    return docs.where(_has_letter()).mapInArrow(run, docs.schema)
