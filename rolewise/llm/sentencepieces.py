@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Characters of chunks that a task's table may hold, and the longest chunk that it keeps.
-TABLE_CHARS, LONGEST = 8_000_000, 64
+TABLE_CHARS, LONGEST = 1_000_000, 64
 _CHUNK = re.compile(" *[^ ]+| +")
 
 
