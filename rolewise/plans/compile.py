@@ -1,7 +1,7 @@
 """From a model and the tables bound to it to one DataFrame of violations.
 
 Rules are fused where that saves a pass: all value domains and required fields of a table are read in one scan; rules on the same
-key of a fact share one aggregation; a uniqueness over all roles of a fact is its set semantics and has no plan of its own.
+key of a fact share one aggregation, and all rules of a fact its distinct tuples; a uniqueness over all roles of a fact is its set semantics and has no plan of its own.
 """
 
 from __future__ import annotations
@@ -82,20 +82,26 @@ def _entity_plans(model: Model, bound: Binding) -> list[DataFrame]:
 
 
 def _fact_plans(model: Model, bound: Binding) -> list[DataFrame]:
-    plans = []
+    plans, tuples = [], {}
     for fact in model.facts:
-        if fact.name not in bound.facts:
+        if fact.name in bound.facts:
+            # a row with a null states no fact; each distinct tuple, and how often it is stated
+            rows = bound.facts[fact.name].select(*fact.role_names).dropna()
+            tuples[fact.name] = rows.groupBy(*fact.role_names).agg(F.count(F.lit(1)).alias("times"))
+    for fact in model.facts:
+        if fact.name not in tuples:
             continue
         roles = list(fact.role_names)
-        stated = bound.facts[fact.name].select(*roles).dropna()  # a row with a null states no fact
-        counted = stated.groupBy(*roles).agg(F.count(F.lit(1)).alias("times"))  # distinct tuples, and how often each is stated
+        counted = tuples[fact.name]
+        # always true, but it keeps the count in every plan below, so that they are one plan and Spark runs its scan and shuffle once
+        stated = counted.where("times > 0")
         plans.append(_rows(counted.where("times > 1"), f"set:{fact.name}", "DUPLICATE_FACT", fact.name, roles, "times"))
         by_key: dict[tuple[str, ...], list[Rule]] = defaultdict(list)
         for r in model.rules:
             if r.fact == fact.name and r.kind in ("uniqueness", "frequency") and set(r.roles) != set(roles):
                 by_key[r.roles].append(r)
         for key, same in by_key.items():
-            n = counted.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+            n = stated.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
             wrong = []
             for r in same:
                 unique = r.kind == "uniqueness"
@@ -119,8 +125,8 @@ def _fact_plans(model: Model, bound: Binding) -> list[DataFrame]:
                 found = rules.unordered(stated, r.roles, roles)
                 shown = found.withColumns({x: F.col("players")[k] for k, x in enumerate(r.roles)})
                 plans.append(_rows(shown, r.id, "UNORDERED_DUPLICATE", fact.name, list(r.roles), "n"))
-            elif r.kind in ("subset", "equality", "exclusion") and r.other in bound.facts:
-                other = bound.facts[r.other].select(*model.fact(r.other).role_names).dropna()
+            elif r.kind in ("subset", "equality", "exclusion") and r.other in tuples:
+                other = tuples[r.other].where("times > 0")
                 compare = getattr(rules, r.kind)
                 plans.append(_rows(compare(stated, r.roles, other, r.other_roles), r.id, f"{r.kind.upper()}_VIOLATION", fact.name, list(r.roles)))
     return plans
