@@ -176,3 +176,14 @@ def trust(attestations: DataFrame, keys: DataFrame, rules: DataFrame) -> DataFra
 def counts_by(rows: DataFrame, *columns: str) -> DataFrame:
     """Rows by the given columns, as ``n``: by status, by target and status, and so on."""
     return rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
+
+
+def simulated(summary: DataFrame, declared: DataFrame) -> DataFrame:
+    """What each target would do with a population whose violations are ``summary(obligation_id, kind, violations)``.
+
+    A simulation from the declared capabilities (``feature, target, status``), never evidence from a running target: a violated
+    obligation is prevented where it is enforced and realized where it is only represented.
+    """
+    joined = summary.select("obligation_id", "kind", "violations").join(F.broadcast(declared), F.col("kind") == F.col("feature"))  # one row for each feature and target
+    outcome = F.when(F.col("violations") == 0, "nothing_to_prevent").when(F.col("status").isin(ENFORCED), "prevented").when(F.col("status") == "represented_not_enforced", "realized").otherwise("not_asserted")
+    return joined.select("obligation_id", "target", "violations", outcome.alias("simulated"))

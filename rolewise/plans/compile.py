@@ -171,3 +171,15 @@ def isolation(found: DataFrame, instance: Column) -> DataFrame:
     """``instance, rules, status``: whether each instance violates one obligation alone (isolated) or several (collateral)."""
     n = found.groupBy(instance.alias("instance")).agg(F.count_distinct("obligation_id").alias("rules"))
     return n.withColumn("status", F.when(F.col("rules") == 1, "isolated").otherwise("collateral"))
+
+
+def evidence(found: DataFrame, fact: DataFrame, obligation: str, roles: list[str], most: int = 2) -> DataFrame:
+    """For each violating key of an obligation the rows of ``fact`` that show it: at most ``most`` distinct ones.
+
+    Two rows are the least that shows a broken uniqueness, and for an upper frequency bound ``most`` is the bound and one.
+    """
+    bad = found.where(F.col("obligation_id") == obligation).select(*[F.col("key")[k].alias(f"_{r}") for k, r in enumerate(roles)])
+    on = reduce(lambda a, b: a & b, [F.col(r).cast("string") == F.col(f"_{r}") for r in roles])
+    shown = fact.distinct().join(bad, on, "left_semi")
+    order = Window.partitionBy(*roles).orderBy(*fact.columns)
+    return shown.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most).drop("_rank")
