@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql.window import Window
 
 from rolewise.functions import scalar
 from rolewise.operators import audit, evolution, facts, graph, rules
+from rolewise.plans import catalog
 from rolewise.plans import compile as plan
 from rolewise.plans.model import Entity, Fact, Model, Rule, Value
 from rolewise.sources.tables import table
@@ -690,3 +692,45 @@ def scalar_ids(spark, d):
 @query("SELECT event_id, coalesce(value BETWEEN 10 AND 50, false) AS in_range, event_type IN ('click', 'view') AS allowed FROM events")
 def scalar_domains(spark, d):
     return table(spark, d, "events").select("event_id", scalar.in_range(F.col("value"), 10, 50, "Float").alias("in_range"), scalar.one_of(F.col("event_type"), ["click", "view"]).alias("allowed"))
+
+
+# -- models as data --------------------------------------------------------------------------------------------------
+
+_OLDER = replace(COMMERCE, rules=tuple(r for r in COMMERCE.rules if r.kind not in ("frequency", "symmetric")), values=(Value("Size", "Int", 1, 60), *COMMERCE.values[1:]), _by_name={})
+
+
+@query(f"WITH r(fact, name, ordinal, player) AS (VALUES {', '.join(repr((f.name, r, k, p)) for f in COMMERCE.facts for k, (r, p) in enumerate(f.roles))}) SELECT fact, name, ordinal::INTEGER AS ordinal, player FROM r")
+def model_catalog(spark, d):
+    """The roles of the commerce model as a relation, after encoding, decoding and encoding again."""
+    again = catalog.decode(catalog.encode(spark, COMMERCE), COMMERCE.name)
+    return catalog.encode(spark, again)["roles"]
+
+
+@query("""SELECT * FROM (VALUES ('add_constraint', 'frequency:Contains(order)', 'requires_data_check', 'constraints'), ('add_constraint', 'symmetric:Handover()', 'requires_data_check', 'constraints'),
+('change_constraint', 'Size', 'requires_data_check', 'constraints')) t(kind, subject, safety, phase)""")
+def model_changes(spark, d):
+    found = catalog.changes(catalog.encode(spark, _OLDER), catalog.encode(spark, COMMERCE))
+    return catalog.steps(found).select("kind", "subject", "safety", "phase")
+
+
+@query(f"""{VIOLATIONS} SELECT k AS obligation_id, count(o)::BIGINT AS violations
+FROM (VALUES ('frequency:Contains(order):2..7'), ('symmetric:Handover()'), ('value:Part.size')) t(k) LEFT JOIN v ON o = k GROUP BY k""")
+def migration_preflight(spark, d):
+    """What the data would violate of the obligations that are new or tighter in the newer model."""
+    return catalog.preflight(_OLDER, COMMERCE, binding(spark, d))
+
+
+_CAPABLE = ", ".join(repr((f, t, s)) for f, by in audit.CAPABILITIES.items() for t, s in by.items())
+
+
+@query(f"""{VIOLATIONS}, known(obligation_id, kind) AS (VALUES {_KNOWN}), s AS (SELECT obligation_id, kind, count(o)::BIGINT AS violations FROM known LEFT JOIN v ON o = obligation_id GROUP BY ALL), c(feature, target, status) AS (VALUES {_CAPABLE})
+SELECT obligation_id, target, violations, CASE WHEN violations = 0 THEN 'nothing_to_prevent' WHEN status = 'N' THEN 'prevented' WHEN status = 'R' THEN 'realized' ELSE 'not_asserted' END AS simulated FROM s JOIN c ON feature = kind""")
+def simulated_enforcement(spark, d):
+    return audit.simulated(plan.summary(COMMERCE, _violations(spark, d)), audit.capabilities(spark))
+
+
+@query("""SELECT "order", number, part, supplier FROM (SELECT *, row_number() OVER (PARTITION BY "order", number ORDER BY part, supplier) AS k, count(*) OVER (PARTITION BY "order", number) AS n
+FROM (SELECT DISTINCT l_orderkey AS "order", l_linenumber AS number, l_partkey AS part, l_suppkey AS supplier FROM lineitem)) WHERE n > 1 AND k <= 2""")
+def violation_evidence(spark, d):
+    """For every broken line number the two least lines that show it."""
+    return plan.evidence(_violations(spark, d), _lines(spark, d), "uniqueness:Line(order,number)", ["order", "number"])
