@@ -11,6 +11,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rolewise.sources.tables import durable
+
 
 def incidence(roles: DataFrame) -> DataFrame:
     """For each player of ``roles(fact, role, player)`` its roles in order, and in how many facts they are."""
@@ -59,31 +61,27 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, most_rounds: in
     """``node, component``: the least node connected to each, where edges ``src, dst`` lead both ways.
 
     Every round takes the least label among a node's neighbours and then the label of that label, so the rounds grow with the logarithm
-    of a long chain; lineage is cut by a checkpoint in each.
+    of a long chain; each writes its labels to the checkpoint folder.  Minima are aggregated before they are shuffled, so a
+    node with very many links is one row for each task.
     """
-    both = edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct()
-    start = both.select(F.col("src").alias("node"))
+    both = durable(edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct())
+    # the first round needs no join: the least of a node and its neighbours
+    labels = both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select("node", F.least("node", "m").alias("component"))
     if nodes is not None:
-        start = start.union(nodes.select("node"))
-    labels = start.distinct().withColumn("component", F.col("node"))
+        alone = nodes.select("node").distinct().join(labels, "node", "left_anti")
+        labels = labels.union(alone.select("node", F.col("node").alias("component")))
+    labels = durable(labels)
     for _ in range(most_rounds):
         near = both.join(labels, F.col("dst") == F.col("node")).groupBy(F.col("src").alias("node")).agg(F.min("component").alias("near"))
         hooked = labels.join(near, "node", "left").select("node", "component", F.least("component", "near").alias("next"))
         roots = labels.select(F.col("node").alias("next"), F.col("component").alias("root"))
-        moved = _durable(hooked.join(roots, "next", "left").select("node", F.least("next", "root").alias("new"), (F.least("next", "root") < F.col("component")).alias("moved")))
+        moved = durable(hooked.join(roots, "next", "left").select("node", F.least("next", "root").alias("new"), (F.least("next", "root") < F.col("component")).alias("moved")))
         labels = moved.select("node", F.col("new").alias("component"))
         if moved.where("moved").isEmpty():
             return labels
     raise RuntimeError(f"no end after {most_rounds} rounds")
 
 
-def _durable(df: DataFrame) -> DataFrame:
-    from rolewise.sources.tables import shared_folder
-
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def uniform(roles: DataFrame, arity: int) -> DataFrame:
     """Facts of ``roles(fact, role, player)`` whose number of roles is not ``arity``, and ``n``."""
     return roles.groupBy("fact").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") != arity)
