@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolewise.llm.common import durable
-from rolewise.llm.components import connected_components
+from rolewise.operators.graph import components as linked_components
 
 SHINGLE, SEED, RADIUS, LEAST_SHARED = 3, 42, 2, 6
 #: Fingerprints of one posting list that are still paired.
@@ -115,8 +115,8 @@ def components(docs: DataFrame) -> DataFrame:
     """
     printed = durable(fingerprints(docs))
     distinct = printed.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    labels = connected_components(links(distinct.select("fp")))
-    linked = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    labels = linked_components(links(distinct.select("fp")).toDF("src", "dst"))
+    linked = distinct.join(labels.toDF("fp", "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     least = linked.groupBy("label").agg(F.min("first_id").alias("component_id"))
     classes = linked.join(least, "label").select("fp", "component_id")
     return printed.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -6,7 +6,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from rolewise.llm import mixing, sharding, simhash_dedup
-from rolewise.llm.components import connected_components
+from rolewise.operators.graph import components
 
 
 def plain_fingerprint(text):
@@ -58,7 +58,7 @@ def test_links_crowded_or_not_join_the_same(spark):
     frame = spark.createDataFrame([(v,) for v in signed], "fp long")
     expected = plain_components([(v, v & (1 << 64) - 1) for v in signed])
     for crowd in (1, 8, 1000):
-        labels = {r.node: r.label for r in connected_components(simhash_dedup.links(frame, crowd)).collect()}
+        labels = {r.node: r.component for r in components(simhash_dedup.links(frame, crowd).toDF("src", "dst")).collect()}
         assert [labels.get(v, v) for v in signed] == expected
 
 
