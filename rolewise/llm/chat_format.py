@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rolewise.llm.common import in_batches
+
 START, END = "<|im_start|>", "<|im_end|>"
 PART = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
 #: Expanded tokens: one for each image patch of this side, for so many seconds of audio, and so many for each page.
@@ -149,7 +151,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
     kind = formatted.schema["conv_id"].dataType.simpleString()
     ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     schema = f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
-    return ordered.select("conv_id", "formatted", "loss_start", "loss_end").mapInArrow(_read, schema)
+    return in_batches(ordered.select("conv_id", "formatted", "loss_start", "loss_end"), _read, schema)
 
 
 def with_probe(spark: SparkSession, conversations: DataFrame) -> DataFrame:

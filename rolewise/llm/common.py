@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from rolewise.sources.tables import durable, shared_folder
 
-__all__ = ["documents", "durable", "written", "mix64", "word_hashes"]
+__all__ = ["documents", "durable", "in_batches", "written", "mix64", "word_hashes"]
 
 #: A-Z to a-z and ASCII punctuation to a space; bytes over 127 stay, so UTF-8 stays whole.
 FOLD = bytes(
@@ -36,6 +38,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def in_batches(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)``, with this package on the path of the workers.
+
+    A worker imports the package by name.  Where it isn't installed, the folder that the driver has it from is
+    added to the workers' path, as a session may have been started elsewhere.
+    """
+    held = df.sparkSession.sparkContext.environment
+    root = str(Path(__file__).resolve().parents[2])
+    if root not in held.get("PYTHONPATH", "").split(os.pathsep):
+        held["PYTHONPATH"] = os.pathsep.join(filter(None, [root, held.get("PYTHONPATH")]))
+    return df.mapInArrow(run, schema)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values (the splitmix64 finaliser)."""
     x = x.astype(np.uint64, copy=True)

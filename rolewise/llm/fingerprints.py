@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolewise.llm.common import FOLD, durable, mix64, word_hashes
+from rolewise.llm.common import FOLD, durable, in_batches, mix64, word_hashes
 
 RADIUS, SPARE, PAIR_WEIGHT = 3, 2, 2.0
 _CHUNK = 1 << 13
@@ -96,7 +96,7 @@ def printed(docs: DataFrame, cuts: list[int]) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    return docs.select("doc_id", text).mapInArrow(run, f"span int, doc_id {kind}, text string, fp bigint")
+    return in_batches(docs.select("doc_id", text), run, f"span int, doc_id {kind}, text string, fp bigint")
 
 
 def edited(docs: DataFrame) -> DataFrame:
@@ -123,7 +123,7 @@ def edited(docs: DataFrame) -> DataFrame:
     placed = sent.select("to.span", "to.part", "doc_id", "text", "fp").repartition("span")
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_chars bigint, edited_sha256 string, fp bigint, edited_fp bigint, next_fp bigint"
-    return placed.sortWithinPartitions("span", "part", "doc_id", "fp", "text").mapInArrow(_edit, schema)
+    return in_batches(placed.sortWithinPartitions("span", "part", "doc_id", "fp", "text"), _edit, schema)
 
 
 # -- search ------------------------------------------------------------------------------------------------------------

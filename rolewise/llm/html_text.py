@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rolewise.llm.common import in_batches
+
 #: Element names of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 FORMATTING = set("b i em strong u s small big font tt code a abbr cite q sub sup mark kbd samp var time bdi bdo del ins label acronym strike".split())
@@ -197,4 +199,4 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, f"page_id {kind}, url string, text string, n_chars bigint")
+    return in_batches(pages.select("page_id", F.col("url").cast("string"), F.col("html").cast("string")), run, f"page_id {kind}, url string, text string, n_chars bigint")

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rolewise.llm.common import in_batches
+
 #: Longest context in bytes; texts are counted and scored in pieces of so many bytes, whatever their length.
 ORDER, PIECE = 2, 1 << 20
 #: Bytes that a task counts at a time before it passes the counts on.
@@ -67,7 +69,7 @@ def counts(labelled: DataFrame) -> DataFrame:
             seen, n = np.unique(np.concatenate([x for name, x in waiting if name == lang]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen), pa.string()), pa.array(seen, pa.int32()), pa.array(n, pa.int64())], names=["lang", "triple", "n"])
 
-    rows = labelled.select("lang", F.col("text").cast("binary")).mapInArrow(run, "lang string, triple int, n bigint")
+    rows = in_batches(labelled.select("lang", F.col("text").cast("binary")), run, "lang string, triple int, n bigint")
     return rows.groupBy("lang", "triple").agg(F.sum("n").alias("n"))
 
 
@@ -142,7 +144,7 @@ def predict(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.when(_has_letter(), F.col("text").cast("string").cast("binary")))
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return in_batches(rows, run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
 def _has_letter() -> Column:
@@ -168,4 +170,4 @@ def keep_known(docs: DataFrame) -> DataFrame:
             known = [_best(t, shared.value)[0] != UNKNOWN for t in batch.column(at).cast(pa.binary())]
             yield batch.filter(pa.array(known, pa.bool_()))
 
-    return docs.where(_has_letter()).mapInArrow(run, docs.schema)
+    return in_batches(docs.where(_has_letter()), run, docs.schema)

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rolewise.llm.common import in_batches
+
 #: Payloads are padded with spaces to a multiple of this many bytes, at least one.
 PAD, RATE = 192, 8000
 
@@ -278,7 +280,7 @@ def text_media(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["doc_id", "n_bytes", "declared", "media"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").cast("binary")).mapInArrow(run, f"doc_id {kind}, n_bytes bigint, declared string, media binary")
+    return in_batches(docs.select("doc_id", F.col("text").cast("string").cast("binary")), run, f"doc_id {kind}, n_bytes bigint, declared string, media binary")
 
 
 FOUND = "struct<type:string,start:bigint,length:bigint>"
@@ -312,7 +314,7 @@ def sniff(table: DataFrame, media: str = "media", declared: str = "declared") ->
 
     entry = StructType().add("type", StringType()).add("start", LongType()).add("length", LongType())
     schema = StructType(list(kept.schema.fields)).add("sniffed", StringType()).add("corrected", BooleanType()).add("embedded", ArrayType(entry)).add("trailing", LongType())
-    return kept.mapInArrow(run, schema)
+    return in_batches(kept, run, schema)
 
 
 def carve(table: DataFrame, media: str = "media") -> DataFrame:
@@ -342,4 +344,4 @@ def media_digests(docs: DataFrame) -> DataFrame:
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
-    return sniffed.select("doc_id", "n_bytes", "media", "sniffed").mapInArrow(run, schema)
+    return in_batches(sniffed.select("doc_id", "n_bytes", "media", "sniffed"), run, schema)

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rolewise.llm.common import in_batches
+
 MARK = "▁"
 #: Characters of chunks that a task's table may hold, and the longest chunk that it keeps.
 TABLE_CHARS, LONGEST = 1_000_000, 64
@@ -123,7 +125,7 @@ def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", decode: bool = F
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, ids array<int>" + ", decoded string" * decode
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, schema)
+    return in_batches(docs.select("doc_id", F.col("text").cast("string")), run, schema)
 
 
 def token_digests(docs: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
@@ -134,4 +136,4 @@ def token_digests(docs: DataFrame, model: str = "piece_bpe_32k.model") -> DataFr
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(_digest(model), schema)
+    return in_batches(docs.select("doc_id", F.col("text").cast("string")), _digest(model), schema)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolewise.llm.common import durable
+from rolewise.llm.common import durable, in_batches
 from rolewise.operators.graph import components as linked_components
 
 SHINGLE, SEED, RADIUS, LEAST_SHARED = 3, 42, 2, 6
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.int64())], names=["doc_id", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").cast("binary")).mapInArrow(run, f"doc_id {kind}, fp bigint")
+    return in_batches(docs.select("doc_id", F.col("text").cast("string").cast("binary")), run, f"doc_id {kind}, fp bigint")
 
 
 def _signed(mask: int) -> int:
