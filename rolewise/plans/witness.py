@@ -116,7 +116,7 @@ def _break_rule(b: _Builder, r: Rule) -> None:
     elif r.kind == "symmetric":
         b.facts[r.fact].append(tuple(b.new(p) for _, p in fact.roles))
     elif r.kind == "unordered":
-        row = dict(zip(fact.role_names, b.fact(r.fact), strict=True))
+        row = dict(zip(fact.role_names, b.fact(r.fact, {role: b.new(p) for role, p in fact.roles}), strict=True))
         turned = row | dict(zip(r.roles, [row[x] for x in r.roles[::-1]], strict=True))
         if (again := tuple(turned.values())) not in b.facts[r.fact]:
             b.facts[r.fact].append(again)
