@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from rolewise.sources.tables import durable, shared_folder
@@ -25,6 +26,8 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes of text hashed at a time; a longer text is cut at white space.
 BLOCK = 1 << 20
+#: Rows that a worker takes at a time.
+ROWS = 256
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,13 +45,18 @@ def in_batches(df: DataFrame, run, schema) -> DataFrame:
     """``df.mapInArrow(run, schema)``, with this package on the path of the workers.
 
     A worker imports the package by name.  Where it isn't installed, the folder that the driver has it from is
-    added to the workers' path, as a session may have been started elsewhere.
+    added to the workers' path, as a session may have been started elsewhere.  Batches come in slices of ``ROWS`` rows, so
+    that a worker holds the Python objects of few texts at a time.
     """
     held = df.sparkSession.sparkContext.environment
     root = str(Path(__file__).resolve().parents[2])
     if root not in held.get("PYTHONPATH", "").split(os.pathsep):
         held["PYTHONPATH"] = os.pathsep.join(filter(None, [root, held.get("PYTHONPATH")]))
-    return df.mapInArrow(run, schema)
+
+    def small(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run(b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS))
+
+    return df.mapInArrow(small, schema)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
