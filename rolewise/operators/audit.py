@@ -5,6 +5,8 @@ Each is a join of small relations and a decision table written as a chain of con
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -44,17 +46,16 @@ def capabilities(spark) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, target string, status string")
 
 
-def verdicts(obligations: DataFrame, declared: DataFrame, cases: DataFrame, live: DataFrame, shared: DataFrame) -> DataFrame:
-    """The verdict, evidence level and evidence source of every obligation for every target.
+def verdicts(obligations: DataFrame, declared: DataFrame, cases: DataFrame, live: DataFrame, shared: DataFrame, targets: Sequence[str]) -> DataFrame:
+    """The verdict, evidence level and evidence source of every obligation for each of the ``targets``.
 
     ``obligations(obligation_id, feature)``, ``declared(feature, target, status)``, ``cases(obligation_id, target, case_id,
     runtime)``, ``live(target, case_id, passed)`` and ``shared(obligation_id, target, passed)``, where a null ``passed``
     in ``shared`` is a proof that is still pending.  An observed verdict needs a passing result for every runtime case; one failure
     falsifies a claim of enforcement.
     """
-    targets = declared.select("target").distinct()
     at = Window.partitionBy("obligation_id", "target").orderBy("status")
-    capable = obligations.crossJoin(F.broadcast(targets))  # every obligation has a verdict for each of the few targets
+    capable = obligations.withColumn("target", F.explode(F.array(*[F.lit(t) for t in targets])))
     capable = capable.join(declared, ["feature", "target"], "left").withColumn("_rank", F.row_number().over(at)).where("_rank = 1")
     seen = cases.join(live, ["target", "case_id"], "left").groupBy("obligation_id", "target").agg(
         F.count_if("runtime").alias("n_runtime"),

@@ -615,7 +615,7 @@ _EXPECTED = ", ".join(repr((o, t, _VERDICT[audit.CAPABILITIES[f][t]])) for o, f
 def _verdicts(spark: SparkSession) -> DataFrame:
     declared = audit.capabilities(spark).where("target IN ('postgres', 'mongo', 'typedb')")
     none = lambda ddl: spark.createDataFrame([], ddl)
-    return audit.verdicts(spark.createDataFrame(FOCAL, "obligation_id string, feature string"), declared, none("obligation_id string, target string, case_id string, runtime boolean"), none("target string, case_id string, passed boolean"), none("obligation_id string, target string, passed boolean"))
+    return audit.verdicts(spark.createDataFrame(FOCAL, "obligation_id string, feature string"), declared, none("obligation_id string, target string, case_id string, runtime boolean"), none("target string, case_id string, passed boolean"), none("obligation_id string, target string, passed boolean"), ["postgres", "mongo", "typedb"])
 
 
 @query(f"SELECT * FROM (VALUES {_EXPECTED}) t(obligation_id, target, preservation)")
@@ -639,7 +639,7 @@ def verdict_evidence(spark, d):
     cases = make([("o1", "t", "c1", True), ("o1", "t", "c2", True), ("o2", "t", "c3", True), ("o2", "t", "c4", True), ("o3", "t", "c5", True), ("o3", "t", "c6", True), ("o5", "t", "c7", False)], "obligation_id string, target string, case_id string, runtime boolean")
     live = make([("t", "c1", True), ("t", "c2", True), ("t", "c3", False), ("t", "c5", True)], "target string, case_id string, passed boolean")
     shared = make([("o4", "t", True), ("o7", "t", None)], "obligation_id string, target string, passed boolean")
-    return audit.verdicts(obligations, declared, cases, live, shared).select("obligation_id", "preservation", "evidence_source")
+    return audit.verdicts(obligations, declared, cases, live, shared, ["t"]).select("obligation_id", "preservation", "evidence_source")
 
 
 @query("SELECT * FROM (VALUES ('a', 'prevented', 'preserved_or_stronger'), ('b', 'prevention_not_attributable', NULL), ('c', 'realized', 'weakened'), ('d', 'realized', 'preserved_or_stronger'), ('e', 'post_state_pending', NULL), ('f', 'not_executable', NULL)) t(\"case\", level, observed)")
