@@ -441,6 +441,16 @@ def connected_components(spark, d):
     return graph.components(edges)
 
 
+# of all orders; as priorities are few, the SQL walks among them and costs in proportion to the edges
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT 'c' || o_custkey AS a, 'p' || o_orderpriority AS b FROM orders), h AS (SELECT DISTINCT x.b AS u, y.b AS v FROM e x JOIN e y ON x.a = y.a),
+reach(u, v) AS (SELECT u, v FROM h UNION SELECT r.u, h.v FROM reach r JOIN h ON r.v = h.u), m AS (SELECT u AS b, least(min(e.a), min(e.b)) AS component FROM reach JOIN e ON v = e.b GROUP BY u)
+SELECT b AS node, component FROM m UNION SELECT a, component FROM e JOIN m ON e.b = m.b""")
+def connected_components_all(spark, d):
+    rows = table(spark, d, "orders")
+    edges = rows.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("o_orderpriority")).alias("dst"))
+    return graph.components(edges)
+
+
 @query(f"WITH r(fact, role, player) AS (VALUES {_ROLES}) SELECT fact, count(*) AS n FROM r GROUP BY fact HAVING count(*) <> 2")
 def uniform_arity(spark, d):
     return graph.uniform(_roles(spark), 2)
