@@ -1,13 +1,11 @@
 """Graphs of a model: incidence, connectivity, subtype chains, revision ancestry and references that lead nowhere.
 
-Models are small next to the data, but nothing here depends on that: closures are recursive queries that Spark runs as
-joins, and each step keeps the least distance only.
+Models are small next to the data, but nothing here depends on that: closures and components are joins that are
+repeated until nothing changes.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,29 +19,27 @@ def incidence(roles: DataFrame) -> DataFrame:
     )
 
 
-def _recursive(spark, body: str, **tables: DataFrame) -> DataFrame:
-    """Runs a recursive query over temporary views."""
-    names = {k: f"_{k}_{uuid.uuid4().hex[:12]}" for k in tables}
-    for k, df in tables.items():
-        df.createOrReplaceTempView(names[k])
-    return spark.sql(body.format(**names))
-
-
-def closure(edges: DataFrame, most_steps: int = 100) -> DataFrame:
-    """``src, dst, depth``: all that can be reached from each source in at most ``most_steps`` steps, with the least depth.
+def closure(edges: DataFrame, most_steps: int | None = None) -> DataFrame:
+    """``src, dst, depth``: all that can be reached from each source, with the least depth; with ``most_steps`` in at most so many steps.
 
-    The bound keeps cycles finite; :func:`cycles` finds them.
+    Round k knows all pairs up to 2**k steps apart.  Any pair up to twice as far is one of exactly 2**k steps and a known one, so
+    only those are joined, and what is known already is dropped.  The rounds grow with the logarithm of the longest way and end on
+    cycles too, which :func:`cycles` finds; each writes its new pairs to the checkpoint folder.
     """
-    body = f"""
-        WITH RECURSIVE reach(src, dst, depth) AS (
-          SELECT src, dst, 1 FROM {{edges}}
-          UNION ALL
-          SELECT r.src, e.dst, r.depth + 1 FROM reach r JOIN {{edges}} e ON r.dst = e.src WHERE r.depth < {most_steps} AND r.src <> r.dst
-        ) SELECT src, dst, min(depth) AS depth FROM reach GROUP BY src, dst"""
-    return _recursive(edges.sparkSession, body, edges=edges.select("src", "dst").distinct())
-
-
-def cycles(edges: DataFrame, most_steps: int = 100) -> DataFrame:
+    known = durable(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct().withColumn("depth", F.lit(1)))
+    far, steps = known, 1
+    while (most_steps is None or steps < most_steps) and not far.isEmpty():
+        rest = known.select(F.col("src").alias("via"), F.col("dst").alias("to"), F.col("depth").alias("more"))
+        met = far.join(rest, F.col("dst") == F.col("via")).groupBy("src", F.col("to").alias("dst")).agg((F.min("more") + steps).alias("depth"))
+        if most_steps is not None:
+            met = met.where(F.col("depth") <= most_steps)
+        new = durable(met.join(known.select("src", "dst"), ["src", "dst"], "left_anti"))
+        known, steps = known.union(new), 2 * steps
+        far = new.where(F.col("depth") == steps)
+    return known
+
+
+def cycles(edges: DataFrame, most_steps: int | None = None) -> DataFrame:
     """Nodes that can reach themselves."""
     return closure(edges, most_steps).where("src = dst").select(F.col("src").alias("node"))
 
