@@ -3,7 +3,8 @@
 The page becomes a tree.  Parts that are never the article (navigation, forms, scripts, adverts, reader comments and so on,
 by element or by class and id) go.  Each paragraph then passes points for its length and commas to its ancestors, less
 with each step and less the more of it is links; the container with the most points is the article.  Its siblings are
-kept if they are headings or hold points or text of their own like an article's.
+kept if they are headings or hold points or text of their own like an article's.  Within the article only whole names of adverts,
+sharing, comments and the like are dropped, and its lists of links stay; where the best container is the page itself, both rules are as outside.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from rolewise.llm.common import in_batches
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 FORMATTING = set("b i em strong u s small big font tt code a abbr cite q sub sup mark kbd samp var time bdi bdo del ins label acronym strike".split())
 INLINE = FORMATTING | set("span img br wbr input".split())
-NEVER = set("head script style noscript template nav footer aside form iframe button select textarea option dialog svg canvas object embed menu figcaption".split())
-PARAGRAPH = set("p pre td th li blockquote h1 h2 h3 h4 h5 h6 dd dt address".split())
+NEVER = set("head script style noscript template nav footer aside form iframe button select textarea option dialog svg canvas object embed menu".split())
+PARAGRAPH = set("p figcaption pre td th li blockquote h1 h2 h3 h4 h5 h6 dd dt address".split())
 HEADING = set("h1 h2 h3 h4 h5 h6".split())
 SAFE = set("html body article main".split())
 #: Words in a class or id that name what an article is not.
@@ -32,6 +33,13 @@ UNWANTED = set(
     " cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup popup modal overlay menu nav navbar navigation breadcrumb breadcrumbs"
     " footer masthead topbar share sharing social related recommended widget pagination pager toolbar skip paywall login copyright".split()
 )
+#: Whole names that are no article within one either: those of a class, and those of an id, as an id often names a section's topic.
+ALWAYS_IDS = set(
+    "ad ads adbox advert advertisement adverts advertising ad-banner ad-container ad-slot ad-box ad-unit sponsored-content comment comments commentlist comment-list"
+    " comments-area comments-section comment-section comment-form disqus disqus-thread respond share-buttons share-bar social-share social-links"
+    " sidebar nav navbar main-menu site-footer cookie-banner cookie-notice cookie-consent newsletter-signup related-posts related-articles".split()
+)
+ALWAYS = ALWAYS_IDS | set("sponsor sponsored promo promotion reply replies share sharing social menu footer breadcrumb breadcrumbs newsletter pagination pager toolbar".split())
 _SEGMENT = re.compile(r"[-_]|(?<=[a-z])(?=[A-Z])")
 #: Shortest paragraph that passes points, and the points that an article element has of its own.
 LEAST, ARTICLE_POINTS = 25, 25.0
@@ -49,12 +57,26 @@ def _named_unwanted(attrs: list[tuple[str, str | None]]) -> bool:
     return False
 
 
+def _always_unwanted(attrs: list[tuple[str, str | None]]) -> bool:
+    for key, value in attrs:
+        if key in ("class", "id") and value:
+            whole = {"-".join(p.lower() for p in _SEGMENT.split(name) if p) for name in value.split()}
+            if whole & (ALWAYS if key == "class" else ALWAYS_IDS):
+                return True
+        elif key == "role" or key == "hidden" or key == "style":
+            if _named_unwanted([(key, value)]):
+                return True
+    return False
+
+
 class _Tree(HTMLParser):
     """Nodes in page order with their parents, and the texts between block boundaries."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.tag, self.parent, self.out = ["#page"], [0], [False]
+        #: what is out within an article, too
+        self.never = [False]
         self.open, self.links = [0], 0
         #: runs of text: [node of the first text, [(text, in a link)]]
         self.runs: list[tuple[int, list[tuple[str, bool]]]] = []
@@ -93,7 +115,9 @@ class _Tree(HTMLParser):
         up = self.open[-1]
         self.tag.append(tag)
         self.parent.append(up)
-        self.out.append(self.out[up] or tag in NEVER or (tag == "header" and not self._within_article()) or (tag not in SAFE and _named_unwanted(attrs)))
+        never = tag in NEVER or (tag == "header" and not self._within_article())
+        self.never.append(self.never[up] or never or (tag not in SAFE and _always_unwanted(attrs)))
+        self.out.append(self.out[up] or self.never[-1] or (tag not in SAFE and _named_unwanted(attrs)))
         self.open.append(len(self.tag) - 1)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -142,7 +166,8 @@ def main_text(html: str | None) -> str:
     tree.feed(html)
     tree.close()
     tag, parent = tree.tag, tree.parent
-    blocks = [b for node, parts in tree.runs if not tree.out[node] and (b := _Block(node, parts)).text]
+    every = [b for node, parts in tree.runs if not tree.never[node] and (b := _Block(node, parts)).text]
+    blocks = [b for b in every if not tree.out[b.node]]
     if not blocks:
         return ""
 
@@ -174,15 +199,19 @@ def main_text(html: str | None) -> str:
     keep = [False] * len(tag)
     enough = max(10.0, 0.2 * score[best])
     lists_of_links = {"ul", "ol", "div", "table", "section"}
+    # names and lists of links within an article are its own; in a whole page they are menus and the like
+    whole_page = tag[best] in ("#page", "html", "body")
+    inside = [False] * len(tag)
     for k in range(len(tag)):
-        if k == best:
+        inside[k] = not whole_page and (k == best or (k > 0 and inside[parent[k]]))
+        if k == best or inside[k]:
             keep[k] = True
         elif best and k and parent[k] == parent[best]:
             text_like = tag[k] in PARAGRAPH and (size[k] > 80 and density[k] < 0.25)
             keep[k] = score[k] >= enough or text_like or (tag[k] in HEADING and density[k] < 0.5)
         elif k:
             keep[k] = keep[parent[k]] and not (tag[k] in lists_of_links and density[k] > 0.5)
-    return "\n\n".join(b.text for b in blocks if keep[b.node])
+    return "\n\n".join(b.text for b in every if keep[b.node] and (inside[b.node] or not tree.out[b.node]))
 
 
 def extract(pages: DataFrame) -> DataFrame:
