@@ -188,3 +188,27 @@ def simulated(summary: DataFrame, declared: DataFrame) -> DataFrame:
     joined = summary.select("obligation_id", "kind", "violations").join(F.broadcast(declared), F.col("kind") == F.col("feature"))  # one row for each feature and target
     outcome = F.when(F.col("violations") == 0, "nothing_to_prevent").when(F.col("status").isin(ENFORCED), "prevented").when(F.col("status") == "represented_not_enforced", "realized").otherwise("not_asserted")
     return joined.select("obligation_id", "target", "violations", outcome.alias("simulated"))
+
+
+#: The feature of a kind of obligation that isn't named as its feature.
+FEATURE_OF = {"mandatory": "mandatory_fact", "symmetric": "ring", "unordered": "unordered_role_group"}
+
+
+def simulated_all(summary: DataFrame, declared: DataFrame) -> DataFrame:
+    """As :func:`simulated`, for every obligation and every target of ``declared``.
+
+    Kinds are mapped to features by :data:`FEATURE_OF`; what a target declares nothing about is ``missing_capability_entry``.
+    """
+    feature = F.col("kind")
+    for kind, name in FEATURE_OF.items():
+        feature = F.when(F.col("kind") == kind, name).otherwise(feature)
+    every = summary.select("obligation_id", "violations", feature.alias("feature")).crossJoin(F.broadcast(declared.select("target").distinct()))  # one row for each target
+    joined = every.join(F.broadcast(declared), ["feature", "target"], "left")
+    outcome = (
+        F.when(F.col("status").isNull(), "missing_capability_entry")
+        .when(F.col("violations") == 0, "nothing_to_prevent")
+        .when(F.col("status").isin(ENFORCED), "prevented")
+        .when(F.col("status") == "represented_not_enforced", "realized")
+        .otherwise("not_asserted")
+    )
+    return joined.select("obligation_id", "target", "violations", outcome.alias("simulated"))

@@ -739,6 +739,14 @@ def simulated_enforcement(spark, d):
     return audit.simulated(plan.summary(COMMERCE, _violations(spark, d)), audit.capabilities(spark))
 
 
+@query(f"""{VIOLATIONS}, known(obligation_id, kind) AS (VALUES {_KNOWN}), s AS (SELECT obligation_id, kind, count(o)::BIGINT AS violations FROM known LEFT JOIN v ON o = obligation_id GROUP BY ALL), c(feature, target, status) AS (VALUES {_CAPABLE})
+SELECT obligation_id, t.target, violations, CASE WHEN status IS NULL THEN 'missing_capability_entry' WHEN violations = 0 THEN 'nothing_to_prevent' WHEN status = 'N' THEN 'prevented' WHEN status = 'R' THEN 'realized' ELSE 'not_asserted' END AS simulated
+FROM s CROSS JOIN (SELECT DISTINCT target FROM c) t LEFT JOIN c ON c.target = t.target AND c.feature = CASE kind WHEN 'mandatory' THEN 'mandatory_fact' WHEN 'symmetric' THEN 'ring' WHEN 'unordered' THEN 'unordered_role_group' ELSE kind END""")
+def simulated_enforcement_all(spark, d):
+    """For every obligation and target; ``simulated_enforcement`` has only kinds that are named as their feature."""
+    return audit.simulated_all(plan.summary(COMMERCE, _violations(spark, d)), audit.capabilities(spark))
+
+
 @query("""SELECT "order", number, part, supplier FROM (SELECT *, row_number() OVER (PARTITION BY "order", number ORDER BY part, supplier) AS k, count(*) OVER (PARTITION BY "order", number) AS n
 FROM (SELECT DISTINCT l_orderkey AS "order", l_linenumber AS number, l_partkey AS part, l_suppkey AS supplier FROM lineitem)) WHERE n > 1 AND k <= 2""")
 def violation_evidence(spark, d):
