@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rolewise.sources.tables import durable, shared_folder
 
-__all__ = ["documents", "durable", "in_batches", "written", "mix64", "word_hashes"]
+__all__ = ["documents", "discard", "durable", "in_batches", "written", "mix64", "word_hashes"]
 
 #: A-Z to a-z and ASCII punctuation to a space; bytes over 127 stay, so UTF-8 stays whole.
 FOLD = bytes(
@@ -41,6 +41,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Removes the files of tables that :func:`written` made, once nothing reads them any more."""
+    for df in tables:
+        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def in_batches(df: DataFrame, run, schema) -> DataFrame:
     """``df.mapInArrow(run, schema)``, with this package on the path of the workers.
 

@@ -60,35 +60,6 @@ def test_language_odd_rows(docs, empty):
     assert language_id.keep_known(docs).columns == docs.columns
 
 
-def test_toxicity_on_held_out(spark):
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
-    rows = toxicity.score(docs, labels).join(labels, "doc_id").where("held_out").collect()
-    assert all(zlib.crc32(str(r.doc_id).encode()) % 5 == 0 and r.predicted == (r.score >= 0.5) for r in rows)
-    toxic, fine = ([r for r in rows if r.toxic == k] for k in (1, 0))
-    assert np.mean([r.predicted for r in fine]) < 0.02  # clean documents are left alone
-    assert np.mean([r.predicted for r in toxic]) > 0.5  # some toxic labels are noise, without any such word
-
-
-def test_toxicity_odd_rows(spark, docs, empty):
-    labels = spark.createDataFrame([(1, 1, 1), (6, 0, 0), (6, 0, None), (None, 0, 1), (7, 1, 0), (7, 1, 0)], "doc_id long, quality int, toxic int")
-    rows = toxicity.score(docs, labels).collect()
-    assert len(rows) == docs.count() and all(0 <= r.score <= 1 for r in rows)
-    assert len({r.score for r in rows if r.doc_id in (2, 3, 4)}) == 1
-    assert toxicity.score(docs, labels.limit(0)).count() == docs.count() and toxicity.score(empty, labels).count() == 0
-    assert toxicity.keep_ordinary(docs, labels).columns == docs.columns
-
-
-def test_toxicity_pairs_equal_plain_counts(tables):
-    docs, labels = tables
-    rows = toxicity.labelled(docs, labels)
-    got = {r.pair: (r.toxic, r.ordinary) for r in toxicity.pair_counts(rows).collect()}
-    plain: dict[int, list[int]] = {}
-    for r in rows.collect():
-        for pair in set(toxicity._pairs(toxicity.word_ids(bytes(r.text))).tolist()):
-            plain.setdefault(pair, [0, 0])[1 - r.toxic] += 1
-    assert got == {k: tuple(v) for k, v in plain.items()}
-
-
 def test_pipeline_stages_do_what_their_operators_say(spark, tables):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
