@@ -1,31 +1,35 @@
 """Language identification by prediction by partial matching.
 
 Each language has a variable-order context tree over bytes: counts of the byte that follows each context of up to ``ORDER``
-bytes.  A byte seen after the longest known context costs its share of that context's counts; one not seen there costs
+bytes.  A byte seen after the longest context that the tree has costs its share of that context's counts; one not seen there costs
 an escape (the share of distinct followers) and is tried after the next shorter context, down to the uniform order
 -1.  A text's code length is the sum over all its bytes with the statistics frozen after training, and the
 language with the shortest code is predicted.
 
-Counting is distributed: each task counts the (language, context and byte) triples of its rows and the counts are added
-up.  With frozen statistics the cost of a byte after a context does not depend on the text, so each tree is unrolled
-into an array over the bytes met in training and one class for all others.  Tasks receive these arrays: at most 257 ** 3 costs a
-language and 4 MB with a hundred byte values, whatever the number of documents.
+Counting is distributed: each task counts the (language, context and byte) strings of its rows, the counts are added
+up, and those of shorter contexts are sums of the longer ones'.  Contexts of one byte are all in the tree.  A longer one is in it if it
+is at least one in ``CONTEXTS`` / languages of its language's bytes, so no order has more than ``CONTEXTS`` contexts in all trees
+together, whatever the number of documents: that bounds what the driver collects and the tasks receive.  With frozen statistics
+the cost of a byte after a context doesn't depend on the text, so for each string of any tree the costs in all languages, escapes
+included, are worked out once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rolewise.llm.common import in_batches
+from rolewise.llm.common import discard, in_batches, written
 
-#: Longest context in bytes; texts are counted and scored in pieces of so many bytes, whatever their length.
-ORDER, PIECE = 2, 1 << 20
+#: Longest context in bytes, and the contexts of each length over one that the trees of all languages may have.
+ORDER, CONTEXTS = 4, 1 << 17
+#: Costs that a task holds at a time, over all languages; texts are taken in pieces, whatever their length.
+HELD = 1 << 22
 #: Bytes that a task counts at a time before it passes the counts on.
 COUNTED = 1 << 22
 UNKNOWN = "und"
@@ -36,94 +40,169 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def _pieces(text: bytes) -> Iterator[np.ndarray]:
-    """The text's bytes after two line feeds, in pieces that overlap by the context's length."""
+def _pieces(text: bytes, size: int) -> Iterator[np.ndarray]:
+    """The text's bytes after ``ORDER`` line feeds, in pieces of ``size`` that overlap by the context's length."""
     raw = np.frombuffer(b"\n" * ORDER + text, dtype=np.uint8)
-    for i in range(0, max(len(raw) - ORDER, 0), PIECE):
-        yield raw[i : i + PIECE + ORDER]
+    for i in range(0, len(raw) - ORDER, size):
+        yield raw[i : i + size + ORDER]
 
 
-def _triples(raw: np.ndarray) -> np.ndarray:
-    x = raw.astype(np.int32)
-    return (x[:-2] << 16) | (x[1:-1] << 8) | x[2:]
+def _strings(raw: np.ndarray) -> np.ndarray:
+    """Each byte but the first ``ORDER`` with those before it, the byte itself lowest."""
+    out = np.zeros(max(len(raw) - ORDER, 0), dtype=np.int64)
+    for k in range(ORDER + 1):
+        out = (out << 8) | raw[k : len(raw) - ORDER + k]
+    return out
+
+
+def _mask(order: int) -> int:
+    """What a context of ``order`` bytes and the byte after it take of a string."""
+    return (1 << 8 * (order + 1)) - 1
 
 
 def counts(labelled: DataFrame) -> DataFrame:
-    """``lang``, ``triple`` (two bytes of context and the byte after), ``n`` over all rows of ``labelled(lang, text)``."""
+    """``lang``, ``string`` (``ORDER`` bytes of context and the byte after), ``n`` over all rows of ``labelled(lang, text)``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[tuple[str, np.ndarray]] = []
+        waiting: dict[str, list[np.ndarray]] = {}
         size = 0
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for raw in _pieces(text.as_py() or b""):
-                    waiting.append((lang, _triples(raw)))
+                for raw in _pieces(text.as_py() or b"", COUNTED):
+                    waiting.setdefault(lang, []).append(_strings(raw))
                     size += len(raw)
                     if size > COUNTED:
                         yield from emit(waiting)
-                        waiting, size = [], 0
+                        waiting, size = {}, 0
         yield from emit(waiting)
 
-    def emit(waiting: list[tuple[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        for lang in {name for name, _ in waiting}:
-            seen, n = np.unique(np.concatenate([x for name, x in waiting if name == lang]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen), pa.string()), pa.array(seen, pa.int32()), pa.array(n, pa.int64())], names=["lang", "triple", "n"])
+    def emit(waiting: dict[str, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for lang, parts in waiting.items():
+            seen, n = np.unique(np.concatenate(parts), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(pa.array(np.zeros(len(seen), dtype=np.int32))), pa.array(seen, pa.int64()), pa.array(n, pa.int64())], names=["lang", "string", "n"])
+
+    rows = in_batches(labelled.select("lang", F.col("text").cast("binary")), run, "lang string, string bigint, n bigint")
+    return rows.groupBy("lang", "string").agg(F.sum("n").alias("n"))
+
+
+@dataclass
+class Level:
+    """The contexts of one length: costs of the strings that any tree has, and escapes, by language."""
 
-    rows = in_batches(labelled.select("lang", F.col("text").cast("binary")), run, "lang string, triple int, n bigint")
-    return rows.groupBy("lang", "triple").agg(F.sum("n").alias("n"))
+    strings: np.ndarray
+    costs: np.ndarray  # [string, language]
+    contexts: np.ndarray
+    escapes: np.ndarray  # [context, language]; 0 where the language's tree lacks the context
 
 
 @dataclass
 class Model:
-    """``costs[i, class of byte, class, class]``: bits of a byte after two others in the i-th of ``langs``."""
+    """The trees of ``langs``: ``pairs[context byte * 256 + byte, language]`` in bits, and a level for each longer context, shortest first."""
 
     langs: list[str]
-    classes: np.ndarray
-    costs: np.ndarray
-
-
-def _unroll(n: np.ndarray) -> np.ndarray:
-    """Costs in bits from the counts ``n[a, b, c]`` of c after a, b; the last class has no counts."""
-    classes = n.shape[0]
-    cost = np.full(classes, np.log2(256.0))
-    for level in (n.sum(axis=(0, 1)), n.sum(axis=0), n):
-        total = level.sum(axis=-1, keepdims=True).astype(np.float64)
-        kinds = (level > 0).sum(axis=-1, keepdims=True)
-        known = total > 0
+    pairs: np.ndarray
+    levels: list[Level] = field(default_factory=list)
+
+    def costs(self, strings: np.ndarray, order: int | None = None) -> np.ndarray:
+        """Bits of the byte in each of ``strings`` after up to ``order`` bytes of context, in every language."""
+        order = len(self.levels) + 1 if order is None else order
+        strings = strings & _mask(order)
+        if order == 1:
+            return self.pairs[strings]
+        level = self.levels[order - 2]
+        at, known = _find(level.strings, strings)
+        out = level.costs[at] if len(level.strings) else np.zeros((len(strings), len(self.langs)), dtype=np.float32)
+        rest = np.flatnonzero(~known)
+        if len(rest):
+            lower = self.costs(strings[rest], order - 1)
+            at, known = _find(level.contexts, strings[rest] >> 8)
+            lower[known] += level.escapes[at[known]]
+            out[rest] = lower
+        return out
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``wanted`` in the ordered ``keys``, and which of them are there."""
+    at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
+    return at, keys[at] == wanted if len(keys) else np.zeros(len(wanted), dtype=bool)
+
+
+def _pair_costs(n: np.ndarray) -> np.ndarray:
+    """Bits of each byte after each single byte, from ``n[language, context, byte]``: orders 1, 0 and -1."""
+    cost = np.full((n.shape[0], 1, 256), 8.0)
+    for level in (n.sum(axis=1, keepdims=True), n):
+        total, kinds = level.sum(axis=2, keepdims=True).astype(np.float64), (level > 0).sum(axis=2, keepdims=True)
         with np.errstate(divide="ignore", invalid="ignore"):
             seen = np.log2((total + kinds) / level)
-            escape = np.where(known, np.log2((total + kinds) / kinds), 0.0)
+            escape = np.where(total > 0, np.log2((total + kinds) / kinds), 0.0)
         cost = np.where(level > 0, seen, escape + cost)
-    return cost.astype(np.float32)
+    return np.moveaxis(cost, 0, 2).reshape(256 * 256, -1).astype(np.float32)
+
+
+def _level(model: Model, order: int, lang: np.ndarray, string: np.ndarray, n: np.ndarray) -> Level:
+    """The level of contexts of ``order`` bytes from the counts of the trees' strings; ``model`` has the shorter ones."""
+    strings, at = np.unique(string, return_inverse=True)
+    contexts, of = np.unique(string >> 8, return_inverse=True)
+    shape = (len(contexts), len(model.langs))
+    total, kinds = np.zeros(shape), np.zeros(shape)
+    np.add.at(total, (of, lang), n)
+    np.add.at(kinds, (of, lang), 1)
+    escapes = np.log2(np.maximum(total + kinds, 1) / np.maximum(kinds, 1)).astype(np.float32)
+    costs = model.costs(strings, order - 1) + escapes[np.searchsorted(contexts, strings >> 8)]
+    costs[at, lang] = np.log2((total + kinds)[of, lang] / n)
+    return Level(strings, costs.astype(np.float32), contexts, escapes)
 
 
-def fit(docs: DataFrame) -> Model:
+def fit(docs: DataFrame, most_contexts: int = CONTEXTS) -> Model:
     """The frozen trees of all languages from the rows of ``docs`` with a text and a lang that are not held out."""
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    table = counts(rows.select(F.col("lang").cast("string"), F.col("text").cast("string"))).toPandas()
-    langs = sorted(table["lang"].unique().tolist())
-    triple = table["triple"].to_numpy(dtype=np.int64)
-    parts = [triple >> 16, (triple >> 8) & 255, triple & 255]
-    used = np.unique(np.concatenate([*parts, [10]]))
-    classes = np.full(256, len(used), dtype=np.int32)
-    classes[used] = np.arange(len(used))
-    costs = np.zeros((len(langs), *[len(used) + 1] * 3), dtype=np.float32)
-    for i, lang in enumerate(langs):
-        mine = (table["lang"] == lang).to_numpy()
-        n = np.zeros([len(used) + 1] * 3, dtype=np.int64)
-        n[tuple(classes[p[mine]] for p in parts)] = table["n"].to_numpy()[mine]
-        costs[i] = _unroll(n)
-    return Model(langs, classes, costs)
-
-
-def code_lengths(text: bytes, model: Model) -> np.ndarray:
-    """Bits that each language's tree needs for the text."""
-    bits, width = np.zeros(len(model.langs)), model.costs.shape[-1]
-    flat = model.costs.reshape(len(model.langs), -1)
-    for raw in _pieces(text):
-        c = model.classes[raw]
-        at = (c[:-2] * width + c[1:-1]) * width + c[2:]
-        bits += [float(costs[at].sum(dtype=np.float64)) for costs in flat]
+    counted = written(counts(rows.select(F.col("lang").cast("string"), F.col("text").cast("string"))), "language-counts")
+    sizes = {r.lang: r.n for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    langs = sorted(sizes)
+    number = F.array_position(F.lit(langs), F.col("lang")).cast("int") - 1 if langs else F.lit(0)
+    share = most_contexts // max(len(langs), 1)
+    levels, longer = {}, counted.select(number.alias("lang"), "string", "n")
+    for order in range(ORDER, 0, -1):
+        longer = longer.groupBy("lang", F.col("string").bitwiseAND(F.lit(_mask(order))).alias("string")).agg(F.sum("n").alias("n"))
+        kept = longer
+        if order > 1:
+            of_context = F.sum("n").over(Window.partitionBy("lang", F.shiftright("string", 8)))  # a context has 256 rows at most
+            of_lang = F.element_at(F.lit([sizes[x] for x in langs]), F.col("lang") + 1) if langs else F.lit(0)
+            kept = longer.withColumn("of", of_context).where(F.col("of") * share >= of_lang)
+        table = kept.select("lang", "string", "n").toArrow()
+        levels[order] = [table[c].to_numpy() for c in ("lang", "string", "n")]
+    discard(counted)
+    n = np.zeros((len(langs), 256, 256), dtype=np.int64)
+    lang, pair, times = levels[1]
+    n[lang, pair >> 8, pair & 255] = times
+    model = Model(langs, _pair_costs(n))
+    for order in range(2, ORDER + 1):
+        model.levels.append(_level(model, order, *levels[order]))
+    return model
+
+
+def code_lengths(texts: list[bytes], model: Model) -> np.ndarray:
+    """``[text, language]``: the bits that each language's trees need for each text."""
+    bits = np.zeros((len(texts), len(model.langs)))
+    size = max(HELD // max(len(model.langs), 1), 1 << 10)
+    waiting: list[tuple[int, np.ndarray]] = []
+
+    def add() -> None:
+        starts = np.cumsum([0, *[len(s) for _, s in waiting[:-1]]])
+        sums = np.add.reduceat(model.costs(np.concatenate([s for _, s in waiting])), starts, axis=0, dtype=np.float64)
+        np.add.at(bits, [k for k, _ in waiting], sums)
+        waiting.clear()
+
+    held = 0
+    for k, text in enumerate(texts):
+        for raw in _pieces(text, size):
+            waiting.append((k, _strings(raw)))
+            held += len(raw)
+            if held >= size:
+                add()
+                held = 0
+    if waiting:
+        add()
     return bits
 
 
@@ -138,8 +217,7 @@ def predict(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_best(t, shared.value) for t in batch.column(2)]
-            names, scores = zip(*found, strict=True) if found else ((), ())
+            names, scores = _best([t.as_py() for t in batch.column(2)], shared.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -151,23 +229,32 @@ def _has_letter() -> Column:
     return F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False))
 
 
-def _best(text: pa.Scalar, model: Model) -> tuple[str, float]:
-    """The language of a text with letters, or of a null one none, and its chance."""
-    if not text.is_valid or not model.langs:
-        return UNKNOWN, 0.0
-    bits = code_lengths(text.as_py(), model)
-    best = int(bits.argmin())
-    return model.langs[best], float(1 / np.exp2(np.minimum(bits[best] - bits, 0)).sum())
+def _best(texts: list[bytes | None], model: Model) -> tuple[list[str], np.ndarray]:
+    """The language of each text with letters, or of a null one none, and its chance."""
+    if not model.langs or not texts:
+        return [UNKNOWN] * len(texts), np.zeros(len(texts))
+    bits = code_lengths([t or b"" for t in texts], model)
+    best = bits.argmin(axis=1)
+    chance = 1 / np.exp2(np.minimum(bits.min(axis=1, keepdims=True) - bits, 0)).sum(axis=1)
+    there = [t is not None for t in texts]
+    return [model.langs[k] if ok else UNKNOWN for k, ok in zip(best, there, strict=True)], np.where(there, chance, 0.0)
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that aren't predicted ``und``, with all their columns as they are."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs))
+    """The rows of ``docs`` that aren't predicted ``und``, with all their columns as they are.
+
+    If no language was learned, as when every lang is null, there is nothing to judge by and all rows with a letter stay.
+    """
+    model = fit(docs)
+    lettered = docs.where(_has_letter())
+    if not model.langs:
+        return lettered
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known = [_best(t, shared.value)[0] != UNKNOWN for t in batch.column(at).cast(pa.binary())]
-            yield batch.filter(pa.array(known, pa.bool_()))
+            names, _ = _best([t.as_py() for t in batch.column(at).cast(pa.binary())], shared.value)
+            yield batch.filter(pa.array([n != UNKNOWN for n in names], pa.bool_()))
 
-    return in_batches(docs.where(_has_letter()), run, docs.schema)
+    return in_batches(lettered, run, docs.schema)

@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -15,31 +16,52 @@ def tables(spark):
     return spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
 
 
-def test_language_costs_equal_plain_ppm():
-    text = b"abracadabra abracadabra"
-    raw = np.frombuffer(b"\n\n" + text, dtype=np.uint8)
-    used = np.unique(raw)
-    at = {int(b): k for k, b in enumerate(used)}
-    n = np.zeros([len(used) + 1] * 3, dtype=np.int64)
-    for a, b, c in zip(raw, raw[1:], raw[2:]):
-        n[at[a], at[b], at[c]] += 1
-    costs = language_id._unroll(n)
-
-    def plain(context, byte):
-        if context is None:
-            return 8.0
-        follows = [raw[k] for k in range(2, len(raw)) if tuple(raw[k - len(context) : k]) == context]
-        shorter = None if not context else context[1:]
-        if not follows:
-            return plain(shorter, byte)
-        total, kinds = len(follows), len(set(follows))
-        seen = follows.count(byte)
-        return -np.log2(seen / (total + kinds)) if seen else -np.log2(kinds / (total + kinds)) + plain(shorter, byte)
-
-    for a in used:
-        for b in used:
-            for c in used:
-                assert costs[at[a], at[b], at[c]] == pytest.approx(plain((a, b), c), rel=1e-5)
+def plain_trees(rows, most_contexts):
+    """{language: {context: {byte: n}}} of contexts up to four bytes, with the longer ones that are rare left out."""
+    trees = {}
+    for lang, text in rows:
+        tree, raw = trees.setdefault(lang, {}), b"\n" * 4 + text
+        for k in range(4, len(raw)):
+            for order in range(5):
+                tree.setdefault(raw[k - order : k], Counter())[raw[k]] += 1
+    for tree in trees.values():
+        size, share = sum(tree.get(b"", Counter()).values()), most_contexts // len(trees)
+        for context in [c for c in tree if len(c) > 1 and sum(tree[c].values()) * share < size]:
+            del tree[context]
+    return trees
+
+
+def plain_bits(tree, text):
+    raw, bits = b"\n" * 4 + text, 0.0
+    for k in range(4, len(raw)):
+        for order in range(4, -1, -1):
+            n = tree.get(raw[k - order : k])
+            if n is None:
+                continue
+            total, kinds = sum(n.values()), len(n)
+            if raw[k] in n:
+                bits += np.log2((total + kinds) / n[raw[k]])
+                break
+            bits += np.log2((total + kinds) / kinds)
+        else:
+            bits += 8.0
+    return bits
+
+
+@pytest.mark.parametrize("most_contexts", [1 << 17, 200])
+def test_language_code_lengths_equal_plain_trees(spark, sample, most_contexts, monkeypatch):
+    few = sample.where("length(text) < 3000").limit(60)
+    model = language_id.fit(few, most_contexts)
+    rows = few.select("doc_id", "lang", "text").collect()
+    learned = [(r.lang, r.text.encode()) for r in rows if zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    trees = plain_trees(learned, most_contexts)
+    assert model.langs == sorted(trees)
+    assert all(len(level.contexts) <= most_contexts for level in model.levels)
+    texts = [b"", b"x", "Größe 中文".encode(), *(r.text.encode()[:700] for r in rows)]
+    expected = [[plain_bits(trees[lang], t) for lang in model.langs] for t in texts]
+    for held in (1 << 22, 4 << 10):  # in one piece and in many
+        monkeypatch.setattr(language_id, "HELD", held)
+        assert language_id.code_lengths(texts, model) == pytest.approx(np.array(expected), rel=1e-4, abs=1e-3)
 
 
 def test_language_accuracy_on_held_out(tables):
@@ -58,6 +80,7 @@ def test_language_odd_rows(docs, empty):
     unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in language_id.predict(unlabelled).collect()} == {"und"}
     assert language_id.keep_known(docs).columns == docs.columns
+    assert language_id.keep_known(unlabelled).count() == len([r for r in got if r not in (2, 3, 4, 13)]) + 1  # 10 is there twice
 
 
 def test_pipeline_stages_do_what_their_operators_say(spark, tables):
