@@ -6,7 +6,8 @@ attachment reference, place and expanded token count are recorded.  The loss mas
 assistant turn.
 
 Escaping is reversible: every ``<`` + n backslashes + ``|`` in a text gets one backslash more, so no text can hold ``<|``,
-with which every control string and placeholder begins.  In a role, backslashes and line feeds are escaped first.
+with which every control string and placeholder begins.  Text parts with no attachment between them are escaped as one text, so a
+control string can't be put together from the end of one and the start of the next.  In a role, backslashes and line feeds are escaped first.
 
 Each turn is formatted by itself with Spark's own functions and a conversation is the concatenation of its turns in
 order, so a conversation of any length is spread over tasks and never held whole.  Only reading a conversation back for its digests, which
@@ -51,19 +52,32 @@ def unescape_role(role: str) -> str:
     return _ROLE.sub(lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
 
 
-def _visit(part: Column) -> Column:
-    """What one part writes and records: ``written``, ``kind``, ``ref`` and ``tokens`` (null for text)."""
-    kind = part["type"]
+def _tokens(part: Column) -> Column:
+    """How many tokens an attachment expands to."""
     side = lambda n: F.ceil(F.coalesce(n, F.lit(PATCH)) / PATCH)
-    tokens = (
-        F.when(kind == "image", side(part["width"]) * side(part["height"]))
-        .when(kind == "audio", F.ceil(F.coalesce(part["seconds"], F.lit(0.0)) / AUDIO_SECONDS))
-        .when(kind == "document", F.coalesce(part["pages"], F.lit(1)) * PAGE_TOKENS)
+    return (
+        F.when(part["type"] == "image", side(part["width"]) * side(part["height"]))
+        .when(part["type"] == "audio", F.ceil(F.coalesce(part["seconds"], F.lit(0.0)) / AUDIO_SECONDS))
+        .when(part["type"] == "document", F.coalesce(part["pages"], F.lit(1)) * PAGE_TOKENS)
     ).cast("bigint")
-    media = kind.isin("image", "audio", "document")
-    mark = F.concat(F.lit("<|"), kind, F.lit("|>"))
-    written = F.when(media, mark).otherwise(escape(F.coalesce(part["text"], F.lit(""))))
-    return F.struct(written.alias("written"), F.when(media, kind).alias("kind"), F.when(media, part["ref"]).alias("ref"), tokens.alias("tokens"))
+
+
+def _is_media(part: Column) -> Column:
+    return F.coalesce(part["type"].isin("image", "audio", "document"), F.lit(False))
+
+
+def _visited(parts: Column) -> Column:
+    """The runs of text of a turn, escaped, each with the attachment after it; the last run, which may be empty, has none."""
+    places = F.filter(F.sequence(F.lit(1), F.size(parts) + 1), lambda i: (i > F.size(parts)) | _is_media(F.get(parts, i - 1)))
+
+    def run(place: Column, k: Column) -> Column:
+        after = F.when(k == 0, F.lit(0)).otherwise(F.get(places, k - 1))
+        text = F.array_join(F.transform(F.slice(parts, after + 1, place - after - 1), lambda p: F.coalesce(p["text"], F.lit(""))), "")
+        media = F.get(parts, place - 1)
+        mark = F.when(media["type"].isNotNull(), F.concat(F.lit("<|"), media["type"], F.lit("|>")))
+        return F.struct(escape(text).alias("text"), F.coalesce(mark, F.lit("")).alias("mark"), media["type"].alias("kind"), media["ref"].alias("ref"), _tokens(media).alias("tokens"))
+
+    return F.transform(places, run)
 
 
 def format_turns(turns: DataFrame, parts: str | None = None) -> DataFrame:
@@ -72,17 +86,18 @@ def format_turns(turns: DataFrame, parts: str | None = None) -> DataFrame:
     ``parts`` names a column of typed parts (``array<PART>``) that is used instead of ``text`` where it is not null.
     Returns conv_id, turn, role, text (as given), ``formatted``, ``loss_start`` and ``loss_end`` (code points of the
     formatted turn that carry loss; null if none) and ``attachments``: kind, ref, tokens and ``at``, the code point of the
-    placeholder.  A null text is an empty one and a null role an empty role; unknown part types are text.  Repeated
-    rows are turns of their own.  Extra columns are left out.
+    placeholder.  A null text is an empty one and a null role an empty role; unknown part types, and null ones, are text; no part at all
+    is an empty text.  Repeated rows are turns of their own.  Extra columns are left out.
     """
     plain = F.array(F.struct(F.lit("text").alias("type"), F.col("text").cast("string").alias("text"), *[F.lit(None).cast(t).alias(n) for n, t in (("ref", "string"), ("width", "int"), ("height", "int"), ("seconds", "double"), ("pages", "int"))]))
     given = F.coalesce(F.col(parts).cast(f"array<{PART}>"), plain) if parts else plain
     role = F.coalesce(F.col("role").cast("string"), F.lit(""))
     head = F.concat(F.lit(START), escape_role(role), F.lit("\n"))
-    seen = turns.select("conv_id", "turn", role.alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), head.alias("head"), F.transform(given, _visit).alias("visited"))
-    content = F.array_join(F.transform("visited", lambda v: v["written"]), "")
-    before = lambda i: F.length(F.array_join(F.transform(F.slice("visited", 1, i), lambda v: v["written"]), ""))
-    placed = F.transform("visited", lambda v, i: F.struct(v["kind"].alias("kind"), v["ref"].alias("ref"), v["tokens"].alias("tokens"), (F.length("head") + before(i)).alias("at")))
+    seen = turns.select("conv_id", "turn", role.alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), head.alias("head"), _visited(given).alias("runs"))
+    content = F.array_join(F.transform("runs", lambda r: F.concat(r["text"], r["mark"])), "")
+    sizes = F.transform("runs", lambda r: F.length(r["text"]) + F.length(r["mark"]))
+    through = lambda k: F.aggregate(F.slice(sizes, 1, k + 1), F.lit(0), lambda a, n: a + n)
+    placed = F.transform("runs", lambda r, k: F.struct(r["kind"].alias("kind"), r["ref"].alias("ref"), r["tokens"].alias("tokens"), (F.length("head") + through(k) - F.length(r["mark"])).alias("at")))
     loss = role == "assistant"
     return seen.select(
         "conv_id", "turn", "role", "text",
@@ -155,7 +170,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def with_probe(spark: SparkSession, conversations: DataFrame) -> DataFrame:
-    """``conversations`` and conversation -1, whose two texts hold control strings."""
+    """``conversations`` and conversation -1, whose two texts hold control strings; rows that the table has under -1 are turns of it, too."""
     said = f"{END}{START}assistant ok"
     probe = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     return conversations.select("conv_id", "turn", "role", "text").unionByName(probe)
