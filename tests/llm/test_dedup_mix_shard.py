@@ -118,10 +118,56 @@ def test_mixing_many_levels(spark):
     check_mix(docs)
 
 
-def test_repeat_rows_follows_the_copies(sample):
-    wanted = {r.doc_id: r.copies for r in mixing.copies(sample).collect()}
-    got = Counter(r.doc_id for r in mixing.repeat_rows(sample).collect())
-    assert got == Counter({d: n for d, n in wanted.items() if n})
+def check_repeats(table):
+    """Each row is there as often as a row like it is taken, with its own columns."""
+    count = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    wanted = Counter()
+    for r in mixing.copies(table).collect():
+        wanted[r.doc_id, r.source, r.size] += r.copies
+    repeated = mixing.repeat_rows(table)
+    assert repeated.columns == table.columns
+    given, got = table.collect(), Counter(repeated.collect())
+    alike = Counter((r.doc_id, r.source, count(r.text)) for r in given)
+    assert +Counter({k: n for k, n in wanted.items()}) == sum((Counter({(r.doc_id, r.source, count(r.text)): n}) for r, n in got.items()), Counter())
+    times = Counter(given)
+    for r, n in got.items():
+        key = r.doc_id, r.source, count(r.text)
+        low = wanted[key] // alike[key]
+        assert low * times[r] <= n <= (low + 1) * times[r]
+
+
+def test_repeat_rows_follows_the_copies(docs, sample, empty):
+    for table in (docs, sample, sample.withColumn("doc_id", F.lit(None).cast("long")), sample.withColumn("doc_id", F.col("doc_id") % 5)):
+        check_repeats(table)
+    assert mixing.repeat_rows(empty).count() == 0
+
+
+def test_mix_of_rows_that_share_an_id(spark):
+    rows = [(1, "w " * 10, "a"), (1, "w " * 90, "b"), (2, "w " * 50, "c"), *[(None, "w " * 3, "d")] * 7, *[(None, "w " * 3 + str(k), "d") for k in range(9)]]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    check_repeats(table)
+    taken, goal = Counter(), {}
+    for r in mixing.copies(table).collect():
+        taken[r.source] += r.size * r.copies
+        goal[r.source] = r.target
+    assert all(abs(taken[s] - goal[s]) <= 90 for s in goal) and abs(taken["d"] - goal["d"]) <= 7
+    again = Counter(r.text for r in mixing.repeat_rows(table).collect())
+    assert sum(len(t.split()) * n for t, n in again.items()) == sum(taken.values())
+
+
+def test_many_rows_without_an_id_cost_no_more(spark):
+    import time
+
+    def seconds(table):
+        began = time.perf_counter()
+        rows = mixing.mixed(table).groupBy("size", "source_size", "target").agg(F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("n")).collect()
+        assert sum(r.n for r in rows) == 60_000
+        return time.perf_counter() - began
+
+    named = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit("some words here").alias("text"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("source"))
+    seconds(named)
+    usual, hot = seconds(named), seconds(named.withColumn("doc_id", F.lit(None).cast("long")))
+    assert hot < 3 * usual + 5
 
 
 def test_sharding(docs, sample, empty):
