@@ -56,16 +56,17 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * votes > len(spans), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and ``fp`` (signed 64 bits) of each row."""
+def fingerprints(docs: DataFrame, content: Column | None = None) -> DataFrame:
+    """``doc_id``, ``fp`` (signed 64 bits) and ``content``, a number that the caller wants along (0 if none), of each row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = [fingerprint(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.int64()), batch.column(2)], names=["doc_id", "fp", "content"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return in_batches(docs.select("doc_id", F.col("text").cast("string").cast("binary")), run, f"doc_id {kind}, fp bigint")
+    given = F.lit(0).cast("bigint") if content is None else content
+    return in_batches(docs.select("doc_id", F.col("text").cast("string").cast("binary"), given.alias("content")), run, f"doc_id {kind}, fp bigint, content bigint")
 
 
 def _signed(mask: int) -> int:
@@ -115,19 +116,37 @@ def components(docs: DataFrame) -> DataFrame:
     """
     printed = durable(fingerprints(docs))
     distinct = printed.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    labels = linked_components(links(distinct.select("fp")).toDF("src", "dst"))
-    linked = distinct.join(labels.toDF("fp", "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    linked = _labelled(distinct)
     least = linked.groupBy("label").agg(F.min("first_id").alias("component_id"))
     classes = linked.join(least, "label").select("fp", "component_id")
     return printed.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _labelled(distinct: DataFrame) -> DataFrame:
+    """The rows of ``distinct``, one for each ``fp``, with the ``label`` of their component."""
+    labels = linked_components(links(distinct.select("fp")).toDF("src", "dst"))
+    return distinct.join(labels.toDF("fp", "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` of which the doc_id names its component: one document of each group, with all its columns.
+    """One row of each component of ``docs``, with all its columns: the one with the least doc_id, or without any if none has one.
 
-    doc_id tells documents apart, so rows that repeat one doc_id stay or go together, and rows without one stay if none
-    of their group has one.
+    Of rows that share that doc_id, the one whose columns have the least hash; of rows alike in every column, one.
     """
-    named = components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = named.select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
+    hashed = F.xxhash64(*[F.to_json(docs[f.name]) if f.dataType.typeName() == "map" else docs[f.name] for f in docs.schema.fields])
+    printed = durable(fingerprints(docs, hashed))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "content"))
+    linked = _labelled(printed.groupBy("fp").agg(first.alias("first")))
+    best = linked.groupBy("label").agg(F.min("first").alias("first")).select("first.doc_id", "first.content")
+    times = printed.groupBy("doc_id", "content").agg(F.count(F.lit(1)).alias("n"))
+    kept = durable(best.join(times, [best["doc_id"].eqNullSafe(times["doc_id"]), best["content"] == times["content"]]).select(best["doc_id"].alias("kept_id"), best["content"].alias("kept_content"), "n"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("id"), hashed.alias("content"))
+
+    def of(which: str) -> DataFrame:
+        table = kept.where(which)
+        return rows.join(table, [F.col("id").eqNullSafe(F.col("kept_id")), F.col("content") == F.col("kept_content")], "left_semi")
+
+    single = of("n = 1").select("row.*")
+    if kept.where("n > 1").isEmpty():
+        return single
+    return single.unionByName(of("n > 1").groupBy("id", "content").agg(F.first("row").alias("row")).select("row.*"))

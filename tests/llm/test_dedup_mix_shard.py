@@ -62,11 +62,23 @@ def test_links_crowded_or_not_join_the_same(spark):
         assert [labels.get(v, v) for v in signed] == expected
 
 
-def test_keep_one_and_empty(docs, empty):
-    kept = [r.doc_id for r in simhash_dedup.keep_one(docs).collect()]
-    assert sorted(k for k in kept if k) == [1, 2, 5, 6, 8, 9, 10, 10, 11, 13] or 8 not in kept
-    assert simhash_dedup.components(empty).count() == 0
-    assert set(simhash_dedup.keep_one(docs).columns) == set(docs.columns)
+def test_keep_one_and_empty(docs, sample, empty):
+    for table in (docs, sample, docs.withColumn("doc_id", F.lit(None).cast("long")), sample.withColumn("doc_id", F.col("doc_id") % 9)):
+        given, kept = table.collect(), simhash_dedup.keep_one(table)
+        assert kept.columns == table.columns
+        prints = [(k, plain_fingerprint(r.text)) for k, r in enumerate(given)]
+        groups = defaultdict(list)
+        for r, c in zip(given, plain_components(prints)):
+            groups[c].append(r)
+        rows = kept.collect()
+        assert len(rows) == len(groups)
+        # each kept row is of a group of its own and has its least doc_id
+        of = {r: c for c, members in groups.items() for r in members}
+        assert len({of[r] for r in rows}) == len(rows)
+        for r in rows:
+            ids = [m.doc_id for m in groups[of[r]] if m.doc_id is not None]
+            assert r.doc_id == min(ids, default=None)
+    assert simhash_dedup.components(empty).count() == 0 and simhash_dedup.keep_one(empty).count() == 0
 
 
 def plain_targets(sizes):
