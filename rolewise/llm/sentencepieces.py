@@ -2,32 +2,46 @@
 
 A SentencePiece BPE model marks each space with U+2581.  If no piece has that mark after another character, no merge
 can cross the place where a mark follows other text, so a text may be cut there and each chunk (marks, then a word)
-segmented alone.  A task keeps a table of the distinct chunks it has met: each is segmented once by the library, and
-a text's ids are the table's entries joined by position.  The table is a cache of bounded size; when it is full it is
-emptied, which costs time and changes no result.  The corpus-wide table would need a shuffle with one row for each word of
-the corpus, several times the size of the input, so each task has its own.
+segmented alone.
+
+The distinct chunks of all texts are counted.  Of those that occur again, the most frequent, up to ``TABLE_CHARS`` characters, are
+the table: each is segmented once by the library, on Spark, and tasks receive the table and join its ids back by position.  The rest
+are rare, most of them in one place, and are segmented where they occur, with a small cache: to join them back by position, too, a row for
+each would have to be shuffled twice and the texts once, more than the texts' own size (figures in the README).
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rolewise.llm.common import in_batches
+from rolewise.llm.common import discard, in_batches, written
 
 MARK = "▁"
-#: Characters of chunks that a task's table may hold, and the longest chunk that it keeps.
-TABLE_CHARS, LONGEST = 1_000_000, 64
+#: Characters of the chunks in the table that all tasks receive, in a task's cache, and of the longest chunk that either has.
+TABLE_CHARS, CACHE_CHARS, LONGEST = 1 << 21, 1 << 19, 64
+#: Characters of distinct chunks that a task counts before it passes the counts on.
+COUNTED = 1 << 21
+#: Steps of frequency, for each doubling, between which the table ends.
+STEPS = 4
 _CHUNK = re.compile(" *[^ ]+| +")
 
 
+def chunks_of(text: str) -> list[str]:
+    # a mark written in the text is the same to the model as a space
+    return _CHUNK.findall(" " + text.replace(MARK, " "))
+
+
 class ChunkEncoder:
     """Encodes texts exactly as ``SentencePieceProcessor.encode`` does, by distinct chunks."""
 
@@ -40,17 +54,22 @@ class ChunkEncoder:
         # the cut is also only right if the library marks every space and changes nothing else
         plain = self.lib.normalize(" a  b\n\tﬁ ") == f"{MARK}{MARK}a{MARK}{MARK}b\n\tﬁ{MARK}"
         self.by_chunk = crossing is None and plain
-        self.table: dict[str, tuple[int, ...]] = {}
+        self.cache: dict[str, tuple[int, ...]] = {}
         self.held = 0
 
-    def _segment(self, chunk: str) -> tuple[int, ...]:
+    def segment(self, chunk: str) -> tuple[int, ...]:
         # the library puts one mark before the text, which stands for the chunk's first space
-        ids = tuple(self.lib.encode(chunk[1:])) if len(chunk) > 1 else self._lone_mark
-        if len(chunk) <= LONGEST:
-            if self.held > TABLE_CHARS:
-                self.table, self.held = {}, 0
-            self.table[chunk] = ids
-            self.held += len(chunk)
+        return tuple(self.lib.encode(chunk[1:])) if len(chunk) > 1 else self._lone_mark
+
+    def _rare(self, chunk: str) -> tuple[int, ...]:
+        """The ids of a chunk that the table lacks."""
+        if (ids := self.cache.get(chunk)) is None:
+            ids = self.segment(chunk)
+            if len(chunk) <= LONGEST:
+                if self.held > CACHE_CHARS:
+                    self.cache, self.held = {}, 0
+                self.cache[chunk] = ids
+                self.held += len(chunk)
         return ids
 
     @property
@@ -59,15 +78,13 @@ class ChunkEncoder:
         a, b = self.lib.encode("a"), self.lib.encode("a ")
         return tuple(b[len(a) :])
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str, table: dict[str, tuple[int, ...]] = {}) -> list[int]:  # noqa: B006
         if not text:
             return []
         if not self.by_chunk:
             return self.lib.encode(text)
-        table, segment = self.table, self._segment
-        # a mark written in the text is the same to the model as a space
-        chunks = _CHUNK.findall(" " + text.replace(MARK, " "))
-        return list(chain.from_iterable([table[c] if c in table else segment(c) for c in chunks]))
+        rare = self._rare
+        return list(chain.from_iterable([table[c] if c in table else rare(c) for c in chunks_of(text)]))
 
     def decode(self, ids: list[int]) -> str:
         return self.lib.decode(ids) if ids else ""
@@ -84,22 +101,80 @@ def _model_path(model: str) -> str:
     return model if "/" in model else public_tokenizers.path(model)
 
 
-def _digest(model: str):
+def chunk_counts(docs: DataFrame) -> DataFrame:
+    """``chunk``, ``n``: how often each distinct chunk of up to ``LONGEST`` characters is in all the texts of ``docs``."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
+        held = 0
+        for batch in batches:
+            for text in batch.column(0):
+                if value := text.as_py():
+                    before = len(seen)
+                    seen.update(chunks_of(value))
+                    held += (len(seen) - before) * 12  # about
+                if held > COUNTED:
+                    yield emit(seen)
+                    seen, held = Counter(), 0
+        yield emit(seen)
+
+    def emit(seen: Counter[str]) -> pa.RecordBatch:
+        short = {c: n for c, n in seen.items() if len(c) <= LONGEST}
+        return pa.RecordBatch.from_arrays([pa.array(short.keys(), pa.string()), pa.array(short.values(), pa.int64())], names=["chunk", "n"])
+
+    return in_batches(docs.select(F.col("text").cast("string")), run, "chunk string, n bigint").groupBy("chunk").agg(F.sum("n").alias("n"))
+
+
+def _segmented(chunks: DataFrame, model: str) -> DataFrame:
+    """``chunk``, ``ids`` of each of ``chunks``."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(_model_path(model))
         for batch in batches:
-            rows = []
-            for text in batch.column(1):
-                ids = coder.encode(text.as_py() or "")
-                decoded = coder.decode(ids)
-                rows.append((len(ids), _sha(",".join(map(str, ids))), _sha(decoded)))
-            counts, first, second = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            ids = [coder.segment(c) for c in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["chunk", "ids"])
+
+    return in_batches(chunks.select("chunk"), run, "chunk string, ids array<int>")
+
+
+def chunk_table(docs: DataFrame, model: str, chars: int | None = None) -> pa.Table:
+    """``chunk``, ``ids`` of the chunks that occur most often in ``docs``, and more than once: at most ``chars`` characters of them."""
+    if not encoder(_model_path(model)).by_chunk:
+        return pa.table({"chunk": pa.array([], pa.string()), "ids": pa.array([], pa.list_(pa.int32()))})
+    counted = written(chunk_counts(docs).where("n > 1"), "chunk-counts")
+    step = F.floor(F.log2("n") * STEPS)
+    steps = sorted(counted.groupBy(step.alias("step")).agg(F.sum(F.length("chunk")).alias("chars")).collect(), reverse=True)
+    within = np.cumsum([r.chars for r in steps]) <= (TABLE_CHARS if chars is None else chars)
+    least = min((r.step for r, ok in zip(steps, within, strict=True) if ok), default=None)
+    found = _segmented(counted.where(F.lit(False) if least is None else step >= least), model).toArrow()
+    discard(counted)
+    return found
+
+
+class _Received:
+    """The last table that this worker has received, as a dictionary."""
 
-    return run
+    name, table = "", {}
+
+    @classmethod
+    def get(cls, name: str, packed: pa.Table) -> dict[str, tuple[int, ...]]:
+        if cls.name != name:
+            cls.name, cls.table = name, dict(zip(packed["chunk"].to_pylist(), map(tuple, packed["ids"].to_pylist()), strict=True))
+        return cls.table
+
+
+def _with_ids(docs: DataFrame, model: str, made, schema: str) -> DataFrame:
+    """``docs`` in batches of doc_id and what ``made`` makes of the library's wrapper and the ids of each text of a batch."""
+    shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, chunk_table(docs, model)))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, table = encoder(_model_path(model)), _Received.get(*shared.value)
+        for batch in batches:
+            columns = made(coder, (coder.encode(t.as_py() or "", table) for t in batch.column(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns.values()], names=["doc_id", *columns])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return in_batches(docs.select("doc_id", F.col("text").cast("string")), run, f"doc_id {kind}, {schema}")
 
 
 def _sha(text: str) -> str:
@@ -112,20 +187,13 @@ def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", decode: bool = F
     No begin or end ids, no sampling.  A null text is an empty one, with no ids and an empty decoded text.  Repeated
     rows stay repeated; other columns are left out, whatever their names; an empty table gives an empty one.
     """
-    names = ["doc_id", "ids", *["decoded"] * decode]
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(_model_path(model))
-        for batch in batches:
-            ids = [coder.encode(t.as_py() or "") for t in batch.column(1)]
-            made = [pa.array(ids, pa.list_(pa.int32()))]
-            if decode:
-                made.append(pa.array([coder.decode(x) for x in ids], pa.string()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=names)
+    def made(coder: ChunkEncoder, each: Iterable[list[int]]) -> dict[str, pa.Array]:
+        ids = list(each)
+        columns = {"ids": pa.array(ids, pa.list_(pa.int32()))}
+        return columns | ({"decoded": pa.array([coder.decode(x) for x in ids], pa.string())} if decode else {})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, ids array<int>" + ", decoded string" * decode
-    return in_batches(docs.select("doc_id", F.col("text").cast("string")), run, schema)
+    return _with_ids(docs, model, made, "ids array<int>" + ", decoded string" * decode)
 
 
 def token_digests(docs: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
@@ -134,6 +202,10 @@ def token_digests(docs: DataFrame, model: str = "piece_bpe_32k.model") -> DataFr
     Encodes and decodes as :func:`encode` does, with the same treatment of null and empty texts, repeated rows, empty
     tables and extra columns; the ids are digested in the task that made them instead of being returned.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    return in_batches(docs.select("doc_id", F.col("text").cast("string")), _digest(model), schema)
+
+    def made(coder: ChunkEncoder, each: Iterable[list[int]]) -> dict[str, pa.Array]:
+        rows = [(len(ids), _sha(",".join(map(str, ids))), _sha(coder.decode(ids))) for ids in each]
+        counts, first, second = zip(*rows, strict=True) if rows else ((), (), ())
+        return {"n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(first, pa.string()), "decoded_sha256": pa.array(second, pa.string())}
+
+    return _with_ids(docs, model, made, "n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -48,6 +48,22 @@ def test_sentencepiece_odd_texts(library):
         assert coder.encode(text) == library.encode(text), repr(text)
 
 
+def test_chunk_table_is_the_frequent_chunks_segmented(spark, sample, empty, library):
+    texts = [r.text or "" for r in sample.select("text").collect()]
+    plain = Counter(c for t in texts for c in sentencepieces.chunks_of(t) if t and len(c) <= sentencepieces.LONGEST)
+    assert {r.chunk: r.n for r in sentencepieces.chunk_counts(sample).collect()} == plain
+    model = "piece_bpe_32k.model"
+    table = sentencepieces.chunk_table(sample, model, 3000)
+    chunks = table["chunk"].to_pylist()
+    assert len(set(chunks)) == len(chunks) > 100 and sum(map(len, chunks)) <= 3000
+    rarest = min(plain[c] for c in chunks)
+    assert rarest > 1 and all(c in chunks for c, n in plain.items() if n > rarest)
+    for chunk, ids in zip(chunks, table["ids"].to_pylist()):
+        assert len(chunk) == 1 or library.encode(chunk[1:]) == ids
+    assert sentencepieces.chunk_table(sample, model).num_rows == sum(n > 1 for n in plain.values())
+    assert sentencepieces.chunk_table(empty, model).num_rows == 0
+
+
 def test_word_hashes_tell_words_apart():
     hashes = word_hashes(b"one two  one\tthree\ntwo one")
     assert len(hashes) == 6 and len(set(hashes.tolist())) == 3 and hashes[0] == hashes[2] == hashes[5]
