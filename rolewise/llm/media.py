@@ -3,16 +3,19 @@
 An Aho-Corasick automaton finds every magic string in a binary value in one pass.  A validator for each format then
 follows the structure from there (chunk lengths, checksums, end markers) and gives the length of the file, or nothing if
 the place is no such file.  A valid file at the start corrects the declared type; valid files further in are carved out as
-embedded media.
+embedded media.  What a format only tells at its end (ZIP, PDF) is found once for a value and not again for each magic string, so a
+value takes time in proportion to its length.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +26,54 @@ from rolewise.llm.common import in_batches
 
 #: Payloads are padded with spaces to a multiple of this many bytes, at least one.
 PAD, RATE = 192, 8000
-
-
-# -- validators: (bytes, place of the magic string) -> end of the file, or None ------------------------------------
+#: The type that stored texts are declared as.
+DECLARED = "text/plain"
+
+
+class Value:
+    """A binary value and what validators look up in it, found when it is first asked for."""
+
+    def __init__(self, data: bytes):
+        self.data, self.b = data, memoryview(data)
+
+    @cached_property
+    def zip_ends(self) -> dict[int, int]:
+        """Start to end of the archives whose directory is where their end record says."""
+        out, end = {}, self.data.find(b"PK\x05\x06")
+        while end >= 0:
+            if end + 22 <= len(self.data):
+                entries, size, start, note = struct.unpack("<HIIH", self.data[end + 10 : end + 22])
+                p = end - size
+                for _ in range(entries):
+                    if p < 0 or p + 46 > end or self.data[p : p + 4] != b"PK\x01\x02":
+                        break
+                    p += 46 + sum(struct.unpack("<HHH", self.data[p + 28 : p + 34]))
+                else:
+                    if p == end and end + 22 + note <= len(self.data):
+                        out[end - size - start] = end + 22 + note
+            end = self.data.find(b"PK\x05\x06", end + 4)
+        return out
+
+    @cached_property
+    def pdf_ends(self) -> dict[int, int]:
+        """Start to end of the documents whose last reference table is where they say, later updates included."""
+        tables = [m.start() for m in re.finditer(rb"(?<!start)xref", self.data)]
+        objects = [m.start() for m in re.finditer(rb"(?<!\d)\d{1,10} \d{1,5} obj", self.data)]
+        out = {}
+        for m in re.finditer(rb"startxref\s{1,4}(\d{1,12})\s{1,4}%%EOF", self.data):
+            for places in (objects, tables):
+                if k := bisect_right(places, m.start()):
+                    out[places[k - 1] - int(m[1])] = m.end()
+        return out
+
+    @cached_property
+    def jpeg_marks(self) -> np.ndarray:
+        """Places of markers within entropy-coded data: FF and neither 00 nor a restart."""
+        x = np.frombuffer(self.data, dtype=np.uint8)
+        return np.flatnonzero((x[:-1] == 0xFF) & (x[1:] != 0) & ((x[1:] < 0xD0) | (x[1:] > 0xD7)))
+
+
+# -- validators: (value, place of the magic string) -> end of the file, or None ------------------------------------
 
 
 def _riff(b: memoryview, at: int, form: bytes, needed: set[bytes]) -> int | None:
@@ -42,15 +90,16 @@ def _riff(b: memoryview, at: int, form: bytes, needed: set[bytes]) -> int | None
     return end if p == end and found & needed else None
 
 
-def _wav(b: memoryview, at: int) -> int | None:
-    return _riff(b, at, b"WAVE", {b"data"})
+def _wav(v: Value, at: int) -> int | None:
+    return _riff(v.b, at, b"WAVE", {b"data"})
 
 
-def _webp(b: memoryview, at: int) -> int | None:
-    return _riff(b, at, b"WEBP", {b"VP8 ", b"VP8L", b"VP8X"})
+def _webp(v: Value, at: int) -> int | None:
+    return _riff(v.b, at, b"WEBP", {b"VP8 ", b"VP8L", b"VP8X"})
 
 
-def _png(b: memoryview, at: int) -> int | None:
+def _png(v: Value, at: int) -> int | None:
+    b = v.b
     p, first = at + 8, True
     while p + 12 <= len(b):
         n, kind = int.from_bytes(b[p : p + 4], "big"), bytes(b[p + 4 : p + 8])
@@ -64,7 +113,8 @@ def _png(b: memoryview, at: int) -> int | None:
     return None
 
 
-def _gif(b: memoryview, at: int) -> int | None:
+def _gif(v: Value, at: int) -> int | None:
+    b = v.b
     def blocks(p: int) -> int | None:
         while p < len(b):
             if not b[p]:
@@ -88,7 +138,8 @@ def _gif(b: memoryview, at: int) -> int | None:
     return None
 
 
-def _jpeg(b: memoryview, at: int) -> int | None:
+def _jpeg(v: Value, at: int) -> int | None:
+    b = v.b
     p = at + 2
     while p + 4 <= len(b):
         if b[p] != 0xFF:
@@ -97,18 +148,18 @@ def _jpeg(b: memoryview, at: int) -> int | None:
         if n < 2 or p + 2 + n > len(b):
             return None
         p += 2 + n
-        if mark == 0xDA:  # entropy-coded data: a marker is FF and neither 00 nor a restart
-            data = np.frombuffer(b, dtype=np.uint8)[p:]
-            marks = np.flatnonzero((data[:-1] == 0xFF) & (data[1:] != 0) & ((data[1:] < 0xD0) | (data[1:] > 0xD7)))
-            if not len(marks):
+        if mark == 0xDA:  # entropy-coded data follows, up to a marker
+            k = int(np.searchsorted(v.jpeg_marks, p))
+            if k == len(v.jpeg_marks):
                 return None
-            p += int(marks[0])
+            p = int(v.jpeg_marks[k])
             if b[p + 1] == 0xD9:
                 return p + 2
     return None
 
 
-def _bmp(b: memoryview, at: int) -> int | None:
+def _bmp(v: Value, at: int) -> int | None:
+    b = v.b
     if at + 54 > len(b):
         return None
     size, _, start, header, width, height, planes, bits = struct.unpack("<IIIIiiHH", b[at + 2 : at + 30])
@@ -117,7 +168,8 @@ def _bmp(b: memoryview, at: int) -> int | None:
     return at + size if plain and size == start + row * abs(height) and at + size <= len(b) else None
 
 
-def _gzip(b: memoryview, at: int) -> int | None:
+def _gzip(v: Value, at: int) -> int | None:
+    b = v.b
     whole = zlib.decompressobj(wbits=31)
     try:
         p = at
@@ -129,39 +181,86 @@ def _gzip(b: memoryview, at: int) -> int | None:
     return min(p, len(b)) - len(whole.unused_data) if whole.eof else None
 
 
-def _zip(b: memoryview, at: int) -> int | None:
-    data = bytes(b[at:])
-    end = data.find(b"PK\x05\x06")
-    if end < 0 or end + 22 > len(data):
-        return None
-    entries, size, start, note = struct.unpack("<HIIH", data[end + 10 : end + 22])
-    p = start
-    for _ in range(entries):
-        if data[p : p + 4] != b"PK\x01\x02" or p + 46 > end:
-            return None
-        p += 46 + sum(struct.unpack("<HHH", data[p + 28 : p + 34]))
-    return at + end + 22 + note if start + size == end == p and end + 22 + note <= len(data) else None
+def _zip(v: Value, at: int) -> int | None:
+    return v.zip_ends.get(at)
 
 
-def _pdf(b: memoryview, at: int) -> int | None:
-    data = bytes(b[at:])
-    end = data.find(b"%%EOF")
-    return at + end + 5 if end > 0 and data.rfind(b"startxref", 0, end) > 0 else None
+def _pdf(v: Value, at: int) -> int | None:
+    return v.pdf_ends.get(at)
 
 
-def _flac(b: memoryview, at: int) -> int | None:
-    p, first = at + 4, True
-    while p + 4 <= len(b):
+@lru_cache(maxsize=2)
+def _crc_table(bits: int, polynomial: int) -> list[int]:
+    """Remainders of all bytes, highest bit first."""
+    top, mask = 1 << (bits - 1), (1 << bits) - 1
+    table = []
+    for byte in range(256):
+        r = byte << (bits - 8)
+        for _ in range(8):
+            r = ((r << 1) ^ (polynomial if r & top else 0)) & mask
+        table.append(r)
+    return table
+
+
+def _flac_header(b: memoryview, p: int) -> tuple[int, int] | None:
+    """The length of the frame header at ``p`` and the samples of its block, if its checksum is right."""
+    if p + 6 > len(b) or b[p] != 0xFF or b[p + 1] & 0xFE != 0xF8 or b[p + 3] & 1:
+        return None
+    code, rate, lead = b[p + 2] >> 4, b[p + 2] & 15, b[p + 4]
+    more = 0 if lead < 0x80 else next((k for k in range(1, 7) if not lead >> (6 - k) & 1), 0)  # a number like those of UTF-8
+    q = p + 5 + more
+    extra = {6: 1, 7: 2}.get(code, 0)
+    size = q + extra + {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    if code == 0 or rate == 15 or size >= len(b):
+        return None
+    samples = int.from_bytes(b[q : q + extra], "big") + 1 if extra else 192 if code == 1 else 576 << (code - 2) if code < 6 else 256 << (code - 8)
+    crc, table = 0, _crc_table(8, 0x07)
+    for byte in b[p:size]:
+        crc = table[crc ^ byte]
+    return (size + 1 - p, samples) if crc == b[size] else None
+
+
+def _flac(v: Value, at: int) -> int | None:
+    """Metadata blocks, then frames up to the number of samples that the first block gives (or while frames follow, if it gives none).
+
+    A frame ends where its checksum is right and the next header is; the last one at the value's end or, if it is not right there, where it
+    first is.
+    """
+    b, p, first, wanted = v.b, at + 4, True, 0
+    while True:
+        if p + 4 > len(b):
+            return None
         last, kind, n = b[p] >> 7, b[p] & 127, int.from_bytes(b[p + 1 : p + 4], "big")
         if first and (kind, n) != (0, 34) or p + 4 + n > len(b):
             return None
+        if first:
+            wanted = int.from_bytes(b[p + 17 : p + 22], "big") & ((1 << 36) - 1)
         p, first = p + 4 + n, False
-        if last:  # frames have no length of their own, so they reach to the end
-            return len(b)
-    return None
+        if last:
+            break
+    table, seen = _crc_table(16, 0x8005), 0
+    while header := _flac_header(b, p):
+        seen += header[1]
+        crc, ends, following = 0, None, False
+        for q in range(p, len(b)):
+            crc = ((crc << 8) & 0xFFFF) ^ table[(crc >> 8) ^ b[q]]
+            if crc == 0 and q >= p + header[0] + 2:
+                ends = ends or q + 1
+                if wanted and seen >= wanted:
+                    continue  # the last frame: right here first, and perhaps at the end
+                if following := _flac_header(b, q + 1) is not None:
+                    ends = q + 1
+                    break
+        if ends is None:
+            return None
+        p = ends
+        if not following:
+            return len(b) if crc == 0 else p
+    return p if seen else None
 
 
-def _ogg(b: memoryview, at: int) -> int | None:
+def _ogg(v: Value, at: int) -> int | None:
+    b = v.b
     p = at
     while p + 27 <= len(b) and bytes(b[p : p + 5]) == b"OggS\0":
         n = b[p + 26]
@@ -175,7 +274,8 @@ def _ogg(b: memoryview, at: int) -> int | None:
     return None
 
 
-def _mp4(b: memoryview, at: int) -> int | None:
+def _mp4(v: Value, at: int) -> int | None:
+    b = v.b
     p = at = at - 4  # the box's length is before its name
     if at < 0:
         return None
@@ -190,7 +290,7 @@ def _mp4(b: memoryview, at: int) -> int | None:
 
 
 #: The magic strings that the formats' specifications give.
-FORMATS: list[tuple[bytes, str, Callable[[memoryview, int], int | None]]] = [
+FORMATS: list[tuple[bytes, str, Callable[[Value, int], int | None]]] = [
     (b"RIFF", "audio/wav", _wav),
     (b"RIFF", "image/webp", _webp),
     (b"\x89PNG\r\n\x1a\n", "image/png", _png),
@@ -223,13 +323,13 @@ def _automaton():
 
 def files_in(data: bytes) -> list[tuple[str, int, int]]:
     """(type, start, end) of every valid file that is in no file found before it, by start."""
-    view, out, free = memoryview(data), [], 0
+    value, out, free = Value(data), [], 0
     for last, (n, which) in _automaton().iter(data.decode("latin-1")):
         at = last - n + 1
         for i in which:
             kind, check = FORMATS[i][1:]
             start = at - 4 if check is _mp4 else at
-            if start >= free and (end := check(view, at)) is not None:
+            if start >= free and (end := check(value, at)) is not None:
                 out.append((kind, start, end))
                 free = end
                 break
@@ -265,6 +365,14 @@ def feature(payload: bytes) -> str:
     return f"audio/wav;samples={len(x)};mean={mean};square={square};rising={rise};eighths={'.'.join(map(str, parts))}"
 
 
+def _padded(text: bytes) -> bytes:
+    return text + b" " * (-len(text) % PAD or PAD * (not text))
+
+
+def _sha(data: bytes) -> str:
+    return hashlib.sha256(data).hexdigest()
+
+
 def text_media(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``declared`` and ``media``: each text stored as a WAVE file.
 
@@ -275,15 +383,20 @@ def text_media(docs: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = [t.as_py() or b"" for t in batch.column(1)]
-            media = [store(t + b" " * (-len(t) % PAD or PAD * (not t))) for t in raw]
-            made = [pa.array([len(t) for t in raw], pa.int64()), pa.array(["text/plain"] * len(raw), pa.string()), pa.array(media, pa.binary())]
+            media = [store(_padded(t)) for t in raw]
+            made = [pa.array([len(t) for t in raw], pa.int64()), pa.array([DECLARED] * len(raw), pa.string()), pa.array(media, pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["doc_id", "n_bytes", "declared", "media"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return in_batches(docs.select("doc_id", F.col("text").cast("string").cast("binary")), run, f"doc_id {kind}, n_bytes bigint, declared string, media binary")
 
 
-FOUND = "struct<type:string,start:bigint,length:bigint>"
+def _sniffed(data: bytes, declared: str | None) -> tuple[str | None, bool, bool, list[tuple[str, int, int]]]:
+    """The type of ``data``, whether a file starts it, whether that file's type isn't the declared one, and all files in it."""
+    found = files_in(data)
+    at_start = bool(found) and found[0][1] == 0
+    kind = found[0][0] if at_start else declared
+    return kind, at_start, kind != declared, found
 
 
 def sniff(table: DataFrame, media: str = "media", declared: str = "declared") -> DataFrame:
@@ -300,12 +413,11 @@ def sniff(table: DataFrame, media: str = "media", declared: str = "declared") ->
             kinds, wrong, inner, rest = [], [], [], []
             for value, said in zip(batch.column(at), batch.column(of).to_pylist(), strict=True):
                 data = value.as_py() or b""
-                found = files_in(data)
-                first = found.pop(0) if found and found[0][1] == 0 else None
-                kinds.append(first[0] if first else said)
-                wrong.append(bool(first) and first[0] != said)
-                inner.append([{"type": k, "start": s, "length": e - s} for k, s, e in found])
-                rest.append(len(data) - first[2] if first else None)
+                kind, at_start, differs, found = _sniffed(data, said)
+                kinds.append(kind)
+                wrong.append(differs)
+                inner.append([{"type": k, "start": s, "length": e - s} for k, s, e in found[at_start:]])
+                rest.append(len(data) - found[0][2] if at_start else None)
             entry = pa.struct([("type", pa.string()), ("start", pa.int64()), ("length", pa.int64())])
             made = [pa.array(kinds, pa.string()), pa.array(wrong, pa.bool_()), pa.array(inner, pa.list_(entry)), pa.array(rest, pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "sniffed", "corrected", "embedded", "trailing"])
@@ -325,23 +437,32 @@ def carve(table: DataFrame, media: str = "media") -> DataFrame:
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
-    """Stores each text, sniffs the stored bytes, reads the payload back and digests it; see :func:`text_media`."""
-    sniffed = sniff(text_media(docs))
+    """Stores each text, sniffs the stored bytes, reads the payload back from the file found there and digests it; see :func:`text_media`.
+
+    ``sniffed`` is the type found, ``corrected`` whether it differs from the declared one, and ``embedded`` and ``embedded_sha256`` are
+    the number of media files carved out of the payload and the digest of them all.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for n, kind, value in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), batch.column(2), strict=True):
-                stored = value.as_py()
+            for text in batch.column(1):
+                raw = text.as_py() or b""
+                stored = store(_padded(raw))
+                kind, _, wrong, found = _sniffed(stored, DECLARED)
                 if kind != "audio/wav":
                     raise ValueError("a stored text was not recognised")
-                payload = samples(stored)
-                rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(payload)))
-            types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            columns = zip(*rows, strict=True) if rows else [()] * len(types)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=names)
-
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+                payload = samples(stored[: found[0][2]])
+                inner = files_in(payload)
+                carved = hashlib.sha256(b"".join(payload[s:e] for _, s, e in inner)).hexdigest()
+                rows.append((len(raw), len(payload), _sha(payload), zlib.crc32(payload[-16:]), len(stored), _sha(stored), feature(payload), kind, wrong, len(inner), carved))
+            columns = zip(*rows, strict=True) if rows else [()] * len(made)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, made.values(), strict=True))], names=["doc_id", *made])
+
+    number, text = pa.int64(), pa.string()
+    made = {"n_bytes": number, "payload_bytes": number, "payload_sha256": text, "tail_crc32": number, "media_bytes": number, "media_sha256": text}
+    made |= {"feature": text, "sniffed": text, "corrected": pa.bool_(), "embedded": number, "embedded_sha256": text}
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
-    return in_batches(sniffed.select("doc_id", "n_bytes", "media", "sniffed"), run, schema)
+    types = {number: "bigint", text: "string", pa.bool_(): "boolean"}
+    schema = ", ".join([f"doc_id {kind}", *(f"{name} {types[t]}" for name, t in made.items())])
+    return in_batches(docs.select("doc_id", F.col("text").cast("string").cast("binary")), run, schema)

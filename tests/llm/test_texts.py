@@ -133,6 +133,59 @@ def test_sniffing_confirms_structure(kind):
     assert media.files_in(data[:-3]) == []
 
 
+def flac(samples=2, tail=b""):
+    """A FLAC file of constant blocks, built from the format's description with bitwise checksums."""
+
+    def crc(data, bits, polynomial):
+        r = 0
+        for byte in data:
+            r ^= byte << (bits - 8)
+            for _ in range(8):
+                r = ((r << 1) ^ (polynomial if r >> (bits - 1) & 1 else 0)) & ((1 << bits) - 1)
+        return r
+
+    info = struct.pack(">HH", 16, 16) + b"\0" * 6 + ((8000 << 44) | (7 << 36) | 192 * samples).to_bytes(8, "big") + b"\0" * 16
+    out = b"fLaC" + bytes([0x80]) + len(info).to_bytes(3, "big") + info
+    for k in range(samples):
+        head = bytes([0xFF, 0xF8, 0x10, 0x02, k])
+        frame = head + bytes([crc(head, 8, 7), 0x00, 0x40 + k])
+        out += frame + struct.pack(">H", crc(frame, 16, 0x8005))
+    return out
+
+
+def test_files_within_files_and_updates():
+    inner = zipped()
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("inner.zip", inner)
+        z.writestr("other", "x" * 50)
+    outer = out.getvalue()
+    assert media.files_in(outer) == [("application/zip", 0, len(outer))]
+    assert media.files_in(b"ab" + outer + inner) == [("application/zip", 2, 2 + len(outer)), ("application/zip", 2 + len(outer), 2 + len(outer) + len(inner))]
+    pdf = FILES["application/pdf"]
+    updated = pdf + b"\n2 0 obj\nendobj\nstartxref\n42\n%%EOF"
+    assert updated[42:49] == b"2 0 obj" and media.files_in(updated + b"\n") == [("application/pdf", 0, len(updated))]
+    assert media.files_in(pdf + pdf) == [("application/pdf", 0, len(pdf)), ("application/pdf", len(pdf), 2 * len(pdf))]
+
+
+def test_flac_ends_with_its_last_frame():
+    data = flac()
+    assert media.files_in(data) == [("audio/flac", 0, len(data))]
+    assert media.files_in(b"x" + data + FILES["image/png"]) == [("audio/flac", 1, 1 + len(data)), ("image/png", 1 + len(data), 1 + len(data) + len(FILES["image/png"]))]
+    broken = bytearray(data)
+    broken[-4] ^= 1
+    assert media.files_in(bytes(broken)) == []
+
+
+@pytest.mark.parametrize("hit", [b"PK\x03\x04", b"%PDF-", b"RIFF", b"GIF89a", b"BM", b"\xff\xd8\xff", b"fLaC", b"OggS", b"ftyp", b"PK\x05\x06", b"%%EOF"])
+def test_many_magic_strings_take_linear_time(hit):
+    import time
+
+    began = time.perf_counter()
+    media.files_in(hit * (1_000_000 // len(hit)))
+    assert time.perf_counter() - began < 5
+
+
 def test_sniff_and_carve(spark):
     holder = b"text before " + FILES["image/png"] + b" and " + FILES["audio/wav"]
     rows = [(1, FILES["image/gif"] + b"!!", "image/png"), (2, holder, "text/plain"), (3, None, "a/b"), (4, b"", None)]
@@ -145,14 +198,23 @@ def test_sniff_and_carve(spark):
     assert carved == {k: FILES[k] for k in ("image/png", "audio/wav")}
 
 
-def test_media_digests(docs, empty):
+def test_media_digests(spark, docs, empty):
     texts = {r.doc_id: (r.text or "").encode() for r in docs.select("doc_id", "text").collect()}
     for r in media.media_digests(docs).collect():
         raw = texts[r.doc_id]
         payload = raw + b" " * (-len(raw) % 192 or (0 if raw else 192))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(payload), sha(payload))
+        x, n = list(payload), len(payload)
+        cuts = [n // 8 * k + min(k, n % 8) for k in range(9)]
+        eighths = ".".join(str(sum(x[a:b]) * 100 // max(b - a, 1)) for a, b in zip(cuts, cuts[1:]))
+        rising = sum(b > a for a, b in zip(x, x[1:]))
+        assert r.feature == f"audio/wav;samples={n};mean={sum(x) * 100 // n};square={sum(v * v for v in x) // n};rising={rising};eighths={eighths}"
+        assert (r.sniffed, r.corrected, r.embedded, r.embedded_sha256) == ("audio/wav", True, 0, sha(b""))
         assert r.tail_crc32 == zlib.crc32(payload[-16:]) and r.media_sha256 == sha(media.store(payload)) and r.media_bytes == len(payload) + 44
     assert media.media_digests(empty).count() == 0
+    wav = media.store(b"ab" * 20)  # all its bytes are ASCII, so it is whole within a text
+    one = media.media_digests(spark.createDataFrame([(1, "see RIFF " + wav.decode("ascii") + "!")], "doc_id long, text string")).first()
+    assert (one.embedded, one.embedded_sha256) == (1, sha(wav))
 
 
 PAGE = """<html><head><title>t</title><style>p{}</style></head><body class="has-sidebar"><header><h1>Site name</h1></header>
