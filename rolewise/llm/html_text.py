@@ -1,7 +1,8 @@
 """Main text of web pages by tree scoring.
 
-The page becomes a tree.  Parts that are never the article (navigation, forms, scripts, adverts, reader comments and so on,
-by element or by class and id) go.  Each paragraph then passes points for its length and commas to its ancestors, less
+The page becomes a tree.  Parts that are never the article (navigation, scripts, adverts, reader comments and so on,
+by element or by class and id) go; a part with a telling name, or a form, only if the rest of the page has text to speak of, as such names
+stand around articles too.  Each paragraph then passes points for its length and commas to its ancestors, less
 with each step and less the more of it is links; the container with the most points is the article.  Its siblings are
 kept if they are headings or hold points or text of their own like an article's.  Within the article only whole names of adverts,
 sharing, comments and the like are dropped, and its lists of links stay; where the best container is the page itself, both rules are as outside.
@@ -10,6 +11,7 @@ sharing, comments and the like are dropped, and its lists of links stay; where t
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
@@ -23,7 +25,7 @@ from rolewise.llm.common import in_batches
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 FORMATTING = set("b i em strong u s small big font tt code a abbr cite q sub sup mark kbd samp var time bdi bdo del ins label acronym strike".split())
 INLINE = FORMATTING | set("span img br wbr input".split())
-NEVER = set("head script style noscript template nav footer aside form iframe button select textarea option dialog svg canvas object embed menu".split())
+NEVER = set("head script style noscript template nav footer aside iframe button select textarea option dialog svg canvas object embed menu".split())
 PARAGRAPH = set("p figcaption pre td th li blockquote h1 h2 h3 h4 h5 h6 dd dt address".split())
 HEADING = set("h1 h2 h3 h4 h5 h6".split())
 SAFE = set("html body article main".split())
@@ -40,9 +42,13 @@ ALWAYS_IDS = set(
     " sidebar nav navbar main-menu site-footer cookie-banner cookie-notice cookie-consent newsletter-signup related-posts related-articles".split()
 )
 ALWAYS = ALWAYS_IDS | set("sponsor sponsored promo promotion reply replies share sharing social menu footer breadcrumb breadcrumbs newsletter pagination pager toolbar".split())
+#: Whole names of reader comments, which may well be longer than the article.
+COMMENTS = set("comment comments commentlist comment-list comments-area comments-section comment-section comment-form disqus disqus-thread respond reply replies".split())
 _SEGMENT = re.compile(r"[-_]|(?<=[a-z])(?=[A-Z])")
 #: Shortest paragraph that passes points, and the points that an article element has of its own.
 LEAST, ARTICLE_POINTS = 25, 25.0
+#: A part with an unwanted name stays if it has more than this share of all points: a name that begins or ends so, and a whole one.
+MOST, MOST_WHOLE = 0.5, 0.8
 
 
 def _named_unwanted(attrs: list[tuple[str, str | None]]) -> bool:
@@ -57,16 +63,24 @@ def _named_unwanted(attrs: list[tuple[str, str | None]]) -> bool:
     return False
 
 
-def _always_unwanted(attrs: list[tuple[str, str | None]]) -> bool:
+#: How an element is out: not at all, by a name, by a whole name, as reader comments, and always.
+IN, NAMED, WHOLE, COMMENT, ALWAYS_OUT = range(5)
+
+
+def _how_out(attrs: list[tuple[str, str | None]]) -> int:
+    found = NAMED if _named_unwanted(attrs) else IN
     for key, value in attrs:
         if key in ("class", "id") and value:
             whole = {"-".join(p.lower() for p in _SEGMENT.split(name) if p) for name in value.split()}
+            if whole & COMMENTS:
+                return COMMENT
             if whole & (ALWAYS if key == "class" else ALWAYS_IDS):
-                return True
-        elif key == "role" or key == "hidden" or key == "style":
-            if _named_unwanted([(key, value)]):
-                return True
-    return False
+                found = WHOLE
+        elif key in ("hidden", "style") and _named_unwanted([(key, value)]):
+            return ALWAYS_OUT
+        elif key == "role" and _named_unwanted([(key, value)]):
+            found = WHOLE
+    return found
 
 
 class _Tree(HTMLParser):
@@ -74,27 +88,25 @@ class _Tree(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.tag, self.parent, self.out = ["#page"], [0], [False]
-        #: what is out within an article, too
-        self.never = [False]
-        self.open, self.links = [0], 0
+        self.tag, self.parent = ["#page"], [0]
+        #: how each element is out by itself, and the nearest element that isn't inline
+        self.how, self.block = [IN], [0]
+        #: the open elements, and where on that stack those of each name are
+        self.open, self.at, self.links = [0], defaultdict(list), 0
         #: runs of text: [node of the first text, [(text, in a link)]]
         self.runs: list[tuple[int, list[tuple[str, bool]]]] = []
         self.fresh = True
 
     def _close_to(self, at: int) -> None:
+        for node in self.open[at:]:
+            self.at[self.tag[node]].pop()
         del self.open[at:]
         self.fresh = True
 
     def _open_at(self, names: set[str], stop: set[str]) -> int:
         """The place on the stack of the innermost open element of ``names`` above any of ``stop``; 0 if none."""
-        for k in range(len(self.open) - 1, 0, -1):
-            name = self.tag[self.open[k]]
-            if name in names:
-                return k
-            if name in stop:
-                return 0
-        return 0
+        found = max((self.at[n][-1] for n in names if self.at[n]), default=0)
+        return found if found and found >= max((self.at[n][-1] for n in stop if self.at[n]), default=0) else 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "a":
@@ -113,19 +125,20 @@ class _Tree(HTMLParser):
             if same and (k := self._open_at(same, {"ul", "ol", "dl", "table"} - same)):
                 self._close_to(k)
         up = self.open[-1]
+        node = len(self.tag)
         self.tag.append(tag)
         self.parent.append(up)
-        never = tag in NEVER or (tag == "header" and not self._within_article())
-        self.never.append(self.never[up] or never or (tag not in SAFE and _always_unwanted(attrs)))
-        self.out.append(self.out[up] or self.never[-1] or (tag not in SAFE and _named_unwanted(attrs)))
-        self.open.append(len(self.tag) - 1)
+        self.block.append(self.block[up] if tag in INLINE else node)
+        if tag in NEVER or (tag == "header" and not (self.at["article"] or self.at["main"])):
+            self.how.append(ALWAYS_OUT)
+        else:
+            self.how.append(IN if tag in SAFE else max(_how_out(attrs), WHOLE if tag == "form" else IN))
+        self.at[tag].append(len(self.open))
+        self.open.append(node)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # as in HTML, only void elements end here
 
-    def _within_article(self) -> bool:
-        return any(self.tag[k] in ("article", "main") for k in self.open)
-
     def handle_endtag(self, tag: str) -> None:
         if tag == "a":
             self.links = 0
@@ -134,6 +147,7 @@ class _Tree(HTMLParser):
         if tag in INLINE:
             if self.tag[self.open[-1]] == tag:
                 self.open.pop()
+                self.at[tag].pop()
             return
         self.fresh, self.links = True, 0
         if k := self._open_at({tag}, set()):
@@ -149,15 +163,40 @@ class _Tree(HTMLParser):
 
 
 class _Block:
-    __slots__ = ("linked", "node", "text")
+    __slots__ = ("linked", "node", "text", "worth")
 
     def __init__(self, node: int, parts: list[tuple[str, bool]]):
-        self.node = node
+        self.node, self.worth = node, 0.0
         self.text = " ".join("".join(t for t, _ in parts).split())
         linked = sum(len(" ".join(t.split())) for t, in_link in parts if in_link)
         self.linked = min(1.0, linked / max(len(self.text), 1))
 
 
+def _left_out(tree: _Tree, blocks: list[_Block]) -> tuple[list[bool], list[bool]]:
+    """For each node whether it is out, and whether it is out within an article, too.
+
+    What is out by its name, other than reader comments, stays if it has most of the points of what isn't out anyway.
+    """
+    always = [h >= COMMENT for h in tree.how]
+    points = [0.0] * len(tree.tag)
+    for k in range(1, len(always)):
+        always[k] |= always[tree.parent[k]]
+    if not any(b.worth and not always[b.node] for b in blocks):  # nothing but comments
+        for k in range(1, len(always)):
+            always[k] = tree.how[k] == ALWAYS_OUT or always[tree.parent[k]]
+    for b in blocks:
+        if not always[b.node]:
+            points[b.node] += b.worth
+    for k in range(len(points) - 1, 0, -1):
+        points[tree.parent[k]] += points[k]
+    out, never = list(always), list(always)
+    for k in range(1, len(out)):
+        up = tree.parent[k]
+        never[k] |= never[up] or (tree.how[k] == WHOLE and points[k] <= MOST_WHOLE * points[0])
+        out[k] |= out[up] or never[k] or (tree.how[k] == NAMED and points[k] <= MOST * points[0])
+    return out, never
+
+
 def main_text(html: str | None) -> str:
     """The article of a page, its blocks in page order joined by two line feeds; empty if there is none."""
     if not html:
@@ -166,27 +205,26 @@ def main_text(html: str | None) -> str:
     tree.feed(html)
     tree.close()
     tag, parent = tree.tag, tree.parent
-    every = [b for node, parts in tree.runs if not tree.never[node] and (b := _Block(node, parts)).text]
-    blocks = [b for b in every if not tree.out[b.node]]
+    every = [b for node, parts in tree.runs if (b := _Block(node, parts)).text]
+    long_enough = LEAST if any(len(b.text) >= LEAST for b in every) else 1
+    for b in every:
+        if len(b.text) >= long_enough and tag[tree.block[b.node]] not in HEADING:
+            b.worth = (1 + b.text.count(",") + min(len(b.text) / 100, 3)) * (1 - b.linked)
+    out, never = _left_out(tree, every)
+    every = [b for b in every if not never[b.node]]
+    blocks = [b for b in every if not out[b.node]]
     if not blocks:
         return ""
 
-    def block_node(node: int) -> int:
-        while node and tag[node] in INLINE:
-            node = parent[node]
-        return node
-
     size, linked, points = [0] * len(tag), [0.0] * len(tag), [0.0] * len(tag)
-    long_enough = LEAST if any(len(b.text) >= LEAST for b in blocks) else 1
     for b in blocks:
-        own = block_node(b.node)
+        own = tree.block[b.node]
         size[own] += len(b.text)
         linked[own] += len(b.text) * b.linked
-        if len(b.text) >= long_enough and tag[own] not in HEADING:
-            worth = (1 + b.text.count(",") + min(len(b.text) / 100, 3)) * (1 - b.linked)
+        if b.worth:
             up = parent[own] if tag[own] in PARAGRAPH else own
             for step in range(5):
-                points[up] += worth / (1, 2, 6, 9, 12)[step]
+                points[up] += b.worth / (1, 2, 6, 9, 12)[step]
                 if not up:
                     break
                 up = parent[up]
@@ -211,7 +249,7 @@ def main_text(html: str | None) -> str:
             keep[k] = score[k] >= enough or text_like or (tag[k] in HEADING and density[k] < 0.5)
         elif k:
             keep[k] = keep[parent[k]] and not (tag[k] in lists_of_links and density[k] > 0.5)
-    return "\n\n".join(b.text for b in every if keep[b.node] and (inside[b.node] or not tree.out[b.node]))
+    return "\n\n".join(b.text for b in every if keep[b.node] and (inside[b.node] or not out[b.node]))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -1,3 +1,7 @@
+import time
+
+import pytest
+
 from rolewise.llm.html_text import main_text
 
 TEXT = "This is a paragraph, with commas, that is surely long enough to be the text of an article."
@@ -13,3 +17,23 @@ def test_article_keeps_captions_link_lists_and_sections_with_telling_names():
 
 def test_menus_of_a_page_without_containers_go():
     assert main_text(f"<body><ul><li><a href='/'>Home page</a></li></ul><div class='left-sidebar'>Aside</div><p>{TEXT}</p></body>") == TEXT
+
+
+@pytest.mark.parametrize("name", ["social-issues", "share-price-story", "ad-free", "menu-of-the-day", "layout-sidebar", "article-notice", "menu", "promo"])
+def test_an_article_is_not_lost_to_a_name(name):
+    html = f"<body><div class='{name}'><h1>Title</h1><p>{TEXT}</p><p>{TEXT}</p><p>{TEXT}</p></div><div>Another block of thirty-eight letters</div></body>"
+    assert main_text(html) == "\n\n".join(["Title", TEXT, TEXT, TEXT])
+
+
+def test_a_form_around_a_page_and_comments_longer_than_the_article():
+    comments = f"<div class='comment'><p>{TEXT}</p></div>" * 9
+    html = f"<body><form><input name=a><div class='content'><h1>Title</h1><p>{TEXT}</p></div><div id='comments'>{comments}</div><button>Send</button></form></body>"
+    assert main_text(html) == f"Title\n\n{TEXT}"
+    assert main_text(f"<body><div><p>{TEXT}</p><p>{TEXT}</p></div><form><p>Your name, please, and your address as well, if you want to</p></form></body>") == f"{TEXT}\n\n{TEXT}"
+
+
+@pytest.mark.parametrize("many", ["</div>", "</p>", "</x-y>", "<header>", "<div>", "<span>", "<x-y>", "<span><hr>a", "<p>a", "<li>a", "<table><tr><td>a", "<a href=x>b"])
+def test_pages_take_linear_time(many):
+    began = time.perf_counter()
+    text = main_text("<p><div><span>" * 100 + many * 50_000 + f"<div><p>{TEXT}</p></div>")
+    assert text is not None and time.perf_counter() - began < 4
