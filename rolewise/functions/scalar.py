@@ -18,7 +18,7 @@ KINDS = {
     "Timestamp": "timestamp",
     "UUID": "string",
 }
-NUMERIC = {"Int", "Decimal", "Float"}
+NUMERIC, TIMES = {"Int", "Decimal", "Float"}, {"Date", "Timestamp"}
 _UUID = r"^[0-9a-fA-F]{8}-?([0-9a-fA-F]{4}-?){3}[0-9a-fA-F]{12}$"
 
 
@@ -40,17 +40,28 @@ def explicit_token(kind: str, element: Column) -> Column:
     return F.when(F.startswith(element, F.lit(prefix)), raw)
 
 
+#: The formats of names.  A slug is lower-case words with ``_`` between: a word begins at a capital that small letters follow, or at
+#: one after a small letter or digit; what is no letter, digit or ``_`` is one ``_``; none is left at the ends.  A file token is the
+#: letters, digits, dots, underscores and hyphens of an id (others one ``_``, none of ``._-`` left at the ends), at most 72 of them or else
+#: ``artifact``, then ``__`` and the first 20 digits of its SHA-256.
+WORD_STARTS = (r"(?<=.)(?=[A-Z][a-z]+)", r"(?<=[a-z0-9])(?=[A-Z])")
+NO_WORD, NO_FILE, FILE_ENDS, FILE_LENGTH, FILE_DIGITS = r"[^a-zA-Z0-9_]+", r"[^A-Za-z0-9._-]+", "._-", 72, 20
+
+
 def slug(name: Column) -> Column:
     """snake_case of a name."""
-    words = F.regexp_replace(F.regexp_replace(name, r"(.)([A-Z][a-z]+)", "$1_$2"), r"([a-z0-9])([A-Z])", "$1_$2")
-    return F.lower(F.btrim(F.regexp_replace(words, r"[^a-zA-Z0-9_]+", "_"), F.lit("_")))
+    for start in WORD_STARTS:
+        name = F.regexp_replace(name, start, "_")
+    joined = F.regexp_replace(F.regexp_replace(name, NO_WORD, "_"), "^_+|_+$", "")
+    return F.lower(joined)
 
 
-def file_token(value: Column, limit: int = 72) -> Column:
-    """A file name for any id: what can be read of it, and twenty digits of its SHA-256."""
-    trim = lambda c: F.btrim(c, F.lit("._-"))
-    readable = trim(F.substring(trim(F.regexp_replace(value, r"[^A-Za-z0-9._-]+", "_")), 1, limit))
-    return F.concat(F.when(readable == "", "artifact").otherwise(readable), F.lit("__"), F.substring(F.sha2(value, 256), 1, 20))
+def file_token(value: Column, limit: int = FILE_LENGTH) -> Column:
+    """A file name for any id: what can be read of it, and digits of its SHA-256."""
+    cleaned = F.btrim(F.regexp_replace(value, NO_FILE, "_"), F.lit(FILE_ENDS))
+    shown = F.btrim(F.left(cleaned, F.lit(limit)), F.lit(FILE_ENDS))
+    digits = F.left(F.sha2(value, 256), F.lit(FILE_DIGITS))
+    return F.concat(F.coalesce(F.nullif(shown, F.lit("")), F.lit("artifact")), F.lit("__"), digits)
 
 
 def change_id(*parts: Column) -> Column:
@@ -68,31 +79,60 @@ def normal_check(text: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(text, r"::[A-Za-z_ ]+(\[\])?", ""), r"[\s()]", ""))
 
 
+#: Decimals that ``decimal(38,10)`` keeps, and a literal that has more: they are compared as text.
+_MORE_DECIMALS = r"\.\d{10}\d*[1-9]"
+_KEPT_DECIMALS = r"^\s*([+-]?\d*\.?\d{0,10})"
+_DECIMAL = KINDS["Decimal"]
+
+
+def _longer(value: Column) -> Column:
+    """Whether a text has more decimals than are kept; folded to false for what is no text."""
+    return (F.typeof(value) == F.lit("string")) & value.cast("string").rlike(_MORE_DECIMALS)
+
+
 def typed(value: Column, kind: str) -> Column:
-    """``value`` as its kind's Spark type; null if it is no such literal."""
+    """``value`` as its kind's Spark type; null if it is no such literal.
+
+    A Bool is true, false, 1 or 0 in any case; 1.5 is no Int, while 2.0 is 2; a Decimal's decimals after the tenth are rounded.
+    """
     if kind in ("String", "UUID"):
         text = value.cast("string")
         return F.when(text.rlike(_UUID), text) if kind == "UUID" else text
-    if kind == "Int":  # 1.5 is no Int, while 2.0 is 2
-        number = value.try_cast("decimal(38,10)")
-        return F.when(number == F.floor(number), number.try_cast("bigint"))
+    if kind == "Int":
+        number = value.try_cast(_DECIMAL)
+        return F.when((number == F.floor(number)) & ~_longer(value), number.try_cast("bigint"))
+    if kind == "Bool":
+        said = F.lower(value.cast("string"))
+        return F.when(said.isin("true", "1"), True).when(said.isin("false", "0"), False)
     return value.try_cast(KINDS[kind])
 
 
 def in_range(value: Column, low: object, high: object, kind: str = "Float") -> Column:
-    """Whether a literal is from ``low`` to ``high``; false for what is no literal of the kind, and for NaN."""
-    v = typed(value, kind)
-    ok = v.between(typed(F.lit(str(low)), kind), typed(F.lit(str(high)), kind))
+    """Whether a literal is from ``low`` to ``high``, both included; false for what is no literal of the kind, and for NaN.
+
+    Decimals compare exactly, also beyond the tenth: a text that rounds to a bound is cut there instead, towards zero, and what was cut
+    off puts it beyond the cut.
+    """
+    v, least, most = typed(value, kind), *(typed(F.lit(str(x)), kind) for x in (low, high))
+    ok = v.between(least, most)
     if kind == "Float":
         ok = ok & ~F.isnan(v)
+    elif kind == "Decimal":
+        text = value.cast("string")
+        cut = F.regexp_extract(text, _KEPT_DECIMALS, 1).try_cast(_DECIMAL)
+        below = F.startswith(F.trim(text), F.lit("-"))
+        inside = F.when(below, (cut > least) & (cut <= most)).otherwise((cut >= least) & (cut < most))
+        ok = F.when(_longer(value) & ~text.rlike("[eE]"), inside).otherwise(ok)
     return F.coalesce(ok, F.lit(False))
 
 
 def one_of(value: Column, allowed: Sequence[object], kind: str = "String") -> Column:
-    """Whether a literal is among ``allowed``; numbers compare by value and others also by their text."""
+    """Whether a literal is among ``allowed``; numbers and Bools compare by value and others by their text."""
     if kind in NUMERIC:
-        number = value.try_cast("decimal(38,10)")
-        same = number.isin(*[F.lit(str(a)).cast("decimal(38,10)") for a in allowed])
+        number = value.try_cast(_DECIMAL)
+        same = number.isin(*[F.lit(str(a)).cast(_DECIMAL) for a in allowed]) & ~_longer(value)
+    elif kind == "Bool":
+        same = typed(value, kind).isin(*allowed)
     else:
-        same = value.cast("string").isin(*[str(a).lower() if isinstance(a, bool) else str(a) for a in allowed])
+        same = value.cast("string").isin(*[str(a) for a in allowed])
     return F.coalesce(same, F.lit(False))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def facts_of(table: DataFrame, **roles: str) -> DataFrame:
@@ -46,14 +47,27 @@ def widen(long: DataFrame, fields: Sequence[str], keep_multiple: bool = False) -
     """``owner, field, value`` rows as one wide row for each owner: the physical form of an entity's fields.
 
     The fields are given, so that no pass is needed to find them.  A field with several values keeps the least; with
-    ``keep_multiple`` the column ``multivalued`` counts the fields that a wide row cannot hold.
+    ``keep_multiple`` the column ``multivalued`` counts the fields that a wide row cannot hold, which are those with a greater value, too.
     """
-    wide = long.where(F.col("field").isin(*fields)).groupBy("owner")
-    cells = [F.min(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in fields]
+    at = lambda f: F.when(F.col("field") == f, F.col("value"))
+    cells = [F.min(at(f)).alias(f) for f in fields]
     if keep_multiple:
-        many = [(F.count_distinct(F.when(F.col("field") == f, F.col("value"))) > 1).cast("int") for f in fields]
-        cells.append(reduce(lambda a, b: a + b, many).alias("multivalued"))
-    return wide.agg(*cells)
+        cells.append(reduce(lambda a, b: a + b, [F.coalesce((F.max(at(f)) > F.min(at(f))).cast("int"), F.lit(0)) for f in fields]).alias("multivalued"))
+    return long.where(F.col("field").isin(*fields)).groupBy("owner").agg(*cells)
+
+
+def following(rows: DataFrame, group: str, order: Sequence[str], value: str, part: Column) -> DataFrame:
+    """``rows`` with ``following``: the value of the next row of the group by ``order``; null after the last.
+
+    ``part`` cuts every group into runs in that order, such as the hours of a time that leads the order.  A run is what a task sorts; the last row of
+    one takes the first value of the next run that has rows, from a table with a row for each run.  So no group is sorted whole.
+    """
+    cut = rows.withColumn("_part", part)
+    within = cut.withColumn("_next", F.lead(F.struct(value)).over(Window.partitionBy(group, "_part").orderBy(*order)))
+    firsts = cut.groupBy(group, "_part").agg(F.min_by(F.struct(value), F.struct(*order)).alias("_first"))
+    after = firsts.select(F.col(group).alias("_group"), F.col("_part").alias("_run"), F.lead("_first").over(Window.partitionBy(group).orderBy("_part")).alias("_after"))
+    joined = within.join(after, F.col(group).eqNullSafe(F.col("_group")) & F.col("_part").eqNullSafe(F.col("_run")))
+    return joined.select(*rows.columns, F.coalesce("_next", "_after")[value].alias("following"))
 
 
 def multivalued(long: DataFrame, *key: str, value: str = "value") -> DataFrame:

@@ -52,8 +52,10 @@ def _paired(left: Sequence[str], right: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(f"l.{a}") == F.col(f"r.{b}") for a, b in zip(left, right, strict=True)])
 
 
-def _missing(left: DataFrame, roles: Sequence[str], right: DataFrame, others: Sequence[str], how: str) -> DataFrame:
-    return left.select(*roles).distinct().alias("l").join(right.select(*others).alias("r"), _paired(roles, others), how)
+def _missing(left: DataFrame, roles: Sequence[str], right: DataFrame, others: Sequence[str], how: str, keyed: bool = False) -> DataFrame:
+    """Both sides are made distinct, which aggregates before the shuffle; a right side that is ``keyed`` by its columns is so already."""
+    to = right.select(*others) if keyed else right.select(*others).distinct()
+    return left.select(*roles).distinct().alias("l").join(to.alias("r"), _paired(roles, others), how)
 
 
 def mandatory(members: DataFrame, key: str, fact: DataFrame, role: str) -> DataFrame:
@@ -80,12 +82,12 @@ def equality(left: DataFrame, roles: Sequence[str], right: DataFrame, others: Se
 
 def subtype(sub: DataFrame, key: str, sup: DataFrame, other: str) -> DataFrame:
     """Members of the subtype that the supertype has not."""
-    return _missing(sub, [key], sup, [other], "left_anti")
+    return _missing(sub, [key], sup, [other], "left_anti", keyed=True)
 
 
 def role_player(fact: DataFrame, role: str, members: DataFrame, key: str) -> DataFrame:
-    """Players of a role that are no members of its type."""
-    return _missing(fact, [role], members, [key], "left_anti")
+    """Players of a role that are no members of its type; ``key`` must identify the members."""
+    return _missing(fact, [role], members, [key], "left_anti", keyed=True)
 
 
 # -- within a fact ---------------------------------------------------------------------------------------------------

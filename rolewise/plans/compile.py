@@ -7,6 +7,7 @@ key of a fact share one aggregation, and all rules of a fact its distinct tuples
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -16,34 +17,64 @@ from pyspark.sql.window import Window
 
 from rolewise.functions import scalar
 from rolewise.operators import rules
-from rolewise.plans.model import Model, Rule
+from rolewise.plans.model import Model, Rule, Value
 
 
 @dataclass
 class Binding:
-    """Where a model's population is: ``entities`` name to (table, key column, {field: column}), ``facts`` name to a DataFrame of its roles."""
+    """Where a model's population is: ``entities`` name to (table, key column, {field: column}), ``facts`` name to a DataFrame of its roles.
+
+    ``projections`` name to (another bound fact, {role: its role}): facts that are projections of that one's, taken from its
+    distinct tuples, so that a table is read and shuffled once for all of them.  ``literal`` gives the literal that a value-typed role's
+    column holds; without it such roles are played by instances, whose literals are elsewhere.
+    """
 
     entities: dict[str, tuple[DataFrame, str, dict[str, str]]] = field(default_factory=dict)
     facts: dict[str, DataFrame] = field(default_factory=dict)
+    projections: dict[str, tuple[str, dict[str, str]]] = field(default_factory=dict)
+    literal: Callable[[Column], Column] | None = lambda value: value
+
+
+#: What a plan decides, and its rows: obligation_id, code, subject, key, n.
+Plan = tuple[list[str], DataFrame]
 
 
-def _rows(df: DataFrame, obligation: str | Column, code: str | Column, subject: str, key: list[str], n: str | None = None) -> DataFrame:
+def _rows(df: DataFrame, obligation: str | Column, code: str | Column, subject: str | Column, key: list[str], n: str | None = None) -> DataFrame:
     name = lambda x: x if isinstance(x, Column) else F.lit(x)
     return df.select(
-        name(obligation).alias("obligation_id"), name(code).alias("code"), F.lit(subject).alias("subject"),
+        name(obligation).alias("obligation_id"), name(code).alias("code"), name(subject).alias("subject"),
         F.array(*[F.col(k).cast("string") for k in key]).alias("key"),
         (F.col(n) if n else F.lit(1)).cast("bigint").alias("n"),
     )
 
 
+def _found(bad: Column, obligation: str, code: str) -> Column:
+    return F.when(bad, F.struct(F.lit(obligation).alias("o"), F.lit(code).alias("c")))
+
+
+def _each(found: list[Column]) -> Column:
+    return F.explode(F.array_compact(F.array(*found)))
+
+
+def has_domain(v: Value) -> bool:
+    return v.low is not None or bool(v.allowed)
+
+
+def outside(value: Column, v: Value) -> Column:
+    """Whether a literal that is there is none of the value type's domain."""
+    tests = ([scalar.in_range(value, v.low, v.high, v.kind)] if v.low is not None else []) + ([scalar.one_of(value, v.allowed, v.kind)] if v.allowed else [])
+    return value.isNotNull() & ~reduce(lambda a, b: a & b, tests)
+
+
 def obligations(model: Model) -> list[tuple[str, str]]:
     """(obligation, kind): one for the set semantics of every fact, and one for every rule, domain, field, identifier and subtype."""
+    domains = {v.name: v for v in model.values}
     out = [(f"set:{f.name}", "fact_set_semantics") for f in model.facts]
     out += [(f"player:{f.name}.{r}", "role_player") for f in model.facts for r, p in f.roles]
+    out += [(f"value:{f.name}.{r}", "value") for f in model.facts for r, p in f.roles if p in domains and has_domain(domains[p])]
     out += [(r.id, r.kind) for r in model.rules]
     for e in model.entities:
-        domains = {v.name: v for v in model.values}
-        out += [(f"value:{e.name}.{f}", "value") for f, of, _ in e.fields if domains[of].low is not None or domains[of].allowed]
+        out += [(f"value:{e.name}.{f}", "value") for f, of, _ in e.fields if has_domain(domains[of])]
         out += [(f"required:{e.name}.{f}", "mandatory_field") for f, _, required in e.fields if required]
         if e.identity:
             out.append((f"identifier:{e.name}", "preferred_identifier"))
@@ -51,96 +82,137 @@ def obligations(model: Model) -> list[tuple[str, str]]:
     return out
 
 
-def _entity_plans(model: Model, bound: Binding) -> list[DataFrame]:
-    plans, domains = [], {v.name: v for v in model.values}
+def _entity_plans(model: Model, bound: Binding) -> list[Plan]:
+    plans: list[Plan] = []
+    domains = {v.name: v for v in model.values}
     for e in model.entities:
         if e.name not in bound.entities:
             continue
         table, key, columns = bound.entities[e.name]
-        wrong = []  # every row-local rule of the table, in one scan
+        wrong, ids = [], []  # every row-local rule of the table, in one scan
         for name, of, required in e.fields:
             if name not in columns:
                 continue
             col, v = F.col(columns[name]), domains[of]
             if required:
-                wrong.append(F.when(col.isNull(), F.struct(F.lit(f"required:{e.name}.{name}").alias("o"), F.lit("MANDATORY_VIOLATION").alias("c"))))
-            tests = ([scalar.in_range(col, v.low, v.high, v.kind)] if v.low is not None else []) + ([scalar.one_of(col, v.allowed, v.kind)] if v.allowed else [])
-            if tests:
-                bad = col.isNotNull() & ~reduce(lambda a, b: a & b, tests)
-                wrong.append(F.when(bad, F.struct(F.lit(f"value:{e.name}.{name}").alias("o"), F.lit("VALUE_CONSTRAINT_VIOLATION").alias("c"))))
+                ids.append(f"required:{e.name}.{name}")
+                wrong.append(_found(col.isNull(), ids[-1], "MANDATORY_VIOLATION"))
+            if has_domain(v):
+                ids.append(f"value:{e.name}.{name}")
+                wrong.append(_found(outside(col, v), ids[-1], "VALUE_CONSTRAINT_VIOLATION"))
         if wrong:
-            found = table.select(F.col(key).alias("_key"), F.explode(F.array_compact(F.array(*wrong))).alias("w"))
-            plans.append(_rows(found, F.col("w.o"), F.col("w.c"), e.name, ["_key"]))
+            found = table.select(F.col(key).alias("_key"), _each(wrong).alias("w"))
+            plans.append((ids, _rows(found, F.col("w.o"), F.col("w.c"), e.name, ["_key"])))
         if e.identity and set(e.identity) <= set(columns):
-            ids = [columns[i] for i in e.identity]
-            plans.append(_rows(rules.identifier_columns(table, key, ids), f"identifier:{e.name}", "IDENTIFIER_VIOLATION", e.name, ids, "n"))
+            parts = [columns[i] for i in e.identity]
+            plans.append(([f"identifier:{e.name}"], _rows(rules.identifier_columns(table, key, parts), f"identifier:{e.name}", "IDENTIFIER_VIOLATION", e.name, parts, "n")))
     for sub, sup in model.subtypes:
         if sub in bound.entities and sup in bound.entities:
             (a, k, _), (b, j, _) = bound.entities[sub], bound.entities[sup]
-            plans.append(_rows(rules.subtype(a, k, b, j), f"subtype:{sub}<{sup}", "SUBTYPE_VIOLATION", sub, [k]))
+            plans.append(([f"subtype:{sub}<{sup}"], _rows(rules.subtype(a, k, b, j), f"subtype:{sub}<{sup}", "SUBTYPE_VIOLATION", sub, [k])))
     return plans
 
 
-def _fact_plans(model: Model, bound: Binding) -> list[DataFrame]:
-    plans, tuples = [], {}
-    for fact in model.facts:
-        if fact.name in bound.facts:
-            # a row with a null states no fact; each distinct tuple, and how often it is stated
-            rows = bound.facts[fact.name].select(*fact.role_names).dropna()
-            tuples[fact.name] = rows.groupBy(*fact.role_names).agg(F.count(F.lit(1)).alias("times"))
+def _tuples(model: Model, bound: Binding) -> dict[str, DataFrame]:
+    """For each bound fact its distinct tuples, and ``times``, how often each is stated.  A row with a null states no fact."""
+    out = {}
+    for name, rows in bound.facts.items():
+        roles = model.fact(name).role_names
+        out[name] = rows.select(*roles).dropna().groupBy(*roles).agg(F.count(F.lit(1)).alias("times"))
+    for name, (base, roles) in bound.projections.items():
+        if set(roles) != set(model.fact(name).role_names) or base not in bound.facts or set(roles.values()) - set(model.fact(base).role_names):
+            raise ValueError(f"{name} is no projection of {base}")
+        shown = out[base].where("times > 0").select(*[F.col(roles[r]).alias(r) for r in model.fact(name).role_names], "times")
+        out[name] = shown.groupBy(*model.fact(name).role_names).agg(F.sum("times").alias("times"))
+    return out
+
+
+def _fact_plans(model: Model, bound: Binding) -> list[Plan]:
+    plans: list[Plan] = []
+    tuples, domains = _tuples(model, bound), {v.name: v for v in model.values}
+    # always true, but it keeps the count in every plan below, so that they are one plan and Spark runs its scan and shuffle once
+    stated = {name: counted.where("times > 0") for name, counted in tuples.items()}
+    players: dict[str, list[DataFrame]] = defaultdict(list)
     for fact in model.facts:
         if fact.name not in tuples:
             continue
-        roles = list(fact.role_names)
-        counted = tuples[fact.name]
-        # always true, but it keeps the count in every plan below, so that they are one plan and Spark runs its scan and shuffle once
-        stated = counted.where("times > 0")
-        plans.append(_rows(counted.where("times > 1"), f"set:{fact.name}", "DUPLICATE_FACT", fact.name, roles, "times"))
+        rows, roles = stated[fact.name], list(fact.role_names)
+        plans.append(([f"set:{fact.name}"], _rows(tuples[fact.name].where("times > 1"), f"set:{fact.name}", "DUPLICATE_FACT", fact.name, roles, "times")))
         by_key: dict[tuple[str, ...], list[Rule]] = defaultdict(list)
         for r in model.rules:
-            if r.fact == fact.name and r.kind in ("uniqueness", "frequency") and set(r.roles) != set(roles):
+            if r.fact == fact.name and r.kind in ("uniqueness", "frequency"):
                 by_key[r.roles].append(r)
         for key, same in by_key.items():
-            n = stated.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+            whole = set(key) == set(roles)  # each tuple is there once, so no plan is needed to know it
+            n = rows.select(*key, F.lit(1).cast("bigint").alias("n")) if whole else rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
             wrong = []
             for r in same:
-                unique = r.kind == "uniqueness"
-                bad = F.col("n") > 1 if unique else (F.col("n") < r.low) | (F.lit(False) if r.high is None else F.col("n") > r.high)
-                wrong.append(F.when(bad, F.struct(F.lit(r.id).alias("o"), F.lit("UNIQUENESS_VIOLATION" if unique else "FREQUENCY_VIOLATION").alias("c"))))
-            found = n.select(*key, "n", F.explode(F.array_compact(F.array(*wrong))).alias("w"))
-            plans.append(_rows(found, F.col("w.o"), F.col("w.c"), fact.name, list(key), "n"))
+                if r.kind == "uniqueness":
+                    wrong.append(_found(F.lit(False) if whole else F.col("n") > 1, r.id, "UNIQUENESS_VIOLATION"))
+                else:
+                    wrong.append(_found((F.col("n") < r.low) | (F.lit(False) if r.high is None else F.col("n") > r.high), r.id, "FREQUENCY_VIOLATION"))
+            found = n.select(*key, "n", _each(wrong).alias("w"))
+            plans.append(([r.id for r in same], _rows(found, F.col("w.o"), F.col("w.c"), fact.name, list(key), "n")))
+        wrong, ids = [], []  # the literals of all value-typed roles, in one pass
         for role, player in fact.roles:
+            obligation = f"player:{fact.name}.{role}"
             if player in bound.entities:
-                table, key, _ = bound.entities[player]
-                plans.append(_rows(rules.role_player(stated, role, table, key), f"player:{fact.name}.{role}", "ROLE_PLAYER_MEMBERSHIP", fact.name, [role]))
+                players[player].append(rows.select(F.col(role).alias("_player"), F.struct(F.lit(obligation).alias("o"), F.lit(fact.name).alias("of")).alias("_role")))
+            elif player in domains and bound.literal:
+                v, literal = domains[player], bound.literal(F.col(role))
+                checks = [(obligation, "ROLE_PLAYER_MEMBERSHIP", scalar.typed(literal, v.kind).isNull())]
+                if has_domain(v):
+                    checks.append((f"value:{fact.name}.{role}", "VALUE_CONSTRAINT_VIOLATION", outside(literal, v)))
+                for o, code, bad in checks:
+                    ids.append(o)
+                    wrong.append(F.when(bad, F.struct(F.lit(o).alias("o"), F.lit(code).alias("c"), F.col(role).cast("string").alias("v"))))
+        if wrong:
+            found = rows.select(_each(wrong).alias("w")).groupBy("w.o", "w.c", "w.v").agg(F.count(F.lit(1)).alias("n"))
+            plans.append((ids, _rows(found, F.col("o"), F.col("c"), fact.name, ["v"], "n")))
         for r in model.rules:
             if r.fact != fact.name:
                 continue
             if r.kind == "mandatory" and (player := model.player(r.fact, r.roles[0])) in bound.entities:
-                table, key, _ = bound.entities[player]
-                plans.append(_rows(rules.mandatory(table, key, stated, r.roles[0]), r.id, "MANDATORY_VIOLATION", fact.name, [key]))
+                members, key, _ = bound.entities[player]
+                plans.append(([r.id], _rows(rules.mandatory(members, key, rows, r.roles[0]), r.id, "MANDATORY_VIOLATION", fact.name, [key])))
             elif r.kind == "symmetric":
-                plans.append(_rows(rules.symmetry(stated, *roles), r.id, "SYMMETRY_VIOLATION", fact.name, roles))
+                plans.append(([r.id], _rows(rules.symmetry(rows, *roles), r.id, "SYMMETRY_VIOLATION", fact.name, roles)))
             elif r.kind == "unordered":
-                found = rules.unordered(stated, r.roles, roles)
+                found = rules.unordered(rows, r.roles, roles)
                 shown = found.withColumns({x: F.col("players")[k] for k, x in enumerate(r.roles)})
-                plans.append(_rows(shown, r.id, "UNORDERED_DUPLICATE", fact.name, list(r.roles), "n"))
+                plans.append(([r.id], _rows(shown, r.id, "UNORDERED_DUPLICATE", fact.name, list(r.roles), "n")))
             elif r.kind in ("subset", "equality", "exclusion") and r.other in tuples:
-                other = tuples[r.other].where("times > 0")
                 compare = getattr(rules, r.kind)
-                plans.append(_rows(compare(stated, r.roles, other, r.other_roles), r.id, f"{r.kind.upper()}_VIOLATION", fact.name, list(r.roles)))
+                found = compare(rows, r.roles, stated[r.other], r.other_roles)
+                plans.append(([r.id], _rows(found, r.id, f"{r.kind.upper()}_VIOLATION", fact.name, list(r.roles))))
+    for player, parts in players.items():
+        # the players of all roles of a type meet its members in one join, each player once
+        members, key, _ = bound.entities[player]
+        asked = reduce(lambda a, b: a.unionByName(b), parts).groupBy("_player").agg(F.collect_set("_role").alias("_roles"))
+        strangers = asked.join(members.select(F.col(key).alias("_member")), F.col("_player") == F.col("_member"), "left_anti").select("_player", F.explode("_roles").alias("r"))
+        ids = [f"player:{f.name}.{role}" for f in model.facts if f.name in tuples for role, p in f.roles if p == player]
+        plans.append((ids, _rows(strangers, F.col("r.o"), "ROLE_PLAYER_MEMBERSHIP", F.col("r.of"), ["_player"])))
+    return plans
+
+
+def _plans(model: Model, bound: Binding) -> list[Plan]:
+    plans = _entity_plans(model, bound) + _fact_plans(model, bound)
+    if not plans:
+        raise ValueError("nothing of the model is bound to a table")
     return plans
 
 
 def violations(model: Model, bound: Binding) -> DataFrame:
     """``obligation_id, code, subject, key, n``: every key that violates an obligation of the model, in no order.
 
-    What a model declares and nothing is bound to isn't checked.  Nulls state nothing, so they violate required fields only.
+    What a model declares and nothing is bound to isn't checked, see :func:`checked`.  Nulls state nothing, so they violate required fields only.
     """
-    plans = _entity_plans(model, bound) + _fact_plans(model, bound)
-    if not plans:
-        raise ValueError("nothing of the model is bound to a table")
-    return reduce(lambda a, b: a.unionByName(b), plans)
+    return reduce(lambda a, b: a.unionByName(b), [rows for _, rows in _plans(model, bound)])
+
+
+def checked(model: Model, bound: Binding) -> set[str]:
+    """The obligations that :func:`violations` decides for these tables."""
+    return {o for ids, _ in _plans(model, bound) for o in ids}
 
 
 def first_witness(found: DataFrame) -> DataFrame:
@@ -154,12 +226,17 @@ def witnesses(found: DataFrame, most: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
-def summary(model: Model, found: DataFrame) -> DataFrame:
-    """``obligation_id, kind, violations, status`` for every obligation of the model, also those that hold."""
-    known = found.sparkSession.createDataFrame(obligations(model), "obligation_id string, kind string")
+def summary(model: Model, found: DataFrame, decided: set[str] | None = None) -> DataFrame:
+    """``obligation_id, kind, violations, status`` for every obligation of the model, also those that hold.
+
+    ``decided`` are the obligations that were checked (all if not given); the status of any other is ``not_checked``.
+    """
+    known = [(o, kind, decided is None or o in decided) for o, kind in obligations(model)]
+    asked = found.sparkSession.createDataFrame(known, "obligation_id string, kind string, decided boolean")
     counted = found.groupBy("obligation_id").agg(F.count(F.lit(1)).alias("violations"))
-    row = known.join(counted, "obligation_id", "left").fillna(0, ["violations"])
-    return row.withColumn("status", F.when(F.col("violations") > 0, "violated").otherwise("holds"))
+    row = asked.join(counted, "obligation_id", "left").fillna(0, ["violations"])
+    status = F.when(~F.col("decided"), "not_checked").when(F.col("violations") > 0, "violated").otherwise("holds")
+    return row.select("obligation_id", "kind", "violations", status.alias("status"))
 
 
 def report(found: DataFrame) -> DataFrame:
@@ -178,8 +255,9 @@ def evidence(found: DataFrame, fact: DataFrame, obligation: str, roles: list[str
 
     Two rows are the least that shows a broken uniqueness, and for an upper frequency bound ``most`` is the bound and one.
     """
-    bad = found.where(F.col("obligation_id") == obligation).select(*[F.col("key")[k].alias(f"_{r}") for k, r in enumerate(roles)])
-    on = reduce(lambda a, b: a & b, [F.col(r).cast("string") == F.col(f"_{r}") for r in roles])
-    shown = fact.distinct().join(bad, on, "left_semi")
+    kinds = dict(fact.dtypes)
+    bad = found.where(F.col("obligation_id") == obligation).select(*[F.col("key")[k].cast(kinds[r]).alias(f"_{r}") for k, r in enumerate(roles)])
+    on = reduce(lambda a, b: a & b, [F.col(r) == F.col(f"_{r}") for r in roles])
+    shown = fact.join(bad, on, "left_semi").distinct()
     order = Window.partitionBy(*roles).orderBy(*fact.columns)
     return shown.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most).drop("_rank")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from datetime import datetime
 
-from rolewise.functions.scalar import KINDS, NUMERIC
+from rolewise.functions.scalar import KINDS, NUMERIC, TIMES
 
 
 class ModelError(ValueError):
@@ -130,8 +131,16 @@ class Model:
             raise ModelError(f"{v.name} is of the unknown kind {v.kind}")
         if (v.low is None) != (v.high is None):
             raise ModelError(f"the range of {v.name} lacks a bound")
-        if v.low is not None and (v.kind not in NUMERIC or v.low > v.high):
-            raise ModelError(f"the range of {v.name} is empty or not of numbers")
+        if v.low is not None:
+            if v.kind not in NUMERIC | TIMES:
+                raise ModelError(f"the range of {v.name} is not of numbers or times")
+            try:
+                low, high = (datetime.fromisoformat(x) if v.kind in TIMES else x for x in (v.low, v.high))
+                empty = low > high
+            except (TypeError, ValueError) as wrong:
+                raise ModelError(f"the range of {v.name} has bounds of another kind") from wrong
+            if empty:
+                raise ModelError(f"the range of {v.name} is empty")
         if len(set(v.allowed)) < len(v.allowed):
             raise ModelError(f"{v.name} allows a value twice")
         kinds = {"Int": int, "Decimal": (int, float), "Float": (int, float), "Bool": bool}

@@ -8,10 +8,12 @@ alone, *collateral* if it breaks others too, and *missing* if no population of t
 from __future__ import annotations
 
 from collections import defaultdict
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rolewise.functions.scalar import TIMES
 from rolewise.plans import compile as plan
 from rolewise.plans.model import Fact, Model, Rule, Value
 
@@ -31,6 +33,8 @@ def _good(v: Value, unique: str) -> str:
 
 def _bad(v: Value) -> str | None:
     """A literal outside the domain; null if there is none."""
+    if v.kind in TIMES and v.low is not None:
+        return (datetime.fromisoformat(v.high) + timedelta(days=1)).isoformat(" ")[: 10 if v.kind == "Date" else 26]
     if v.low is not None:
         return str(v.high + 1)
     if v.allowed:
@@ -38,7 +42,7 @@ def _bad(v: Value) -> str | None:
     return None
 
 
-class _Builder:
+class _Populations:
     """Collects the rows of disjoint populations."""
 
     def __init__(self, model: Model):
@@ -101,10 +105,10 @@ class _Builder:
             ddl = ", ".join(["_id string", *[f"`{f}` string" for f in names]])
             entities[e.name] = (spark.createDataFrame(rows, ddl), "_id", {f: f for f in names})
         facts = {f.name: spark.createDataFrame(self.facts[f.name], ", ".join(f"`{r}` string" for r in f.role_names)) for f in self.model.facts}
-        return plan.Binding(entities, facts)
+        return plan.Binding(entities, facts, literal=lambda value: F.regexp_replace(value, r"^\d+\|", ""))
 
 
-def _break_rule(b: _Builder, r: Rule) -> None:
+def _break_rule(b: _Populations, r: Rule) -> None:
     fact: Fact = b.model.fact(r.fact)
     if r.kind in ("uniqueness", "frequency"):
         first = dict(zip(fact.role_names, b.fact(r.fact), strict=True))
@@ -128,7 +132,7 @@ def _break_rule(b: _Builder, r: Rule) -> None:
         b.fact(r.other, {o: row[m] for m, o in zip(r.roles, r.other_roles, strict=True)})
 
 
-def _break(b: _Builder, obligation: str) -> None:
+def _break(b: _Populations, obligation: str) -> None:
     """Adds the population that is to break the obligation."""
     model = b.model
     kind, _, what = obligation.partition(":")
@@ -139,8 +143,10 @@ def _break(b: _Builder, obligation: str) -> None:
         b.facts[what].append(b.fact(what))
     elif kind == "player":
         name, role = what.rsplit(".", 1)
-        if model.player(name, role) in b.members:
-            b.fact(name, {role: f"{b.at}|stranger"})
+        b.fact(name, {role: f"{b.at}|stranger"})
+    elif kind == "value" and what.rsplit(".", 1)[0] not in b.fields:
+        name, role = what.rsplit(".", 1)
+        b.fact(name, {role: f"{b.at}|{_bad(b.values[model.player(name, role)])}"})
     elif kind in ("value", "required"):
         entity, name = what.rsplit(".", 1)
         of = next(of for f, of, _ in b.fields[entity] if f == name)
@@ -159,7 +165,7 @@ def _case(column: str) -> Column:
 
 def counterexamples(spark: SparkSession, model: Model) -> DataFrame:
     """``obligation_id, status, broken``: whether each obligation's witness is isolated, collateral or missing, and what it breaks."""
-    b = _Builder(model)
+    b = _Populations(model)
     known = [o for o, _ in plan.obligations(model)]
     for k, obligation in enumerate(known):
         b.start(str(k))
@@ -175,7 +181,7 @@ def counterexamples(spark: SparkSession, model: Model) -> DataFrame:
 
 def probes(spark: SparkSession, model: Model) -> DataFrame:
     """``obligation_id, probe, accepted``: valid populations at the bounds of each value domain, and whether the rules accept them."""
-    b, cases = _Builder(model), []
+    b, cases = _Populations(model), []
     for e in model.entities:
         for f, of, _ in e.fields:
             v = b.values[of]
@@ -183,6 +189,13 @@ def probes(spark: SparkSession, model: Model) -> DataFrame:
                 b.start(str(len(cases)))
                 b.members[e.name][b.new(e.name)][f] = str(literal)
                 cases.append((b.at, f"value:{e.name}.{f}", str(literal)))
+    for fact in model.facts:
+        for role, player in fact.roles:
+            v = b.values.get(player)
+            for literal in ([v.low, v.high] if v and v.low is not None else []) + list(v.allowed if v else ()):
+                b.start(str(len(cases)))
+                b.fact(fact.name, {role: f"{b.at}|{literal}"})
+                cases.append((b.at, f"value:{fact.name}.{role}", str(literal)))
     found = plan.violations(model, b.bound(spark)).select(_case("key").alias("case"), F.lit(True).alias("refused")).distinct()
     named = spark.createDataFrame(cases, "case string, obligation_id string, probe string")
     return named.join(found, "case", "left").select("obligation_id", "probe", F.col("refused").isNull().alias("accepted"))

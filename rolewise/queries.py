@@ -83,9 +83,9 @@ def _active(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _handover(spark: SparkSession, d: str) -> DataFrame:
-    order = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    pairs = table(spark, d, "events").select(F.col("user_id").alias("prev"), F.lead("user_id").over(order).alias("next"))
-    return pairs.where("next IS NOT NULL").distinct()
+    events = table(spark, d, "events").select("event_type", "ts", "event_id", "user_id")
+    pairs = facts.following(events, "event_type", ["ts", "event_id"], "user_id", F.date_trunc("hour", "ts"))
+    return pairs.select(F.col("user_id").alias("prev"), F.col("following").alias("next")).where("next IS NOT NULL").distinct()
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
@@ -104,14 +104,13 @@ def binding(spark: SparkSession, d: str) -> plan.Binding:
             "RichCustomer": (customers.where("c_acctbal > 9000"), "c_custkey", {}),
         },
         facts={
-            "Supply": lines.select("part", "supplier"),
             "Line": lines,
-            "Contains": lines.select("order", "part"),
             "Urgent": _with_priority(spark, d, "1-URGENT"),
             "Low": _with_priority(spark, d, "5-LOW"),
             "Active": _active(spark, d),
             "Handover": _handover(spark, d),
         },
+        projections={"Supply": ("Line", {"part": "part", "supplier": "supplier"}), "Contains": ("Line", {"order": "order", "part": "part"})},
     )
 
 
@@ -163,7 +162,8 @@ _KNOWN = ", ".join(f"('{o}', '{k}')" for o, k in plan.obligations(COMMERCE))
 SELECT obligation_id, kind, count(o)::BIGINT AS violations, CASE WHEN count(o) > 0 THEN 'violated' ELSE 'holds' END AS status
 FROM known LEFT JOIN v ON o = obligation_id GROUP BY obligation_id, kind""")
 def violation_summary(spark, d):
-    return plan.summary(COMMERCE, _violations(spark, d))
+    bound = binding(spark, d)
+    return plan.summary(COMMERCE, plan.violations(COMMERCE, bound), plan.checked(COMMERCE, bound))
 
 
 @query(f"""{VIOLATIONS} SELECT o AS obligation_id, c AS code, array_to_string(key, '|') AS key, n::BIGINT AS n
