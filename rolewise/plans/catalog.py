@@ -8,15 +8,18 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rolewise.functions.scalar import KINDS
 from rolewise.operators import evolution
 from rolewise.plans import compile as plan
 from rolewise.plans.model import Entity, Fact, Model, Rule, Value
 
 #: Fixed schema: the relations of a model.
 RELATIONS = {
+    "model": "name string",
+    "readings": "fact string, text string",
     "objects": "name string, kind string, scalar string",
     "domains": "value string, low string, high string, allowed array<string>",
     "fields": "owner string, name string, ordinal int, type string, required boolean, identifying int",
@@ -31,6 +34,8 @@ def encode(spark: SparkSession, model: Model) -> dict[str, DataFrame]:
     """The relations of a model, as :data:`RELATIONS` has them."""
     show = lambda x: None if x is None else str(x)
     rows = {
+        "model": [(model.name,)],
+        "readings": list(model.readings),
         "objects": [(e.name, "entity", None) for e in model.entities] + [(v.name, "value", v.kind) for v in model.values],
         "domains": [(v.name, show(v.low), show(v.high), [str(a) for a in v.allowed]) for v in model.values if v.low is not None or v.allowed],
         "fields": [(e.name, f, k, of, req, e.identity.index(f) if f in e.identity else None) for e in model.entities for k, (f, of, req) in enumerate(e.fields)],
@@ -61,7 +66,8 @@ def decode(relations: dict[str, DataFrame], name: str) -> Model:
             entities.append(Entity(o.name, tuple(f.name for f in ids), tuple((f.name, f.type, f.required) for f in mine)))
     facts = [Fact(f.name, tuple((r.name, r.player) for r in sorted(got["roles"], key=lambda r: r.ordinal) if r.fact == f.name), f.objectified) for f in got["facts"]]
     rules = [Rule(r.kind, r.fact, tuple(r.roles), r.other, tuple(r.other_roles), r.low, r.high) for r in sorted(got["rules"], key=lambda r: r.ordinal)]
-    return Model(name, tuple(entities), tuple(values), tuple(facts), tuple(rules), tuple((s.sub, s.sup) for s in got["subtypes"]))
+    readings = tuple((r.fact, r.text) for r in got["readings"])
+    return Model(name, tuple(entities), tuple(values), tuple(facts), tuple(rules), tuple((s.sub, s.sup) for s in got["subtypes"]), readings)
 
 
 _CHANGE = ["kind", "subject", "rule", "low_before", "high_before", "low_after", "high_after", "removed"]
@@ -92,7 +98,8 @@ def changes(before: dict[str, DataFrame], after: dict[str, DataFrame], hints: Da
     """``kind, subject, rule``, bounds before and after, and ``safety`` of every difference between two models' relations.
 
     ``hints(element, before_name, after_name)`` name renamed objects, facts, and roles or fields as ``owner.name``; nothing else is
-    taken for a rename, so without one it is a drop and an addition.
+    taken for a rename, so without one it is a drop and an addition.  A field whose hint names another owner is moved.  Rules and readings are
+    compared by the names that their roles have afterwards.
     """
     spark = before["objects"].sparkSession
     hints = hints if hints is not None else spark.createDataFrame([], "element string, before_name string, after_name string")
@@ -103,17 +110,33 @@ def changes(before: dict[str, DataFrame], after: dict[str, DataFrame], hints: Da
         old[relation] = _renamed(old[relation], column, of[kind])
     for relation, owner, kind in (("fields", "owner", "field"), ("roles", "fact", "role")):
         whole = _renamed(old[relation].withColumn("_path", F.concat_ws(".", owner, "name")), "_path", hints.where(F.col("element") == kind))
-        old[relation] = whole.withColumn("name", F.element_at(F.split("_path", r"\."), -1)).drop("_path")
+        path = F.split("_path", r"\.")
+        old[relation] = whole.withColumn("name", F.element_at(path, -1)).withColumn(owner, F.get(path, F.lit(0))).drop("_path")
+    # roles by their names afterwards, in rules and readings; the hints have a row for each renamed role
+    renames = {r.before_name: r.after_name for r in hints.where("element = 'role'").collect()}
+
+    def later(fact: str):
+        return lambda role: reduce(lambda c, h: F.when(F.concat_ws(".", F.col(fact), role) == h[0], h[1].rsplit(".", 1)[-1]).otherwise(c), renames.items(), role)
+
+    old["rules"] = old["rules"].withColumns({roles: F.transform(roles, later(fact)) for fact, roles in (("fact", "roles"), ("other", "other_roles"))})
+    text = reduce(lambda c, h: F.when(F.col("fact") == h[0].rsplit(".", 1)[0], F.replace(c, F.lit("{" + h[0].rsplit(".", 1)[-1] + "}"), F.lit("{" + h[1].rsplit(".", 1)[-1] + "}"))).otherwise(c), renames.items(), F.col("text"))
+    old["readings"] = old["readings"].withColumn("text", text)
     key = F.concat(F.col("kind"), F.lit(":"), "fact", F.lit("("), F.array_join("roles", ","), F.lit(")"), F.when(F.col("other") != "", F.concat(F.lit(":"), "other", F.lit("("), F.array_join("other_roles", ","), F.lit(")"))).otherwise(""))
     ruled = [r["rules"].withColumn("rule", key).withColumn("bounds", F.struct("low", "high")) for r in (old, after)]
-    domains = [r["domains"].select("value", F.col("low").cast("double").alias("low"), F.col("high").cast("double").alias("high"), "allowed").withColumn("range", F.struct("low", "high")) for r in (old, after)]
+    number = lambda c: F.coalesce(F.col(c).try_cast("double"), F.unix_micros(F.col(c).try_cast("timestamp")).cast("double"))
+    domains = [r["domains"].select("value", number("low").alias("low"), number("high").alias("high"), "allowed").withColumn("range", F.struct("low", "high")) for r in (old, after)]
     removed = "size(array_except(b.allowed, a.allowed))"
     domain = _compared(*domains, ["value"], ("add_constraint", "drop_constraint"), {"range": "change_range", "allowed": "change_allowed"})
+    objectification = F.when(F.col("kind") != "rename_objectification", F.col("kind")).when(F.col("b.objectified").isNull(), "add_objectification").when(F.col("a.objectified").isNull(), "drop_objectification").otherwise(F.col("kind"))
+    owner = lambda c: F.get(F.split(c, r"\."), F.lit(0))
+    moved = (F.col("element") == "field") & (owner("before_name") != owner("after_name"))
     fix = lambda df: df.withColumn("kind", F.lit("change_constraint"))
     parts = [
-        hints.select(F.concat(F.lit("rename_"), F.when(F.col("element") == "object", "object_type").otherwise(F.col("element"))).alias("kind"), F.col("after_name").alias("subject")).transform(_change),
+        hints.select(F.when(moved, "move_field").otherwise(F.concat(F.lit("rename_"), F.when(F.col("element") == "object", "object_type").otherwise(F.col("element")))).alias("kind"), F.col("after_name").alias("subject")).transform(_change),
+        _change(before["model"].select(F.lit("rename_model").alias("kind"), F.col("name").alias("_was")).join(after["model"].withColumnRenamed("name", "subject"), F.col("_was") != F.col("subject"))),
+        _change(_compared(old["readings"].groupBy("fact").agg(F.min("text").alias("text")), after["readings"].groupBy("fact").agg(F.min("text").alias("text")), ["fact"], ("add_reading", "drop_reading"), {"text": "change_reading"})),
         _change(_compared(old["objects"], after["objects"], ["name"], ("add_object_type", "drop_object_type"), {"kind": "change_object_type_kind", "scalar": "change_value_scalar"})),
-        _change(_compared(old["facts"], after["facts"], ["name"], ("add_fact", "drop_fact"), {"objectified": "rename_objectification"})),
+        _change(_compared(old["facts"], after["facts"], ["name"], ("add_fact", "drop_fact"), {"objectified": "rename_objectification"}).withColumn("kind", objectification)),
         _change(_compared(old["roles"], after["roles"], ["fact", "name"], ("add_role", "drop_role"), {"player": "change_role_player", "ordinal": "reorder_role"})),
         _change(_compared(old["fields"], after["fields"], ["owner", "name"], ("add_field", "drop_field"), {"type": "change_field_type", "required": "change_field_required", "identifying": "change_field_identifier"}), low_before="int(b.required)", low_after="int(a.required)"),
         _change(_compared(*ruled, ["rule"], ("add_constraint", "drop_constraint"), {"bounds": "change_constraint"}), "frequency", low_before="b.bounds.low", low_after="a.bounds.low", high_before="coalesce(b.bounds.high, 2147483647)", high_after="coalesce(a.bounds.high, 2147483647)"),
@@ -125,6 +148,19 @@ def changes(before: dict[str, DataFrame], after: dict[str, DataFrame], hints: Da
     return evolution.safety(reduce(lambda a, b: a.unionByName(b), parts))
 
 
+def ambiguities(found: DataFrame, before: dict[str, DataFrame], after: dict[str, DataFrame]) -> DataFrame:
+    """``kind, dropped, added``: where :func:`changes` both dropped and added types of one kind, or facts, so that some may be renames without a hint."""
+    both = []
+    for what, relation, kind in (("object_type", "objects", F.col("kind")), ("fact", "facts", F.lit("fact"))):
+        sides = []
+        for how, relations in (("drop", before), ("add", after)):
+            names = relations[relation].select(F.col("name").alias("subject"), kind.alias("of"))
+            gone = found.where(F.col("kind") == f"{how}_{what}").select("subject").join(names, "subject")
+            sides.append(gone.groupBy("of").agg(F.sort_array(F.collect_list("subject")).alias(f"{how}ped" if how == "drop" else "added")))
+        both.append(sides[0].join(sides[1], "of"))
+    return reduce(lambda a, b: a.unionByName(b), both).select(F.col("of").alias("kind"), "dropped", "added")
+
+
 def steps(found: DataFrame) -> DataFrame:
     """Changes as the steps of a migration: their ``phase`` and whether they run by themselves (``automatic``)."""
     kind = F.col("kind")
@@ -152,13 +188,139 @@ def preflight(before: Model, after: Model, bound: plan.Binding) -> DataFrame:
     return wanted.join(found.groupBy("obligation_id").agg(F.count(F.lit(1)).alias("violations")), "obligation_id", "left").fillna(0, ["violations"])
 
 
+# -- the tables of a model, and the operations that lead from one model's to another's ---------------------------------
+
+
+def physical(model: Model) -> dict[str, list[tuple]]:
+    """The tables that keep a model, as rows: ``tables(name)``, ``columns(table, name, type, nullable)``, ``keys(table, kind, columns, text)``.
+
+    An entity is a table of its fields and the key of what is above it, a fact one of its players' keys.  A key is the identifier of the
+    nearest type that has one, or a column ``id``.  Keys are primary, unique (also a frequency of one at most), check and foreign ones.
+    """
+    scalars = {v.name: KINDS[v.kind] for v in model.values}
+    fields = {e.name: {f: of for f, of, _ in e.fields} for e in model.entities}
+    objectified = {f.objectified for f in model.facts if f.objectified}
+
+    def key_of(type_: str) -> list[tuple[str, str]]:
+        if type_ in scalars:
+            return [("", scalars[type_])]
+        owner = next((t for t in model.above(type_) if type_ not in objectified and model.identifier(t) and t in fields and set(model.identifier(t)) <= set(fields[t])), None)
+        return [(f, scalars[fields[owner][f]]) for f in model.identifier(owner)] if owner else [("id", "bigint")]
+
+    def role_columns(role: str, player: str) -> list[tuple[str, str]]:
+        parts = key_of(player)
+        return [(role if len(parts) == 1 else f"{role}_{n}", t) for n, t in parts]
+
+    out: dict[str, list[tuple]] = {"tables": [], "columns": [], "keys": []}
+    domains = {v.name: v for v in model.values if v.low is not None or v.allowed}
+
+    def check(table: str, column: str, value: str) -> None:
+        if v := domains.get(value):
+            said = f"{column} BETWEEN {v.low!r} AND {v.high!r}" if v.low is not None else f"{column} IN ({', '.join(map(repr, v.allowed))})"
+            out["keys"].append((table, "check", [column], said))
+
+    for e in model.entities:
+        key = key_of(e.name)
+        out["tables"].append((e.name,))
+        mine = fields[e.name]
+        out["columns"] += [(e.name, n, t, False) for n, t in key if n not in mine]
+        out["columns"] += [(e.name, f, scalars[of], not (required or f in e.identity)) for f, of, required in e.fields]
+        out["keys"].append((e.name, "primary", [n for n, _ in key], ""))
+        for f, of in mine.items():
+            check(e.name, f, of)
+        if up := dict(model.subtypes).get(e.name):
+            out["keys"].append((e.name, "foreign", [n for n, _ in key], f"{up}({', '.join(n for n, _ in key_of(up))})"))
+    for f in model.facts:
+        columns = {r: role_columns(r, p) for r, p in f.roles}
+        names = lambda roles, columns=columns: [n for r in roles for n, _ in columns[r]]
+        out["tables"].append((f.name,))
+        out["columns"] += [(f.name, "id", "bigint", False)] * bool(f.objectified) + [(f.name, n, t, False) for r in columns for n, t in columns[r]]
+        out["keys"].append((f.name, "primary", ["id"] if f.objectified else names(columns), ""))
+        out["keys"] += [(f.name, "unique", names(columns), "")] * bool(f.objectified)
+        for r, p in f.roles:
+            if p in scalars:
+                check(f.name, r, p)
+            else:
+                target = next((g.name for g in model.facts if g.objectified == p), p)
+                out["keys"].append((f.name, "foreign", names([r]), f"{target}({', '.join(n for n, _ in key_of(p))})"))
+        for rule in model.rules:
+            if rule.fact == f.name and (rule.kind == "uniqueness" or (rule.kind == "frequency" and rule.high == 1)) and set(rule.roles) != set(f.role_names):
+                out["keys"].append((f.name, "unique", names(rule.roles), ""))
+            elif rule.fact == f.name and rule.kind == "unordered":
+                parts = [names([r]) for r in rule.roles]
+                said = " AND ".join(f"({', '.join(a)}) <= ({', '.join(b)})" for a, b in zip(parts, parts[1:], strict=False))
+                out["keys"].append((f.name, "check", names(rule.roles), said))
+    return {name: sorted(set((*r[:2], tuple(r[2]), *r[3:]) if name == "keys" else r for r in rows)) for name, rows in out.items()}
+
+
+#: The phases of operations in their order, and the kinds that come first within one.
+PHASES = ["rename", "create", "shape", "constraints", "foreign_keys", "cleanup", "manual"]
+FIRST_KINDS = ["rename_table", "rename_column"]
+
+
+def operations(spark: SparkSession, before: Model, after: Model, hints: DataFrame | None = None) -> DataFrame:
+    """``phase, kind, target, subject, safety, automatic`` of the steps from the tables of one model to those of another, in their order.
+
+    Renames are those that ``hints`` name; a new required column is added as optional and made required after it has been filled.
+    """
+    hints = hints if hints is not None else spark.createDataFrame([], "element string, before_name string, after_name string")
+    ddl = {"tables": "name string", "columns": "table string, name string, type string, nullable boolean", "keys": "table string, kind string, columns array<string>, text string"}
+    old, new = ({n: spark.createDataFrame([tuple(list(x) if isinstance(x, tuple) else x for x in r) for r in rows], ddl[n]) for n, rows in physical(m).items()} for m in (before, after))
+    tables = {r.before_name: r.after_name for r in hints.where("element IN ('object', 'fact')").collect()}
+    columns = {r.before_name: r.after_name.rsplit(".", 1)[-1] for r in hints.where("element IN ('field', 'role')").collect()}
+    col = F.col
+
+    def table_later(c: Column) -> Column:
+        return reduce(lambda done, h: F.when(c == h[0], h[1]).otherwise(done), tables.items(), c)
+
+    def column_later(table: Column, c: Column) -> Column:
+        return reduce(lambda done, h: F.when((table == tables.get(h[0].split(".")[0], h[0].split(".")[0])) & (c == h[0].split(".")[1]), h[1]).otherwise(done), columns.items(), c)
+
+    def op(df: DataFrame, phase: str, kind: str, safety: str, subject: Column | str = "") -> DataFrame:
+        what = subject if isinstance(subject, Column) else F.lit(subject)
+        return df.select(F.lit(phase).alias("phase"), F.lit(kind).alias("kind"), col("table").alias("target"), what.cast("string").alias("subject"), F.lit(safety).alias("safety"))
+
+    names = old["tables"].select(col("name").alias("was"), table_later(col("name")).alias("table")).join(new["tables"].select(col("name").alias("table"), F.lit(True).alias("now")), "table", "full_outer")
+    each = [op(names.where("was IS NULL"), "create", "create_table", "safe"), op(names.where("now IS NULL"), "cleanup", "drop_table", "destructive"), op(names.where("now AND was <> table"), "rename", "rename_table", "safe", col("was"))]
+    kept = names.where("now AND was IS NOT NULL").select("table")
+    a = old["columns"].withColumn("table", table_later(col("table"))).select("table", column_later(col("table"), col("name")).alias("name"), F.struct("name", "type", "nullable").alias("b"))
+    both = a.join(new["columns"].select("table", "name", F.struct("type", "nullable").alias("a")), ["table", "name"], "full_outer").join(kept, "table", "left_semi")
+    whole, added = both.where("a IS NOT NULL AND b IS NOT NULL"), both.where("b IS NULL")
+    each += [
+        op(whole.where("b.name <> name"), "rename", "rename_column", "safe", F.concat("b.name", F.lit(" to "), "name")),
+        op(whole.where("b.type <> a.type"), "manual", "change_column_type", "manual", col("name")),
+        op(whole.where("b.nullable AND NOT a.nullable"), "constraints", "set_not_null", "requires_data_check", col("name")),
+        op(whole.where("a.nullable AND NOT b.nullable"), "shape", "drop_not_null", "safe", col("name")),
+        op(added.where("a.nullable"), "shape", "add_column", "safe", col("name")),
+        op(added.where("NOT a.nullable"), "shape", "add_column_staged", "safe", col("name")),
+        op(added.where("NOT a.nullable"), "constraints", "set_not_null_after_backfill", "requires_data_check", col("name")),
+        op(both.where("a IS NULL"), "cleanup", "drop_column", "destructive", col("name")),
+    ]
+    shown = F.concat(F.array_join("columns", ","), F.when(col("text") != "", F.concat(F.lit(": "), "text")).otherwise(""))
+    later = old["keys"].withColumn("table", table_later(col("table"))).withColumn("columns", F.transform("columns", lambda c: column_later(col("table"), c)))
+    for n, change in columns.items():  # checks are texts
+        later = later.withColumn("text", F.when((col("kind") == "check") & (col("table") == tables.get(n.split(".")[0], n.split(".")[0])), F.regexp_replace("text", rf"\b{n.split('.')[1]}\b", change)).otherwise(col("text")))
+    for n, change in tables.items():  # and references name tables
+        later = later.withColumn("text", F.when(col("kind") == "foreign", F.regexp_replace("text", rf"^{n}\(", f"{change}(")).otherwise(col("text")))
+    x, y = (r.select("table", "kind", shown.alias("shown")) for r in (later, new["keys"]))
+    more, fewer = y.subtract(x), x.subtract(y)
+    fresh = more.where("kind = 'foreign'").join(kept, "table", "left_anti")
+    more, fewer = more.join(kept, "table", "left_semi"), fewer.join(kept, "table", "left_semi")
+    each += [op(fresh, "foreign_keys", "add_foreign_key", "safe", col("shown")), op(more.where("kind = 'primary'"), "manual", "change_primary_key", "manual", col("shown"))]
+    for kind, name in (("unique", "unique"), ("check", "check"), ("foreign", "foreign_key")):
+        each.append(op(more.where(col("kind") == kind), "foreign_keys" if kind == "foreign" else "constraints", f"add_{name}", "requires_data_check", col("shown")))
+        each.append(op(fewer.where(col("kind") == kind), "manual", f"drop_{name}", "manual", col("shown")))
+    found = reduce(lambda a, b: a.unionByName(b), each).withColumn("automatic", col("safety") == "safe")
+    place = F.array_position(F.lit(PHASES), col("phase"))
+    early = F.array_position(F.lit(FIRST_KINDS), col("kind"))
+    return found.orderBy(place, F.when(early > 0, early).otherwise(10), "target", "kind", "subject")
+
+
 def table_ddl(model: Model, entity: str, using: str = "parquet") -> str:
     """CREATE TABLE of an entity's fields for Spark's catalogue; required and identifying fields are NOT NULL.
 
     Spark enforces these on write and nothing else of the model: the rest is checked by the compiled rules.
     """
-    from rolewise.functions.scalar import KINDS
-
     kinds = {v.name: v.kind for v in model.values}
     e = next(x for x in model.entities if x.name == entity)
     columns = [f"`{f}` {KINDS[kinds[of]].upper()}{' NOT NULL' if required or f in e.identity else ''}" for f, of, required in e.fields]

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import hashlib
+import json
+import re
+from dataclasses import asdict, dataclass, field
 from datetime import datetime
 
 from rolewise.functions.scalar import KINDS, NUMERIC, TIMES
 
 
+#: A role's place in a reading.
+PLACE = re.compile(r"\{([A-Za-z_][A-Za-z0-9_]*)\}")
+
+
 class ModelError(ValueError):
     """A declaration that a model can't have."""
 
@@ -70,6 +77,9 @@ class Model:
     facts: tuple[Fact, ...] = ()
     rules: tuple[Rule, ...] = ()
     subtypes: tuple[tuple[str, str], ...] = ()  # (subtype, supertype)
+    readings: tuple[tuple[str, str], ...] = ()  # (fact, text with its roles in braces)
+    samples: tuple[tuple[str, tuple[str, ...]], ...] = ()  # (fact, literals)
+    analyses: tuple[tuple[str, tuple[str, ...]], ...] = ()  # (name, arguments)
     _by_name: dict = field(default_factory=dict, compare=False, repr=False)
 
     def __post_init__(self) -> None:
@@ -104,6 +114,12 @@ class Model:
             self._check_rule(r)
         if len({r.id for r in self.rules}) < len(self.rules):
             raise ModelError("a rule is declared twice")
+        for fact, text in self.readings:
+            if set(PLACE.findall(text)) - set(self.fact(fact).role_names):
+                raise ModelError(f"a reading of {fact} names an unknown role")
+        for fact, literals in self.samples:
+            if len(literals) != len(self.fact(fact).roles):
+                raise ModelError(f"a sample of {fact} has the wrong number of literals")
 
     def fact(self, name: str) -> Fact:
         found = self._by_name.get(name)
@@ -190,3 +206,27 @@ class Model:
                 fits = a == b or (r.kind != "equality" and b in self.above(a)) or (r.kind == "exclusion" and a in self.above(b))
                 if not fits:
                     raise ModelError(f"{r.id} compares {a} with {b}")
+
+
+def manifest(model: Model) -> dict:
+    """A model as plain values for JSON, with its parts in their order."""
+    out = asdict(model)
+    del out["_by_name"]
+    return out
+
+
+def from_manifest(data: dict) -> Model:
+    """The model that :func:`manifest` gave, also after JSON; ill-formed ones are refused as when they are declared."""
+
+    def tuples(x):
+        return tuple(map(tuples, x)) if isinstance(x, list | tuple) else x
+
+    made = {"entities": Entity, "values": Value, "facts": Fact, "rules": Rule}
+    parts = {k: tuple(made[k](**{n: tuples(x) for n, x in one.items()}) for one in data.get(k, ())) for k in made}
+    return Model(data["name"], **parts, **{k: tuples(data.get(k, ())) for k in ("subtypes", "readings", "samples", "analyses")})
+
+
+def fingerprint(model: Model) -> str:
+    """SHA-256 of the model's meaning: its manifest without samples, with keys in order."""
+    meaning = {k: v for k, v in manifest(model).items() if k != "samples"}
+    return hashlib.sha256(json.dumps(meaning, sort_keys=True, separators=(",", ":")).encode()).hexdigest()

@@ -39,14 +39,14 @@ def test_changes(spark):
         ("rename_object_type", "Human", "safe"), ("rename_role", "Member.person", "safe"), ("drop_object_type", "Gone", "destructive"), ("change_value_scalar", "Rank", "manual"),
         ("drop_fact", "Dropped", "destructive"), ("add_fact", "Added", "safe"), ("drop_role", "Dropped.x", "destructive"), ("add_role", "Added.x", "manual"),
         ("drop_field", "Human.old", "destructive"), ("add_field", "Human.new", "safe"), ("change_field_required", "Human.age", "requires_data_check"),
-        ("drop_constraint", "uniqueness:Member(team)", "safe"), ("drop_constraint", "frequency:Member(who)", "safe"), ("add_constraint", "frequency:Member(person)", "requires_data_check"),
+        ("drop_constraint", "uniqueness:Member(team)", "safe"), ("change_constraint", "frequency:Member(person)", "requires_data_check"),
         ("change_constraint", "Age", "requires_data_check"), ("change_constraint", "Level", "requires_data_check"),
     }
     assert catalog.changes(a, a).count() == 0
     plain = {(r.kind, r.subject) for r in catalog.changes(a, b).collect()}
     assert {("drop_object_type", "Person"), ("add_object_type", "Human"), ("change_subtype", "Staff")} <= plain
     phases = {r.kind: (r.phase, r.automatic) for r in catalog.steps(catalog.changes(a, b, hints)).collect()}
-    assert phases["drop_fact"] == ("cleanup", False) and phases["add_fact"] == ("schema", True) and phases["add_constraint"] == ("constraints", False)
+    assert phases["drop_fact"] == ("cleanup", False) and phases["add_fact"] == ("schema", True) and phases["change_constraint"] == ("constraints", False)
 
 
 def test_preflight(spark):
@@ -73,3 +73,40 @@ def test_ddl_writes_and_refuses(spark):
         assert spark.table("Person").count() == 1
     finally:
         spark.sql("DROP TABLE Person")
+
+
+def test_remaining_kinds_of_change_and_ambiguities(spark):
+    old = replace(BEFORE, readings=(("Member", "{who} is in {team}"), ("Dropped", "{x} is")), _by_name={})
+    new = replace(
+        BEFORE, name="Club", facts=(Fact("Member", (("person", "Person"), ("team", "Team"))), Fact("Fresh", (("x", "Person"),), "Record")), rules=(Rule("mandatory", "Member", ("team",)), Rule("frequency", "Member", ("person",), low=0, high=3), Rule("uniqueness", "Member", ("team",))),
+        entities=(Entity("Person", ("name",), (("name", "Name", True), ("age", "Age", False))), Entity("Staff"), Entity("Team", (), (("old", "Name", False),)), Entity("Guest")),
+        readings=(("Member", "{person} is within {team}"), ("Fresh", "{x} is fresh")), _by_name={},
+    )
+    a, b = catalog.encode(spark, old), catalog.encode(spark, new)
+    hints = spark.createDataFrame([("role", "Member.who", "Member.person"), ("field", "Person.old", "Team.old")], "element string, before_name string, after_name string")
+    found = catalog.changes(a, b, hints).cache()
+    assert {(r.kind, r.subject, r.safety) for r in found.collect()} == {
+        ("rename_model", "Club", "safe"), ("rename_role", "Member.person", "safe"), ("move_field", "Team.old", "manual"), ("drop_objectification", "Member", "destructive"),
+        ("drop_fact", "Dropped", "destructive"), ("drop_role", "Dropped.x", "destructive"), ("add_fact", "Fresh", "safe"), ("add_role", "Fresh.x", "manual"),
+        ("add_object_type", "Guest", "safe"), ("drop_object_type", "Gone", "destructive"), ("change_reading", "Member", "safe"), ("drop_reading", "Dropped", "safe"), ("add_reading", "Fresh", "safe"),
+    }
+    assert {(r.kind, tuple(r.dropped), tuple(r.added)) for r in catalog.ambiguities(found, a, b).collect()} == {("entity", ("Gone",), ("Guest",)), ("fact", ("Dropped",), ("Fresh",))}
+
+
+def test_operations(spark):
+    hints = spark.createDataFrame([("object", "Person", "Human"), ("role", "Member.who", "Member.person")], "element string, before_name string, after_name string")
+    rows = catalog.operations(spark, BEFORE, AFTER, hints).collect()
+    got = [(r.phase, r.kind, r.target, r.subject, r.automatic) for r in rows]
+    assert got[:4] == [("rename", "rename_table", "Human", "Person", True), ("rename", "rename_column", "Member", "who to person", True), ("create", "create_table", "Added", "", True), ("shape", "add_column", "Human", "new", True)]
+    assert set(got[4:]) == {
+        ("constraints", "add_check", "Human", "age: age BETWEEN 18 AND 130", False), ("constraints", "set_not_null", "Human", "age", False), ("foreign_keys", "add_foreign_key", "Added", "x: Human(name)", True),
+        ("cleanup", "drop_column", "Human", "old", False), ("cleanup", "drop_table", "Dropped", "", False), ("cleanup", "drop_table", "Gone", "", False),
+        ("manual", "drop_check", "Human", "age: age BETWEEN 0 AND 130", False), ("manual", "drop_unique", "Member", "team", False),
+    }
+    places = [catalog.PHASES.index(r.phase) for r in rows]
+    assert places == sorted(places) and {r.safety for r in rows} == {"safe", "destructive", "manual", "requires_data_check"}
+    assert catalog.operations(spark, AFTER, AFTER).count() == 0
+    staged = replace(AFTER, entities=(*AFTER.entities[:2], Entity("Team", (), (("code", "Rank", True), ("note", "Name", False)))), _by_name={})
+    assert [(r.kind, r.subject) for r in catalog.operations(spark, AFTER, staged).collect()] == [("add_column", "note"), ("add_column_staged", "code"), ("set_not_null_after_backfill", "code")]
+    keyed = replace(AFTER, entities=(*AFTER.entities[:2], Entity("Team", ("code",), (("code", "Rank", True),))), _by_name={})
+    assert {(r.kind, r.target) for r in catalog.operations(spark, AFTER, keyed).collect()} >= {("change_primary_key", "Team"), ("drop_foreign_key", "Member"), ("add_foreign_key", "Member"), ("change_column_type", "Member")}
