@@ -12,13 +12,13 @@ meets in at least one.  A key under which too many fingerprints meet is keyed ag
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rolewise.llm.common import FOLD, durable, in_batches, mix64, word_hashes
@@ -58,72 +58,75 @@ def likeness(a: Column, b: Column) -> Column:
 
 # -- each document and the next --------------------------------------------------------------------------------------
 
-#: Documents in a range of ids, about: a range is brought together in one task, row after row.
-RANGE = 1024
 _EDITED = ["doc_id", "n_chars", "edited_sha256", "fp", "edited_fp", "next_fp"]
+#: What a task gives: whole rows, its last row, which lacks the next, and its first one, which the task before needs.
+WHOLE, LAST, FIRST = range(3)
 
 
 def _sha(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
+def _paired(doc_id, text: str, fp: int, after: str, after_fp: int) -> tuple:
+    cut = len(text) // 4
+    changed = (text[: len(text) - cut] + after[:cut]).encode("utf-8", "surrogatepass")
+    return doc_id, len(text), _sha(changed), fp, fingerprint(changed), after_fp
+
+
+def _batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    types = [pa.int32(), pa.int32(), pa.string(), kind, pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+    columns = zip(*rows, strict=True) if rows else [()] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["part", "what", "text", *_EDITED])
+
+
 def _edit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs each row with the next of its range; rows that were sent as the next of another range only play that part."""
-    held = None
+    """Pairs each row of the task with the next, and tells its first and last ones with their texts."""
+    part, held, kind = TaskContext.get().partitionId(), None, None
     for batch in batches:
-        out: list[tuple] = []
-        for span, part, doc_id, text, fp in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), batch.column(4).to_pylist(), strict=True):
+        kind, out = batch.schema.field(0).type, []
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             own = text.as_py()
-            if held and held[0] == span:
-                before_id, before, before_fp = held[1:]
-                cut = len(before) // 4
-                after = (before[: len(before) - cut] + own[:cut]).encode("utf-8", "surrogatepass")
-                out.append((before_id, len(before), _sha(after), before_fp, fingerprint(after), fp))
-            held = None if part else (span, doc_id, own, fp)
-        types = [batch.schema.field(2).type, pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-        columns = zip(*out, strict=True) if out else [()] * len(types)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=_EDITED)
-
-
-def printed(docs: DataFrame, cuts: list[int]) -> DataFrame:
-    """``span`` (how many ``cuts`` are at or under the doc_id), ``doc_id``, ``text`` (null: empty) and ``fp``."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans = [0 if k is None else bisect_right(cuts, k) for k in batch.column(0).to_pylist()]
-            values = [fingerprint(t.as_py().encode("utf-8", "surrogatepass")) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([pa.array(spans, pa.int32()), *batch.columns, pa.array(values, pa.int64())], names=["span", "doc_id", "text", "fp"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    return in_batches(docs.select("doc_id", text), run, f"span int, doc_id {kind}, text string, fp bigint")
+            fp = fingerprint(own.encode("utf-8", "surrogatepass"))
+            if held:
+                out.append((part, WHOLE, None, *_paired(*held, own, fp)))
+            else:
+                out.append((part, FIRST, own, doc_id, None, None, fp, None, None))
+            held = doc_id, own, fp
+        yield _batch(out, kind)
+    if held:
+        yield _batch([(part, LAST, held[1], held[0], None, None, held[2], None, None)], kind)
+
+
+def _close(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs the last row of a task with the first of the next one that has rows."""
+    for batch in batches:
+        rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+        yield _batch([(None, WHOLE, None, *_paired(*r)) for r in rows], batch.schema.field(0).type)
 
 
 def edited(docs: DataFrame) -> DataFrame:
     """Each row of ``docs`` with its fingerprint, that of its edited text and that of the next document.
 
-    Documents go by doc_id, rows without one first, rows that share one by fingerprint and text; the last is followed by
-    the first, a single one by itself.  The ids are cut at quantiles, which are ids of rows.  One shuffle brings each
-    range between cuts together; the row at a cut is also sent to the range before, and the first row to the last range.
+    Documents go by doc_id, rows without one first, rows that share one by their text's hash; the last is followed by
+    the first, a single one by itself.  One shuffle by ranges of that order, which rows that are alike in both don't crowd, as
+    any of them may be next, brings each row to the one after it; only the first and last rows of the tasks meet again.
     A null text is empty; extra columns are left out; an empty table gives an empty one.
     """
-    ids = docs.agg(F.count(F.lit(1)), F.count("doc_id"), F.min("doc_id")).first()
-    n, named, least = ids
-    parts = min(max(n // RANGE, 1), 100_000)
-    share = [k / parts for k in range(1, parts)]
-    found = docs.agg(F.percentile_approx("doc_id", share, 20 * parts)).first()[0] if share else None
-    cuts = sorted({c for c in found or [] if c > least or named < n})
-    first = F.col("doc_id").isNull() if named < n else F.col("doc_id") == F.lit(least)
-    rows = printed(docs, cuts)
-    # where each row goes: its range, the range before if it is at a cut, the last range if it is the first row
-    own = F.struct("span", F.lit(0).alias("part"))
-    before = F.when(F.col("doc_id").isin(cuts), F.struct((F.col("span") - 1).alias("span"), F.lit(1).alias("part"))) if cuts else F.lit(None).cast("struct<span:int,part:int>")
-    wrapped = F.when(first, F.struct(F.lit(len(cuts)).alias("span"), F.lit(2).alias("part")))
-    sent = rows.select(F.explode(F.array_compact(F.array(own, before, wrapped))).alias("to"), "doc_id", "text", "fp")
-    placed = sent.select("to.span", "to.part", "doc_id", "text", "fp").repartition("span")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_chars bigint, edited_sha256 string, fp bigint, edited_fp bigint, next_fp bigint"
-    return in_batches(placed.sortWithinPartitions("span", "part", "doc_id", "fp", "text"), _edit, schema)
+    schema = f"part int, what int, text string, doc_id {kind}, n_chars bigint, edited_sha256 string, fp bigint, edited_fp bigint, next_fp bigint"
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    order = ["doc_id", "hash", "place"]
+    given = docs.select(docs["doc_id"].alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("hash"), F.monotonically_increasing_id().alias("place"))
+    ranged = given.repartitionByRange(*order).sortWithinPartitions(*order)
+    done = durable(in_batches(ranged.select("doc_id", "text"), _edit, schema))
+    last, first = done.where(F.col("what") == LAST), done.where(F.col("what") == FIRST)
+    every = Window.orderBy("part")  # a row for each task
+    ends = every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    then = first.select("part", F.coalesce(F.lead("part").over(every), F.first("part").over(ends)).alias("next"))
+    after = first.select(F.col("part").alias("next"), F.col("text").alias("after"), F.col("fp").alias("after_fp"))
+    met = last.join(then, "part").join(after, "next").select("doc_id", "text", "fp", "after", "after_fp")
+    closed = in_batches(met, _close, schema)
+    return done.where(F.col("what") == WHOLE).unionByName(closed).select(*_EDITED)
 
 
 # -- search ------------------------------------------------------------------------------------------------------------
