@@ -7,10 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rolewise.plans.model import Model, Rule, Value
+
 #: What each target does about each kind of obligation.  N: enforced natively, R: represented and not
 #: enforced, M: kept as metadata only.  ``spark`` stands for Parquet with the rules of this library run over it.
 CAPABILITIES = {
@@ -21,8 +23,11 @@ CAPABILITIES = {
     "preferred_identifier_compound": {"postgres": "N", "mongo": "N", "typedb": "R", "graphql": "R", "spark": "R"},
     "mandatory_field": {"postgres": "N", "mongo": "N", "typedb": "N", "graphql": "N", "spark": "N"},
     "mandatory_fact": {"postgres": "R", "mongo": "R", "typedb": "N", "graphql": "R", "spark": "R"},
+    "mandatory_fact_value": {"postgres": "R", "mongo": "R", "typedb": "R", "graphql": "R", "spark": "R"},
     "unordered_role_group": {"postgres": "N", "mongo": "N", "typedb": "R", "graphql": "R", "spark": "R"},
+    "unordered_role_group_compound": {"postgres": "N", "mongo": "R", "typedb": "R", "graphql": "R", "spark": "R"},
     "frequency_max_one": {"postgres": "N", "mongo": "N", "typedb": "N", "graphql": "R", "spark": "R"},
+    "frequency_max_one_other": {"postgres": "N", "mongo": "N", "typedb": "R", "graphql": "R", "spark": "R"},
     "frequency_from_zero": {"postgres": "R", "mongo": "R", "typedb": "N", "graphql": "R", "spark": "R"},
     "frequency": {"postgres": "R", "mongo": "R", "typedb": "R", "graphql": "R", "spark": "R"},
     "value": {"postgres": "N", "mongo": "N", "typedb": "N", "graphql": "R", "spark": "R"},
@@ -37,9 +42,101 @@ CAPABILITIES = {
 }
 STATUS = {"N": "native_enforced", "R": "represented_not_enforced", "M": "metadata_only"}
 ENFORCED, LOST = ["native_enforced", "emulated_enforced"], ["unsupported", "lossy_dropped"]
+#: Kinds of which a violation is something that isn't there, or follows from what is.
+ABSENT = ["mandatory", "subset", "equality", "ring", "subtype"]
 VERDICTS = ["preserved_observed", "preserved_claimed", "weakened_observed", "weakened", "lost", "metadata_only", "claim_falsified", "unknown"]
 
 
+def features(model: Model) -> list[tuple[str, str, str]]:
+    """(obligation, kind, feature of :data:`CAPABILITIES`) of a model's own rules, by kind and id: how each is told to targets.
+
+    A feature is chosen by the rule's shape: its number of roles, bounds, who plays, and how its players are identified.  A value type with a
+    domain that nothing uses has an obligation of its own; that a role's players are members is no obligation but part of every target.
+    """
+    values, entities = {v.name: v for v in model.values}, {e.name: e for e in model.entities}
+
+    def of_value(v: Value) -> str:
+        return "value_decimal_or_date" if v.kind in ("Decimal", "Date", "Timestamp") else "value"
+
+    def of_rule(r: Rule) -> str:
+        one = len(r.roles) == 1
+        if r.kind == "uniqueness":
+            return "uniqueness" if one else "uniqueness_composite"
+        player = model.player(r.fact, r.roles[0]) if r.roles else ""
+        if r.kind == "mandatory":
+            return "mandatory_fact_value" if player in values else "mandatory_fact"
+        if r.kind == "frequency":
+            if r.high == 1:
+                return "frequency_max_one" if one and r.low == 0 else "frequency_max_one_other"
+            return "frequency_from_zero" if one and r.low == 0 and player not in values else "frequency"
+        if r.kind == "unordered":
+            compound = player in entities and len(model.identifier(player)) > 1
+            return "unordered_role_group_compound" if compound else "unordered_role_group"
+        return "ring" if r.kind == "symmetric" else r.kind
+
+    used = {of for e in model.entities for _, of, _ in e.fields} | {p for f in model.facts for _, p in f.roles}
+    out = [(f"set:{f.name}", "fact_set_semantics", "fact_set_semantics") for f in model.facts]
+    out += [(r.id, "ring" if r.kind == "symmetric" else "unordered_role_group" if r.kind == "unordered" else r.kind, of_rule(r)) for r in model.rules]
+    for owner, name, of in [(e.name, f, of) for e in model.entities for f, of, _ in e.fields] + [(f.name, r, p) for f in model.facts for r, p in f.roles]:
+        if of in values and (values[of].low is not None or values[of].allowed):
+            out.append((f"value:{owner}.{name}", "value", of_value(values[of])))
+    out += [(f"value:{v.name}", "value", "value_unused") for v in model.values if (v.low is not None or v.allowed) and v.name not in used]
+    for e in model.entities:
+        out += [(f"required:{e.name}.{f}", "mandatory", "mandatory_field") for f, _, required in e.fields if required]
+        if e.identity:
+            out.append((f"identifier:{e.name}", "preferred_identifier", "preferred_identifier" if len(e.identity) == 1 else "preferred_identifier_compound"))
+    out += [(f"subtype:{a}<{b}", "subtype", "subtype") for a, b in model.subtypes]
+    return sorted(out, key=lambda o: (o[1], o[0]))
+
+
+def of_model(spark: SparkSession, model: Model, targets: Sequence[str], cases: DataFrame | None = None, live: DataFrame | None = None, shared: DataFrame | None = None) -> DataFrame:
+    """:func:`verdicts` of every obligation of a model, with its ``kind`` and ``feature``; evidence that isn't given is none."""
+    known = spark.createDataFrame(features(model), "obligation_id string, kind string, feature string")
+    none = lambda ddl: spark.createDataFrame([], ddl)
+    cases = cases if cases is not None else none("obligation_id string, target string, case_id string, runtime boolean")
+    live = live if live is not None else none("target string, case_id string, passed boolean")
+    shared = shared if shared is not None else none("obligation_id string, target string, passed boolean")
+    return known.join(verdicts(known.drop("kind"), capabilities(spark), cases, live, shared, targets), "obligation_id")
+
+
+def mutated(declared: DataFrame, mutations: DataFrame) -> DataFrame:
+    """``mutation_id`` with the capabilities of ``declared`` after it: the ``feature`` that it takes from its ``target`` is represented and no longer enforced."""
+    each = mutations.select("mutation_id", F.col("target").alias("_target"), F.col("feature").alias("_feature"))
+    of_target = declared.join(each, F.col("target") == F.col("_target"))
+    weaker = F.when((F.col("feature") == F.col("_feature")) & F.col("status").isin(ENFORCED), "represented_not_enforced").otherwise(F.col("status"))
+    return of_target.select("mutation_id", "feature", "target", weaker.alias("status"))
+
+
+#: The enforcement that each experiment takes from a target.
+MUTATIONS = [
+    ("postgres_fact_key", "postgres", "fact_set_semantics"), ("postgres_check", "postgres", "value"), ("mongo_unique_index", "mongo", "uniqueness"),
+    ("mongo_validator", "mongo", "mandatory_field"), ("typedb_card", "typedb", "mandatory_fact"), ("typedb_key", "typedb", "preferred_identifier"),
+]
+
+
+def expected_writes(rows: DataFrame) -> DataFrame:
+    """``rows(obligation_id, kind, target, status, lowered)`` and what writing a violating population should do there (``expected``), and whether the
+
+    state afterwards must be looked at (``needs_post_state``), as what is wrong is an absence or an entailment.
+    """
+    weak = F.col("status") == "represented_not_enforced"
+    expected = F.when(~F.col("lowered"), "not_executable").when(F.col("status").isin(ENFORCED), "prevented").when(weak, "realized").otherwise("not_asserted")
+    needs = F.col("kind").isin(ABSENT) & (expected == "realized")
+    return rows.withColumn("expected", expected).withColumn("needs_post_state", needs)
+
+
+def post_state(found: DataFrame, obligations: DataFrame) -> DataFrame:
+    """``obligation_id, n, post_state``: how many keys of a written population violate each of the ``obligations(obligation_id)``, and whether any does."""
+    n = found.groupBy("obligation_id").agg(F.count(F.lit(1)).alias("n"))
+    row = obligations.select("obligation_id").join(n, "obligation_id", "left").fillna(0, ["n"])
+    return row.withColumn("post_state", F.col("n") > 0)
+
+
+def static_results(rows: DataFrame) -> DataFrame:
+    """``target, n, all_passed`` of structural results ``rows(target, passed)``; a target without any has not passed."""
+    return rows.groupBy("target").agg(F.count("passed").alias("n"), F.coalesce(F.bool_and("passed"), F.lit(False)).alias("all_passed"))
+
+
 def capabilities(spark) -> DataFrame:
     """``feature, target, status`` of :data:`CAPABILITIES`."""
     rows = [(f, t, STATUS[s]) for f, by in CAPABILITIES.items() for t, s in by.items()]
@@ -114,7 +211,7 @@ def write_outcome(cases: DataFrame) -> DataFrame:
     pending) and ``isolated``.  A refusal of a witness that also breaks other rules says nothing about this one.
     """
     expected = F.when(F.col("status").isin(ENFORCED), "prevented").when(F.col("status") == "represented_not_enforced", "realized").otherwise("not_asserted")
-    needs = F.col("kind").isin("mandatory", "subset", "equality", "ring", "subtype") & (expected == "realized")
+    needs = F.col("kind").isin(ABSENT) & (expected == "realized")
     outcome, state = F.col("outcome"), F.col("post_state")
     level = (
         F.when(~F.col("lowered"), "not_executable")

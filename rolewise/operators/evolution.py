@@ -150,3 +150,22 @@ def merge(base: DataFrame, ours: DataFrame, theirs: DataFrame, key: str, columns
         chosen = F.when(settled, taken).otherwise(picked)
     outcome = F.when(~settled & choice.isNull(), "conflict").when(chosen.isNull(), "deleted").otherwise("kept")
     return seen.select(key, outcome.alias("outcome"), *[chosen[c].alias(c) for c in columns], "conflict_id", "reason")
+
+
+#: The kinds of elements that a merge of models compares, what each is called, and what a conflict about it bears on.
+ELEMENTS = [
+    ("object_type", "object type", "population semantics"), ("fact_type", "fact type", "population semantics"), ("role", "role", "population semantics"), ("constraint", "constraint", "population validity"),
+    ("reading", "fact reading", "verbalization"), ("field_hint", "field projection", "target projection"), ("sample", "sample fact", "example population"), ("analysis", "analysis rule", "model analysis"),
+    ("model_name", "model name", "presentation"), ("model_identity", "model identity", "identity"),
+]
+
+
+def explained(conflicts: DataFrame, kind: str = "element_kind") -> DataFrame:
+    """``conflicts`` with the ``term`` for their kind of element, the ``impact`` of a conflict about it, and the ``choices`` that resolve it.
+
+    A kind that isn't known is called by its own name.  Base is a choice only if there was one before, told by ``reason``.
+    """
+    known = conflicts.sparkSession.createDataFrame(ELEMENTS, "_kind string, term string, impact string")  # a row for each kind
+    row = conflicts.join(F.broadcast(known), F.col(kind) == F.col("_kind"), "left").drop("_kind")
+    choices = F.when(F.col("reason") == "both added", F.array(*map(F.lit, ("ours", "theirs", "delete")))).otherwise(F.array(*map(F.lit, ("ours", "theirs", "base", "delete"))))
+    return row.withColumn("term", F.coalesce("term", F.replace(F.col(kind), F.lit("_"), F.lit(" ")))).withColumn("impact", F.coalesce("impact", F.lit("semantic element"))).withColumn("choices", choices)

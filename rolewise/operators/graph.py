@@ -6,9 +6,10 @@ repeated until nothing changes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rolewise.plans.model import Model
 from rolewise.sources.tables import durable
 
 
@@ -112,6 +113,48 @@ def closure_order(parents: DataFrame, head: str) -> DataFrame:
     return ancestors(parents).where(F.col("revision") == head).select("ancestor", "depth").orderBy(F.desc("depth"), "ancestor")
 
 
+def analyses(model: Model, spark: SparkSession) -> DataFrame:
+    """``analysis, status, offenders`` of the analyses that a model asks for: passed, violated, not_applicable or unevaluated.
+
+    ``uniform`` takes one whole number and names the facts of another arity; ``connected`` names the parts that facts and players fall into by their least
+    names, and is not applicable without facts.  What has no definition here, such as ``directed``, is unevaluated.
+    """
+    rows = [(f.name, r, p) for f in model.facts for r, p in f.roles]
+    roles = spark.createDataFrame(rows, "fact string, role string, player string")
+    parts = None
+    for name, args in model.analyses:
+        none = F.array().cast("array<string>")
+        if name == "uniform" and len(args) == 1 and args[0].isdigit():
+            found, label = uniform(roles, int(args[0])).select(F.col("fact").alias("offender")), f"uniform({args[0]})"
+            wrong = F.size("offenders") > 0
+        elif name == "connected" and rows:
+            edges = roles.select(F.concat(F.lit("fact:"), "fact").alias("src"), F.concat(F.lit("type:"), "player").alias("dst"))
+            found, label = components(edges).select(F.col("component").alias("offender")).distinct(), name
+            wrong = F.size("offenders") > 1
+        else:
+            status = "not_applicable" if name == "connected" else "unevaluated"
+            row = spark.range(1).select(F.lit(name).alias("analysis"), F.lit(status).alias("status"), none.alias("offenders"))
+            parts = row if parts is None else parts.unionByName(row)
+            continue
+        listed = found.agg(F.sort_array(F.collect_list("offender")).alias("offenders"))
+        row = listed.select(F.lit(label).alias("analysis"), F.when(wrong, "violated").otherwise("passed").alias("status"), F.when(wrong, F.col("offenders")).otherwise(none).alias("offenders"))
+        parts = row if parts is None else parts.unionByName(row)
+    return parts if parts is not None else spark.createDataFrame([], "analysis string, status string, offenders array<string>")
+
+
+def objectified_order(roles: DataFrame, objectified: DataFrame) -> DataFrame:
+    """``fact, needs, under``: the facts that must be there before each, as it is played by what objectifies them, those first that others need.
+
+    ``roles(fact, role, player)`` and ``objectified(type, fact)``.  ``under`` is how many facts a needed one needs itself: always fewer than
+    what needs it, so that order by it puts every fact after all that it needs.
+    """
+    uses = roles.join(objectified.select(F.col("type").alias("player"), F.col("fact").alias("needs")), "player").select(F.col("fact").alias("src"), F.col("needs").alias("dst")).distinct()
+    reach = closure(uses)
+    below = reach.groupBy(F.col("src").alias("dst")).agg(F.count(F.lit(1)).alias("under"))
+    row = reach.join(below, "dst", "left").select(F.col("src").alias("fact"), F.col("dst").alias("needs"), F.coalesce("under", F.lit(0)).alias("under"))
+    return row.orderBy("fact", "under", "needs")
+
+
 #: The code, the referring relation and column, the relation referred to and its key.
 REFERENCES = [
     ("OBJECTIFICATION_UNKNOWN_FACT", "objectified", "fact", "facts", "fact"),

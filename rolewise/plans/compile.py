@@ -35,6 +35,34 @@ class Binding:
     literal: Callable[[Column], Column] | None = lambda value: value
 
 
+def binding_problems(model: Model, bound: Binding) -> list[tuple[str, str]]:
+    """(element, problem) of everything that a binding names and the model or the tables lack, and what of the model it leaves unbound."""
+    out, entities, facts = [], {e.name: e for e in model.entities}, {f.name: f for f in model.facts}
+    for name, (table, key, columns) in bound.entities.items():
+        if name not in entities:
+            out.append((name, "no such entity"))
+            continue
+        fields = {f: of for f, of, _ in entities[name].fields}
+        out += [(name, f"the table has no key column {key}")] * (key not in table.columns)
+        out += [(f"{name}.{f}", "no such field") for f in columns if f not in fields]
+        out += [(f"{name}.{f}", f"the table has no column {c}") for f, c in columns.items() if c not in table.columns]
+        out += [(f"{name}.{f}", "not bound") for f in fields if f not in columns]
+    for name, table in bound.facts.items():
+        if name not in facts:
+            out.append((name, "no such fact"))
+        else:
+            out += [(f"{name}.{r}", "the table has no such column") for r in facts[name].role_names if r not in table.columns]
+    for name, (base, roles) in bound.projections.items():
+        if name not in facts or base not in bound.facts:
+            out.append((name, f"no projection of {base}"))
+        else:
+            out += [(f"{name}.{r}", "not bound") for r in facts[name].role_names if r not in roles]
+            out += [(f"{name}.{r}", f"{base} has no role {c}") for r, c in roles.items() if c not in facts[base].role_names]
+    out += [(name, "bound twice") for name in set(bound.facts) & set(bound.projections)]
+    out += [(e, "not bound") for e in entities if e not in bound.entities]
+    return sorted(out + [(f, "not bound") for f in facts if f not in bound.facts and f not in bound.projections])
+
+
 #: What a plan decides, and its rows: obligation_id, code, subject, key, n.
 Plan = tuple[list[str], DataFrame]
 

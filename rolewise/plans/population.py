@@ -137,3 +137,63 @@ def sample_violations(model: Model, samples: DataFrame) -> DataFrame:
             found = getattr(rules, r.kind)(wide[r.fact], r.roles, wide[r.other], r.other_roles)
             each.append(told(found, f"{r.kind.upper()}_VIOLATION", r.id, list(r.roles)))
     return reduce(lambda a, b: a.unionByName(b), each)
+
+
+# -- what a population's physical form can't hold ---------------------------------------------------------------------
+
+#: What a gap does to writing a population exactly to a target with one wide row for each owner.
+EFFECTS = {"standalone_value": "unsupported", "unresolved_objectification": "unsupported", "invalid_subtype": "representation_prevents_exact_realization", "multivalued_field": "representation_prevents_exact_realization"}
+
+
+def gaps(model: Model, population: dict[str, DataFrame]) -> DataFrame:
+    """``gap, element, instance``: what keeps a population from being written as wide rows.
+
+    A value that no fact uses, an occurrence or instance of an objectified fact without a binding where one is needed, a member of a subtype that its
+    supertype lacks, and a field with several values for one owner.
+    """
+    col, each = F.col, []
+    facts, members = population["facts"], population["memberships"].select("object_type", "instance_id").distinct()
+    spark = facts.sparkSession
+
+    def told(rows: DataFrame, gap: str, element: Column, instance: Column) -> DataFrame:
+        return rows.select(F.lit(gap).alias("gap"), element.cast("string").alias("element"), instance.cast("string").alias("instance"))
+
+    used = facts.select(F.explode("players").alias("instance_id")).distinct()
+    each.append(told(population["values"].select("instance_id", "value_type").distinct().join(used, "instance_id", "left_anti"), "standalone_value", col("value_type"), col("instance_id")))
+    bound = population["objectifications"]
+    kinds = [(f.objectified, f.name, any(p == f.objectified for g in model.facts for _, p in g.roles)) for f in model.facts if f.objectified]
+    types = spark.createDataFrame(kinds, "object_type string, fact string, plays boolean")  # a row for each objectified fact
+    rows = facts.select("fact", "row_index").distinct()
+    needed = rows.join(F.broadcast(types.where("plays").select("fact")), "fact")
+    each.append(told(needed.join(bound.select("fact", "row_index"), ["fact", "row_index"], "left_anti"), "unresolved_objectification", col("fact"), col("row_index")))
+    right = bound.join(F.broadcast(types.select("object_type", "fact")), ["object_type", "fact"]).join(rows, ["fact", "row_index"], "left_semi")
+    of_type = members.join(F.broadcast(types.select("object_type")), "object_type")
+    each.append(told(of_type.join(right.select("object_type", "instance_id"), ["object_type", "instance_id"], "left_anti"), "unresolved_objectification", col("object_type"), col("instance_id")))
+    above = spark.createDataFrame(list(model.subtypes), "object_type string, _above string")  # a row for each subtype
+    held = members.select(col("object_type").alias("_above"), "instance_id")
+    each.append(told(members.join(F.broadcast(above), "object_type").join(held, ["_above", "instance_id"], "left_anti"), "invalid_subtype", col("object_type"), col("instance_id")))
+    fields = spark.createDataFrame([(f"{e.name}__{f}",) for e in model.entities for f, _, _ in e.fields], "fact string")  # a row for each field
+    many = facts.join(F.broadcast(fields), "fact").where(F.size("players") == 2).groupBy("fact", col("players")[0].alias("owner")).agg(F.min(col("players")[1]).alias("least"), F.max(col("players")[1]).alias("most"))
+    each.append(told(many.where("least <> most"), "multivalued_field", col("fact"), col("owner")))
+    return reduce(lambda a, b: a.unionByName(b), each)
+
+
+def lowering(found: DataFrame, cases: DataFrame, effects: dict[str, dict[str, str]]) -> DataFrame:
+    """``case, target, status``: whether each of ``cases(case)`` can be written to each target, by the gaps ``found(case, gap)`` in it.
+
+    ``effects`` maps a target to what each gap does there, see :data:`EFFECTS`; a gap that it lacks doesn't matter.  Unsupported goes before a
+    representation that prevents, and a case without any that matters is lowered.
+    """
+    worst = ["unsupported", "representation_prevents_exact_realization"]
+    every = [(t, g, worst.index(e)) for t, of in effects.items() for g, e in of.items()]
+    spark = found.sparkSession
+    known = spark.createDataFrame(every, "target string, gap string, worse int")  # a row for each target and gap
+    hit = found.select("case", "gap").distinct().join(F.broadcast(known), "gap").groupBy("case", "target").agg(F.min("worse").alias("worse"))
+    row = cases.select("case", F.explode(F.array(*[F.lit(t) for t in effects])).alias("target")).join(hit, ["case", "target"], "left")
+    return row.select("case", "target", F.when(F.col("worse") == 0, worst[0]).when(F.col("worse") == 1, worst[1]).otherwise("lowered").alias("status"))
+
+
+def lowering_counts(rows: DataFrame) -> DataFrame:
+    """How many cases of :func:`lowering` have each status, a row for each target."""
+    names = ["lowered", "representation_prevents_exact_realization", "unsupported"]
+    return rows.groupBy("target").agg(*[F.count_if(F.col("status") == n).alias(n) for n in names])

@@ -21,14 +21,19 @@ from rolewise.plans.model import Fact, Model, Rule, Value
 DEPTH = 3
 
 
-def _good(v: Value, unique: str) -> str:
-    """A literal of the value type, different for each ``unique`` where the domain allows."""
+def _good(v: Value, unique: str, number: int) -> str:
+    """A literal of the value type, different for each ``unique`` and ``number`` where the domain has enough."""
     if v.allowed:
-        return str(v.allowed[0])
+        return str(v.allowed[number % len(v.allowed)])
+    if v.kind in TIMES:
+        first = datetime.fromisoformat(v.low or "2024-01-01")
+        last = datetime.fromisoformat(v.high) if v.high else None
+        day = first + timedelta(days=number)
+        return (day if last is None or day <= last else first).isoformat(" ")[: 10 if v.kind == "Date" else 26]
     if v.low is not None:
-        return str(v.low)
-    fixed = {"Int": "1", "Decimal": "1", "Float": "1", "Bool": "true", "Date": "2024-01-01", "Timestamp": "2024-01-01 00:00:00", "UUID": "00000000-0000-0000-0000-000000000000"}
-    return unique if v.kind == "String" else fixed[v.kind]
+        return str(v.low + number if v.low + number <= v.high else v.low)
+    fixed = {"Bool": ("true", "false")[number % 2], "UUID": f"00000000-0000-0000-0000-{number:012}"}
+    return unique if v.kind == "String" else fixed.get(v.kind, str(number))
 
 
 def _bad(v: Value) -> str | None:
@@ -61,10 +66,10 @@ class _Populations:
         self.n += 1
         name = f"{self.at}|{type_}{self.n}"
         if type_ in self.values:
-            return f"{self.at}|{_good(self.values[type_], name)}"
+            return f"{self.at}|{_good(self.values[type_], name, self.n)}"
         for t in self.model.above(type_) if above and type_ in self.members else [type_]:
             if t in self.members:
-                self.members[t][name] = {f: _good(self.values[of], name) for f, of, _ in self.fields[t]}
+                self.members[t][name] = {f: _good(self.values[of], name, self.n) for f, of, _ in self.fields[t]}
         for r in self.model.rules:
             player = self.model.player(r.fact, r.roles[0]) if r.kind == "mandatory" else None
             if player in self.model.above(type_) and (r.fact, r.roles[0]) != skip and depth < DEPTH:
@@ -163,39 +168,148 @@ def _case(column: str) -> Column:
     return F.regexp_extract(F.array_join(F.col(column), ","), r"(\d+)\|", 1)
 
 
-def counterexamples(spark: SparkSession, model: Model) -> DataFrame:
-    """``obligation_id, status, broken``: whether each obligation's witness is isolated, collateral or missing, and what it breaks."""
+def _broken(spark: SparkSession, model: Model, b: _Populations) -> DataFrame:
+    """``case, broken``: the obligations that each population breaks."""
+    found = plan.violations(model, b.bound(spark)).withColumn("case", _case("key"))
+    return found.groupBy("case").agg(F.sort_array(F.collect_set("obligation_id")).alias("broken"))
+
+
+def _witnesses(model: Model) -> tuple[_Populations, list[str]]:
     b = _Populations(model)
     known = [o for o, _ in plan.obligations(model)]
     for k, obligation in enumerate(known):
         b.start(str(k))
         _break(b, obligation)
-    found = plan.violations(model, b.bound(spark)).withColumn("case", _case("key"))
-    broken = found.groupBy("case").agg(F.sort_array(F.collect_set("obligation_id")).alias("broken"))
+    return b, known
+
+
+def counterexamples(spark: SparkSession, model: Model) -> DataFrame:
+    """``obligation_id, status, broken``: whether each obligation's witness is isolated, collateral or missing, and what it breaks."""
+    b, known = _witnesses(model)
     cases = spark.createDataFrame([(str(k), o) for k, o in enumerate(known)], "case string, obligation_id string")
-    row = cases.join(broken, "case", "left").withColumn("broken", F.coalesce("broken", F.array().cast("array<string>")))
+    row = cases.join(_broken(spark, model, b), "case", "left").withColumn("broken", F.coalesce("broken", F.array().cast("array<string>")))
     own = F.array_contains("broken", F.col("obligation_id"))
     status = F.when(~own, "missing").when(F.size("broken") == 1, "isolated").otherwise("collateral")
     return row.select("obligation_id", status.alias("status"), "broken")
 
 
-def probes(spark: SparkSession, model: Model) -> DataFrame:
-    """``obligation_id, probe, accepted``: valid populations at the bounds of each value domain, and whether the rules accept them."""
-    b, cases = _Populations(model), []
-    for e in model.entities:
+#: One thing of a population that can be left out: a row of a fact, or a member of a type.
+Atom = tuple[str, str, object]
+
+
+def _atoms(b: _Populations, case: str) -> list[Atom]:
+    mine = lambda name: str(name).startswith(f"{case}|")
+    rows = [("fact", f, row) for f, rows in b.facts.items() for row in rows if mine(row[0])]
+    return rows + [("member", t, (name, fields)) for t, members in b.members.items() for name, fields in members.items() if mine(name)]
+
+
+def _renumbered(b: _Populations, case: str, to: str, atoms: list[Atom]) -> None:
+    """Adds a case's atoms under another number."""
+    move = lambda x: to + x[len(case) :] if isinstance(x, str) and x.startswith(f"{case}|") else x
+    for kind, of, what in atoms:
+        if kind == "fact":
+            b.facts[of].append(tuple(map(move, what)))
+        else:
+            b.members[of][move(what[0])] = {f: move(x) for f, x in what[1].items()}
+
+
+def shrunk(spark: SparkSession, model: Model) -> DataFrame:
+    """``obligation_id, fact_rows, members, left_out``: the isolated witnesses with nothing in them that can be left out by itself.
+
+    Each round judges all witnesses without any one of their atoms at once, by one plan, and leaves out the first atom of each without which it
+    is still isolated, until there is none.  That is a local minimum, as of single atoms, and no more is claimed.
+    """
+    b, known = _witnesses(model)
+    isolated = {r.obligation_id for r in counterexamples(spark, model).where("status = 'isolated'").collect()}
+    atoms = {k: _atoms(b, str(k)) for k, o in enumerate(known) if o in isolated}
+    before, open_ = {k: len(a) for k, a in atoms.items()}, set(atoms)
+    while open_:
+        trial, tried = _Populations(model), []
+        for k in sorted(open_):
+            for i in range(len(atoms[k])):
+                _renumbered(trial, str(k), str(len(tried)), atoms[k][:i] + atoms[k][i + 1 :])
+                tried.append((k, i))
+        still = {int(r.case): r.broken for r in _broken(spark, model, trial).collect() if r.case}
+        first: dict[int, int] = {}
+        for n, (k, i) in enumerate(tried):
+            if still.get(n) == [known[k]]:
+                first.setdefault(k, i)
+        for k, i in first.items():
+            del atoms[k][i]
+        open_ = set(first)
+    rows = [(known[k], sum(x[0] == "fact" for x in a), sum(x[0] == "member" for x in a), before[k] - len(a)) for k, a in atoms.items()]
+    return spark.createDataFrame(rows, "obligation_id string, fact_rows int, members int, left_out int")
+
+
+def sizes(witnesses: DataFrame) -> DataFrame:
+    """The least, mean and greatest size of :func:`shrunk` witnesses, how much was left out of all and of one, and how many there are."""
+    columns = [f(c).alias(f"{name}_{c}") for c in ("fact_rows", "members") for name, f in (("least", F.min), ("mean", F.avg), ("most", F.max))]
+    return witnesses.agg(F.count(F.lit(1)).alias("witnesses"), *columns, F.sum("left_out").alias("left_out"), F.max("left_out").alias("most_left_out"))
+
+
+def _value_probes(b: _Populations) -> list[tuple[str, str]]:
+    """Populations with a value at each bound of a range and each value of an enumeration."""
+    bounds = lambda v: [v.low, v.high] if v.low is not None else list(v.allowed)
+    cases = []
+    for e in b.model.entities:
         for f, of, _ in e.fields:
-            v = b.values[of]
-            for literal in ([v.low, v.high] if v.low is not None else []) + list(v.allowed):
-                b.start(str(len(cases)))
+            for literal in bounds(b.values[of]):
+                _begin(b, cases, f"value:{e.name}.{f}", str(literal))
                 b.members[e.name][b.new(e.name)][f] = str(literal)
-                cases.append((b.at, f"value:{e.name}.{f}", str(literal)))
-    for fact in model.facts:
+    for fact in b.model.facts:
         for role, player in fact.roles:
-            v = b.values.get(player)
-            for literal in ([v.low, v.high] if v and v.low is not None else []) + list(v.allowed if v else ()):
-                b.start(str(len(cases)))
+            for literal in bounds(b.values[player]) if player in b.values else []:
+                _begin(b, cases, f"value:{fact.name}.{role}", str(literal))
                 b.fact(fact.name, {role: f"{b.at}|{literal}"})
-                cases.append((b.at, f"value:{fact.name}.{role}", str(literal)))
+    return cases
+
+
+def _begin(b: _Populations, cases: list[tuple[str, str]], obligation: str, probe: str) -> None:
+    b.start(str(len(cases)))
+    cases.append((obligation, probe))
+
+
+def _rule_probes(b: _Populations, cases: list[tuple[str, str]]) -> None:
+    """Populations that meet each rule: as little as it allows, and as much where it has an upper bound."""
+    model = b.model
+    for f in model.facts:
+        _begin(b, cases, f"set:{f.name}", "one row")
+        b.fact(f.name)
+    for r in model.rules:
+        fact = model.fact(r.fact)
+        names = {"uniqueness": ["two keys"], "frequency": ["least", "most"] if r.high else ["least"], "mandatory": ["a member that takes part"], "symmetric": ["a pair and its reverse"], "unordered": ["one order"],
+                 "subset": ["in both"], "equality": ["in both"], "exclusion": ["one in each"]}[r.kind]
+        for probe in names:
+            _begin(b, cases, r.id, probe)
+            if r.kind == "mandatory":
+                b.new(model.player(r.fact, r.roles[0]))
+                continue
+            row = dict(zip(fact.role_names, b.fact(r.fact), strict=True))
+            if r.kind == "uniqueness":
+                b.fact(r.fact)
+            elif probe == "most" and set(r.roles) != set(fact.role_names):
+                key = {k: row[k] for k in r.roles}
+                while sum(all(dict(zip(fact.role_names, x, strict=True))[k] == v for k, v in key.items()) for x in set(b.facts[r.fact])) < r.high:
+                    b.fact(r.fact, key)
+            elif r.kind == "exclusion":
+                b.fact(r.other)
+    for e in model.entities:
+        if e.identity:
+            _begin(b, cases, f"identifier:{e.name}", "two members")
+            b.new(e.name), b.new(e.name)
+    for sub, sup in model.subtypes:
+        _begin(b, cases, f"subtype:{sub}<{sup}", "in both")
+        b.new(sub)
+
+
+def probes(spark: SparkSession, model: Model) -> DataFrame:
+    """``obligation_id, probe, accepted``: small valid populations for every obligation, and whether the rules accept them.
+
+    Values are probed at the bounds of their ranges and at each that an enumeration allows; rules with as little and as much as they allow.
+    """
+    b = _Populations(model)
+    cases = _value_probes(b)
+    _rule_probes(b, cases)
     found = plan.violations(model, b.bound(spark)).select(_case("key").alias("case"), F.lit(True).alias("refused")).distinct()
-    named = spark.createDataFrame(cases, "case string, obligation_id string, probe string")
+    named = spark.createDataFrame([(str(k), *c) for k, c in enumerate(cases)], "case string, obligation_id string, probe string")
     return named.join(found, "case", "left").select("obligation_id", "probe", F.col("refused").isNull().alias("accepted"))

@@ -7,6 +7,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rolewise.functions.scalar import normal_check
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder, which all executors share; only a local session that names none gets one of its own."""
@@ -54,6 +56,81 @@ def population(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {"memberships": member, "values": value, "facts": fact, "objectifications": bound}
 
 
+class SourceError(ValueError):
+    """A file that says other things than it holds, or was made for something else."""
+
+
+def checked_population(spark: SparkSession, path: str, arities: dict[str, int], fingerprint: str | None = None) -> dict[str, DataFrame]:
+    """:func:`population` of one JSON document, refused unless it is whole.
+
+    Every fact must be in ``arities``, in one block, its rows of that length; ``row_count`` must be the number of rows and
+    ``model_sha256`` the ``fingerprint`` of the model it is read for, where the document has them.  The checks are one small aggregate.
+    """
+    relations = population(spark, path)
+    said = spark.read.schema(f"{POPULATION}, row_count bigint, model_sha256 string").option("multiLine", True).json(path)
+    blocks = said.select(F.explode("facts").alias("f")).groupBy("f.fact_type_id").agg(F.count(F.lit(1)).alias("n"))
+    twice = [r.fact_type_id for r in blocks.where("n > 1").limit(20).collect()]
+    if twice:
+        raise SourceError(f"facts in more than one block: {twice}")
+    known = spark.createDataFrame(list(arities.items()), "fact string, arity int")  # a row for each fact type
+    rows = relations["facts"].join(F.broadcast(known), "fact", "left")
+    unknown, wrong, n = rows.agg(F.max(F.when(F.col("arity").isNull(), F.col("fact"))), F.max(F.when(F.size("players") != F.col("arity"), F.col("fact"))), F.count(F.lit(1))).first()
+    head = said.agg(F.max("row_count").alias("row_count"), F.max("model_sha256").alias("model_sha256")).first()
+    for bad, what in (
+        (unknown is not None, f"there is no fact {unknown}"),
+        (wrong is not None, f"a row of {wrong} has the wrong number of players"),
+        (head.row_count is not None and head.row_count != n, f"{head.row_count} rows are announced and {n} there"),
+        (fingerprint is not None and head.model_sha256 not in (None, fingerprint), "the population was written for another model"),
+    ):
+        if bad:
+            raise SourceError(what)
+    return relations
+
+
+EVIDENCE = "format string, target string, model_sha256 string, case_plan_sha256 string, status string, case_count bigint, results array<struct<obligation_id:string,target:string,passed:boolean>>"
+#: The format of evidence that this library writes and takes.
+EVIDENCE_FORMAT = "rolewise-evidence-1"
+
+
+def write_evidence(results: DataFrame, path: str, target: str, identity: dict[str, str]) -> None:
+    """``results(obligation_id, passed)`` as one JSON document for :func:`evidence`; a row for each obligation of a model."""
+    rows = [(r.obligation_id, target, r.passed) for r in results.select("obligation_id", "passed").collect()]
+    one = (EVIDENCE_FORMAT, target, identity["model_sha256"], identity["case_plan_sha256"], "completed", len(rows), rows)
+    results.sparkSession.createDataFrame([one], EVIDENCE).coalesce(1).write.mode("overwrite").json(path)
+
+
+def evidence(spark: SparkSession, path: str, target: str, identity: dict[str, str]) -> DataFrame:
+    """``obligation_id, target, passed`` of an evidence document that was made for this target, model and plan of cases, and is whole.
+
+    ``identity`` has ``model_sha256`` and ``case_plan_sha256``; an obligation twice, a row for another target or a wrong number of rows is refused.
+    """
+    found = spark.read.schema(EVIDENCE).json(path).limit(2).collect()
+    if len(found) != 1:
+        raise SourceError("there must be one evidence document")
+    one = found[0]
+    expected = {"format": EVIDENCE_FORMAT, "target": target, **identity}
+    for name, value in expected.items():
+        if one[name] != value:
+            raise SourceError(f"evidence of {target}: {name} is {one[name]!r} and not {value!r}")
+    rows = one.results or []
+    if any(not r.obligation_id for r in rows) or len({r.obligation_id for r in rows}) < len(rows):
+        raise SourceError(f"evidence of {target}: an obligation is missing or twice")
+    if any(r.target not in (None, target) for r in rows):
+        raise SourceError(f"evidence of {target}: a result is of another target")
+    if one.status == "completed" and one.case_count not in (None, len(rows)):
+        raise SourceError(f"evidence of {target}: {one.case_count} cases are announced and {len(rows)} there")
+    return spark.createDataFrame([(r.obligation_id, target, r.passed) for r in rows], "obligation_id string, target string, passed boolean")
+
+
+def fixture(spark: SparkSession, path: str) -> DataFrame:
+    """``collection, document`` (JSON) of a migration fixture: one document whose ``setup`` inserts documents into collections."""
+    said = spark.read.option("multiLine", True).schema("format string, setup array<struct<op:string,collection:string,document:string>>").json(path)
+    rows = said.select("format", F.inline("setup"))
+    if not rows.where("op <> 'insert' OR collection IS NULL").isEmpty():
+        raise SourceError("a fixture inserts documents into collections and does nothing else")
+    return rows.select("collection", "document")
+
+
 def fact_columns(facts: DataFrame, fact: str, roles: list[str]) -> DataFrame:
     """One fact type of the long relation as a wide DataFrame, with ``row_index``; rows of another arity are left out."""
     rows = facts.where((F.col("fact") == fact) & (F.size("players") == len(roles)))
@@ -81,6 +158,25 @@ def compare_snapshots(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.select("table", "column", problem.alias("problem")).where("problem IS NOT NULL")
 
 
+def compare_keys(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Primary keys, uniques, checks and foreign keys ``(table, kind, columns, text)`` that only one catalogue has: ``table, kind, columns, text, problem``.
+
+    Checks are compared without casts, brackets, space and case.
+    """
+    same = lambda df: df.withColumn("text", F.when(F.col("kind") == "check", normal_check(F.col("text"))).otherwise(F.col("text"))).select("table", "kind", "columns", "text").distinct()
+    left, right = same(a), same(b)
+    return left.subtract(right).withColumn("problem", F.lit("missing")).unionByName(right.subtract(left).withColumn("problem", F.lit("unexpected")))
+
+
+def write_bundle(relations: dict[str, DataFrame], path: str) -> None:
+    """Relations as JSON lines, one folder each, and an ``index`` with the columns of each."""
+    for name, df in relations.items():
+        df.write.mode("overwrite").json(f"{path}/{name}")
+    spark = next(iter(relations.values())).sparkSession
+    index = [(name, df.schema.simpleString()) for name, df in sorted(relations.items())]
+    spark.createDataFrame(index, "relation string, columns string").coalesce(1).write.mode("overwrite").json(f"{path}/index")
+
+
 def write_report(df: DataFrame, path: str) -> None:
     """A result as JSON lines."""
     df.write.mode("overwrite").json(path)

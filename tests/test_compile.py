@@ -108,3 +108,14 @@ def test_the_plan_scans_and_shuffles_lineitem_once(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert sum("Scan" in line and "l_orderkey" in line for line in text.splitlines()) == 1
     assert found.count() > 0
+
+
+def test_binding_problems(spark):
+    assert plan.binding_problems(queries.COMMERCE, queries.binding(spark, SF)) == []
+    model = Model("M", values=(Value("N", "String"),), entities=(Entity("P", (), (("a", "N", False), ("b", "N", False))), Entity("Q")), facts=(Fact("F", (("x", "P"), ("y", "P"))), Fact("G", (("x", "P"),)), Fact("H", (("x", "P"),))))
+    table = spark.createDataFrame([], "id string, a string, x string")
+    bound = plan.Binding({"P": (table, "key", {"a": "a", "c": "a"}), "R": (table, "id", {})}, {"F": table, "Z": table}, {"G": ("F", {"x": "z"})})
+    assert plan.binding_problems(model, bound) == sorted([
+        ("P", "the table has no key column key"), ("P.c", "no such field"), ("P.b", "not bound"), ("R", "no such entity"), ("F.y", "the table has no such column"), ("Z", "no such fact"),
+        ("G.x", "F has no role z"), ("Q", "not bound"), ("H", "not bound"),
+    ])

@@ -130,3 +130,29 @@ SAMPLED = Model(
 def test_samples(spark, rows, codes):
     table = spark.createDataFrame([(f, k, p) for k, (f, p) in enumerate(rows)], "fact string, row_index long, players array<string>")
     assert sorted({r.code for r in population.sample_violations(SAMPLED, table).collect()}) == codes
+
+
+def test_gaps_and_lowering(spark):
+    p = Population()
+    p.members |= {("Staff", "s")}
+    p.values |= {("n9", "Name", "Zed")}
+    p.facts += [("Person__age", 1, ["p1", "n1"]), ("Works", 1, ["p2", "f"])]
+    relations = {
+        "memberships": spark.createDataFrame(sorted(p.members | {("Job", "j9")}), "object_type string, instance_id string"),
+        "values": spark.createDataFrame(sorted(p.values), "instance_id string, value_type string, literal string"),
+        "facts": spark.createDataFrame(p.facts, "fact string, row_index long, players array<string>"),
+        "objectifications": spark.createDataFrame(sorted(p.bound), "instance_id string, object_type string, fact string, row_index long"),
+    }
+    found = population.gaps(MODEL, relations)
+    plain = {("standalone_value", "Name", "n9"), ("invalid_subtype", "Staff", "s"), ("multivalued_field", "Person__age", "p1"), ("unresolved_objectification", "Job", "j9")}
+    assert {tuple(r) for r in found.collect()} == plain  # nothing is played by a job, so its occurrences need no binding
+    paid = Model("Paid", values=MODEL.values, entities=MODEL.entities, facts=(*MODEL.facts, Fact("Pays", (("job", "Job"), ("level", "Level")))), subtypes=MODEL.subtypes)
+    assert {tuple(r) for r in population.gaps(paid, relations).collect()} == plain | {("unresolved_objectification", "Works", "1")}
+    cases = spark.createDataFrame([("a",), ("b",), ("c",)], "case string")
+    in_cases = spark.createDataFrame([("a", "standalone_value"), ("a", "multivalued_field"), ("b", "multivalued_field")], "case string, gap string")
+    effects = {"wide": population.EFFECTS, "graph": {"standalone_value": "unsupported"}}
+    rows = population.lowering(in_cases, cases, effects)
+    assert {tuple(r) for r in rows.collect()} == {
+        ("a", "wide", "unsupported"), ("b", "wide", "representation_prevents_exact_realization"), ("c", "wide", "lowered"), ("a", "graph", "unsupported"), ("b", "graph", "lowered"), ("c", "graph", "lowered"),
+    }
+    assert {tuple(r) for r in population.lowering_counts(rows).collect()} == {("wide", 1, 1, 1), ("graph", 2, 0, 1)}

@@ -62,3 +62,56 @@ def test_graph_cycles_and_chains(spark):
     labels = {r.node: r.component for r in graph.components(df, spark.createDataFrame([(500,)], "node long")).collect()}
     assert labels[60] == 0 and labels[101] == 100 and labels[500] == 500
     assert {r.node for r in graph.cycles(df.where("src >= 100"), 5).collect()} == {100, 101}
+
+
+def _population(path, **changed):
+    said = {"row_count": 2, "model_sha256": "abc", "facts": [{"fact_type_id": "Knows", "rows": [["p1", "p2"], ["p2", "p1"]]}], "memberships": [], "values": [], "objectifications": []} | changed
+    path.write_text(json.dumps(said))
+    return str(path)
+
+
+@pytest.mark.parametrize(
+    "changed, said",
+    [
+        ({"row_count": 3}, "announced"),
+        ({"model_sha256": "other"}, "another model"),
+        ({"facts": [{"fact_type_id": "Knows", "rows": [["p1"], ["p2", "p1"]]}]}, "wrong number"),
+        ({"facts": [{"fact_type_id": "Nothing", "rows": [["p1", "p2"], ["p2", "p1"]]}]}, "no fact Nothing"),
+        ({"facts": [{"fact_type_id": "Knows", "rows": [["p1", "p2"]]}, {"fact_type_id": "Knows", "rows": [["p2", "p1"]]}]}, "more than one block"),
+    ],
+)
+def test_populations_that_are_refused(spark, tmp_path, changed, said):
+    whole = tables.checked_population(spark, _population(tmp_path / "a.json"), {"Knows": 2}, "abc")
+    assert whole["facts"].count() == 2
+    with pytest.raises(tables.SourceError, match=said):
+        tables.checked_population(spark, _population(tmp_path / "b.json", **changed), {"Knows": 2}, "abc")
+
+
+def test_evidence_is_taken_for_its_own_model_and_plan_only(spark, tmp_path):
+    identity = {"model_sha256": "m", "case_plan_sha256": "c"}
+    results = spark.createDataFrame([("o1", True), ("o2", None)], "obligation_id string, passed boolean")
+    path = str(tmp_path / "postgres")
+    tables.write_evidence(results, path, "postgres", identity)
+    assert {tuple(r) for r in tables.evidence(spark, path, "postgres", identity).collect()} == {("o1", "postgres", True), ("o2", "postgres", None)}
+    for target, other in (("mongo", identity), ("postgres", identity | {"model_sha256": "x"}), ("postgres", identity | {"case_plan_sha256": "x"})):
+        with pytest.raises(tables.SourceError):
+            tables.evidence(spark, path, target, other)
+    for results, count in (([("o", "postgres", True), ("o", "postgres", True)], 2), ([("o", "mongo", True)], 1), ([("o", None, True)], 2), ([(None, None, True)], 1)):
+        one = (tables.EVIDENCE_FORMAT, "postgres", "m", "c", "completed", count, results)
+        spark.createDataFrame([one], tables.EVIDENCE).write.mode("overwrite").json(path + "x")
+        with pytest.raises(tables.SourceError):
+            tables.evidence(spark, path + "x", "postgres", identity)
+
+
+def test_fixtures_keys_and_bundles(spark, tmp_path):
+    (tmp_path / "f.json").write_text(json.dumps({"format": "f", "setup": [{"op": "insert", "collection": "person", "document": {"name": "Ann"}}]}))
+    assert [(r.collection, json.loads(r.document)) for r in tables.fixture(spark, str(tmp_path / "f.json")).collect()] == [("person", {"name": "Ann"})]
+    (tmp_path / "g.json").write_text(json.dumps({"format": "f", "setup": [{"op": "drop", "collection": "person"}]}))
+    with pytest.raises(tables.SourceError):
+        tables.fixture(spark, str(tmp_path / "g.json"))
+    ddl = "table string, kind string, columns array<string>, text string"
+    a = spark.createDataFrame([("t", "primary", ["id"], ""), ("t", "check", ["n"], "((n)::INTEGER >  0)"), ("t", "unique", ["x"], "")], ddl)
+    b = spark.createDataFrame([("t", "primary", ["id"], ""), ("t", "check", ["n"], "n > 0"), ("t", "foreign", ["x"], "u(id)")], ddl)
+    assert {(r.kind, r.problem) for r in tables.compare_keys(a, b).collect()} == {("unique", "missing"), ("foreign", "unexpected")}
+    tables.write_bundle({"a": a, "b": b}, str(tmp_path / "bundle"))
+    assert spark.read.json(str(tmp_path / "bundle" / "a")).count() == 3 and [r.relation for r in spark.read.json(str(tmp_path / "bundle" / "index")).orderBy("relation").collect()] == ["a", "b"]
