@@ -173,7 +173,7 @@ def gaps(model: Model, population: dict[str, DataFrame]) -> DataFrame:
     held = members.select(col("object_type").alias("_above"), "instance_id")
     each.append(told(members.join(F.broadcast(above), "object_type").join(held, ["_above", "instance_id"], "left_anti"), "invalid_subtype", col("object_type"), col("instance_id")))
     fields = spark.createDataFrame([(f"{e.name}__{f}",) for e in model.entities for f, _, _ in e.fields], "fact string")  # a row for each field
-    many = facts.join(F.broadcast(fields), "fact").where(F.size("players") == 2).groupBy("fact", col("players")[0].alias("owner")).agg(F.min(col("players")[1]).alias("least"), F.max(col("players")[1]).alias("most"))
+    many = facts.join(F.broadcast(fields), "fact").where(F.size("players") == 2).groupBy("fact", F.get("players", F.lit(0)).alias("owner")).agg(F.min(F.get("players", F.lit(1))).alias("least"), F.max(F.get("players", F.lit(1))).alias("most"))
     each.append(told(many.where("least <> most"), "multivalued_field", col("fact"), col("owner")))
     return reduce(lambda a, b: a.unionByName(b), each)
 

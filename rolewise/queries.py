@@ -752,3 +752,6 @@ FROM (SELECT DISTINCT l_orderkey AS "order", l_linenumber AS number, l_partkey A
 def violation_evidence(spark, d):
     """For every broken line number the two least lines that show it."""
     return plan.evidence(_violations(spark, d), _lines(spark, d), "uniqueness:Line(order,number)", ["order", "number"])
+
+
+from rolewise import model_queries  # noqa: E402, F401 - registers its queries

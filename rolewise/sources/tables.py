@@ -134,7 +134,7 @@ def fixture(spark: SparkSession, path: str) -> DataFrame:
 def fact_columns(facts: DataFrame, fact: str, roles: list[str]) -> DataFrame:
     """One fact type of the long relation as a wide DataFrame, with ``row_index``; rows of another arity are left out."""
     rows = facts.where((F.col("fact") == fact) & (F.size("players") == len(roles)))
-    return rows.select("row_index", *[F.col("players")[k].alias(r) for k, r in enumerate(roles)])
+    return rows.select("row_index", *[F.get("players", F.lit(k)).alias(r) for k, r in enumerate(roles)])
 
 
 def write_population(relations: dict[str, DataFrame], path: str) -> None:
