@@ -136,3 +136,19 @@ def one_of(value: Column, allowed: Sequence[object], kind: str = "String") -> Co
     else:
         same = value.cast("string").isin(*[str(a) for a in allowed])
     return F.coalesce(same, F.lit(False))
+
+
+def aliased(name: Column, aliases: dict[str, str]) -> Column:
+    """A name as ``aliases`` has it, or as it is."""
+    pairs = [F.lit(x) for pair in aliases.items() for x in pair]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), name), name) if pairs else name
+
+
+def clamped(value: Column, low: Column, high: Column) -> Column:
+    """The value, or the bound that it is beyond; null bounds are none."""
+    return F.when(value < low, low).when(value > high, high).otherwise(value)
+
+
+def part_way(low: Column, high: Column, share: float) -> Column:
+    """The number ``share`` of the way from ``low`` to ``high``: 0.25 and 0.75 are well within a range."""
+    return low + (high - low) * F.lit(share)

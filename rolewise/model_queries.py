@@ -7,8 +7,9 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolewise.operators import audit, facts, graph
-from rolewise.plans import catalog, population, portability, structure
+from rolewise.functions import scalar
+from rolewise.operators import audit, evolution, facts, graph
+from rolewise.plans import catalog, population, portability, structure, witness
 from rolewise.plans import compile as plan
 from rolewise.plans.model import Entity, Fact, Model, Rule, Value
 from rolewise.queries import COMMERCE, VIOLATIONS, binding, query
@@ -313,3 +314,100 @@ def objectified_order(spark, d):
     roles = spark.createDataFrame([("Firm", "a", "Person"), ("Job", "who", "Person"), ("Job", "at", "FirmRecord"), ("Pay", "of", "JobRecord"), ("Tax", "on", "PayRecord"), ("Tax", "by", "FirmRecord")], "fact string, role string, player string")
     types = spark.createDataFrame([("FirmRecord", "Firm"), ("JobRecord", "Job"), ("PayRecord", "Pay")], "type string, fact string")
     return graph.objectified_order(roles, types)
+
+
+# -- small relations -------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT * FROM lineitem WHERE NOT (l_quantity <= 45) ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate LIMIT 20")
+def check_probe(spark, d):
+    return evolution.first_rows(evolution.check_rows(table(spark, d, "lineitem"), "l_quantity <= 45"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+
+
+@query("SELECT p_brand, p_type, p_size, count(*) AS n FROM part WHERE p_brand IS NOT NULL AND p_type IS NOT NULL AND p_size IS NOT NULL GROUP BY ALL HAVING count(*) > 1 ORDER BY p_brand, p_type, p_size LIMIT 20")
+def unique_probe(spark, d):
+    return evolution.first_rows(evolution.unique_groups(table(spark, d, "part"), "p_brand", "p_type", "p_size"), "p_brand", "p_type", "p_size")
+
+
+@query("""SELECT * FROM (VALUES ('destructive', 2, 0, 2), ('manual', 1, 0, 1), ('requires_data_check', 2, 0, 2), ('safe', 6, 6, 0)) t(safety, n, automatic, blocked)""")
+def migration_summary(spark, d):
+    hints = spark.createDataFrame([("object", "Person", "Human"), ("role", "Member.who", "Member.person")], "element string, before_name string, after_name string")
+    found = catalog.changes(catalog.encode(spark, TEAM), catalog.encode(spark, LATER), hints)
+    return evolution.plan_summary(catalog.steps(found))
+
+
+@query("""SELECT * FROM (VALUES ('entity', 'Gone', 'Guest')) t(kind, dropped, added)""")
+def rename_ambiguities(spark, d):
+    later = replace(TEAM, entities=(*TEAM.entities[:2], Entity("Guest")), _by_name={})
+    a, b = catalog.encode(spark, TEAM), catalog.encode(spark, later)
+    return catalog.ambiguities(catalog.changes(a, b), a, b).select("kind", F.array_join("dropped", ",").alias("dropped"), F.array_join("added", ",").alias("added"))
+
+
+@query("SELECT 'fact' AS what, f AS name FROM (VALUES ('Active'), ('Contains'), ('Handover'), ('Line'), ('Low'), ('Supply'), ('Urgent')) t(f) UNION ALL SELECT 'unused', 'Spare' UNION ALL SELECT 'unused', 'Flag' UNION ALL SELECT 'columns', 'l_orderkey,l_partkey,l_suppkey' UNION ALL SELECT 'columns', 'p_partkey'")
+def model_projections(spark, d):
+    """Facts that aren't fields, value types that nothing uses, and the columns that the facts need of each table."""
+    given = catalog.encode(spark, replace(COMMERCE, values=(*COMMERCE.values, Value("Spare", "Int", 1, 2)), _by_name={}))
+    fields = given["fields"].select(F.concat_ws("__", "owner", "name").alias("field_fact"))
+    every = given["facts"].select(F.col("name").alias("fact")).union(fields)
+    stated = facts.source_facts(every, fields).select(F.lit("fact").alias("what"), F.col("fact").alias("name"))
+    unused = facts.unused_values(given["objects"], given["roles"], given["fields"]).select(F.lit("unused"), "name")
+    mapping = spark.createDataFrame([("lineitem", "l_partkey"), ("lineitem", "l_orderkey"), ("lineitem", "l_partkey"), ("lineitem", "l_suppkey"), ("part", "p_partkey"), ("part", None)], "table string, column string")
+    return stated.union(unused).union(facts.physical_columns(mapping).select(F.lit("columns"), F.array_join("columns", ",")))
+
+
+@query("SELECT p_partkey, CASE p_brand WHEN 'Brand#11' THEN 'first' WHEN 'Brand#12' THEN 'second' ELSE p_brand END AS brand, CASE WHEN p_size < 5 THEN 5 WHEN p_size > 45 THEN 45 ELSE p_size END AS size, 5 + (p_size - 5)::DOUBLE * 0.25::DOUBLE AS quarter FROM part")
+def scalar_helpers(spark, d):
+    size = F.col("p_size")
+    return table(spark, d, "part").select(
+        "p_partkey", scalar.aliased(F.col("p_brand"), {"Brand#11": "first", "Brand#12": "second"}).alias("brand"), scalar.clamped(size, F.lit(5), F.lit(45)).alias("size"), scalar.part_way(F.lit(5.0), size.cast("double"), 0.25).alias("quarter")
+    )
+
+
+@query("""SELECT * FROM (VALUES ('gap-frequency', 'mongo', true, 1), ('frequency', 'mongo', true, 2), ('fact-set', 'mongo', true, 6), ('gap-set', 'typedb', true, 3), ('gap-frequency', 'postgres', true, 1), ('frequency', 'postgres', true, 2), ('fact-set', 'postgres', true, 6), ('frequency', 'typedb', true, 4)) t(family, target, runtime, n)""")
+def conformance_case_counts(spark, d):
+    """The cases for three facts, one to be there once at most and one twice."""
+    model = replace(TEAM, values=(), entities=(Entity("A"),), facts=tuple(Fact(n, (("x", "A"), ("y", "A"))) for n in "FGH"), rules=(Rule("frequency", "F", ("x",), low=0, high=1), Rule("frequency", "G", ("x",), low=0, high=2)), _by_name={})
+    return audit.conformance_cases(spark, model, TARGETS).groupBy("family", "target", "runtime").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT * FROM (VALUES ('o1', 't', 'c1', true), ('o1', 't', 'c2', false), ('o2', 't', 'c2', false)) t(obligation_id, target, case_id, runtime)")
+def cases_by_element(spark, d):
+    obligations = spark.createDataFrame([("o1", ["a", "b"]), ("o2", ["c"]), ("o3", ["z"])], "obligation_id string, elements array<string>")
+    cases = spark.createDataFrame([("t", "c1", True, ["a", "b"]), ("t", "c2", False, ["b", "c"]), ("t", "c3", True, [])], "target string, case_id string, runtime boolean, elements array<string>")
+    return audit.cases_of(obligations, cases)
+
+
+@query("SELECT * FROM (VALUES ('a', 2, false), ('b', 1, true), ('c', 0, false)) t(target, n, all_passed)")
+def static_results(spark, d):
+    return audit.static_results(spark.createDataFrame([("a", True), ("a", False), ("b", True), ("c", None)], "target string, passed boolean"))
+
+
+@query("SELECT * FROM (VALUES ('c1', 'role', 'population semantics', 4), ('c2', 'reading', 'verbalization', 3), ('c3', 'new kind', 'semantic element', 4)) t(conflict_id, term, impact, choices)".replace("'reading', 'verb", "'fact reading', 'verb"))
+def conflict_terms(spark, d):
+    rows = spark.createDataFrame([("c1", "role", "both modified"), ("c2", "reading", "both added"), ("c3", "new_kind", "deleted and modified")], "conflict_id string, element_kind string, reason string")
+    return evolution.explained(rows).select("conflict_id", "term", "impact", F.size("choices").alias("choices"))
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_custkey, o_orderpriority AS s FROM orders), x AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE s END AS s FROM o), y AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'Y' ELSE s END AS s FROM o)
+SELECT o_orderkey, substr(sha256('{"p00":"row","p01":"' || o_orderkey || '","p02":"{\\"s\\":\\"' || o.s || '\\"}","p03":"{\\"s\\":\\"' || x.s || '\\"}","p04":"{\\"s\\":\\"' || y.s || '\\"}"}'), 1, 24) AS conflict_id FROM o JOIN x USING (o_orderkey) JOIN y USING (o_orderkey) WHERE o_orderkey % 6 = 0""")
+def conflict_ids(spark, d):
+    """Conflicts are named by the hash of their content as JSON."""
+    rows = table(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("s"))
+    side = lambda m, s: rows.withColumn("s", F.when(F.col("o_orderkey") % m == 0, s).otherwise(F.col("s")))
+    return evolution.merge(rows, side(3, "X"), side(2, "Y"), "o_orderkey", ["s"]).where("outcome = 'conflict'").select("o_orderkey", "conflict_id")
+
+
+@query("SELECT * FROM (VALUES ('isolated', 11), ('collateral', 3)) t(status, n)")
+def counterexample_counts(spark, d):
+    return audit.counts_by(witness.counterexamples(spark, SMALL), "status")
+
+
+@query("SELECT true AS accepted, 12 AS n")
+def probe_counts(spark, d):
+    return audit.counts_by(witness.probes(spark, SMALL), "accepted")
+
+
+SMALL = Model(
+    "Small", values=(Value("Name", "String"), Value("Age", "Int", 0, 130), Value("Day", "Date", "2024-01-01", "2024-12-31")), entities=(Entity("Person", ("name",), (("name", "Name", True), ("age", "Age", False))), Entity("Staff")),
+    facts=(Fact("Likes", (("a", "Person"), ("b", "Person"))), Fact("Born", (("who", "Person"), ("day", "Day")))), rules=(Rule("symmetric", "Likes"), Rule("frequency", "Born", ("who",), low=1, high=2), Rule("uniqueness", "Born", ("day",))), subtypes=(("Staff", "Person"),),
+)

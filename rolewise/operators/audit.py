@@ -204,6 +204,45 @@ def coverage(declared: DataFrame, cases: DataFrame) -> DataFrame:
     return native.join(covered, ["target", "feature"], "left").groupBy("target").agg(F.count(F.lit(1)).alias("native"), F.count("_case").alias("covered"), F.bool_and(F.coalesce("_case", F.lit(False))).alias("complete"))
 
 
+def cases_of(obligations: DataFrame, cases: DataFrame) -> DataFrame:
+    """``obligation_id`` with each of ``cases(target, case_id, runtime, elements)`` that shares a source element with it.
+
+    ``obligations(obligation_id, elements)`` and ``cases`` name the elements of the model that they come from, as arrays.
+    """
+    one = obligations.select("obligation_id", F.explode("elements").alias("element"))
+    other = cases.select("target", "case_id", "runtime", F.explode("elements").alias("element"))
+    return one.join(other, "element").select("obligation_id", "target", "case_id", "runtime").distinct()
+
+
+#: The family of conformance cases for a feature that a target enforces, and for one that it only represents.
+FAMILIES = {
+    "fact_set_semantics": ("fact-set", "gap-set"), "uniqueness": ("unique", "gap-set"), "uniqueness_composite": ("unique", "gap-set"), "preferred_identifier": ("preferred-id", "gap-set"), "preferred_identifier_compound": ("preferred-id", "gap-set"),
+    "mandatory_field": ("mandatory", "gap-mandatory"), "mandatory_fact": ("mandatory", "gap-mandatory"), "mandatory_fact_value": ("mandatory", "gap-mandatory"), "unordered_role_group": ("unordered", "gap-set"), "unordered_role_group_compound": ("unordered", "gap-set"),
+    "frequency_max_one": ("frequency", "gap-frequency"), "frequency_max_one_other": ("frequency", "gap-frequency"), "frequency_from_zero": ("frequency", "gap-frequency"), "frequency": ("frequency", "gap-frequency"),
+    "value": ("value", "gap-set"), "value_decimal_or_date": ("value", "gap-set"), "subtype": ("subtype", "gap-set"), "subset": ("set", "gap-set"), "equality": ("set", "gap-set"), "exclusion": ("set", "gap-set"), "ring": ("ring", "gap-ring"),
+}
+
+
+def conformance_cases(spark: SparkSession, model: Model, targets: Sequence[str]) -> DataFrame:
+    """``obligation_id, target, case_id, family, runtime, expected``: what to try on each target for each of a model's rules.
+
+    A rule that the target enforces has a valid population, to be accepted, and a violating one, to be refused, of its own family; one that it only
+    represents has a probe of the gap, which is accepted.  What is kept as metadata alone has a structural check and nothing to run.
+    """
+    known = spark.createDataFrame(features(model), "obligation_id string, kind string, feature string")
+    named = spark.createDataFrame([(f, *both) for f, both in FAMILIES.items()], "feature string, native string, gap string")
+    row = known.join(capabilities(spark).where(F.col("target").isin(*targets)), "feature").join(named, "feature", "left")
+    status = F.col("status")
+    case = lambda suffix, family, runtime, expected: F.struct(F.lit(suffix).alias("suffix"), family.alias("family"), F.lit(runtime).alias("runtime"), F.lit(expected).alias("expected"))
+    tried = (
+        F.when(status.isin(ENFORCED), F.array(case("valid", F.col("native"), True, "accepted"), case("violating", F.col("native"), True, "refused")))
+        .when(status == "represented_not_enforced", F.array(case("gap", F.col("gap"), True, "accepted")))
+        .otherwise(F.array(case("structure", F.lit("structure-field"), False, "present")))
+    )
+    each = row.select("obligation_id", "target", F.inline(tried))
+    return each.select("obligation_id", "target", F.concat_ws("/", "target", "obligation_id", "suffix").alias("case_id"), "family", "runtime", "expected")
+
+
 def write_outcome(cases: DataFrame) -> DataFrame:
     """``cases`` with the ``observed`` verdict and ``level`` of writing a violating population to a target.
 
@@ -282,7 +321,7 @@ def simulated(summary: DataFrame, declared: DataFrame) -> DataFrame:
     A simulation from the declared capabilities (``feature, target, status``), never evidence from a running target: a violated
     obligation is prevented where it is enforced and realized where it is only represented.
     """
-    joined = summary.select("obligation_id", "kind", "violations").join(F.broadcast(declared), F.col("kind") == F.col("feature"))  # one row for each feature and target
+    joined = summary.select("obligation_id", "kind", "violations").join(declared, F.col("kind") == F.col("feature"))  # one row for each feature and target
     outcome = F.when(F.col("violations") == 0, "nothing_to_prevent").when(F.col("status").isin(ENFORCED), "prevented").when(F.col("status") == "represented_not_enforced", "realized").otherwise("not_asserted")
     return joined.select("obligation_id", "target", "violations", outcome.alias("simulated"))
 
@@ -299,8 +338,9 @@ def simulated_all(summary: DataFrame, declared: DataFrame) -> DataFrame:
     feature = F.col("kind")
     for kind, name in FEATURE_OF.items():
         feature = F.when(F.col("kind") == kind, name).otherwise(feature)
-    every = summary.select("obligation_id", "violations", feature.alias("feature")).crossJoin(F.broadcast(declared.select("target").distinct()))  # one row for each target
-    joined = every.join(F.broadcast(declared), ["feature", "target"], "left")
+    targets = sorted(r.target for r in declared.select("target").distinct().collect())
+    every = summary.select("obligation_id", "violations", feature.alias("feature"), F.explode(F.lit(targets)).alias("target"))
+    joined = every.join(declared, ["feature", "target"], "left")
     outcome = (
         F.when(F.col("status").isNull(), "missing_capability_entry")
         .when(F.col("violations") == 0, "nothing_to_prevent")

@@ -78,6 +78,11 @@ def diff_summary(changes: DataFrame) -> DataFrame:
     return changes.groupBy("safety", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+def plan_summary(steps: DataFrame) -> DataFrame:
+    """``safety, n, automatic, blocked``: how many steps of a migration there are of each safety, and how many run by themselves or not."""
+    return steps.groupBy("safety").agg(F.count(F.lit(1)).alias("n"), F.count_if("automatic").alias("automatic"), F.count_if(~F.col("automatic")).alias("blocked"))
+
+
 def align(before: DataFrame, after: DataFrame, hints: DataFrame) -> DataFrame:
     """``before_id, after_id, by``: elements that are the same, by id, else by a hint, else by name; one to one.
 
@@ -111,6 +116,11 @@ def check_rows(table: DataFrame, check: str) -> DataFrame:
     return table.where(F.expr(f"NOT ({check})"))
 
 
+def first_rows(rows: DataFrame, *order: str, most: int = 20) -> DataFrame:
+    """The first ``most`` rows of a check by ``order``, to show; each task passes on no more than that many."""
+    return rows.orderBy(*order).limit(most)
+
+
 def unique_groups(table: DataFrame, *columns: str) -> DataFrame:
     """Keys that would break a new UNIQUE, and ``n``; as in SQL keys with a null never do."""
     return table.dropna(subset=list(columns)).groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -166,6 +176,6 @@ def explained(conflicts: DataFrame, kind: str = "element_kind") -> DataFrame:
     A kind that isn't known is called by its own name.  Base is a choice only if there was one before, told by ``reason``.
     """
     known = conflicts.sparkSession.createDataFrame(ELEMENTS, "_kind string, term string, impact string")  # a row for each kind
-    row = conflicts.join(F.broadcast(known), F.col(kind) == F.col("_kind"), "left").drop("_kind")
+    row = conflicts.join(known, F.col(kind) == F.col("_kind"), "left").drop("_kind")
     choices = F.when(F.col("reason") == "both added", F.array(*map(F.lit, ("ours", "theirs", "delete")))).otherwise(F.array(*map(F.lit, ("ours", "theirs", "base", "delete"))))
     return row.withColumn("term", F.coalesce("term", F.replace(F.col(kind), F.lit("_"), F.lit(" ")))).withColumn("impact", F.coalesce("impact", F.lit("semantic element"))).withColumn("choices", choices)

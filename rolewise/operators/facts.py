@@ -106,3 +106,19 @@ def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
     columns = a.columns
     left = a.exceptAll(b.select(columns)).withColumn("side", F.lit("left"))
     return left.unionByName(b.select(columns).exceptAll(a).withColumn("side", F.lit("right")))
+
+
+def source_facts(facts: DataFrame, hints: DataFrame) -> DataFrame:
+    """The facts of ``facts(fact, ...)`` that are stated as such, and not as a field of ``hints(field_fact, ...)``."""
+    return facts.join(hints.select(F.col("field_fact").alias("fact")).distinct(), "fact", "left_anti")
+
+
+def unused_values(objects: DataFrame, roles: DataFrame, fields: DataFrame) -> DataFrame:
+    """``name``: the value types of ``objects(name, kind)`` that play no role and are the type of no field, so that no target has a column for them."""
+    used = roles.select(F.col("player").alias("name")).union(fields.select("type"))
+    return objects.where("kind = 'value'").select("name").join(used.distinct(), "name", "left_anti")
+
+
+def physical_columns(mapping: DataFrame) -> DataFrame:
+    """``table, columns``: all columns that ``mapping(table, column)`` needs of each table, in order."""
+    return mapping.where("column IS NOT NULL").groupBy("table").agg(F.sort_array(F.collect_set("column")).alias("columns"))

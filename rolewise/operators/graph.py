@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolewise.plans.model import Model
-from rolewise.sources.tables import durable
+from rolewise.sources.tables import discard, durable
 
 
 def incidence(roles: DataFrame) -> DataFrame:
@@ -25,7 +25,7 @@ def closure(edges: DataFrame, most_steps: int | None = None) -> DataFrame:
 
     Round k knows all pairs up to 2**k steps apart.  Any pair up to twice as far is one of exactly 2**k steps and a known one, so
     only those are joined, and what is known already is dropped.  The rounds grow with the logarithm of the longest way and end on
-    cycles too, which :func:`cycles` finds; each writes its new pairs to the checkpoint folder.
+    cycles too, which :func:`cycles` finds; each writes its new pairs to the shared folder.
     """
     known = durable(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct().withColumn("depth", F.lit(1)))
     far, steps = known, 1
@@ -58,7 +58,7 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, most_rounds: in
     """``node, component``: the least node connected to each, where edges ``src, dst`` lead both ways.
 
     Every round takes the least label among a node's neighbours and then the label of that label, so the rounds grow with the logarithm
-    of a long chain; each writes its labels to the checkpoint folder.  Minima are aggregated before they are shuffled, so a
+    of a long chain (``most_rounds`` are more than any graph takes, and beyond them it raises); each writes its labels to the shared folder and removes those before.  Minima are aggregated before they are shuffled, so a
     node with very many links is one row for each task.
     """
     both = durable(edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct())
@@ -73,8 +73,10 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, most_rounds: in
         hooked = labels.join(near, "node", "left").select("node", "component", F.least("component", "near").alias("next"))
         roots = labels.select(F.col("node").alias("next"), F.col("component").alias("root"))
         moved = durable(hooked.join(roots, "next", "left").select("node", F.least("next", "root").alias("new"), (F.least("next", "root") < F.col("component")).alias("moved")))
+        discard(labels)
         labels = moved.select("node", F.col("new").alias("component"))
         if moved.where("moved").isEmpty():
+            discard(both)
             return labels
     raise RuntimeError(f"no end after {most_rounds} rounds")
 

@@ -167,7 +167,7 @@ def value_type_mismatch(members: DataFrame) -> DataFrame:
 
 def arity(rows: DataFrame, fact_arity: DataFrame) -> DataFrame:
     """Long fact rows (``fact, row_index, players``) whose number of players is not that of ``fact_arity(fact, arity)``."""
-    joined = rows.join(F.broadcast(fact_arity), "fact")  # one row for each fact type of the model
+    joined = rows.join(fact_arity, "fact")  # one row for each fact type of the model
     return joined.where(F.size("players") != F.col("arity")).select("fact", "row_index", F.size("players").alias("n"))
 
 
@@ -196,7 +196,7 @@ def objectification_types(bindings: DataFrame, catalog: DataFrame, members: Data
     objectified facts, ``members(object_type, instance_id)``.
     """
     held = members.select("object_type", "instance_id").distinct().withColumn("_member", F.lit(True))
-    seen = bindings.join(F.broadcast(catalog), "object_type", "left").join(held, ["object_type", "instance_id"], "left")
+    seen = bindings.join(catalog, "object_type", "left").join(held, ["object_type", "instance_id"], "left")
     is_type = F.col("objectifies").isNotNull()
     codes = F.array_compact(F.array(
         F.when(~is_type, "OBJECTIFICATION_TYPE"),

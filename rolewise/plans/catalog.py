@@ -75,7 +75,7 @@ _CHANGE = ["kind", "subject", "rule", "low_before", "high_before", "low_after",
 
 def _renamed(df: DataFrame, column: str, hints: DataFrame) -> DataFrame:
     """``df`` with the names of a column as the hints have them afterwards."""
-    to = F.broadcast(hints.select(F.col("before_name").alias("_from"), F.col("after_name").alias("_to")))  # one row for each renamed element
+    to = hints.select(F.col("before_name").alias("_from"), F.col("after_name").alias("_to"))  # one row for each renamed element
     return df.join(to, F.col(column) == F.col("_from"), "left").withColumn(column, F.coalesce("_to", column)).drop("_from", "_to")
 
 

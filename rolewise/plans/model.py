@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 from datetime import datetime
 
 from rolewise.functions.scalar import KINDS, NUMERIC, TIMES
@@ -208,6 +208,24 @@ class Model:
                     raise ModelError(f"{r.id} compares {a} with {b}")
 
 
+def with_records(model: Model, fields: dict[str, tuple[tuple[str, str, bool], ...]]) -> Model:
+    """The model with fields (name, value type, required) of facts: each such fact is objectified, as ``<Fact>Record`` if it has no name yet, and each
+
+    field is a fact ``<Record>__<field>(owner, value)``, unique and, if required, mandatory for its owner.
+    """
+    objectified = {f.name: f.objectified or f"{f.name}Record" for f in model.facts if f.name in fields}
+    if missing := set(fields) - set(objectified):
+        raise ModelError(f"there is no fact {sorted(missing)[0]}")
+    facts = [replace(f, objectified=objectified.get(f.name, f.objectified)) for f in model.facts]
+    rules = list(model.rules)
+    for fact, parts in fields.items():
+        for name, of, required in parts:
+            own = f"{objectified[fact]}__{name}"
+            facts.append(Fact(own, (("owner", objectified[fact]), ("value", of))))
+            rules += [Rule("uniqueness", own, ("owner",)), *[Rule("mandatory", own, ("owner",))] * required]
+    return replace(model, facts=tuple(facts), rules=tuple(rules), _by_name={})
+
+
 def manifest(model: Model) -> dict:
     """A model as plain values for JSON, with its parts in their order."""
     out = asdict(model)

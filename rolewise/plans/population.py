@@ -60,7 +60,7 @@ def violations(model: Model, population: dict[str, DataFrame]) -> DataFrame:
 
     unknown = rules.unknown_types(members, "object_type", types)
     each.append(_told(unknown, _named("population:membership:", col("object_type")), "UNKNOWN_OBJECT_TYPE", col("object_type"), col("object_type")))
-    of_values = members.join(F.broadcast(types.where("kind = 'value'").select("object_type")), "object_type")
+    of_values = members.join(types.where("kind = 'value'").select("object_type"), "object_type")
     instance = _named("population:value:", col("instance_id"))
     literals = values.select("instance_id", "value_type", "literal")
     typed = of_values.join(literals, "instance_id")
@@ -77,7 +77,7 @@ def violations(model: Model, population: dict[str, DataFrame]) -> DataFrame:
     binding = _named("population:objectification:", col("instance_id"))
     wrong = rules.objectification_types(bindings, types.select("object_type", "objectifies"), members)
     each.append(_told(wrong, binding, col("code"), F.lit("objectification"), col("instance_id")))
-    right = bindings.join(F.broadcast(types.where("objectifies IS NOT NULL").select("object_type", col("objectifies").alias("fact"))), ["object_type", "fact"])
+    right = bindings.join(types.where("objectifies IS NOT NULL").select("object_type", col("objectifies").alias("fact")), ["object_type", "fact"])
     each.append(_told(rules.objectification_occurrence(right, facts), binding, "OBJECTIFICATION_OCCURRENCE", col("fact"), col("instance_id")))
     held = right.join(facts.select("fact", "row_index").distinct(), ["fact", "row_index"], "left_semi")
     owner = held.groupBy("fact", "row_index").agg(F.min("instance_id").alias("_owner"))
@@ -164,16 +164,16 @@ def gaps(model: Model, population: dict[str, DataFrame]) -> DataFrame:
     kinds = [(f.objectified, f.name, any(p == f.objectified for g in model.facts for _, p in g.roles)) for f in model.facts if f.objectified]
     types = spark.createDataFrame(kinds, "object_type string, fact string, plays boolean")  # a row for each objectified fact
     rows = facts.select("fact", "row_index").distinct()
-    needed = rows.join(F.broadcast(types.where("plays").select("fact")), "fact")
+    needed = rows.join(types.where("plays").select("fact"), "fact")
     each.append(told(needed.join(bound.select("fact", "row_index"), ["fact", "row_index"], "left_anti"), "unresolved_objectification", col("fact"), col("row_index")))
-    right = bound.join(F.broadcast(types.select("object_type", "fact")), ["object_type", "fact"]).join(rows, ["fact", "row_index"], "left_semi")
-    of_type = members.join(F.broadcast(types.select("object_type")), "object_type")
+    right = bound.join(types.select("object_type", "fact"), ["object_type", "fact"]).join(rows, ["fact", "row_index"], "left_semi")
+    of_type = members.join(types.select("object_type"), "object_type")
     each.append(told(of_type.join(right.select("object_type", "instance_id"), ["object_type", "instance_id"], "left_anti"), "unresolved_objectification", col("object_type"), col("instance_id")))
     above = spark.createDataFrame(list(model.subtypes), "object_type string, _above string")  # a row for each subtype
     held = members.select(col("object_type").alias("_above"), "instance_id")
-    each.append(told(members.join(F.broadcast(above), "object_type").join(held, ["_above", "instance_id"], "left_anti"), "invalid_subtype", col("object_type"), col("instance_id")))
+    each.append(told(members.join(above, "object_type").join(held, ["_above", "instance_id"], "left_anti"), "invalid_subtype", col("object_type"), col("instance_id")))
     fields = spark.createDataFrame([(f"{e.name}__{f}",) for e in model.entities for f, _, _ in e.fields], "fact string")  # a row for each field
-    many = facts.join(F.broadcast(fields), "fact").where(F.size("players") == 2).groupBy("fact", F.get("players", F.lit(0)).alias("owner")).agg(F.min(F.get("players", F.lit(1))).alias("least"), F.max(F.get("players", F.lit(1))).alias("most"))
+    many = facts.join(fields, "fact").where(F.size("players") == 2).groupBy("fact", F.get("players", F.lit(0)).alias("owner")).agg(F.min(F.get("players", F.lit(1))).alias("least"), F.max(F.get("players", F.lit(1))).alias("most"))
     each.append(told(many.where("least <> most"), "multivalued_field", col("fact"), col("owner")))
     return reduce(lambda a, b: a.unionByName(b), each)
 
@@ -188,7 +188,7 @@ def lowering(found: DataFrame, cases: DataFrame, effects: dict[str, dict[str, st
     every = [(t, g, worst.index(e)) for t, of in effects.items() for g, e in of.items()]
     spark = found.sparkSession
     known = spark.createDataFrame(every, "target string, gap string, worse int")  # a row for each target and gap
-    hit = found.select("case", "gap").distinct().join(F.broadcast(known), "gap").groupBy("case", "target").agg(F.min("worse").alias("worse"))
+    hit = found.select("case", "gap").distinct().join(known, "gap").groupBy("case", "target").agg(F.min("worse").alias("worse"))
     row = cases.select("case", F.explode(F.array(*[F.lit(t) for t in effects])).alias("target")).join(hit, ["case", "target"], "left")
     return row.select("case", "target", F.when(F.col("worse") == 0, worst[0]).when(F.col("worse") == 1, worst[1]).otherwise("lowered").alias("status"))
 

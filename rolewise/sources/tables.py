@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,10 +22,19 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read again, so that a lost executor costs no earlier work."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def durable(df: DataFrame, name: str = "durable") -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, so that a lost executor costs no earlier work and readers take the columns that they need."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes the files of tables that :func:`durable` made, once nothing reads them any more."""
+    for df in tables:
+        for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -73,7 +83,7 @@ def checked_population(spark: SparkSession, path: str, arities: dict[str, int],
     if twice:
         raise SourceError(f"facts in more than one block: {twice}")
     known = spark.createDataFrame(list(arities.items()), "fact string, arity int")  # a row for each fact type
-    rows = relations["facts"].join(F.broadcast(known), "fact", "left")
+    rows = relations["facts"].join(known, "fact", "left")
     unknown, wrong, n = rows.agg(F.max(F.when(F.col("arity").isNull(), F.col("fact"))), F.max(F.when(F.size("players") != F.col("arity"), F.col("fact"))), F.count(F.lit(1))).first()
     head = said.agg(F.max("row_count").alias("row_count"), F.max("model_sha256").alias("model_sha256")).first()
     for bad, what in (

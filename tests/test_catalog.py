@@ -1,3 +1,4 @@
+import json
 from dataclasses import replace
 
 import pytest
@@ -6,7 +7,7 @@ from rolewise import queries
 from rolewise.operators import audit
 from rolewise.plans import catalog
 from rolewise.plans import compile as plan
-from rolewise.plans.model import Entity, Fact, Model, Rule, Value
+from rolewise.plans.model import Entity, Fact, Model, ModelError, Rule, Value, fingerprint, from_manifest, manifest, with_records
 
 BEFORE = Model(
     "Team",
@@ -110,3 +111,18 @@ def test_operations(spark):
     assert [(r.kind, r.subject) for r in catalog.operations(spark, AFTER, staged).collect()] == [("add_column", "note"), ("add_column_staged", "code"), ("set_not_null_after_backfill", "code")]
     keyed = replace(AFTER, entities=(*AFTER.entities[:2], Entity("Team", ("code",), (("code", "Rank", True),))), _by_name={})
     assert {(r.kind, r.target) for r in catalog.operations(spark, AFTER, keyed).collect()} >= {("change_primary_key", "Team"), ("drop_foreign_key", "Member"), ("add_foreign_key", "Member"), ("change_column_type", "Member")}
+
+
+def test_manifests_and_records(spark):
+    model = replace(AFTER, readings=(("Member", "{person} is in {team}"),), samples=(("Added", ("x",)),), analyses=(("uniform", ("2",)),), _by_name={})
+    again = from_manifest(json.loads(json.dumps(manifest(model))))
+    assert again == model and fingerprint(again) == fingerprint(model) == fingerprint(replace(model, samples=(), _by_name={})) != fingerprint(AFTER)
+    with pytest.raises(ModelError):
+        from_manifest(manifest(model) | {"readings": [["Member", "{nobody}"]]})
+    with pytest.raises(ModelError):
+        from_manifest(manifest(model) | {"samples": [["Added", ["x", "y"]]]})
+    paid = with_records(AFTER, {"Added": (("pay", "Rank", True),), "Member": (("since", "Rank", False),)})
+    assert {f.name: f.objectified for f in paid.facts if f.objectified} == {"Added": "AddedRecord", "Member": "Membership"}
+    assert {r.id for r in paid.rules} - {r.id for r in AFTER.rules} == {"uniqueness:AddedRecord__pay(owner)", "mandatory:AddedRecord__pay(owner)", "uniqueness:Membership__since(owner)"}
+    with pytest.raises(ModelError):
+        with_records(AFTER, {"Nothing": ()})
