@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
@@ -11,9 +10,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from rolewise.sources.tables import durable, shared_folder
+from rolewise.sources.tables import discard, durable
 
-__all__ = ["documents", "discard", "durable", "in_batches", "written", "mix64", "word_hashes"]
+__all__ = ["documents", "discard", "durable", "in_batches", "mix64", "word_hashes"]
 
 #: A-Z to a-z and ASCII punctuation to a space; bytes over 127 stay, so UTF-8 stays whole.
 FOLD = bytes(
@@ -26,36 +25,26 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes of text hashed at a time; a longer text is cut at white space.
 BLOCK = 1 << 20
-#: Rows that a worker takes at a time.
-ROWS = 256
+#: Rows that a worker takes at a time, and bytes that it is sent at a time (a longer row comes alone).
+ROWS, SENT = 256, 8 << 20
+SENT_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared checkpoint folder."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
-def discard(*tables: DataFrame) -> None:
-    """Removes the files of tables that :func:`written` made, once nothing reads them any more."""
-    for df in tables:
-        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file)
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def in_batches(df: DataFrame, run, schema) -> DataFrame:
     """``df.mapInArrow(run, schema)``, with this package on the path of the workers.
 
     A worker imports the package by name.  Where it isn't installed, the folder that the driver has it from is
     added to the workers' path, as a session may have been started elsewhere.  Batches come in slices of ``ROWS`` rows, so
-    that a worker holds the Python objects of few texts at a time.
+    that a worker holds the Python objects of few texts at a time, and a session that would send more than ``SENT`` bytes in a batch is set to that,
+    as batches are counted in rows otherwise and texts may be long.
     """
+    sent = df.sparkSession.conf.get(SENT_SETTING)
+    if sent.rstrip("b").isdigit() and int(sent.rstrip("b")) > SENT:
+        df.sparkSession.conf.set(SENT_SETTING, f"{SENT}b")
     held = df.sparkSession.sparkContext.environment
     root = str(Path(__file__).resolve().parents[2])
     if root not in held.get("PYTHONPATH", "").split(os.pathsep):

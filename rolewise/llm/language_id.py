@@ -24,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rolewise.llm.common import discard, in_batches, written
+from rolewise.llm.common import discard, durable, in_batches
 
 #: Longest context in bytes, and the contexts of each length over one that the trees of all languages may have.
 ORDER, CONTEXTS = 4, 1 << 17
 #: Costs that a task holds at a time, over all languages; texts are taken in pieces, whatever their length.
-HELD = 1 << 22
+HELD = 1 << 20
 #: Bytes that a task counts at a time before it passes the counts on.
-COUNTED = 1 << 22
+COUNTED = 1 << 20
 UNKNOWN = "und"
 
 
@@ -156,7 +156,7 @@ def _level(model: Model, order: int, lang: np.ndarray, string: np.ndarray, n: np
 def fit(docs: DataFrame, most_contexts: int = CONTEXTS) -> Model:
     """The frozen trees of all languages from the rows of ``docs`` with a text and a lang that are not held out."""
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    counted = written(counts(rows.select(F.col("lang").cast("string"), F.col("text").cast("string"))), "language-counts")
+    counted = durable(counts(rows.select(F.col("lang").cast("string"), F.col("text").cast("string"))), "language-counts")
     sizes = {r.lang: r.n for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     langs = sorted(sizes)
     number = F.array_position(F.lit(langs), F.col("lang")).cast("int") - 1 if langs else F.lit(0)

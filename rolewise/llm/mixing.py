@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rolewise.llm.common import durable, written
+from rolewise.llm.common import durable
 
 #: Words as the contract has them, the highest ratio of a target to its source's size, and documents that meet in a block.
 WORD, MOST, BLOCK = "[^\\x20\\x09-\\x0D]+", 3, 64
@@ -163,7 +163,7 @@ def repeat_rows(docs: DataFrame) -> DataFrame:
     out = repeated(rows.join(found.where(~some), alike), F.col("extra") > 0)
     if found.where(some).isEmpty():
         return out
-    split = written(rows.join(found.where(some), alike).withColumn("place", F.monotonically_increasing_id()), "mixing-alike").withColumn("part", F.shiftright("place", 33))
+    split = durable(rows.join(found.where(some), alike).withColumn("place", F.monotonically_increasing_id()), "mixing-alike").withColumn("part", F.shiftright("place", 33))
     numbered = split.withColumn("number", F.row_number().over(Window.partitionBy(*keys, "part").orderBy("place")))
     earlier = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = split.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))

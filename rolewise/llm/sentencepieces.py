@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rolewise.llm.common import discard, in_batches, written
+from rolewise.llm.common import discard, durable, in_batches
 
 MARK = "▁"
 #: Characters of the chunks in the table that all tasks receive, in a task's cache, and of the longest chunk that either has.
@@ -141,7 +141,7 @@ def chunk_table(docs: DataFrame, model: str, chars: int | None = None) -> pa.Tab
     """``chunk``, ``ids`` of the chunks that occur most often in ``docs``, and more than once: at most ``chars`` characters of them."""
     if not encoder(_model_path(model)).by_chunk:
         return pa.table({"chunk": pa.array([], pa.string()), "ids": pa.array([], pa.list_(pa.int32()))})
-    counted = written(chunk_counts(docs).where("n > 1"), "chunk-counts")
+    counted = durable(chunk_counts(docs).where("n > 1"), "chunk-counts")
     step = F.floor(F.log2("n") * STEPS)
     steps = sorted(counted.groupBy(step.alias("step")).agg(F.sum(F.length("chunk")).alias("chars")).collect(), reverse=True)
     within = np.cumsum([r.chars for r in steps]) <= (TABLE_CHARS if chars is None else chars)
