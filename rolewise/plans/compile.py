@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from rolewise.functions import scalar
 from rolewise.operators import rules
-from rolewise.plans.model import Model, Rule, Value
+from rolewise.plans.model import Fact, Model, Rule, Value
 
 
 @dataclass
@@ -63,8 +63,9 @@ def binding_problems(model: Model, bound: Binding) -> list[tuple[str, str]]:
     return sorted(out + [(f, "not bound") for f in facts if f not in bound.facts and f not in bound.projections])
 
 
-#: What a plan decides, and its rows: obligation_id, code, subject, key, n.
+#: What a plan decides, and its rows, which have these columns.
 Plan = tuple[list[str], DataFrame]
+COLUMNS = ["obligation_id", "code", "subject", "key", "n"]
 
 
 def _rows(df: DataFrame, obligation: str | Column, code: str | Column, subject: str | Column, key: list[str], n: str | None = None) -> DataFrame:
@@ -197,37 +198,85 @@ def _fact_plans(model: Model, bound: Binding) -> list[Plan]:
         if wrong:
             found = rows.select(_each(wrong).alias("w")).groupBy("w.o", "w.c", "w.v").agg(F.count(F.lit(1)).alias("n"))
             plans.append((ids, _rows(found, F.col("o"), F.col("c"), fact.name, ["v"], "n")))
-        for r in model.rules:
-            if r.fact != fact.name:
-                continue
-            if r.kind == "mandatory" and (player := model.player(r.fact, r.roles[0])) in bound.entities:
-                members, key, _ = bound.entities[player]
-                plans.append(([r.id], _rows(rules.mandatory(members, key, rows, r.roles[0]), r.id, "MANDATORY_VIOLATION", fact.name, [key])))
-            elif r.kind == "symmetric":
-                plans.append(([r.id], _rows(rules.symmetry(rows, *roles), r.id, "SYMMETRY_VIOLATION", fact.name, roles)))
-            elif r.kind == "unordered":
-                found = rules.unordered(rows, r.roles, roles)
-                shown = found.withColumns({x: F.col("players")[k] for k, x in enumerate(r.roles)})
-                plans.append(([r.id], _rows(shown, r.id, "UNORDERED_DUPLICATE", fact.name, list(r.roles), "n")))
-            elif r.kind in ("subset", "equality", "exclusion") and r.other in tuples:
-                compare = getattr(rules, r.kind)
-                found = compare(rows, r.roles, stated[r.other], r.other_roles)
-                plans.append(([r.id], _rows(found, r.id, f"{r.kind.upper()}_VIOLATION", fact.name, list(r.roles))))
+        plans += _ring_plans(model, fact, rows)
+    plans += _set_plans(model, stated)
     for player, parts in players.items():
-        # the players of all roles of a type meet its members in one join, each player once
-        members, key, _ = bound.entities[player]
-        asked = reduce(lambda a, b: a.unionByName(b), parts).groupBy("_player").agg(F.collect_set("_role").alias("_roles"))
-        strangers = asked.join(members.select(F.col(key).alias("_member")), F.col("_player") == F.col("_member"), "left_anti").select("_player", F.explode("_roles").alias("r"))
-        ids = [f"player:{f.name}.{role}" for f in model.facts if f.name in tuples for role, p in f.roles if p == player]
-        plans.append((ids, _rows(strangers, F.col("r.o"), "ROLE_PLAYER_MEMBERSHIP", F.col("r.of"), ["_player"])))
+        plans.append(_player_plan(model, player, bound.entities[player], parts, stated))
+    return plans
+
+
+def _ring_plans(model: Model, fact: Fact, rows: DataFrame) -> list[Plan]:
+    """Symmetry and unordered groups.  For a fact of two roles both are one aggregation over its pairs, whichever way they are stated."""
+    plans, roles = [], list(fact.role_names)
+    found = {r.kind: r for r in model.rules if r.fact == fact.name and (r.kind == "symmetric" or (r.kind == "unordered" and set(r.roles) == set(roles) and len(roles) == 2))}
+    if found:
+        a, b = map(F.col, roles)
+        low, high = F.least(a, b).alias("_low"), F.greatest(a, b).alias("_high")
+        pairs = rows.groupBy(low, high).agg(F.max(a == F.least(a, b)).alias("_forth"), F.max(b == F.least(a, b)).alias("_back"))
+        one, two = F.col("_low").cast("string"), F.col("_high").cast("string")
+        wrong, both = [], F.col("_forth") & F.col("_back")
+        if r := found.get("symmetric"):
+            way = F.when(F.col("_forth"), F.array(one, two)).otherwise(F.array(two, one))
+            wrong.append(F.when(~both, F.struct(F.lit(r.id).alias("o"), F.lit("SYMMETRY_VIOLATION").alias("c"), way.alias("key"), F.lit(1).alias("n"))))
+        if r := found.get("unordered"):
+            wrong.append(F.when(both & (F.col("_low") != F.col("_high")), F.struct(F.lit(r.id).alias("o"), F.lit("UNORDERED_DUPLICATE").alias("c"), F.array(one, two).alias("key"), F.lit(2).alias("n"))))
+        told = pairs.select(_each(wrong).alias("w")).select("w.o", "w.c", F.lit(fact.name), "w.key", F.col("w.n").cast("bigint"))
+        plans.append(([r.id for r in found.values()], told.toDF(*COLUMNS)))
+    for r in model.rules:
+        if r.fact == fact.name and r.kind == "unordered" and "unordered" not in found:
+            shown = rules.unordered(rows, r.roles, roles)
+            shown = shown.withColumns({x: F.col("players")[k] for k, x in enumerate(r.roles)})
+            plans.append(([r.id], _rows(shown, r.id, "UNORDERED_DUPLICATE", fact.name, list(r.roles), "n")))
     return plans
 
 
-def _plans(model: Model, bound: Binding) -> list[Plan]:
+def _set_plans(model: Model, stated: dict[str, DataFrame]) -> list[Plan]:
+    """Subsets, equalities and exclusions; all rules that compare the same two projections are one join."""
+    compared: dict[tuple, list[Rule]] = defaultdict(list)
+    for r in model.rules:
+        if r.kind in ("subset", "equality", "exclusion") and r.fact in stated and r.other in stated:
+            compared[r.fact, r.roles, r.other, r.other_roles].append(r)
+    plans = []
+    for (fact, roles, other, others), same in compared.items():
+        kinds = {r.kind for r in same}
+        if len(kinds) == 1 and "equality" not in kinds:
+            found = getattr(rules, same[0].kind)(stated[fact], roles, stated[other], others)
+            plans.append(([same[0].id], _rows(found, same[0].id, f"{same[0].kind.upper()}_VIOLATION", fact, list(roles))))
+            continue
+        left = stated[fact].select(*roles).distinct().withColumn("_left", F.lit(True))
+        right = stated[other].select(*[F.col(o).alias(r) for r, o in zip(roles, others, strict=True)]).distinct().withColumn("_right", F.lit(True))
+        bad = {"subset": F.col("_right").isNull(), "equality": F.col("_right").isNull() | F.col("_left").isNull(), "exclusion": F.col("_left") & F.col("_right")}
+        met = left.join(right, list(roles), "full_outer").select(*roles, _each([_found(F.coalesce(bad[r.kind], F.lit(False)), r.id, f"{r.kind.upper()}_VIOLATION") for r in same]).alias("w"))
+        plans.append(([r.id for r in same], _rows(met, F.col("w.o"), F.col("w.c"), fact, list(roles))))
+    return plans
+
+
+def _player_plan(model: Model, player: str, entity: tuple[DataFrame, str, dict[str, str]], parts: list[DataFrame], stated: dict[str, DataFrame]) -> Plan:
+    """The players of all roles of a type and its members meet in one join, each once: strangers, and members that lack a mandatory role."""
+    members, key, _ = entity
+    asked = reduce(lambda a, b: a.unionByName(b), parts).groupBy("_player").agg(F.collect_set("_role").alias("_roles"))
+    named = members.select(F.col(key).alias("_member"))
+    ids = [f"player:{f.name}.{role}" for f in model.facts if f.name in stated for role, p in f.roles if p == player]
+    due = [r for r in model.rules if r.kind == "mandatory" and r.fact in stated and model.player(r.fact, r.roles[0]) == player]
+    on = F.col("_player") == F.col("_member")
+    if not due:
+        strangers = asked.join(named, on, "left_anti").select("_player", F.explode("_roles").alias("r"))
+        return ids, _rows(strangers, F.col("r.o"), "ROLE_PLAYER_MEMBERSHIP", F.col("r.of"), ["_player"])
+    told = lambda o, c, of: F.struct(o.alias("o"), F.lit(c).alias("c"), of.alias("of"))
+    met = asked.join(named.where("_member IS NOT NULL").distinct(), on, "full_outer")
+    plays = F.coalesce(F.transform("_roles", lambda r: r["o"]), F.array().cast("array<string>"))
+    lacking = [F.when(~F.array_contains(plays, f"player:{r.fact}.{r.roles[0]}"), told(F.lit(r.id), "MANDATORY_VIOLATION", F.lit(r.fact))) for r in due]
+    wrong = F.when(F.col("_member").isNull(), F.transform("_roles", lambda r: told(r["o"], "ROLE_PLAYER_MEMBERSHIP", r["of"]))).otherwise(F.array_compact(F.array(*lacking)))
+    rows = met.select(F.coalesce("_player", "_member").alias("_key"), F.explode(wrong).alias("w"))
+    return ids + [r.id for r in due], _rows(rows, F.col("w.o"), F.col("w.c"), F.col("w.of"), ["_key"])
+
+
+def evaluated(model: Model, bound: Binding) -> tuple[DataFrame, set[str]]:
+    """:func:`violations` and :func:`checked` of a model and its tables, planned once."""
     plans = _entity_plans(model, bound) + _fact_plans(model, bound)
     if not plans:
         raise ValueError("nothing of the model is bound to a table")
-    return plans
+    return reduce(lambda a, b: a.unionByName(b), [rows for _, rows in plans]), {o for ids, _ in plans for o in ids}
 
 
 def violations(model: Model, bound: Binding) -> DataFrame:
@@ -235,12 +284,12 @@ def violations(model: Model, bound: Binding) -> DataFrame:
 
     What a model declares and nothing is bound to isn't checked, see :func:`checked`.  Nulls state nothing, so they violate required fields only.
     """
-    return reduce(lambda a, b: a.unionByName(b), [rows for _, rows in _plans(model, bound)])
+    return evaluated(model, bound)[0]
 
 
 def checked(model: Model, bound: Binding) -> set[str]:
     """The obligations that :func:`violations` decides for these tables."""
-    return {o for ids, _ in _plans(model, bound) for o in ids}
+    return evaluated(model, bound)[1]
 
 
 def first_witness(found: DataFrame) -> DataFrame:

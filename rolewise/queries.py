@@ -162,8 +162,7 @@ _KNOWN = ", ".join(f"('{o}', '{k}')" for o, k in plan.obligations(COMMERCE))
 SELECT obligation_id, kind, count(o)::BIGINT AS violations, CASE WHEN count(o) > 0 THEN 'violated' ELSE 'holds' END AS status
 FROM known LEFT JOIN v ON o = obligation_id GROUP BY obligation_id, kind""")
 def violation_summary(spark, d):
-    bound = binding(spark, d)
-    return plan.summary(COMMERCE, plan.violations(COMMERCE, bound), plan.checked(COMMERCE, bound))
+    return plan.summary(COMMERCE, *plan.evaluated(COMMERCE, binding(spark, d)))
 
 
 @query(f"""{VIOLATIONS} SELECT o AS obligation_id, c AS code, array_to_string(key, '|') AS key, n::BIGINT AS n
