@@ -44,7 +44,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = chat_format.with_probe(spark, spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-    return chat_format.read_back(chat_format.format_turns(turns))
+    return chat_format.read_back(chat_format.format_turns(turns, parts="parts"))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
