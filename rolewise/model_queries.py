@@ -411,3 +411,24 @@ SMALL = Model(
     "Small", values=(Value("Name", "String"), Value("Age", "Int", 0, 130), Value("Day", "Date", "2024-01-01", "2024-12-31")), entities=(Entity("Person", ("name",), (("name", "Name", True), ("age", "Age", False))), Entity("Staff")),
     facts=(Fact("Likes", (("a", "Person"), ("b", "Person"))), Fact("Born", (("who", "Person"), ("day", "Day")))), rules=(Rule("symmetric", "Likes"), Rule("frequency", "Born", ("who",), low=1, high=2), Rule("uniqueness", "Born", ("day",))), subtypes=(("Staff", "Person"),),
 )
+
+
+@query("SELECT * FROM (VALUES ('facts', 'right', 1), ('fields', 'left', 3), ('fields', 'right', 3), ('objects', 'left', 2), ('objects', 'right', 2), ('domains', 'left', 1), ('domains', 'right', 1), ('roles', 'left', 1), ('roles', 'right', 2), ('rules', 'left', 1)) t(relation, side, n)")
+def model_differences(spark, d):
+    """What the relations of one model have and another's lack; a model and what is decoded from it have no differences."""
+    a, b = catalog.encode(spark, TEAM), catalog.encode(spark, LATER)
+    again = catalog.encode(spark, catalog.decode(a, TEAM.name))
+    same = catalog.differences(a, again).select(F.lit("itself").alias("relation"), "side")
+    return audit.counts_by(catalog.differences(a, b).select("relation", "side").unionByName(same), "relation", "side")
+
+
+@query("SELECT node FROM (VALUES ('a'), ('b'), ('c'), ('x')) t(node)")
+def subtype_cycles(spark, d):
+    return graph.cycles(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("x", "x"), ("y", "z")], "src string, dst string")).distinct()
+
+
+@query(f"""WITH {_RELATIONS}, used AS (SELECT DISTINCT unnest(p) AS i FROM fact)
+SELECT 'Size' AS value_type, count(*) AS standalone FROM val WHERE i NOT IN (SELECT i FROM used) AND t = 'Size' GROUP BY t""")
+def standalone_values(spark, d):
+    found = population.gaps(ORDERED, _population(spark, d)).where("gap = 'standalone_value' AND element = 'Size'")
+    return found.groupBy(F.col("element").alias("value_type")).agg(F.count(F.lit(1)).alias("standalone"))

@@ -243,6 +243,12 @@ def conformance_cases(spark: SparkSession, model: Model, targets: Sequence[str])
     return each.select("obligation_id", "target", F.concat_ws("/", "target", "obligation_id", "suffix").alias("case_id"), "family", "runtime", "expected")
 
 
+def plan_fingerprint(cases: DataFrame) -> str:
+    """SHA-256 of a plan of cases, in whatever order they come: evidence is only taken for the plan that it was made with.  A row for each case of a model."""
+    row = F.sha2(F.to_json(F.struct(*sorted(cases.columns)), {"ignoreNullFields": "false"}), 256)
+    return cases.agg(F.sha2(F.array_join(F.sort_array(F.collect_list(row)), ","), 256)).first()[0]
+
+
 def write_outcome(cases: DataFrame) -> DataFrame:
     """``cases`` with the ``observed`` verdict and ``level`` of writing a violating population to a target.
 

@@ -316,6 +316,37 @@ def operations(spark: SparkSession, before: Model, after: Model, hints: DataFram
     return found.orderBy(place, F.when(early > 0, early).otherwise(10), "target", "kind", "subject")
 
 
+def differences(a: dict[str, DataFrame], b: dict[str, DataFrame]) -> DataFrame:
+    """``relation, side, row``: what the relations of one model have and those of another lack, as JSON; none if they are the same model."""
+    each = []
+    for name in sorted(set(a) & set(b)):
+        rows = [df.select(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("row")) for df in (a[name], b[name])]
+        for side, one, other in (("left", *rows), ("right", *rows[::-1])):
+            each.append(one.exceptAll(other).select(F.lit(name).alias("relation"), F.lit(side).alias("side"), "row"))
+    return reduce(lambda x, y: x.unionByName(y), each)
+
+
+def ddl(model: Model, using: str = "parquet") -> dict[str, str]:
+    """CREATE TABLE for every table of :func:`physical`, by name, with the fact's reading as its comment.
+
+    Spark enforces types and NOT NULL on write; keys and checks are in the table's properties, where catalogues can be compared, and the
+    checks among them are expressions for :func:`rolewise.operators.evolution.check_rows`.
+    """
+    parts, readings = physical(model), dict(model.readings)
+    quoted = lambda text: "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    out = {}
+    for (table,) in parts["tables"]:
+        columns = ", ".join(f"`{n}` {t.upper()}{'' if nullable else ' NOT NULL'}" for of, n, t, nullable in parts["columns"] if of == table)
+        keys: dict[str, list[str]] = {}
+        for of, kind, names, text in parts["keys"]:
+            if of == table:
+                keys.setdefault(kind, []).append(text if kind == "check" else f"({', '.join(names)})" + (f" {text}" if text else ""))
+        properties = ", ".join(f"{quoted(f'rolewise.{kind}.{k}')}={quoted(said)}" for kind, each in sorted(keys.items()) for k, said in enumerate(each))
+        comment = f" COMMENT {quoted(readings[table])}" if table in readings else ""
+        out[table] = f"CREATE TABLE `{table}` ({columns}) USING {using}{comment}" + (f" TBLPROPERTIES ({properties})" if properties else "")
+    return out
+
+
 def table_ddl(model: Model, entity: str, using: str = "parquet") -> str:
     """CREATE TABLE of an entity's fields for Spark's catalogue; required and identifying fields are NOT NULL.
 

@@ -178,6 +178,39 @@ def gaps(model: Model, population: dict[str, DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), each)
 
 
+def supported(model: Model, population: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The population with what :func:`gaps` finds missing around it: bindings, and facts for values that none uses.
+
+    An occurrence that needs a binding gets one, to an instance that is named by its hash.  A standalone value plays the first role that its type has, in a
+    fact of its own whose other players are new instances.  Judge the result again: what is added may break rules that were kept before.
+    """
+    col = F.col
+    spark = population["facts"].sparkSession
+    name = lambda *parts: F.concat(F.lit("support:"), F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 24))
+    found = gaps(model, population)
+    objectified = {f.name: f.objectified for f in model.facts if f.objectified}
+    types = spark.createDataFrame(list(objectified.items()), "element string, object_type string")  # a row for each objectified fact
+    missing = found.where("gap = 'unresolved_objectification'").join(types, "element").select(name("element", "instance").alias("instance_id"), "object_type", col("element").alias("fact"), col("instance").try_cast("bigint").alias("row_index"))
+    whole = with_field_facts(model)
+    first: dict[str, tuple[Fact, int]] = {}
+    for f in whole.facts:
+        for k, (_, player) in enumerate(f.roles):
+            first.setdefault(player, (f, k))
+    members, rows = [population["memberships"], missing.select("object_type", "instance_id")], [population["facts"]]
+    for v in model.values:
+        if v.name not in first:
+            continue
+        f, at = first[v.name]
+        alone = found.where((col("gap") == "standalone_value") & (col("element") == v.name)).select("instance")
+        players = [col("instance") if k == at else name(F.lit(f.name), F.lit(str(k)), "instance") for k in range(len(f.roles))]
+        # rows of their own, apart from all that are there
+        place = F.conv(F.substring(F.sha2("instance", 256), 1, 15), 16, 10).cast("bigint") + F.lit(1 << 61)
+        rows.append(alone.select(F.lit(f.name).alias("fact"), place.alias("row_index"), F.array(*players).alias("players")))
+        members += [alone.select(F.lit(p).alias("object_type"), players[k].alias("instance_id")) for k, (_, p) in enumerate(f.roles) if k != at]
+    join = lambda parts: reduce(lambda a, b: a.unionByName(b), parts)
+    return population | {"memberships": join(members), "facts": join(rows), "objectifications": population["objectifications"].unionByName(missing)}
+
+
 def lowering(found: DataFrame, cases: DataFrame, effects: dict[str, dict[str, str]]) -> DataFrame:
     """``case, target, status``: whether each of ``cases(case)`` can be written to each target, by the gaps ``found(case, gap)`` in it.
 

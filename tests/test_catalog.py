@@ -126,3 +126,31 @@ def test_manifests_and_records(spark):
     assert {r.id for r in paid.rules} - {r.id for r in AFTER.rules} == {"uniqueness:AddedRecord__pay(owner)", "mandatory:AddedRecord__pay(owner)", "uniqueness:Membership__since(owner)"}
     with pytest.raises(ModelError):
         with_records(AFTER, {"Nothing": ()})
+
+
+def test_ddl_of_all_tables(spark):
+    model = replace(BEFORE, readings=(("Member", "{who} isn't out of {team}"),), rules=(*BEFORE.rules, Rule("uniqueness", "Member", ("who",))), _by_name={})
+    made = catalog.ddl(model)
+    assert made["Person"] == (
+        "CREATE TABLE `Person` (`age` BIGINT, `name` STRING NOT NULL, `old` STRING) USING parquet TBLPROPERTIES ('rolewise.check.0'='age BETWEEN 0 AND 130', 'rolewise.primary.0'='(name)')"
+    )
+    assert made["Member"] == (
+        "CREATE TABLE `Member` (`id` BIGINT NOT NULL, `team` BIGINT NOT NULL, `who` STRING NOT NULL) USING parquet COMMENT '{who} isn\\'t out of {team}' TBLPROPERTIES ('rolewise.foreign.0'='(team) Team(id)', "
+        "'rolewise.foreign.1'='(who) Person(name)', 'rolewise.primary.0'='(id)', 'rolewise.unique.0'='(team)', 'rolewise.unique.1'='(who)', 'rolewise.unique.2'='(who, team)')"
+    )
+    assert set(made) == {"Person", "Staff", "Team", "Gone", "Member", "Dropped"}
+    for name, text in made.items():
+        spark.sql(text)
+        kept = {r.key: r.value for r in spark.sql(f"SHOW TBLPROPERTIES `{name}`").collect() if r.key.startswith("rolewise.")}
+        spark.sql(f"DROP TABLE `{name}`")
+        assert any(k.startswith("rolewise.primary") for k in kept)
+
+
+def test_differences_and_plan_fingerprints(spark):
+    a, b = catalog.encode(spark, BEFORE), catalog.encode(spark, AFTER)
+    again = catalog.encode(spark, catalog.decode(a, BEFORE.name))
+    assert catalog.differences(a, again).count() == 0
+    assert {(r.relation, r.side) for r in catalog.differences(a, b).where("relation = 'objects'").collect()} == {("objects", "left"), ("objects", "right")}
+    cases = audit.conformance_cases(spark, BEFORE, ["postgres"])
+    one = audit.plan_fingerprint(cases)
+    assert one == audit.plan_fingerprint(cases.orderBy("case_id").repartition(3)) and one != audit.plan_fingerprint(cases.where("family <> 'value'"))

@@ -156,3 +156,23 @@ def test_gaps_and_lowering(spark):
         ("a", "wide", "unsupported"), ("b", "wide", "representation_prevents_exact_realization"), ("c", "wide", "lowered"), ("a", "graph", "unsupported"), ("b", "graph", "lowered"), ("c", "graph", "lowered"),
     }
     assert {tuple(r) for r in population.lowering_counts(rows).collect()} == {("wide", 1, 1, 1), ("graph", 2, 0, 1)}
+
+
+def test_support_fills_the_gaps_that_can_be_filled(spark):
+    p = Population()
+    p.values |= {("n9", "Name", "Zed")}
+    p.members |= {("Name", "n9")}
+    p.facts += [("Works", 1, ["p2", "f"])]
+    relations = {
+        "memberships": spark.createDataFrame(sorted(p.members), "object_type string, instance_id string"),
+        "values": spark.createDataFrame(sorted(p.values), "instance_id string, value_type string, literal string"),
+        "facts": spark.createDataFrame(p.facts, "fact string, row_index long, players array<string>"),
+        "objectifications": spark.createDataFrame(sorted(p.bound), "instance_id string, object_type string, fact string, row_index long"),
+    }
+    paid = Model("Paid", values=MODEL.values, entities=MODEL.entities, facts=(*MODEL.facts, Fact("Pays", (("job", "Job"), ("level", "Level")))), subtypes=MODEL.subtypes)
+    assert {r.gap for r in population.gaps(paid, relations).collect()} == {"standalone_value", "unresolved_objectification"}
+    whole = population.supported(paid, relations)
+    assert population.gaps(paid, whole).count() == 0
+    assert population.violations(paid, whole).count() == population.violations(paid, relations).count() == 0
+    owner = [r.players[0] for r in whole["facts"].where("fact = 'Person__name'").collect() if r.players[1] == "n9"]
+    assert len(owner) == 1 and owner[0].startswith("support:") and whole["objectifications"].count() == 2
