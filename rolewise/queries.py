@@ -74,41 +74,53 @@ COMMERCE = Model(
 )
 
 
+def _of_priority(orders: DataFrame, priority: str) -> DataFrame:
+    return orders.where(F.col("o_orderpriority") == priority).select(F.col("o_custkey").alias("customer")).distinct()
+
+
 def _with_priority(spark: SparkSession, d: str, priority: str) -> DataFrame:
-    return table(spark, d, "orders").where(F.col("o_orderpriority") == priority).select(F.col("o_custkey").alias("customer")).distinct()
+    return _of_priority(table(spark, d, "orders"), priority)
+
+
+def _users(events: DataFrame) -> DataFrame:
+    return events.select(F.col("user_id").alias("customer")).distinct()
 
 
 def _active(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select(F.col("user_id").alias("customer")).distinct()
+    return _users(table(spark, d, "events"))
 
 
-def _handover(spark: SparkSession, d: str) -> DataFrame:
-    events = table(spark, d, "events").select("event_type", "ts", "event_id", "user_id")
-    pairs = facts.following(events, "event_type", ["ts", "event_id"], "user_id", F.date_trunc("hour", "ts"))
+def _handed_over(events: DataFrame) -> DataFrame:
+    rows = events.select("event_type", "ts", "event_id", "user_id")
+    pairs = facts.following(rows, "event_type", ["ts", "event_id"], "user_id", F.date_trunc("hour", "ts"))
     return pairs.select(F.col("user_id").alias("prev"), F.col("following").alias("next")).where("next IS NOT NULL").distinct()
 
 
+def _handover(spark: SparkSession, d: str) -> DataFrame:
+    return _handed_over(table(spark, d, "events"))
+
+
 def _lines(spark: SparkSession, d: str) -> DataFrame:
     return facts.facts_of(table(spark, d, "lineitem"), order="l_orderkey", number="l_linenumber", part="l_partkey", supplier="l_suppkey")
 
 
 def binding(spark: SparkSession, d: str) -> plan.Binding:
     lines = _lines(spark, d)
-    customers = table(spark, d, "customer")
+    customers, orders, events = (table(spark, d, name) for name in ("customer", "orders", "events"))
     return plan.Binding(
         entities={
             "Part": (table(spark, d, "part"), "p_partkey", {"brand": "p_brand", "type": "p_type", "size": "p_size"}),
             "Supplier": (table(spark, d, "supplier"), "s_suppkey", {"name": "s_name"}),
             "Customer": (customers, "c_custkey", {"name": "c_name", "balance": "c_acctbal"}),
-            "Orders": (table(spark, d, "orders"), "o_orderkey", {}),
+            "Orders": (orders, "o_orderkey", {}),
             "RichCustomer": (customers.where("c_acctbal > 9000"), "c_custkey", {}),
         },
         facts={
             "Line": lines,
-            "Urgent": _with_priority(spark, d, "1-URGENT"),
-            "Low": _with_priority(spark, d, "5-LOW"),
-            "Active": _active(spark, d),
-            "Handover": _handover(spark, d),
+            "Urgent": _of_priority(orders, "1-URGENT"),
+            "Low": _of_priority(orders, "5-LOW"),
+            "Active": _users(events),
+            "Handover": _handed_over(events),
         },
         projections={"Supply": ("Line", {"part": "part", "supplier": "supplier"}), "Contains": ("Line", {"order": "order", "part": "part"})},
     )
