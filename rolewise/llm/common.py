@@ -28,6 +28,8 @@ BLOCK = 1 << 20
 #: Rows that a worker takes at a time, and bytes that it is sent at a time (a longer row comes alone).
 ROWS, SENT = 256, 8 << 20
 SENT_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Memory of arrays over this size goes back to the system when they do, as workers live on from one task to the next.
+KEPT = 1 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,12 +48,14 @@ def in_batches(df: DataFrame, run, schema) -> DataFrame:
     if sent.rstrip("b").isdigit() and int(sent.rstrip("b")) > SENT:
         df.sparkSession.conf.set(SENT_SETTING, f"{SENT}b")
     held = df.sparkSession.sparkContext.environment
+    held.setdefault("MALLOC_MMAP_THRESHOLD_", str(KEPT))
     root = str(Path(__file__).resolve().parents[2])
     if root not in held.get("PYTHONPATH", "").split(os.pathsep):
         held["PYTHONPATH"] = os.pathsep.join(filter(None, [root, held.get("PYTHONPATH")]))
 
     def small(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return run(b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS))
+        yield from run(b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS))
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(small, schema)
 

@@ -159,7 +159,9 @@ class _Received:
     @classmethod
     def get(cls, name: str, packed: pa.Table) -> dict[str, tuple[int, ...]]:
         if cls.name != name:
-            cls.name, cls.table = name, dict(zip(packed["chunk"].to_pylist(), map(tuple, packed["ids"].to_pylist()), strict=True))
+            numbers: dict[int, int] = {}  # one object for each id
+            ids = (tuple([numbers.setdefault(i, i) for i in x.as_py()]) for x in packed["ids"])
+            cls.name, cls.table = name, dict(zip(packed["chunk"].to_pylist(), ids, strict=True))
         return cls.table
 
 
