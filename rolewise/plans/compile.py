@@ -161,7 +161,8 @@ def _fact_plans(model: Model, bound: Binding) -> list[Plan]:
     tuples, domains = _tuples(model, bound), {v.name: v for v in model.values}
     # always true, but it keeps the count in every plan below, so that they are one plan and Spark runs its scan and shuffle once
     stated = {name: counted.where("times > 0") for name, counted in tuples.items()}
-    players: dict[str, list[DataFrame]] = defaultdict(list)
+    players: dict[str, list[tuple[str, str, list[tuple[str, str]]]]] = defaultdict(list)
+    same_players = _same_players(model, bound)
     for fact in model.facts:
         if fact.name not in tuples:
             continue
@@ -186,7 +187,9 @@ def _fact_plans(model: Model, bound: Binding) -> list[Plan]:
         for role, player in fact.roles:
             obligation = f"player:{fact.name}.{role}"
             if player in bound.entities:
-                players[player].append(rows.select(F.col(role).alias("_player"), F.struct(F.lit(obligation).alias("o"), F.lit(fact.name).alias("of")).alias("_role")))
+                if (fact.name, role) not in same_players:
+                    like = [k for k, base in same_players.items() if base == (fact.name, role)]
+                    players[player].append((fact.name, role, [(obligation, fact.name), *[(f"player:{f}.{r}", f) for f, r in like]]))
             elif player in domains and bound.literal:
                 v, literal = domains[player], bound.literal(F.col(role))
                 checks = [(obligation, "ROLE_PLAYER_MEMBERSHIP", scalar.typed(literal, v.kind).isNull())]
@@ -201,10 +204,28 @@ def _fact_plans(model: Model, bound: Binding) -> list[Plan]:
         plans += _ring_plans(model, fact, rows)
     plans += _set_plans(model, stated)
     for player, parts in players.items():
-        plans.append(_player_plan(model, player, bound.entities[player], parts, stated))
+        while parts:  # as many roles at a time as a mask has bits
+            n, held = 0, 0
+            while n < len(parts) and (not n or held + len(parts[n][2]) <= MASK):
+                held += len(parts[n][2])
+                n += 1
+            plans.append(_player_plan(model, player, bound.entities[player], parts[:n], stated))
+            parts = parts[n:]
     return plans
 
 
+#: Roles whose players meet their members in one join.
+MASK = 60
+
+
+def _same_players(model: Model, bound: Binding) -> dict[tuple[str, str], tuple[str, str]]:
+    """(fact, role) of projections to the (fact, role) whose players are theirs, too."""
+    out = {}
+    for name, (base, roles) in bound.projections.items():
+        out |= {(name, r): (base, roles[r]) for r, p in model.fact(name).roles if model.player(base, roles[r]) == p}
+    return out
+
+
 def _ring_plans(model: Model, fact: Fact, rows: DataFrame) -> list[Plan]:
     """Symmetry and unordered groups.  For a fact of two roles both are one aggregation over its pairs, whichever way they are stated."""
     plans, roles = [], list(fact.role_names)
@@ -251,24 +272,30 @@ def _set_plans(model: Model, stated: dict[str, DataFrame]) -> list[Plan]:
     return plans
 
 
-def _player_plan(model: Model, player: str, entity: tuple[DataFrame, str, dict[str, str]], parts: list[DataFrame], stated: dict[str, DataFrame]) -> Plan:
-    """The players of all roles of a type and its members meet in one join, each once: strangers, and members that lack a mandatory role."""
+def _player_plan(model: Model, player: str, entity: tuple[DataFrame, str, dict[str, str]], parts: list[tuple[str, str, list[tuple[str, str]]]], stated: dict[str, DataFrame]) -> Plan:
+    """The players of roles of a type and its members meet in one join, each once: strangers, and members that lack a mandatory role.
+
+    ``parts`` are (fact, role, (obligation, fact) of it and of the roles with the same players).  Which roles a player has is a mask of bits, so that
+    it is aggregated before the shuffle.
+    """
     members, key, _ = entity
-    asked = reduce(lambda a, b: a.unionByName(b), parts).groupBy("_player").agg(F.collect_set("_role").alias("_roles"))
+    labels = [label for _, _, each in parts for label in each]
+    bit = {o: 1 << k for k, (o, _) in enumerate(labels)}
+    one = [stated[f].select(F.col(role).alias("_player"), F.lit(sum(bit[o] for o, _ in each)).cast("bigint").alias("_mask")) for f, role, each in parts]
+    asked = reduce(lambda a, b: a.unionByName(b), one).groupBy("_player").agg(F.bit_or("_mask").alias("_mask"))
     named = members.select(F.col(key).alias("_member"))
-    ids = [f"player:{f.name}.{role}" for f in model.facts if f.name in stated for role, p in f.roles if p == player]
-    due = [r for r in model.rules if r.kind == "mandatory" and r.fact in stated and model.player(r.fact, r.roles[0]) == player]
+    due = [r for r in model.rules if r.kind == "mandatory" and f"player:{r.fact}.{r.roles[0]}" in bit]
+    told = lambda o, c, of: F.struct(F.lit(o).alias("o"), F.lit(c).alias("c"), F.lit(of).alias("of"))
+    has = lambda o: F.coalesce(F.col("_mask"), F.lit(0).cast("bigint")).bitwiseAND(F.lit(bit[o]).cast("bigint")) != 0
+    strangers = [F.when(F.col("_member").isNull() & has(o), told(o, "ROLE_PLAYER_MEMBERSHIP", of)) for o, of in labels]
+    lacking = [F.when(F.col("_member").isNotNull() & ~has(f"player:{r.fact}.{r.roles[0]}"), told(r.id, "MANDATORY_VIOLATION", r.fact)) for r in due]
     on = F.col("_player") == F.col("_member")
-    if not due:
-        strangers = asked.join(named, on, "left_anti").select("_player", F.explode("_roles").alias("r"))
-        return ids, _rows(strangers, F.col("r.o"), "ROLE_PLAYER_MEMBERSHIP", F.col("r.of"), ["_player"])
-    told = lambda o, c, of: F.struct(o.alias("o"), F.lit(c).alias("c"), of.alias("of"))
-    met = asked.join(named.where("_member IS NOT NULL").distinct(), on, "full_outer")
-    plays = F.coalesce(F.transform("_roles", lambda r: r["o"]), F.array().cast("array<string>"))
-    lacking = [F.when(~F.array_contains(plays, f"player:{r.fact}.{r.roles[0]}"), told(F.lit(r.id), "MANDATORY_VIOLATION", F.lit(r.fact))) for r in due]
-    wrong = F.when(F.col("_member").isNull(), F.transform("_roles", lambda r: told(r["o"], "ROLE_PLAYER_MEMBERSHIP", r["of"]))).otherwise(F.array_compact(F.array(*lacking)))
-    rows = met.select(F.coalesce("_player", "_member").alias("_key"), F.explode(wrong).alias("w"))
-    return ids + [r.id for r in due], _rows(rows, F.col("w.o"), F.col("w.c"), F.col("w.of"), ["_key"])
+    if due:
+        met = asked.join(named.where("_member IS NOT NULL").distinct(), on, "full_outer")
+    else:
+        met = asked.join(named, on, "left_anti").withColumn("_member", F.lit(None).cast(members.schema[key].dataType))
+    rows = met.select(F.coalesce("_player", "_member").alias("_key"), _each(strangers + lacking).alias("w"))
+    return [o for o, _ in labels] + [r.id for r in due], _rows(rows, F.col("w.o"), F.col("w.c"), F.col("w.of"), ["_key"])
 
 
 def evaluated(model: Model, bound: Binding) -> tuple[DataFrame, set[str]]:
