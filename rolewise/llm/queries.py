@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rolewise.llm import chat_format, fingerprints, html_text, language_id, media, mixing, sentencepieces, sharding, simhash_dedup, toxicity
+from rolewise.llm import chat_format, divergence, fingerprints, html_text, language_id, media, merkle, mixing, quality, sentencepieces, sharding, simhash_dedup, toxicity
 from rolewise.llm.common import documents
 
 
@@ -51,6 +51,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.placement(documents(spark, sf_dir))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.checked(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_mixing": op2_mixing,
@@ -62,9 +74,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_chat_format": op9_chat_format,
     "op10_sharding": op10_sharding,
+    "op11_quality": op11_quality,
+    "op12_divergence": op12_divergence,
+    "op13_merkle": op13_merkle,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op9_chat_format": chat_format.ORACLE_SQL,
     "op10_sharding": sharding.ORACLE_SQL,
+    "op12_divergence": divergence.ORACLE_SQL,
+    "op13_merkle": merkle.ORACLE_SQL,
 }
