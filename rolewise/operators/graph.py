@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rolewise.operators import ancestry
 from rolewise.plans.model import Model
 from rolewise.sources.tables import discard, durable
 
@@ -41,17 +42,17 @@ def closure(edges: DataFrame, most_steps: int | None = None) -> DataFrame:
 
 
 def cycles(edges: DataFrame, most_steps: int | None = None) -> DataFrame:
-    """Nodes that can reach themselves."""
-    return closure(edges, most_steps).where("src = dst").select(F.col("src").alias("node"))
+    """Nodes of ``edges(src, dst)`` that can reach themselves, found by stripping all others; with ``most_steps`` in at most so many steps, from their closure."""
+    if most_steps is not None:
+        return closure(edges, most_steps).where("src = dst").select(F.col("src").alias("node"))
+    at, found = ancestry.levels(edges)
+    discard(at)
+    return found.select("node")
 
 
 def effective_identifier(subtypes: DataFrame, identified: DataFrame) -> DataFrame:
-    """For each type of ``subtypes(sub, sup)`` and ``identified(type)`` the nearest type, itself or above, with an identifier."""
-    up = closure(subtypes.select(F.col("sub").alias("src"), F.col("sup").alias("dst"))).select(F.col("src").alias("type"), F.col("dst").alias("owner"), "depth")
-    types = subtypes.select(F.col("sub").alias("type")).union(subtypes.select("sup")).union(identified.select("type")).distinct()
-    chain = up.union(types.select("type", F.col("type").alias("owner"), F.lit(0)))
-    own = chain.join(identified.select(F.col("type").alias("owner")).distinct(), "owner")
-    return own.groupBy("type").agg(F.min_by("owner", "depth").alias("owner"), F.min("depth").alias("depth"))
+    """For each type of ``subtypes(sub, sup)`` and ``identified(type)`` the nearest type, itself or above, with an identifier: ``type, owner, depth``."""
+    return ancestry.nearest(subtypes, identified.select(F.col("type").alias("node"))).withColumnRenamed("node", "type")
 
 
 def components(edges: DataFrame, nodes: DataFrame | None = None, most_rounds: int = 100) -> DataFrame:
@@ -96,23 +97,18 @@ def ancestors(parents: DataFrame) -> DataFrame:
 
 def merge_base(parents: DataFrame, pairs: DataFrame) -> DataFrame:
     """For each of ``pairs(ours, theirs)`` the common ancestor with the least (greater distance, sum, id)."""
-    up = ancestors(parents)
-    ours = up.select(F.col("revision").alias("ours"), "ancestor", F.col("depth").alias("a"))
-    theirs = up.select(F.col("revision").alias("theirs"), "ancestor", F.col("depth").alias("b"))
-    common = pairs.join(ours, "ours").join(theirs, ["theirs", "ancestor"])
-    order = F.struct(F.greatest("a", "b"), (F.col("a") + F.col("b")), "ancestor")
-    return common.groupBy("ours", "theirs").agg(F.min_by("ancestor", order).alias("base"))
+    return ancestry.merge_base(parents, pairs)
 
 
 def fast_forward(parents: DataFrame, pairs: DataFrame) -> DataFrame:
     """``pairs(old, new)`` and whether ``old`` is an ancestor of ``new``, so that a branch may move there."""
-    up = ancestors(parents).select(F.col("revision").alias("new"), F.col("ancestor").alias("old")).withColumn("_is", F.lit(True))
-    return pairs.join(up, ["new", "old"], "left").select("old", "new", F.coalesce("_is", F.lit(False)).alias("fast_forward"))
+    return ancestry.fast_forward(parents, pairs)
 
 
-def closure_order(parents: DataFrame, head: str) -> DataFrame:
+def closure_order(parents: DataFrame, head: object) -> DataFrame:
     """The revisions behind ``head``, those furthest away first."""
-    return ancestors(parents).where(F.col("revision") == head).select("ancestor", "depth").orderBy(F.desc("depth"), "ancestor")
+    asked = parents.sparkSession.createDataFrame([(head,)], parents.select("revision").schema)
+    return ancestry.ancestors_of(parents, asked).select("ancestor", "depth").orderBy(F.desc("depth"), "ancestor")
 
 
 def analyses(model: Model, spark: SparkSession) -> DataFrame:
@@ -157,6 +153,16 @@ def objectified_order(roles: DataFrame, objectified: DataFrame) -> DataFrame:
     return row.orderBy("fact", "under", "needs")
 
 
+def build_order(roles: DataFrame, objectified: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``fact, step`` and ``fact, cycle``: in which step each fact of ``roles(fact, role, player)`` can be built, after all that objectify its players, and those that need themselves.
+
+    Facts of step 0 need no other.  The steps are the rounds of :func:`rolewise.operators.ancestry.levels`; no closure is made.
+    """
+    uses = roles.join(objectified.select(F.col("type").alias("player"), F.col("fact").alias("dst")), "player").select(F.col("fact").alias("src"), "dst")
+    at, found = ancestry.levels(uses.unionByName(roles.select(F.col("fact").alias("src"), F.lit(None).cast(roles.schema["fact"].dataType).alias("dst"))))
+    return at.select(F.col("node").alias("fact"), F.col("level").alias("step")), found.select(F.col("node").alias("fact"), "cycle")
+
+
 #: The code, the referring relation and column, the relation referred to and its key.
 REFERENCES = [
     ("OBJECTIFICATION_UNKNOWN_FACT", "objectified", "fact", "facts", "fact"),
