@@ -116,7 +116,8 @@ def vectors(docs: DataFrame) -> DataFrame:
     groups = groups.withColumn("g", F.row_number().over(by_name.orderBy("source")) - 1).withColumn("groups", F.count(F.lit(1)).over(by_name))
     strips = F.expr(f"greatest(1, (terms + {STRIP - 1}) div {STRIP})")
     # a strip is a bucket of hashes, so its terms are about STRIP; places are given within it
-    placed = kept.join(sized, "lang").withColumn("strip", F.pmod(F.xxhash64("term"), strips))
+    # dealt by both, as a language alone may hold most terms
+    placed = kept.join(sized, "lang").withColumn("strip", F.pmod(F.xxhash64("term"), strips)).repartition("lang", "strip")
     placed = placed.withColumn("place", F.row_number().over(Window.partitionBy("lang", "strip").orderBy("term")) - 1)
     placed = durable(placed.select("lang", "term", "total", "strip", "place"), "divergence-terms")
     has = counted.join(placed, ["lang", "term"])

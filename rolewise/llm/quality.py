@@ -1,7 +1,7 @@
 """Quality by logistic regression on hashed word n-grams, trained by follow-the-regularised-leader.
 
-A text is its words and runs of other signs, as they are written, and their pairs, each hashed to one of ``2 ** BITS`` features.  A feature that a text has
-counts once, and a text's features share a length of 1, so that a score is a sparse dot product that doesn't grow with the text.
+A text is its words and runs of other signs, as they are written, and their pairs, each hashed to one of ``2 ** BITS`` features.  A feature's value is the square root of its
+share of the text, so that a text is a sparse vector of length 1 whatever its size, and one feature more is 1 in all texts.  A score is the dot product with the weights.
 
 The proximal form of follow-the-regularised-leader keeps for each feature the sum z of its gradients, less what the weights that it had then account for, and the sum n of their
 squares.  Its weight is what minimises all of that with an L1 and an L2 penalty: zero until z is over the first, and slower the more it has moved.  The labelled rows are dealt to
@@ -27,9 +27,9 @@ from rolewise.llm.common import blocks, discard, durable, in_batches, mix64
 BITS = 18
 #: Labelled rows that are learned from.
 MOST_LABELLED = 50_000
-SHARDS, ROUNDS = 8, 3
-#: Learning rate, its offset, and the penalties on weights and their squares.
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.05, 1.0
+SHARDS, ROUNDS = 4, 6
+#: Learning rate, its offset, and the penalties on weights and their squares; chosen on the rows that may be learned from, one half held against the other.
+ALPHA, BETA, L1, L2 = 5.0, 1.0, 0.03, 0.1
 #: What whole numbers of z and n count.
 UNIT = 2.0**-32
 #: The kinds of bytes: white space, letters, digits and bytes over 127, and other signs.
@@ -59,16 +59,30 @@ def _tokens(raw: np.ndarray) -> np.ndarray:
     return mix64((sums[ends] - sums[starts]) * np.cumprod(steps, dtype=np.uint64)[starts] ^ (ends - starts).astype(np.uint64))
 
 
-def features(text: bytes, bits: int = BITS) -> np.ndarray:
-    """The numbers of the features of a text, each once, ascending, with that of every text last."""
-    shift, found, before = np.uint64(64 - bits), [], np.zeros(0, dtype=np.uint64)
+def features(text: bytes, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the features of a text, ascending, and how often each is there; the one of every text is last, and there once."""
+    shift, before = np.uint64(64 - bits), np.zeros(0, dtype=np.uint64)
+    found, times = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
     for piece in blocks(text):
         tokens = _tokens(np.frombuffer(piece, dtype=np.uint8))
         pairs = np.concatenate((before, tokens))
         pairs = mix64(pairs[:-1] * np.uint64(3) + pairs[1:])
-        found.append(np.unique(np.concatenate((tokens, pairs)) >> shift))
+        at, n = np.unique(np.concatenate((tokens, pairs)) >> shift, return_counts=True)
+        found.append(at)
+        times.append(n)
         before = tokens[-1:] if len(tokens) else before
-    return np.append(np.unique(np.concatenate(found)).astype(np.int64), 1 << bits)
+    at, n = found[-1], times[-1]
+    if len(found) > 2:
+        at, place = np.unique(np.concatenate(found), return_inverse=True)
+        n = np.bincount(place, weights=np.concatenate(times)).astype(np.int64)
+    return np.append(at.astype(np.int64), 1 << bits), np.append(n, 1)
+
+
+def values(n: np.ndarray) -> np.ndarray:
+    """The values of a text's features from how often each is there."""
+    out = np.sqrt(n / max(int(n[:-1].sum()), 1))
+    out[-1] = 1.0
+    return out
 
 
 @dataclass
@@ -86,10 +100,10 @@ class State:
         z, n = self.z[at], self.n[at]
         return np.where(np.abs(z) > L1, (np.sign(z) * L1 - z) / ((BETA + np.sqrt(n)) / ALPHA + L2), 0.0)
 
-    def learn(self, at: np.ndarray, label: int) -> None:
-        """Takes one row, with the features ``at``."""
-        w, value = self.weights(at), len(at) ** -0.5
-        g = (1 / (1 + np.exp(-np.clip(w.sum() * value, -35, 35))) - label) * value
+    def learn(self, at: np.ndarray, value: np.ndarray, label: int) -> None:
+        """Takes one row, with the features ``at`` and their values."""
+        w = self.weights(at)
+        g = (1 / (1 + np.exp(-np.clip((w * value).sum(), -35, 35))) - label) * value
         n = self.n[at]
         self.z[at] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / ALPHA * w
         self.n[at] = n + g * g
@@ -108,18 +122,18 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> D
 
 
 def featured(rows: DataFrame) -> DataFrame:
-    """``shard, turn, label, features`` of ``rows(id, label, text)``; null texts are empty."""
+    """``shard, turn, label, features, times`` of ``rows(id, label, text)``; null texts are empty."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            each = [features(t.as_py() or b"").astype(np.int32) for t in batch.column(3)]
-            ends = np.cumsum([0, *map(len, each)])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(each) if each else np.zeros(0, np.int32)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists], names=["shard", "turn", "label", "features"])
+            each = [features(t.as_py() or b"") for t in batch.column(3)]
+            ends = pa.array(np.cumsum([0, *[len(at) for at, _ in each]]), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *[x[k] for x in each]]).astype(np.int32))) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *lists], names=["shard", "turn", "label", "features", "times"])
 
     turn = F.xxhash64("id", F.lit("turn"))
     dealt = rows.select(F.pmod(F.xxhash64("id"), F.lit(SHARDS)).cast("int").alias("shard"), turn.alias("turn"), "label", "text")
-    return in_batches(dealt, run, "shard int, turn bigint, label int, features array<int>")
+    return in_batches(dealt, run, "shard int, turn bigint, label int, features array<int>, times array<int>")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> State:
@@ -143,12 +157,12 @@ def _round(table: DataFrame, state: State) -> State:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shard = None
         for batch in batches:
-            for k, label, at in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+            for k, label, at, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), batch.column(4), strict=True):
                 if k != shard:
                     if own is not None:
                         yield moved(own)
                     own, shard = State(shared.value.z.copy(), shared.value.n.copy()), k
-                own.learn(at.values.to_numpy(), label)
+                own.learn(at.values.to_numpy(), values(n.values.to_numpy()), label)
         if own is not None:
             yield moved(own)
 
@@ -158,7 +172,7 @@ def _round(table: DataFrame, state: State) -> State:
         return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(z), pa.array(n)], names=["feature", "z", "n"])
 
     # each shard's rows in one order, whatever the files: rows alike in turn are copies or null
-    dealt = table.repartition(SHARDS, "shard").sortWithinPartitions("shard", "turn", "label", "features")
+    dealt = table.repartition(SHARDS, "shard").sortWithinPartitions("shard", "turn", "label", "features", "times")
     sums = in_batches(dealt, run, "feature int, z bigint, n bigint").groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("z", "n")], F.count(F.lit(1)).alias("shards")).toArrow()
     shared.unpersist()
     at, shards = sums["feature"].to_numpy(), sums["shards"].to_numpy()
@@ -169,12 +183,12 @@ def _round(table: DataFrame, state: State) -> State:
 
 
 def chances(texts: list[bytes], weights: np.ndarray) -> np.ndarray:
-    """The chance of label 1 of each text: its features' weights, times what makes their length 1, on the logistic curve."""
+    """The chance of label 1 of each text: the dot product of its features' values and the weights, on the logistic curve."""
     bits = (len(weights) - 1).bit_length() - 1
     sums = np.zeros(len(texts))
     for k, text in enumerate(texts):
-        at = features(text, bits)
-        sums[k] = weights[at].sum(dtype=np.float64) * len(at) ** -0.5
+        at, n = features(text, bits)
+        sums[k] = (weights[at] * values(n)).sum()
     return 1 / (1 + np.exp(-np.clip(sums, -35, 35)))
 
 
