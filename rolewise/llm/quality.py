@@ -13,6 +13,7 @@ Labels are learned from at most about ``MOST_LABELLED`` rows, a sample by the ha
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -26,7 +27,7 @@ from rolewise.llm.common import blocks, discard, durable, in_batches, mix64
 #: Features are numbered in so many bits; the last number is that of every text.
 BITS = 18
 #: Labelled rows that are learned from.
-MOST_LABELLED = 50_000
+MOST_LABELLED = 20_000
 SHARDS, ROUNDS = 4, 6
 #: Learning rate, its offset, and the penalties on weights and their squares; chosen on the rows that may be learned from, one half held against the other.
 ALPHA, BETA, L1, L2 = 5.0, 1.0, 0.03, 0.1
@@ -121,19 +122,27 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> D
     return rows.join(F.broadcast(one.withColumnRenamed("doc_id", "_label_id")), F.col("id") == F.col("_label_id")).select("id", F.col("_label").alias("label"), "text")
 
 
+def packed(at: np.ndarray, n: np.ndarray) -> bytes:
+    """A text's features and how often each is there, compressed: every round shuffles them."""
+    return zlib.compress(np.concatenate((np.diff(at, prepend=0), n)).astype("<u4").view("u1").reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpacked(row: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(zlib.decompress(row), dtype="u1").reshape(4, -1).T.copy().view("<u4").reshape(2, -1).astype(np.int64)
+    return np.cumsum(both[0]), both[1]
+
+
 def featured(rows: DataFrame) -> DataFrame:
-    """``shard, turn, label, features, times`` of ``rows(id, label, text)``; null texts are empty."""
+    """``shard, turn, label, row`` of ``rows(id, label, text)``, each row's features :func:`packed`; null texts are empty."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            each = [features(t.as_py() or b"") for t in batch.column(3)]
-            ends = pa.array(np.cumsum([0, *[len(at) for at, _ in each]]), pa.int32())
-            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *[x[k] for x in each]]).astype(np.int32))) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *lists], names=["shard", "turn", "label", "features", "times"])
+            each = [packed(*features(t.as_py() or b"")) for t in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(each, pa.binary())], names=["shard", "turn", "label", "row"])
 
     turn = F.xxhash64("id", F.lit("turn"))
     dealt = rows.select(F.pmod(F.xxhash64("id"), F.lit(SHARDS)).cast("int").alias("shard"), turn.alias("turn"), "label", "text")
-    return in_batches(dealt, run, "shard int, turn bigint, label int, features array<int>, times array<int>")
+    return in_batches(dealt, run, "shard int, turn bigint, label int, row binary")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> State:
@@ -157,12 +166,13 @@ def _round(table: DataFrame, state: State) -> State:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shard = None
         for batch in batches:
-            for k, label, at, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), batch.column(4), strict=True):
+            for k, label, row in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
                 if k != shard:
                     if own is not None:
                         yield moved(own)
                     own, shard = State(shared.value.z.copy(), shared.value.n.copy()), k
-                own.learn(at.values.to_numpy(), values(n.values.to_numpy()), label)
+                at, n = unpacked(row.as_py())
+                own.learn(at, values(n), label)
         if own is not None:
             yield moved(own)
 
@@ -172,7 +182,7 @@ def _round(table: DataFrame, state: State) -> State:
         return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(z), pa.array(n)], names=["feature", "z", "n"])
 
     # each shard's rows in one order, whatever the files: rows alike in turn are copies or null
-    dealt = table.repartition(SHARDS, "shard").sortWithinPartitions("shard", "turn", "label", "features", "times")
+    dealt = table.repartition(SHARDS, "shard").sortWithinPartitions("shard", "turn", "label", "row")
     sums = in_batches(dealt, run, "feature int, z bigint, n bigint").groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("z", "n")], F.count(F.lit(1)).alias("shards")).toArrow()
     shared.unpersist()
     at, shards = sums["feature"].to_numpy(), sums["shards"].to_numpy()
