@@ -309,13 +309,6 @@ def model_analyses(spark, d):
     return graph.analyses(asked, spark).withColumn("offenders", F.array_join("offenders", ","))
 
 
-@query("""SELECT * FROM (VALUES ('Pay', 'Job', 1), ('Pay', 'Firm', 0), ('Tax', 'Pay', 2), ('Tax', 'Job', 1), ('Tax', 'Firm', 0), ('Job', 'Firm', 0)) t(fact, needs, under)""")
-def objectified_order(spark, d):
-    roles = spark.createDataFrame([("Firm", "a", "Person"), ("Job", "who", "Person"), ("Job", "at", "FirmRecord"), ("Pay", "of", "JobRecord"), ("Tax", "on", "PayRecord"), ("Tax", "by", "FirmRecord")], "fact string, role string, player string")
-    types = spark.createDataFrame([("FirmRecord", "Firm"), ("JobRecord", "Job"), ("PayRecord", "Pay")], "type string, fact string")
-    return graph.objectified_order(roles, types)
-
-
 # -- small relations -------------------------------------------------------------------------------------------------------
 
 
@@ -422,11 +415,6 @@ def model_differences(spark, d):
     return audit.counts_by(catalog.differences(a, b).select("relation", "side").unionByName(same), "relation", "side")
 
 
-@query("SELECT node FROM (VALUES ('a'), ('b'), ('c'), ('x')) t(node)")
-def subtype_cycles(spark, d):
-    return graph.cycles(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("x", "x"), ("y", "z")], "src string, dst string")).distinct()
-
-
 @query(f"""WITH {_RELATIONS}, used AS (SELECT DISTINCT unnest(p) AS i FROM fact)
 SELECT 'Size' AS value_type, count(*) AS standalone FROM val WHERE i NOT IN (SELECT i FROM used) AND t = 'Size' GROUP BY t""")
 def standalone_values(spark, d):

@@ -27,7 +27,7 @@ class Grown:
     """A relation that rounds add rows to; every row is written once, and once more for each ``PARTS`` rounds."""
 
     def __init__(self, name: str):
-        self.name, self.parts, self.rows = name, [], 0
+        self.name, self.parts = name, []
 
     def add(self, df: DataFrame) -> DataFrame:
         """Writes ``df`` as the relation's next part."""
@@ -54,24 +54,21 @@ def ranked(pointers: DataFrame) -> tuple[DataFrame, DataFrame]:
     Every round doubles how far a pointer leads, and what has reached an end isn't written again.  What has reached none when pointers lead further than
     there are nodes is on a ring, which is named by its least node.  Both tables are the caller's to discard.
     """
-    given = durable(pointers.select("node", "next"), "ranked-pointers")
-    n, span = given.count(), 1
-    ends = Grown("ranked")
-    ends.add(given.where("next IS NULL").select("node", F.col("node").alias("last"), F.lit(0).cast("bigint").alias("steps")))
-    open_ = durable(given.where("next IS NOT NULL").select("node", F.col("next").alias("to"), F.lit(1).cast("bigint").alias("steps"), F.least("node", "next").alias("least")), "ranked-open")
-    discard(given)
+    given = durable(pointers.select("node", "next"), "ranked")
+    n, span, tables = given.count(), 1, [given]
+    ends = given.where("next IS NULL").select("node", F.col("node").alias("last"), F.lit(0).cast("bigint").alias("steps"))
+    open_ = given.where("next IS NOT NULL").select("node", F.col("next").alias("to"), F.lit(1).cast("bigint").alias("steps"), F.least("node", "next").alias("least"))
     while span < n and not open_.isEmpty():
-        fixed = ends.all.select(F.col("node").alias("at"), F.col("last").alias("on"), F.col("steps").alias("more"), F.col("node").alias("low"), F.lit(True).alias("ended"))
+        fixed = ends.select(F.col("node").alias("at"), F.col("last").alias("on"), F.col("steps").alias("more"), F.col("node").alias("low"), F.lit(True).alias("ended"))
         moving = open_.select(F.col("node").alias("at"), F.col("to").alias("on"), F.col("steps").alias("more"), F.col("least").alias("low"), F.lit(False).alias("ended"))
         met = open_.join(fixed.unionByName(moving), F.col("to") == F.col("at"))
-        moved = durable(met.select("node", F.col("on").alias("to"), (F.col("steps") + F.col("more")).alias("steps"), F.least("least", "low").alias("least"), "ended"), "ranked-moved")
-        ends.add(moved.where("ended").select("node", F.col("to").alias("last"), "steps"))
-        before, open_ = open_, durable(moved.where("NOT ended").drop("ended"), "ranked-open")
-        discard(before, moved)
+        moved = durable(met.select("node", F.col("on").alias("to"), (F.col("steps") + F.col("more")).alias("steps"), F.least("least", "low").alias("least"), "ended"), "ranked")
+        tables.append(moved)
+        ends = ends.unionByName(moved.where("ended").select("node", F.col("to").alias("last"), "steps"))
+        open_ = moved.where("NOT ended").drop("ended")
         span *= 2
-    found, rings = durable(ends.all, "ranked-ends"), durable(open_.select("node", "least"), "ranked-rings")
-    ends.drop()
-    discard(open_)
+    found, rings = durable(ends, "ranked-ends"), durable(open_.select("node", "least"), "ranked-rings")
+    discard(*tables)
     return found, rings
 
 

@@ -422,26 +422,6 @@ def role_projection(spark, d):
 
 # -- graphs ----------------------------------------------------------------------------------------------------------
 
-ROLES = [(f.name, r, p) for f in COMMERCE.facts for r, p in f.roles]
-_ROLES = ", ".join(f"('{f}', '{f}.{r}', '{p}')" for f, r, p in ROLES)
-TYPES = [("Manager", "Employee"), ("Employee", "Person"), ("Intern", "Employee"), ("Customer", "Person")]
-_TYPES = ", ".join(f"('{a}', '{b}')" for a, b in TYPES)
-PARENTS = [("r1", None), ("r2", "r1"), ("r3", "r2"), ("r4", "r2"), ("r5", "r3"), ("r5", "r4"), ("r6", "r4"), ("r7", "r6"), ("x1", None)]
-_PARENTS = ", ".join(f"('{a}', {'NULL' if b is None else repr(b)})" for a, b in PARENTS)
-
-
-def _roles(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(f, f"{f}.{r}", p) for f, r, p in ROLES], "fact string, role string, player string")
-
-
-def _parents(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PARENTS, "revision string, parent string")
-
-
-@query(f"WITH r(fact, role, player) AS (VALUES {_ROLES}) SELECT player, string_agg(role, ',' ORDER BY role) AS roles, count(DISTINCT fact) AS n_facts FROM r GROUP BY player")
-def incidence_index(spark, d):
-    return graph.incidence(_roles(spark)).select("player", F.array_join("roles", ",").alias("roles"), "n_facts")
-
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT 'c' || o_custkey AS a, 'p' || o_orderpriority AS b FROM orders WHERE o_custkey % 50 = 0), b AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 reach(node, other) AS (SELECT a, b FROM b UNION SELECT r.node, b.b FROM reach r JOIN b ON r.other = b.a)
@@ -462,71 +442,6 @@ def connected_components_all(spark, d):
     return graph.components(edges)
 
 
-@query(f"WITH r(fact, role, player) AS (VALUES {_ROLES}) SELECT fact, count(*) AS n FROM r GROUP BY fact HAVING count(*) <> 2")
-def uniform_arity(spark, d):
-    return graph.uniform(_roles(spark), 2)
-
-
-@query(f"""WITH RECURSIVE e(src, dst) AS (VALUES {_TYPES}), r(src, dst, depth) AS (SELECT src, dst, 1 FROM e UNION ALL SELECT r.src, e.dst, depth + 1 FROM r JOIN e ON r.dst = e.src)
-SELECT src, dst, min(depth)::INTEGER AS depth FROM r GROUP BY src, dst""")
-def subtype_closure(spark, d):
-    return graph.closure(spark.createDataFrame(TYPES, "src string, dst string"))
-
-
-@query(f"""WITH RECURSIVE e(sub, sup) AS (VALUES {_TYPES}), i(type) AS (VALUES ('Person'), ('Intern')), r(type, owner, depth) AS (
-SELECT DISTINCT t, t, 0 FROM (SELECT sub AS t FROM e UNION SELECT sup FROM e) UNION ALL SELECT r.type, e.sup, depth + 1 FROM r JOIN e ON r.owner = e.sub)
-SELECT type, arg_min(owner, depth) AS owner, min(depth)::INTEGER AS depth FROM r WHERE owner IN (SELECT type FROM i) GROUP BY type""")
-def effective_identifier(spark, d):
-    return graph.effective_identifier(spark.createDataFrame(TYPES, "sub string, sup string"), spark.createDataFrame([("Person",), ("Intern",)], "type string"))
-
-
-_ANCESTORS = f"""RECURSIVE p(revision, parent) AS (VALUES {_PARENTS}), r(revision, ancestor, depth) AS (
-SELECT DISTINCT revision, revision, 0 FROM p UNION ALL SELECT r.revision, p.parent, depth + 1 FROM r JOIN p ON r.ancestor = p.revision WHERE p.parent IS NOT NULL),
-up AS (SELECT revision, ancestor, min(depth)::INTEGER AS depth FROM r GROUP BY revision, ancestor)"""
-
-
-@query(f"WITH {_ANCESTORS} SELECT * FROM up")
-def dag_ancestors(spark, d):
-    return graph.ancestors(_parents(spark))
-
-
-PAIRS = [("r5", "r7"), ("r3", "r4"), ("r1", "r7"), ("r5", "x1")]
-
-
-@query(f"""WITH {_ANCESTORS}, w(ours, theirs) AS (VALUES {', '.join(map(repr, PAIRS))})
-SELECT ours, theirs, base FROM (SELECT ours, theirs, a.ancestor AS base, row_number() OVER (PARTITION BY ours, theirs ORDER BY greatest(a.depth, b.depth), a.depth + b.depth, a.ancestor) AS k
-FROM w JOIN up a ON a.revision = ours JOIN up b ON b.revision = theirs AND b.ancestor = a.ancestor) WHERE k = 1""")
-def merge_base(spark, d):
-    return graph.merge_base(_parents(spark), spark.createDataFrame(PAIRS, "ours string, theirs string"))
-
-
-@query(f"WITH {_ANCESTORS}, w(old, new) AS (VALUES {', '.join(map(repr, PAIRS))}) SELECT old, new, EXISTS (SELECT 1 FROM up WHERE revision = new AND ancestor = old) AS fast_forward FROM w")
-def fast_forward(spark, d):
-    return graph.fast_forward(_parents(spark), spark.createDataFrame(PAIRS, "old string, new string"))
-
-
-@query(f"WITH {_ANCESTORS} SELECT ancestor, depth FROM up WHERE revision = 'r5'")
-def revision_closure(spark, d):
-    return graph.closure_order(_parents(spark), "r5")
-
-
-@query("""SELECT 'UNKNOWN_PLAYER' AS code, 'Line.ghost' AS element, 'Ghost' AS missing
-UNION ALL SELECT 'ROLE_WRONG_FACT', 'Lost.role', 'Lost' UNION ALL SELECT 'READING_UNKNOWN_FACT', 'reading1', 'Nowhere'
-UNION ALL SELECT 'SUBTYPE_UNKNOWN_TYPE', 'sub1', 'Nobody' UNION ALL SELECT 'SAMPLE_UNKNOWN_FACT', 'sample1', 'Nothing'""")
-def dangling_references(spark, d):
-    make = lambda rows, ddl: spark.createDataFrame(rows, ddl)
-    roles = [(f"{f}.{r}", f"{f}.{r}", f, p) for f, r, p in ROLES] + [("Line.ghost", "Line.ghost", "Line", "Ghost"), ("Lost.role", "Lost.role", "Lost", "Part")]
-    objects = [(e.name, e.name) for e in (*COMMERCE.entities, *COMMERCE.values)]
-    return graph.dangling({
-        "facts": make([(f.name, f.name) for f in COMMERCE.facts], "element string, fact string"),
-        "objects": make(objects, "element string, object string"),
-        "roles": make(roles, "element string, role string, fact string, player string"),
-        "readings": make([("reading0", "Line"), ("reading1", "Nowhere")], "element string, fact string"),
-        "subtypes": make([("sub0", "Customer"), ("sub1", "Nobody")], "element string, object string"),
-        "samples": make([("sample1", "Nothing"), ("sample0", "Line")], "element string, fact string"),
-    })
-
-
 @query("SELECT 'doc' AS kind, count(*) AS total, count(*) FILTER (doc_id % 4 = 0) AS stable, count(*) FILTER (doc_id % 4 = 0) / count(*) AS coverage FROM documents")
 def identity_coverage(spark, d):
     ids = table(spark, d, "documents").select(F.lit("doc").alias("kind"), F.when(F.col("doc_id") % 4 == 0, scalar.explicit_id("doc", F.col("doc_id").cast("string"))).otherwise(scalar.stable_id("doc", F.col("doc_id").cast("string"))).alias("id"))
@@ -765,4 +680,4 @@ def violation_evidence(spark, d):
     return plan.evidence(_violations(spark, d), _lines(spark, d), "uniqueness:Line(order,number)", ["order", "number"])
 
 
-from rolewise import model_queries  # noqa: E402, F401 - registers its queries
+from rolewise import graph_queries, model_queries  # noqa: E402, F401 - register their queries
