@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rolewise.functions import scalar
 from rolewise.operators import audit, evolution, facts, graph
-from rolewise.plans import catalog, population, portability, structure, witness
+from rolewise.plans import catalog, chase, population, portability, structure, witness
 from rolewise.plans import compile as plan
 from rolewise.plans.model import Entity, Fact, Model, Rule, Value
 from rolewise.queries import COMMERCE, VIOLATIONS, binding, query
@@ -100,6 +100,20 @@ def representation_gaps(spark, d):
     return population.gaps(ORDERED, _population(spark, d))
 
 
+@query(f"""WITH {_RELATIONS}, o AS (SELECT i FROM mem WHERE t IN ('Order', 'Urgent')), late AS (SELECT DISTINCT i FROM o WHERE i NOT IN (SELECT o FROM placed))
+SELECT 'fact' AS kind, 'Placed' AS "of", count(*) AS n FROM late HAVING count(*) > 0
+UNION ALL SELECT 'member', 'Customer', count(*) FROM late HAVING count(*) > 0
+UNION ALL SELECT 'member', 'Order', count(*) FROM mem WHERE t = 'Urgent' AND i NOT IN (SELECT i FROM mem WHERE t = 'Order') HAVING count(*) > 0
+UNION ALL SELECT 'fact', 'Likes', count(*) FROM likes l WHERE NOT EXISTS (SELECT 1 FROM likes r WHERE r.a = l.b AND r.b = l.a) HAVING count(*) > 0""")
+def chase_additions(spark, d):
+    """What the population lacks by the rules that ask for more, from the orders that are nobody's to the other way of what is liked."""
+    given = _population(spark, d)
+    rows = given["facts"].where("fact IN ('Placed', 'Likes') AND size(players) = 2").select(F.lit("0").alias("case"), F.lit("fact").alias("kind"), F.col("fact").alias("of"), F.col("players").alias("row"))
+    members = given["memberships"].where("object_type IN ('Customer', 'Order', 'Urgent')").select(F.lit("0").alias("case"), F.lit("member").alias("kind"), F.col("object_type").alias("of"), F.array("instance_id").alias("row"))
+    atoms = rows.unionByName(members).distinct()
+    return chase.chased(ORDERED, atoms).join(atoms, ["case", "kind", "of", "row"], "left_anti").groupBy("kind", "of").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("""WITH g AS (SELECT DISTINCT o_orderkey % 10 AS c, CASE WHEN o_orderpriority = '1-URGENT' THEN 'standalone_value' ELSE 'multivalued_field' END AS gap FROM orders WHERE o_orderkey % 10 < 7 AND o_orderkey % 10 <> 2 AND (o_orderkey % 10 < 4 OR o_orderpriority <> '1-URGENT')),
 c AS (SELECT DISTINCT o_orderkey % 10 AS c FROM orders), s AS (SELECT c, target, CASE WHEN target = 'graph' THEN coalesce(bool_or(gap = 'standalone_value'), false) ELSE false END AS bad, target = 'wide' AND coalesce(bool_or(gap = 'standalone_value'), false) AS u, target = 'wide' AND coalesce(bool_or(gap = 'multivalued_field'), false) AS r
 FROM c CROSS JOIN (VALUES ('wide'), ('graph')) t(target) LEFT JOIN g USING (c) GROUP BY c, target)

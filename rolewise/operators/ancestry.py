@@ -19,30 +19,23 @@ from pyspark.sql import functions as F
 from rolewise.operators.facts import following
 from rolewise.sources.tables import discard, durable
 
-#: Tables of a growing relation that are read one by one before they become one.
-PARTS = 16
-
-
 class Grown:
-    """A relation that rounds add rows to; every row is written once, and once more for each ``PARTS`` rounds."""
+    """A relation that rounds add rows to, every row once.  However many rounds there were, it is read by one scan, so plans don't grow with them."""
 
     def __init__(self, name: str):
-        self.name, self.parts = name, []
+        self.name, self.parts, self.paths = name, [], []
 
     def add(self, df: DataFrame) -> DataFrame:
         """Writes ``df`` as the relation's next part."""
         part = durable(df, self.name)
         self.parts.append(part)
-        if len(self.parts) > PARTS:
-            # the last part stays apart, as the next round reads it by itself
-            one = durable(reduce(DataFrame.unionByName, self.parts[:-1]), self.name)
-            discard(*self.parts[:-1])
-            self.parts = [one, part]
+        self.paths += sorted({file.rsplit("/", 1)[0] for file in part.inputFiles()})
         return part
 
     @property
     def all(self) -> DataFrame:
-        return reduce(DataFrame.unionByName, self.parts)
+        first = self.parts[0]
+        return first.sparkSession.read.schema(first.schema).parquet(*self.paths) if self.paths else first
 
     def drop(self) -> None:
         discard(*self.parts)
@@ -54,21 +47,19 @@ def ranked(pointers: DataFrame) -> tuple[DataFrame, DataFrame]:
     Every round doubles how far a pointer leads, and what has reached an end isn't written again.  What has reached none when pointers lead further than
     there are nodes is on a ring, which is named by its least node.  Both tables are the caller's to discard.
     """
-    given = durable(pointers.select("node", "next"), "ranked")
-    n, span, tables = given.count(), 1, [given]
-    ends = given.where("next IS NULL").select("node", F.col("node").alias("last"), F.lit(0).cast("bigint").alias("steps"))
-    open_ = given.where("next IS NOT NULL").select("node", F.col("next").alias("to"), F.lit(1).cast("bigint").alias("steps"), F.least("node", "next").alias("least"))
-    while span < n and not open_.isEmpty():
-        fixed = ends.select(F.col("node").alias("at"), F.col("last").alias("on"), F.col("steps").alias("more"), F.col("node").alias("low"), F.lit(True).alias("ended"))
-        moving = open_.select(F.col("node").alias("at"), F.col("to").alias("on"), F.col("steps").alias("more"), F.col("least").alias("low"), F.lit(False).alias("ended"))
-        met = open_.join(fixed.unionByName(moving), F.col("to") == F.col("at"))
-        moved = durable(met.select("node", F.col("on").alias("to"), (F.col("steps") + F.col("more")).alias("steps"), F.least("least", "low").alias("least"), "ended"), "ranked")
-        tables.append(moved)
-        ends = ends.unionByName(moved.where("ended").select("node", F.col("to").alias("last"), "steps"))
-        open_ = moved.where("NOT ended").drop("ended")
+    ended = F.col("next").isNull()
+    state = Grown("ranked")
+    last = state.add(pointers.select("node", F.coalesce("next", "node").alias("to"), F.when(ended, 0).otherwise(1).cast("bigint").alias("steps"), F.least("node", "next").alias("least"), ended.alias("ended")))
+    n, span = last.count(), 1
+    while span < n and not last.where("NOT ended").isEmpty():
+        further = state.all.where("ended").unionByName(last.where("NOT ended"))
+        further = further.select(F.col("node").alias("at"), F.col("to").alias("on"), F.col("steps").alias("more"), F.col("least").alias("low"), F.col("ended").alias("there"))
+        met = last.where("NOT ended").join(further, F.col("to") == F.col("at"))
+        last = state.add(met.select("node", F.col("on").alias("to"), (F.col("steps") + F.col("more")).alias("steps"), F.least("least", "low").alias("least"), F.col("there").alias("ended")))
         span *= 2
-    found, rings = durable(ends, "ranked-ends"), durable(open_.select("node", "least"), "ranked-rings")
-    discard(*tables)
+    found = durable(state.all.where("ended").select("node", F.col("to").alias("last"), "steps"), "ranked-ends")
+    rings = durable(last.where("NOT ended").select("node", "least"), "ranked-rings")
+    state.drop()
     return found, rings
 
 
@@ -216,7 +207,13 @@ def levels(edges: DataFrame, index: Runs | None = None) -> tuple[DataFrame, Data
     left = durable(links.join(done.all.select("run"), "run", "left_anti").join(done.all.select(F.col("run").alias("to_run")), "to_run", "left_anti").select("run", "to_run"), "levels-left")
     tails = _stripped(left.select("run").union(left.select("to_run")).distinct().select("run", F.lit(0).cast("bigint").alias("length")), left.select(F.col("to_run").alias("run"), F.col("run").alias("to_run")))
     core = durable(left.join(tails.all.select("run"), "run", "left_anti").join(tails.all.select(F.col("run").alias("to_run")), "to_run", "left_anti").select(F.col("run").alias("src"), F.col("to_run").alias("dst")), "levels-core")
-    sets = components(core)
+    # without what led to it or from it, a ring is a run again, and is found in as many rounds as the logarithm of its length
+    again = runs(core)
+    loops = durable(again.links.select(F.col("run").alias("src"), F.col("to_run").alias("dst")).distinct(), "levels-loops")
+    whole = components(loops)
+    sets = durable(again.members.join(whole.withColumnRenamed("of", "run"), "run").select(F.col("node").alias("of"), "set"), "levels-sets")
+    again.drop()
+    discard(loops, whole)
     at = durable(own.members.join(done.all, "run").select("node", (F.col("level") + F.col("offset")).alias("level")), "levels")
     on = own.members.join(sets, F.col("run") == F.col("of")).select("node", "set")
     cycles = durable(on.join(on.groupBy("set").agg(F.min("node").alias("cycle")), "set").select("node", "cycle"), "cycles")

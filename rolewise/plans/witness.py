@@ -1,24 +1,28 @@
 """Witnesses: for every obligation of a model a small population that breaks it, and valid ones that probe its bounds.
 
-The populations of all obligations are kept apart by their instance ids and bound together, so one compiled plan judges all
-of them at once, however many obligations a model has.  A witness is *isolated* if it breaks its own obligation
-alone, *collateral* if it breaks others too, and *missing* if no population of this kind breaks it.
+What breaks an obligation is a few rows, made from the model alone.  What the other rules then ask for is added by :mod:`rolewise.plans.chase`, however far that leads.
+The populations of all obligations are kept apart by their instance ids, as one relation, so one chase completes them and one compiled plan judges all
+of them at once, however many obligations a model has.  A witness is *isolated* if it breaks its own obligation alone, and *collateral* if it breaks others too.  If there is none, the
+obligation is *not_independently_falsifiable* where it follows from the others (:mod:`rolewise.plans.implied`), and else *unsupported*.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from dataclasses import replace
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from rolewise.functions.scalar import TIMES
+from rolewise.operators import rules
+from rolewise.plans import chase, implied
 from rolewise.plans import compile as plan
 from rolewise.plans.model import Fact, Model, Rule, Value
-
-#: How deep facts that a new member must take part in bring in further members.
-DEPTH = 3
+from rolewise.sources.tables import discard, durable
 
 
 def _good(v: Value, unique: str, number: int) -> str:
@@ -48,7 +52,7 @@ def _bad(v: Value) -> str | None:
 
 
 class _Populations:
-    """Collects the rows of disjoint populations."""
+    """Collects the rows of disjoint populations, without what the rules ask for beside them."""
 
     def __init__(self, model: Model):
         self.model = model
@@ -61,8 +65,8 @@ class _Populations:
     def start(self, name: str) -> None:
         self.at, self.n = name, 0
 
-    def new(self, type_: str, depth: int = 0, skip: tuple[str, str] | None = None, above: bool = True) -> str:
-        """A new player of a type: a literal, or a member of it and of what is above it, in the facts that it must be in."""
+    def new(self, type_: str, above: bool = True) -> str:
+        """A new player of a type: a literal, or a member of it and of what is above it."""
         self.n += 1
         name = f"{self.at}|{type_}{self.n}"
         if type_ in self.values:
@@ -70,47 +74,34 @@ class _Populations:
         for t in self.model.above(type_) if above and type_ in self.members else [type_]:
             if t in self.members:
                 self.members[t][name] = {f: _good(self.values[of], name, self.n) for f, of, _ in self.fields[t]}
-        for r in self.model.rules:
-            player = self.model.player(r.fact, r.roles[0]) if r.kind == "mandatory" else None
-            if player in self.model.above(type_) and (r.fact, r.roles[0]) != skip and depth < DEPTH:
-                self.fact(r.fact, {r.roles[0]: name}, depth + 1)
         return name
 
-    def _often(self, name: str, row: tuple[str, ...], depth: int) -> None:
-        """Adds what a frequency's lower bound asks for beside a row."""
-        places = dict(zip(self.model.fact(name).role_names, row, strict=True))
-        for r in self.model.rules:
-            if r.kind == "frequency" and r.fact == name and r.low > 1 and set(r.roles) != set(places):
-                key = {k: places[k] for k in r.roles}
-                same = sum(all(dict(zip(places, x, strict=True))[k] == v for k, v in key.items()) for x in set(self.facts[name]))
-                for _ in range(r.low - same):
-                    self.facts[name].append(tuple(key.get(k) or self.new(p, depth + 1, (name, k)) for k, p in self.model.fact(name).roles))
-
-    def fact(self, name: str, given: dict[str, str] | None = None, depth: int = 0) -> tuple[str, ...]:
+    def fact(self, name: str, given: dict[str, str] | None = None) -> tuple[str, ...]:
         given = dict(given or {})
         kinds = {r.kind for r in self.model.rules if r.fact == name}
         if {"symmetric", "unordered"} <= kinds and not given:  # only a pair with itself is both
-            given = dict.fromkeys(self.model.fact(name).role_names, self.new(self.model.fact(name).roles[0][1], depth))
-        row = tuple(given.get(r) or self.new(p, depth, (name, r)) for r, p in self.model.fact(name).roles)
+            given = dict.fromkeys(self.model.fact(name).role_names, self.new(self.model.fact(name).roles[0][1]))
+        row = tuple(given.get(r) or self.new(p) for r, p in self.model.fact(name).roles)
         self.facts[name].append(row)
-        self._often(name, row, depth)
-        for r in self.model.rules:  # what states the reverse, and what a subset needs
-            if r.fact == name and r.kind == "symmetric" and row[::-1] not in self.facts[name]:
-                self.facts[name].append(row[::-1])
-            if r.fact == name and r.kind in ("subset", "equality") and depth < DEPTH:
-                places = dict(zip(self.model.fact(name).role_names, row, strict=True))
-                self.fact(r.other, {o: places[m] for m, o in zip(r.roles, r.other_roles, strict=True)}, depth + 1)
         return row
 
-    def bound(self, spark: SparkSession) -> plan.Binding:
-        entities = {}
-        for e in self.model.entities:
-            names = [f for f, _, _ in e.fields]
-            rows = [(k, *[v.get(f) for f in names]) for k, v in self.members[e.name].items()]
-            ddl = ", ".join(["_id string", *[f"`{f}` string" for f in names]])
-            entities[e.name] = (spark.createDataFrame(rows, ddl), "_id", {f: f for f in names})
-        facts = {f.name: spark.createDataFrame(self.facts[f.name], ", ".join(f"`{r}` string" for r in f.role_names)) for f in self.model.facts}
-        return plan.Binding(entities, facts, literal=lambda value: F.regexp_replace(value, r"^\d+\|", ""))
+    def atoms(self, spark: SparkSession) -> DataFrame:
+        case = lambda id_: id_.split("|", 1)[0]
+        rows = [(case(row[0]), "fact", f, list(row)) for f, each in self.facts.items() for row in each]
+        rows += [(case(name), "member", t, [name, *[fields[f] for f, _, _ in self.fields[t]]]) for t, members in self.members.items() for name, fields in members.items()]
+        return spark.createDataFrame(rows, chase.ATOMS)
+
+
+def binding(model: Model, atoms: DataFrame) -> plan.Binding:
+    """Atoms bound to the model that they are of; ids and literals of roles begin with their case and a bar."""
+    of = lambda kind, name: atoms.where((F.col("kind") == kind) & (F.col("of") == name))
+    entities = {}
+    for e in model.entities:
+        names = [f for f, _, _ in e.fields]
+        rows = of("member", e.name).select(F.col("row")[0].alias("_id"), "case", *[F.get("row", F.lit(k + 1)).alias(f) for k, f in enumerate(names)])
+        entities[e.name] = (rows, "_id", {f: f for f in names})
+    facts = {f.name: of("fact", f.name).select(*[F.get("row", F.lit(k)).alias(r) for k, r in enumerate(f.role_names)]) for f in model.facts}
+    return plan.Binding(entities, facts, literal=lambda value: F.regexp_replace(value, r"^\d+\|", ""))
 
 
 def _break_rule(b: _Populations, r: Rule) -> None:
@@ -121,7 +112,7 @@ def _break_rule(b: _Populations, r: Rule) -> None:
         for _ in range(n - len({x for x in b.facts[r.fact] if all(dict(zip(fact.role_names, x, strict=True))[k] == first[k] for k in r.roles)})):
             b.fact(r.fact, {k: first[k] for k in r.roles})
     elif r.kind == "mandatory":
-        b.new(b.model.player(r.fact, r.roles[0]), skip=(r.fact, r.roles[0]))
+        b.new(b.model.player(r.fact, r.roles[0]))
     elif r.kind == "symmetric":
         b.facts[r.fact].append(tuple(b.new(p) for _, p in fact.roles))
     elif r.kind == "unordered":
@@ -130,8 +121,7 @@ def _break_rule(b: _Populations, r: Rule) -> None:
         if (again := tuple(turned.values())) not in b.facts[r.fact]:
             b.facts[r.fact].append(again)
     elif r.kind in ("subset", "equality"):
-        apart = dict(zip(r.roles, r.other_roles, strict=True))
-        b.facts[r.fact].append(tuple(b.new(p, skip=(r.other, apart.get(role, ""))) for role, p in fact.roles))
+        b.facts[r.fact].append(tuple(b.new(p) for _, p in fact.roles))
     elif r.kind == "exclusion":
         row = dict(zip(fact.role_names, b.fact(r.fact), strict=True))
         b.fact(r.other, {o: row[m] for m, o in zip(r.roles, r.other_roles, strict=True)})
@@ -168,77 +158,101 @@ def _case(column: str) -> Column:
     return F.regexp_extract(F.array_join(F.col(column), ","), r"(\d+)\|", 1)
 
 
-def _broken(spark: SparkSession, model: Model, b: _Populations) -> DataFrame:
-    """``case, broken``: the obligations that each population breaks."""
-    found = plan.violations(model, b.bound(spark)).withColumn("case", _case("key"))
-    return found.groupBy("case").agg(F.sort_array(F.collect_set("obligation_id")).alias("broken"))
-
+def broken(model: Model, atoms: DataFrame) -> DataFrame:
+    """``case, broken``: the obligations that each population breaks.  Identifiers are compared within a case, as their literals may be alike in others."""
+    bound = binding(model, atoms)
+    plain = replace(model, entities=tuple(replace(e, identity=()) for e in model.entities), subtypes=model.subtypes, _by_name={})
+    parts = [plan.violations(plain, bound).select(_case("key").alias("case"), "obligation_id")]
+    for e in model.entities:
+        if e.identity:
+            shared = rules.identifier_columns(bound.entities[e.name][0], "_id", ["case", *e.identity])
+            parts.append(shared.select("case", F.lit(f"identifier:{e.name}").alias("obligation_id")))
+    return reduce(DataFrame.unionByName, parts).groupBy("case").agg(F.sort_array(F.collect_set("obligation_id")).alias("broken"))
 
-def _witnesses(model: Model) -> tuple[_Populations, list[str]]:
-    b = _Populations(model)
-    known = [o for o, _ in plan.obligations(model)]
-    for k, obligation in enumerate(known):
-        b.start(str(k))
-        _break(b, obligation)
-    return b, known
 
+def _follows(model: Model, obligation: str) -> bool:
+    """Whether the model's other obligations say what this one does, by counting; any text is a String."""
+    rule = next((r for r in model.rules if r.id == obligation), None)
+    if rule:
+        return implied.counts(model, rule)
+    kind, _, what = obligation.partition(":")
+    kinds = {v.name: v.kind for v in model.values}
+    return kind == "player" and kinds.get(model.player(*what.rsplit(".", 1))) == "String"
 
-def counterexamples(spark: SparkSession, model: Model) -> DataFrame:
-    """``obligation_id, status, broken``: whether each obligation's witness is isolated, collateral or missing, and what it breaks."""
-    b, known = _witnesses(model)
-    cases = spark.createDataFrame([(str(k), o) for k, o in enumerate(known)], "case string, obligation_id string")
-    row = cases.join(_broken(spark, model, b), "case", "left").withColumn("broken", F.coalesce("broken", F.array().cast("array<string>")))
-    own = F.array_contains("broken", F.col("obligation_id"))
-    status = F.when(~own, "missing").when(F.size("broken") == 1, "isolated").otherwise("collateral")
-    return row.select("obligation_id", status.alias("status"), "broken")
 
+def _witnessed(spark: SparkSession, model: Model) -> tuple[DataFrame, DataFrame]:
+    """The atoms of two populations for each obligation, completed by the chase and as they are made, and what is found of them.
 
-#: One thing of a population that can be left out: a row of a fact, or a member of a type.
-Atom = tuple[str, str, object]
+    Found are ``obligation_id, status, broken, implied`` and ``case``, the better of the two.
+    """
+    b, known = _Populations(model), [o for o, _ in plan.obligations(model)]
+    for k, obligation in enumerate(known):
+        for case in (k, k + len(known)):
+            b.start(str(case))
+            _break(b, obligation)
+    made = durable(b.atoms(spark), "witness-made")
+    first = F.col("case").cast("bigint") < len(known)
+    spared = spark.createDataFrame([(str(k), o) for k, o in enumerate(known)], "case string, obligation string")
+    atoms = durable(chase.chased(model, made.where(first), spared).unionByName(made.where(~first)), "witness-atoms")
+    discard(made)
+    cases = spark.createDataFrame([(o, str(k + more), more > 0, _follows(model, o)) for k, o in enumerate(known) for more in (0, len(known))], "obligation_id string, case string, bare boolean, follows boolean")
+    row = cases.join(broken(model, atoms), "case", "left").withColumn("broken", F.coalesce("broken", F.array().cast("array<string>")))
+    own = F.array_contains("broken", F.col("obligation_id"))
+    rank = F.when(own & (F.size("broken") == 1), 0).when(own, 1).otherwise(2)
+    best = row.groupBy("obligation_id", "follows").agg(F.min(F.struct(rank.alias("rank"), "bare", "case", "broken")).alias("best"), F.bool_and(F.col("bare") | ~own).alias("_met"))
+    status = F.when(F.col("best.rank") == 0, "isolated").when(F.col("best.rank") == 1, "collateral").when(F.col("follows"), "not_independently_falsifiable").otherwise("unsupported")
+    # what the chase of the other rules meets follows from them, if it adds the least that they ask for
+    asked = [o for o, *_ in chase.asks(model)]
+    says = F.col("follows") | (F.col("_met") & F.col("obligation_id").isin(asked) & F.lit(not chase.closing(model)))
+    return atoms, row.select("obligation_id").distinct().join(best, "obligation_id").select("obligation_id", status.alias("status"), F.col("best.broken").alias("broken"), says.alias("implied"), F.col("best.case").alias("case"))
 
 
-def _atoms(b: _Populations, case: str) -> list[Atom]:
-    mine = lambda name: str(name).startswith(f"{case}|")
-    rows = [("fact", f, row) for f, rows in b.facts.items() for row in rows if mine(row[0])]
-    return rows + [("member", t, (name, fields)) for t, members in b.members.items() for name, fields in members.items() if mine(name)]
+def counterexamples(spark: SparkSession, model: Model) -> DataFrame:
+    """``obligation_id, status, broken, implied``: how each obligation's witness breaks it, all that it breaks, and whether the other obligations imply it."""
+    return _witnessed(spark, model)[1].drop("case")
 
 
-def _renumbered(b: _Populations, case: str, to: str, atoms: list[Atom]) -> None:
-    """Adds a case's atoms under another number."""
-    move = lambda x: to + x[len(case) :] if isinstance(x, str) and x.startswith(f"{case}|") else x
-    for kind, of, what in atoms:
-        if kind == "fact":
-            b.facts[of].append(tuple(map(move, what)))
-        else:
-            b.members[of][move(what[0])] = {f: move(x) for f, x in what[1].items()}
+#: Cases of one round of :func:`shrunk` are numbered by their case and the piece that is left out.
+PIECES = 1_000_000
 
 
 def shrunk(spark: SparkSession, model: Model) -> DataFrame:
     """``obligation_id, fact_rows, members, left_out``: the isolated witnesses with nothing in them that can be left out by itself.
 
-    Each round judges all witnesses without any one of their atoms at once, by one plan, and leaves out the first atom of each without which it
-    is still isolated, until there is none.  That is a local minimum, as of single atoms, and no more is claimed.
+    By halves, then by smaller pieces: a round leaves out each piece of each witness in turn, all at once by one plan, and takes the first without which it is still isolated.  If there is none
+    the pieces become half as large, until they are single rows of a fact or members of a type.  Candidates are rows that are exploded on Spark, and rounds grow with the logarithm of what can be left
+    out.  The end is a local minimum, as of single atoms, and no more is claimed.
     """
-    b, known = _witnesses(model)
-    isolated = {r.obligation_id for r in counterexamples(spark, model).where("status = 'isolated'").collect()}
-    atoms = {k: _atoms(b, str(k)) for k, o in enumerate(known) if o in isolated}
-    before, open_ = {k: len(a) for k, a in atoms.items()}, set(atoms)
-    while open_:
-        trial, tried = _Populations(model), []
-        for k in sorted(open_):
-            for i in range(len(atoms[k])):
-                _renumbered(trial, str(k), str(len(tried)), atoms[k][:i] + atoms[k][i + 1 :])
-                tried.append((k, i))
-        still = {int(r.case): r.broken for r in _broken(spark, model, trial).collect() if r.case}
-        first: dict[int, int] = {}
-        for n, (k, i) in enumerate(tried):
-            if still.get(n) == [known[k]]:
-                first.setdefault(k, i)
-        for k, i in first.items():
-            del atoms[k][i]
-        open_ = set(first)
-    rows = [(known[k], sum(x[0] == "fact" for x in a), sum(x[0] == "member" for x in a), before[k] - len(a)) for k, a in atoms.items()]
-    return spark.createDataFrame(rows, "obligation_id string, fact_rows int, members int, left_out int")
+    atoms, found = _witnessed(spark, model)
+    target = durable(found.where("status = 'isolated'").select("case", "obligation_id"), "shrink-target")
+    order = Window.partitionBy("case").orderBy("kind", "of", "row")
+    left = durable(atoms.join(target, "case").withColumn("seq", F.row_number().over(order) - 1).drop("obligation_id"), "shrink-atoms")
+    pieces = left.groupBy("case").agg(F.count(F.lit(1)).alias("before"))
+    state = durable(pieces.select("case", "before", F.least("before", F.lit(2)).alias("n"), (F.col("before") < 1).alias("done")), "shrink-state")
+    while not state.where("NOT done").isEmpty():
+        sized = left.groupBy("case").agg(F.count(F.lit(1)).alias("size")).join(state.where("NOT done"), "case")
+        placed = left.join(sized, "case").withColumn("place", F.row_number().over(Window.partitionBy("case").orderBy("seq")) - 1)
+        cut = durable(placed.withColumn("piece", F.expr("place * n div size")).drop("place", "before", "done"), "shrink-cut")
+        tried = cut.withColumn("out", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1))).where("piece <> out")
+        number = (F.col("case").cast("bigint") * PIECES + F.col("out")).cast("string")
+        own = F.concat("case", F.lit("|"))
+        moved = F.transform("row", lambda x: F.when(F.startswith(x, own), F.concat("_case", F.lit("|"), F.substring(x, F.length(own) + 1, F.length(x)))).otherwise(x))
+        tried = tried.withColumn("_case", number).select(F.col("_case").alias("case"), "kind", "of", moved.alias("row"))
+        judged = broken(model, durable(tried, "shrink-tried")).where("case <> ''")
+        still = judged.select((F.col("case").cast("bigint") / PIECES).cast("bigint").cast("string").alias("case"), (F.col("case").cast("bigint") % PIECES).alias("out"), "broken").join(target, "case")
+        taken = durable(still.where(F.col("broken") == F.array("obligation_id")).groupBy("case").agg(F.min("out").alias("out")), "shrink-taken")
+        gone = cut.join(taken, (cut["case"] == taken["case"]) & (cut["piece"] == taken["out"]), "left_semi").select("case", "seq")
+        after = durable(left.join(gone, ["case", "seq"], "left_anti"), "shrink-atoms")
+        size = after.groupBy("case").agg(F.count(F.lit(1)).alias("size"))
+        next_ = state.join(size, "case", "left").join(taken.select("case", F.lit(True).alias("hit")), "case", "left")
+        n = F.when(F.col("hit"), F.greatest(F.col("n") - 1, F.lit(2))).otherwise(F.col("n") * 2)
+        changed = next_.select("case", "before", F.when(F.col("done"), F.col("n")).otherwise(F.least(n, F.coalesce("size", F.lit(0)))).alias("n"), (F.col("done") | (F.col("hit").isNull() & (F.col("n") >= F.coalesce("size", F.lit(0)))) | F.col("size").isNull()).alias("done"))
+        state_ = durable(changed, "shrink-state")
+        discard(left, state, cut, taken)
+        left, state = after, state_
+    kinds = lambda k: F.count_if(F.col("kind") == k).cast("int")
+    done = left.groupBy("case").agg(kinds("fact").alias("fact_rows"), kinds("member").alias("members")).join(state, "case").join(target, "case")
+    return done.select("obligation_id", "fact_rows", "members", (F.col("before") - F.col("fact_rows") - F.col("members")).cast("int").alias("left_out"))
 
 
 def sizes(witnesses: DataFrame) -> DataFrame:
@@ -305,11 +319,13 @@ def _rule_probes(b: _Populations, cases: list[tuple[str, str]]) -> None:
 def probes(spark: SparkSession, model: Model) -> DataFrame:
     """``obligation_id, probe, accepted``: small valid populations for every obligation, and whether the rules accept them.
 
-    Values are probed at the bounds of their ranges and at each that an enumeration allows; rules with as little and as much as they allow.
+    Values are probed at the bounds of their ranges and at each that an enumeration allows; rules with as little and as much as they allow.  What the other rules
+    ask for beside that is added by the chase.
     """
     b = _Populations(model)
     cases = _value_probes(b)
     _rule_probes(b, cases)
-    found = plan.violations(model, b.bound(spark)).select(_case("key").alias("case"), F.lit(True).alias("refused")).distinct()
+    atoms = durable(chase.chased(model, b.atoms(spark)), "probes")
+    found = broken(model, atoms).select("case", F.lit(True).alias("refused"))
     named = spark.createDataFrame([(str(k), *c) for k, c in enumerate(cases)], "case string, obligation_id string, probe string")
     return named.join(found, "case", "left").select("obligation_id", "probe", F.col("refused").isNull().alias("accepted"))
