@@ -131,6 +131,21 @@ def ancestors_of(parents: DataFrame, heads: DataFrame, index: Runs | None = None
     return found
 
 
+def reached(index: Runs, starts: DataFrame) -> DataFrame:
+    """``node``: all that any of ``starts(node)`` leads to, themselves included, as one question: a run is entered once, or anew where it is entered earlier."""
+    entries = Grown("reached-entries")
+    begin = lambda df: df.groupBy("run").agg(F.max("offset").alias("offset"))
+    last = entries.add(begin(starts.select("node").distinct().join(index.members, "node")))
+    while not last.isEmpty():
+        ahead = begin(last.select("run").join(index.links, "run").select(F.col("to_run").alias("run"), F.col("to_offset").alias("offset")))
+        known = begin(entries.all).withColumnRenamed("offset", "begun")
+        last = entries.add(ahead.join(known, "run", "left").where("begun IS NULL OR offset > begun").select("run", "offset"))
+    whole = begin(entries.all)
+    found = durable(index.members.withColumnRenamed("offset", "place").join(whole, "run").where("place <= offset").select("node"), "reached")
+    entries.drop()
+    return found
+
+
 def _bases(entries: DataFrame) -> DataFrame:
     """``ours, theirs, run, place, a, b``: the nearest common revision of each run that both sides of a question have entered, and its distances."""
     side = lambda k: entries.where(F.col("q.side") == k).select("q.ours", "q.theirs", "run", F.col("offset").alias(f"o{k}"), F.col("depth").alias(f"d{k}"))

@@ -96,6 +96,29 @@ def absorbed(owners: DataFrame, key: str, fact: DataFrame, on: str, columns: Seq
     return owners.join(fact.select(F.col(on).alias("_on"), *columns), F.col(key) == F.col("_on"), "left").drop("_on")
 
 
+def folded(owners: DataFrame, key: str, facts: dict[str, tuple[DataFrame, str, Sequence[str]]]) -> tuple[DataFrame, DataFrame]:
+    """Many facts absorbed into their owners' rows at once: the owners with the columns ``<fact>__<column>``, and what had no place in them.
+
+    ``facts`` name (rows, the column of the owner, columns).  All of them are one union, tagged by fact, and one aggregation by owner takes the least row of each fact into its slot, before the
+    shuffle: however many facts there are, owners are joined once.  The overflow ``fact, owner, row, n`` has as JSON what came beside a slot: other rows of the same owner and fact, and the same row ``n`` times more; and
+    rows of owners that aren't there.  A null owner states nothing.
+    """
+    tagged = None
+    for name, (rows, on, columns) in facts.items():
+        one = rows.select(F.lit(name).alias("fact"), F.col(on).alias("owner"), F.struct(*[F.col(c).alias(f"{name}__{c}") for c in columns]).alias(f"_{name}")).where("owner IS NOT NULL")
+        tagged = one if tagged is None else tagged.unionByName(one, allowMissingColumns=True)
+    counted = tagged.groupBy("fact", "owner", *[f"_{n}" for n in facts]).agg(F.count(F.lit(1)).alias("times"))
+    slots = counted.groupBy("owner").agg(*[F.min(f"_{n}").alias(f"_{n}") for n in facts])
+    there = owners.join(slots, F.col(key) == F.col("owner"), "left")
+    wide = there.select(*owners.columns, *[F.col(f"_{n}.{n}__{c}").alias(f"{n}__{c}") for n, (_, _, columns) in facts.items() for c in columns])
+    taken = slots.join(owners.select(F.col(key).alias("owner")).distinct(), "owner", "left_semi").select(F.col("owner").alias("_owner"), *[F.col(f"_{n}").alias(f"_slot_{n}") for n in facts])
+    met = counted.join(taken, F.col("owner") == F.col("_owner"), "left")
+    in_slot = reduce(lambda a, b: a | b, [(F.col("fact") == n) & F.col(f"_{n}").eqNullSafe(F.col(f"_slot_{n}")) for n in facts])
+    left = F.when(F.coalesce(in_slot & F.col("_owner").isNotNull(), F.lit(False)), F.col("times") - 1).otherwise(F.col("times"))
+    text = F.coalesce(*[F.to_json(f"_{n}") for n in facts])
+    return wide, met.select("fact", "owner", text.alias("row"), left.alias("n")).where("n > 0")
+
+
 def presence(wide: DataFrame, *columns: str) -> DataFrame:
     """How many rows state an absorbed fact: those whose columns are not null."""
     return wide.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])).agg(F.count(F.lit(1)).alias("present"))

@@ -6,6 +6,8 @@ the checks that a change calls for are the compiled rules, run over the bound ta
 
 from __future__ import annotations
 
+import json
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from rolewise.functions.scalar import KINDS
 from rolewise.operators import evolution
 from rolewise.plans import compile as plan
-from rolewise.plans.model import Entity, Fact, Model, Rule, Value
+from rolewise.plans.model import Entity, Fact, Model, ModelError, Rule, Value
 
 #: Fixed schema: the relations of a model.
 RELATIONS = {
@@ -27,8 +29,17 @@ RELATIONS = {
     "roles": "fact string, name string, ordinal int, player string",
     "rules": "kind string, fact string, roles array<string>, other string, other_roles array<string>, low int, high int, ordinal int",
     "subtypes": "sub string, sup string",
+    "samples": "fact string, ordinal int, literals array<string>",
+    "analyses": "name string, ordinal int, arguments array<string>",
 }
 
+#: What determines what in these relations: (relation, key, columns that each key has once).
+FUNCTIONAL = [
+    ("objects", ["name"], ["kind", "scalar"]), ("domains", ["value"], ["low", "high", "allowed"]), ("fields", ["owner", "name"], ["ordinal", "type", "required", "identifying"]), ("fields", ["owner", "ordinal"], ["name"]),
+    ("facts", ["name"], ["objectified"]), ("facts", ["objectified"], ["name"]), ("roles", ["fact", "name"], ["ordinal", "player"]), ("roles", ["fact", "ordinal"], ["name"]), ("rules", ["ordinal"], ["kind", "fact", "roles", "other", "other_roles", "low", "high"]),
+    ("subtypes", ["sub"], ["sup"]), ("samples", ["ordinal"], ["fact", "literals"]), ("analyses", ["ordinal"], ["name", "arguments"]),
+]
+
 
 def encode(spark: SparkSession, model: Model) -> dict[str, DataFrame]:
     """The relations of a model, as :data:`RELATIONS` has them."""
@@ -43,31 +54,80 @@ def encode(spark: SparkSession, model: Model) -> dict[str, DataFrame]:
         "roles": [(f.name, r, k, p) for f in model.facts for k, (r, p) in enumerate(f.roles)],
         "rules": [(r.kind, r.fact, list(r.roles), r.other, list(r.other_roles), r.low, r.high, k) for k, r in enumerate(model.rules)],
         "subtypes": list(model.subtypes),
+        "samples": [(f, k, [str(x) for x in literals]) for k, (f, literals) in enumerate(model.samples)],
+        "analyses": [(n, k, list(args)) for k, (n, args) in enumerate(model.analyses)],
     }
     return {name: spark.createDataFrame(rows[name], ddl) for name, ddl in RELATIONS.items()}
 
 
+def conflicts(relations: dict[str, DataFrame]) -> DataFrame:
+    """``relation, key, column, n``: keys that the relations of a model give several values for what they must determine, and how many; a null is a value like another.
+
+    A null key determines nothing.  Each dependency is one aggregation.
+    """
+    each = []
+    for name, keys, columns in FUNCTIONAL:
+        if name in relations:
+            counts = [F.size(F.collect_set(F.struct(c))).alias(f"n_{c}") for c in columns]
+            found = relations[name].where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])).groupBy(*[F.col(k).cast("string").alias(f"k_{k}") for k in keys]).agg(*counts)
+            told = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n_{c}").alias("n")) for c in columns]))
+            rows = found.select(F.lit(name).alias("relation"), F.array(*[f"k_{k}" for k in keys]).alias("key"), told.alias("t"))
+            each.append(rows.select("relation", "key", "t.column", "t.n").where("n > 1"))
+    return reduce(lambda a, b: a.unionByName(b), each)
+
+
+def assembled(relations: dict[str, DataFrame]) -> DataFrame:
+    """``part, place, body``: every element of a model with all that belongs to it as one JSON object, its fields or roles in their order; literals are texts, as exact as they were.
+
+    Owners meet their parts by joins and one aggregation each.  ``place`` is the element's place in its relation.
+    """
+    spark = next(iter(relations.values())).sparkSession
+    got = {k: relations.get(k, spark.createDataFrame([], ddl)) for k, ddl in RELATIONS.items()}
+    listed = lambda *c: F.sort_array(F.collect_list(F.struct(*c)))
+    fields = got["fields"].groupBy(F.col("owner").alias("_owner")).agg(listed("ordinal", "name", "type", "required", "identifying").alias("fields"))
+    roles = got["roles"].groupBy(F.col("fact").alias("_owner")).agg(listed("ordinal", "name", "player").alias("roles"))
+    domains = got["domains"].withColumnRenamed("value", "_owner")
+    numbered = {k: df.withColumn("place", F.monotonically_increasing_id()) for k, df in got.items()}
+    parts = {
+        "values": numbered["objects"].where("kind = 'value'").join(domains, F.col("name") == F.col("_owner"), "left").drop("_owner"),
+        "entities": numbered["objects"].where("kind = 'entity'").join(fields, F.col("name") == F.col("_owner"), "left").drop("_owner"),
+        "facts": numbered["facts"].join(roles, F.col("name") == F.col("_owner"), "left").drop("_owner"),
+        "rules": numbered["rules"].withColumn("place", F.col("ordinal").cast("bigint")),
+        **{k: numbered[k].withColumn("place", F.col("ordinal").cast("bigint")) for k in ("samples", "analyses")},
+        **{k: numbered[k] for k in ("subtypes", "readings", "model")},
+    }
+    rows = [df.select(F.lit(k).alias("part"), "place", F.to_json(F.struct(*[c for c in df.columns if c != "place"])).alias("body")) for k, df in parts.items()]
+    return reduce(lambda a, b: a.unionByName(b), rows)
+
+
 def decode(relations: dict[str, DataFrame], name: str) -> Model:
-    """The model that the relations state; ill-formed ones are refused as when they are declared."""
-    got = {k: relations[k].collect() for k in RELATIONS}
-    kinds = {"Int": int, "Decimal": float, "Float": float, "Bool": lambda s: s == "True"}
-    domain = {d.value: d for d in got["domains"]}
+    """The model that the relations state; ill-formed ones are refused as when they are declared, and those that say two things of one key too.
+
+    Elements are assembled on Spark, and one row for each comes to the driver, where a model lives.  Bounds and enumerations of Decimals come back as decimals with all their digits.
+    """
+    wrong = conflicts(relations).orderBy("relation", "key", "column").limit(20).collect()
+    if wrong:
+        raise ModelError(f"the relations are no functions: {[(r.relation, list(r.key), r.column) for r in wrong]}")
+    got: dict[str, list[dict]] = {}
+    for r in assembled(relations).orderBy("part", "place").collect():
+        got.setdefault(r.part, []).append(json.loads(r.body))
+    kinds = {"Int": int, "Decimal": Decimal, "Float": float, "Bool": lambda s: s == "True"}
     values = []
-    for o in got["objects"]:
-        if o.kind == "value":
-            d, read = domain.get(o.name), kinds.get(o.scalar, str)
-            low, high = (read(d.low), read(d.high)) if d and d.low is not None else (None, None)
-            values.append(Value(o.name, o.scalar, low, high, tuple(map(read, d.allowed)) if d else ()))
+    for v in got.get("values", []):
+        read = kinds.get(v["scalar"], str)
+        low, high = (read(v[c]) if v.get(c) is not None else None for c in ("low", "high"))
+        values.append(Value(v["name"], v["scalar"], low, high, tuple(map(read, v.get("allowed") or ()))))
     entities = []
-    for o in got["objects"]:
-        if o.kind == "entity":
-            mine = sorted((f for f in got["fields"] if f.owner == o.name), key=lambda f: f.ordinal)
-            ids = sorted((f for f in mine if f.identifying is not None), key=lambda f: f.identifying)
-            entities.append(Entity(o.name, tuple(f.name for f in ids), tuple((f.name, f.type, f.required) for f in mine)))
-    facts = [Fact(f.name, tuple((r.name, r.player) for r in sorted(got["roles"], key=lambda r: r.ordinal) if r.fact == f.name), f.objectified) for f in got["facts"]]
-    rules = [Rule(r.kind, r.fact, tuple(r.roles), r.other, tuple(r.other_roles), r.low, r.high) for r in sorted(got["rules"], key=lambda r: r.ordinal)]
-    readings = tuple((r.fact, r.text) for r in got["readings"])
-    return Model(name, tuple(entities), tuple(values), tuple(facts), tuple(rules), tuple((s.sub, s.sup) for s in got["subtypes"]), readings)
+    for e in got.get("entities", []):
+        mine = e.get("fields") or []
+        ids = sorted((f for f in mine if f.get("identifying") is not None), key=lambda f: f["identifying"])
+        entities.append(Entity(e["name"], tuple(f["name"] for f in ids), tuple((f["name"], f["type"], f["required"]) for f in mine)))
+    facts = [Fact(f["name"], tuple((r["name"], r["player"]) for r in f.get("roles") or ()), f.get("objectified")) for f in got.get("facts", [])]
+    rules = [Rule(r["kind"], r["fact"], tuple(r["roles"]), r["other"], tuple(r["other_roles"]), r["low"], r.get("high")) for r in got.get("rules", [])]
+    pairs = lambda part, a, b: tuple((x[a], x[b]) for x in got.get(part, []))
+    samples = tuple((x["fact"], tuple(x["literals"])) for x in got.get("samples", []))
+    analyses = tuple((x["name"], tuple(x["arguments"])) for x in got.get("analyses", []))
+    return Model(name, tuple(entities), tuple(values), tuple(facts), tuple(rules), pairs("subtypes", "sub", "sup"), pairs("readings", "fact", "text"), samples, analyses)
 
 
 _CHANGE = ["kind", "subject", "rule", "low_before", "high_before", "low_after", "high_after", "removed"]

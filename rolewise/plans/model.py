@@ -7,6 +7,7 @@ import json
 import re
 from dataclasses import asdict, dataclass, field, replace
 from datetime import datetime
+from decimal import Decimal
 
 from rolewise.functions.scalar import KINDS, NUMERIC, TIMES
 
@@ -159,7 +160,7 @@ class Model:
                 raise ModelError(f"the range of {v.name} is empty")
         if len(set(v.allowed)) < len(v.allowed):
             raise ModelError(f"{v.name} allows a value twice")
-        kinds = {"Int": int, "Decimal": (int, float), "Float": (int, float), "Bool": bool}
+        kinds = {"Int": int, "Decimal": (int, float, Decimal), "Float": (int, float), "Bool": bool}
         wanted = kinds.get(v.kind, str)
         if any(not isinstance(a, wanted) or (isinstance(a, bool) and v.kind != "Bool") for a in v.allowed):
             raise ModelError(f"{v.name} allows a value of another kind")
@@ -247,4 +248,4 @@ def from_manifest(data: dict) -> Model:
 def fingerprint(model: Model) -> str:
     """SHA-256 of the model's meaning: its manifest without samples, with keys in order."""
     meaning = {k: v for k, v in manifest(model).items() if k != "samples"}
-    return hashlib.sha256(json.dumps(meaning, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    return hashlib.sha256(json.dumps(meaning, sort_keys=True, separators=(",", ":"), default=str).encode()).hexdigest()
