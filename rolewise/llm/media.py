@@ -3,8 +3,11 @@
 An Aho-Corasick automaton finds every magic string in a binary value in one pass.  A validator for each format then
 follows the structure from there (chunk lengths, checksums, end markers) and gives the length of the file, or nothing if
 the place is no such file.  A valid file at the start corrects the declared type; valid files further in are carved out as
-embedded media.  What a format only tells at its end (ZIP, PDF) is found once for a value and not again for each magic string, so a
-value takes time in proportion to its length.
+embedded media.
+
+A value takes time in proportion to its length, also if valid pieces follow each other without an end.  What a format only tells at its end (ZIP, PDF) is found once for a value.  Where a format is a chain of pieces
+(pages, boxes, chunks, segments, blocks), where the chain from a place ends is remembered for every place that it went through, so no piece is walked twice.  RIFF chunks, whose chain
+must meet an end that the header gives, are a forest whose intervals tell that.  Checksums of parts come from those of the value's beginnings.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ import hashlib
 import re
 import struct
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterable, Iterator
 from functools import cached_property, lru_cache
 
@@ -35,23 +38,87 @@ class Value:
 
     def __init__(self, data: bytes):
         self.data, self.b = data, memoryview(data)
+        self.ends: dict[tuple[str, int], object] = {}
+
+    def chain(self, kind: str, at: int, step: Callable[[int], tuple[int | None, object]]) -> object:
+        """What the chain of pieces from ``at`` comes to.  ``step`` gives the place after a piece, or none and the outcome; every place that was passed has the same one."""
+        passed: list[int] = []
+        p: int | None = at
+        while p is not None:
+            if (kind, p) in self.ends:
+                out = self.ends[kind, p]
+                break
+            passed.append(p)
+            p, out = step(p)
+        for q in passed:
+            self.ends[kind, q] = out
+        return out
+
+    @cached_property
+    def _sums(self) -> list[int]:
+        """CRC-32 of the value up to each multiple of ``STEP``."""
+        out = [0]
+        for p in range(0, len(self.data) - STEP + 1, STEP):
+            out.append(zlib.crc32(self.b[p : p + STEP], out[-1]))
+        return out
+
+    def crc(self, p: int, q: int) -> int:
+        """CRC-32 of the bytes from ``p`` to ``q``: that of all before ``q``, less that of all before ``p`` moved on by as many bytes."""
+        if q - p <= 2 * STEP:
+            return zlib.crc32(self.b[p:q])
+        until = lambda x: zlib.crc32(self.b[x // STEP * STEP : x], self._sums[x // STEP])
+        return until(q) ^ _moved(until(p), q - p)
+
+    @cached_property
+    def chunks(self) -> dict[int, tuple[int, ...]]:
+        """The :func:`forest` of RIFF chunks, with how many of sound and of pictures lead from a place to its root."""
+        starts = (m.start() + 12 for m in re.finditer(b"RIFF", self.data))
+
+        def after(p: int) -> int | None:
+            n = int.from_bytes(self.b[p + 4 : p + 8], "little")
+            return p + 8 + n + (n & 1) if p + 8 <= len(self.data) else None
+
+        return forest(starts, after, lambda p: ((name := self.data[p : p + 4]) == b"data", name in (b"VP8 ", b"VP8L", b"VP8X")))
+
+    @cached_property
+    def frames(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, list[int]]]:
+        """For FLAC: a sum up to each byte, such that a part's CRC-16 is zero if those before and at its end are alike; places by sum; and those before a frame's header."""
+        x = np.frombuffer(self.data, dtype=np.uint8).astype(np.uint32)
+        powers = _inverse_powers(len(x))
+        sums = np.concatenate((np.zeros(1, dtype=np.uint32), np.bitwise_xor.accumulate(_times(powers, x, 8)) if len(x) else np.zeros(0, dtype=np.uint32)))
+        order = np.argsort(sums, kind="stable")
+        heads: dict[int, list[int]] = {}
+        for h in np.flatnonzero((x[:-1] == 0xFF) & (x[1:] & 0xFE == 0xF8)).tolist() if len(x) > 1 else []:
+            if _flac_header(self.b, h):
+                heads.setdefault(int(sums[h]), []).append(h)
+        return sums, order, sums[order], heads
 
     @cached_property
     def zip_ends(self) -> dict[int, int]:
         """Start to end of the archives whose directory is where their end record says."""
-        out, end = {}, self.data.find(b"PK\x05\x06")
-        while end >= 0:
+        told = []
+        for m in re.finditer(b"PK\x05\x06", self.data):
+            end = m.start()
             if end + 22 <= len(self.data):
                 entries, size, start, note = struct.unpack("<HIIH", self.data[end + 10 : end + 22])
-                p = end - size
-                for _ in range(entries):
-                    if p < 0 or p + 46 > end or self.data[p : p + 4] != b"PK\x01\x02":
-                        break
-                    p += 46 + sum(struct.unpack("<HHH", self.data[p + 28 : p + 34]))
-                else:
-                    if p == end and end + 22 + note <= len(self.data):
-                        out[end - size - start] = end + 22 + note
-            end = self.data.find(b"PK\x05\x06", end + 4)
+                if end - size >= 0 and end + 22 + note <= len(self.data):
+                    told.append((end, entries, size, start, note))
+
+        def after(p: int) -> int | None:
+            if self.data[p : p + 4] != b"PK\x01\x02" or p + 46 > len(self.data):
+                return None
+            return p + 46 + sum(struct.unpack("<HHH", self.data[p + 28 : p + 34]))
+
+        places = forest((end - size for end, _, size, _, _ in told), after, lambda p: (1,))
+        out = {}
+        for end, entries, size, start, note in told:
+            if entries == 0:
+                whole = size == 0
+            else:
+                first, last = places.get(end - size), places.get(end)
+                whole = first is not None and last is not None and leads(first, last) and first[2] - last[2] == entries
+            if whole:
+                out[end - size - start] = end + 22 + note
         return out
 
     @cached_property
@@ -73,89 +140,177 @@ class Value:
         return np.flatnonzero((x[:-1] == 0xFF) & (x[1:] != 0) & ((x[1:] < 0xD0) | (x[1:] > 0xD7)))
 
 
+#: Bytes between the sums that are kept.
+STEP = 4096
+
+
+def forest(starts: Iterable[int], after: Callable[[int], int | None], marks: Callable[[int], tuple[int, ...]]) -> dict[int, tuple[int, ...]]:
+    """All places on the chains from ``starts``, each with (entered, left) of a walk over the trees that the chains join to, and the sums of ``marks`` from it to its root.
+
+    ``after`` gives the place after a piece, further on, or none.  Every piece is looked at once.  A place without one before or after it isn't told.
+    """
+    next_: dict[int, int] = {}
+    for p in starts:
+        while p not in next_ and (q := after(p)) is not None:
+            next_[p] = p = q
+    before: dict[int, list[int]] = {}
+    for p, q in next_.items():
+        before.setdefault(q, []).append(p)
+    entered: dict[int, tuple[int, ...]] = {}
+    out: dict[int, tuple[int, ...]] = {}
+    for root in set(before) - set(next_):
+        open_: list[tuple[int, tuple[int, ...] | None]] = [(root, tuple(0 for _ in marks(root)))]
+        while open_:
+            p, sums = open_.pop()
+            if sums is None:
+                out[p] = (entered[p][0], len(entered), *entered[p][1:])
+                continue
+            entered[p] = (len(entered), *sums)
+            open_.append((p, None))
+            open_ += [(q, tuple(a + int(b) for a, b in zip(sums, marks(q), strict=True))) for q in before.get(p, ())]
+    return out
+
+
+def leads(first: tuple[int, ...], last: tuple[int, ...]) -> bool:
+    """Whether the chain from one place of a :func:`forest` goes through another."""
+    return last[0] <= first[0] and first[1] <= last[1]
+
+
+@lru_cache(maxsize=1)
+def _shifts() -> list[list[int]]:
+    """What 1, 2, 4 … zero bytes make of each bit of a CRC-32."""
+    one = [0xEDB88320, *[1 << k for k in range(31)]]  # one zero bit
+    for _ in range(3):
+        one = [_applied(one, v) for v in one]
+    each = [one]
+    for _ in range(40):
+        each.append([_applied(each[-1], v) for v in each[-1]])
+    return each
+
+
+def _applied(matrix: list[int], value: int) -> int:
+    out, k = 0, 0
+    while value:
+        if value & 1:
+            out ^= matrix[k]
+        value >>= 1
+        k += 1
+    return out
+
+
+def _moved(crc: int, n: int) -> int:
+    """A CRC-32 after ``n`` more zero bytes."""
+    for k, matrix in enumerate(_shifts()):
+        if n >> k & 1:
+            crc = _applied(matrix, crc)
+    return crc
+
+
+def _times(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
+    """Products of remainders modulo the polynomial of FLAC's CRC-16, ``b`` of so many bits."""
+    out = np.zeros_like(a)
+    for k in range(bits - 1, -1, -1):
+        out = ((out << 1) ^ np.where(out & 0x8000, np.uint32(0x18005), np.uint32(0))) & np.uint32(0xFFFF)
+        out ^= np.where(b >> np.uint32(k) & np.uint32(1), a, np.uint32(0))
+    return out
+
+
+def _inverse_powers(n: int) -> np.ndarray:
+    """Remainders of x to the power of -8k for k from 0 to ``n`` - 1."""
+    one = 1
+    for _ in range(8):  # divided by x: the polynomial has a last 1
+        one = (one ^ 0x18005 if one & 1 else one) >> 1
+    out, step = np.ones(1, dtype=np.uint32), np.full(1, one, dtype=np.uint32)
+    while len(out) < n:
+        out = np.concatenate((out, _times(out, np.broadcast_to(step, out.shape), 16)))
+        step = _times(step, step, 16)
+    return out[:n]
+
+
 # -- validators: (value, place of the magic string) -> end of the file, or None ------------------------------------
 
 
-def _riff(b: memoryview, at: int, form: bytes, needed: set[bytes]) -> int | None:
+def _riff(v: Value, at: int, form: bytes, kind: int) -> int | None:
+    b = v.b
     if at + 12 > len(b) or bytes(b[at + 8 : at + 12]) != form:
         return None
     end = at + 8 + int.from_bytes(b[at + 4 : at + 8], "little")
-    if end > len(b):
+    if end > len(b) or at + 12 not in v.chunks or end not in v.chunks:
         return None
-    p, found = at + 12, set()
-    while p + 8 <= end:
-        found.add(bytes(b[p : p + 4]))
-        n = int.from_bytes(b[p + 4 : p + 8], "little")
-        p += 8 + n + (n & 1)
-    return end if p == end and found & needed else None
+    first, last = v.chunks[at + 12], v.chunks[end]
+    return end if leads(first, last) and first[2 + kind] > last[2 + kind] else None
 
 
 def _wav(v: Value, at: int) -> int | None:
-    return _riff(v.b, at, b"WAVE", {b"data"})
+    return _riff(v, at, b"WAVE", 0)
 
 
 def _webp(v: Value, at: int) -> int | None:
-    return _riff(v.b, at, b"WEBP", {b"VP8 ", b"VP8L", b"VP8X"})
+    return _riff(v, at, b"WEBP", 1)
 
 
 def _png(v: Value, at: int) -> int | None:
     b = v.b
-    p, first = at + 8, True
-    while p + 12 <= len(b):
-        n, kind = int.from_bytes(b[p : p + 4], "big"), bytes(b[p + 4 : p + 8])
-        if p + 12 + n > len(b) or first != (kind == b"IHDR"):
-            return None
-        if zlib.crc32(b[p + 4 : p + 8 + n]) != int.from_bytes(b[p + 8 + n : p + 12 + n], "big"):
-            return None
-        p, first = p + 12 + n, False
-        if kind == b"IEND":
-            return p
-    return None
+
+    def chunk(p: int) -> tuple[int | None, object]:
+        n = int.from_bytes(b[p : p + 4], "big")
+        if p + 12 + n > len(b) or (kind := bytes(b[p + 4 : p + 8])) == b"IHDR" or not whole(p, n):
+            return None, None
+        return (None, p + 12 + n) if kind == b"IEND" else (p + 12 + n, None)
+
+    def whole(p: int, n: int) -> bool:
+        return v.crc(p + 4, p + 8 + n) == int.from_bytes(b[p + 8 + n : p + 12 + n], "big")
+
+    p = at + 8
+    n = int.from_bytes(b[p : p + 4], "big")
+    if p + 12 + n > len(b) or bytes(b[p + 4 : p + 8]) != b"IHDR" or not whole(p, n):
+        return None
+    return v.chain("png", p + 12 + n, lambda p: chunk(p) if p + 12 <= len(b) else (None, None))
 
 
 def _gif(v: Value, at: int) -> int | None:
     b = v.b
-    def blocks(p: int) -> int | None:
-        while p < len(b):
-            if not b[p]:
-                return p + 1
-            p += b[p] + 1
-        return None
 
-    if at + 13 > len(b):
-        return None
-    p: int | None = at + 13 + (3 << ((b[at + 10] & 7) + 1) if b[at + 10] & 0x80 else 0)
-    while p is not None and p < len(b):
+    def data(p: int) -> tuple[int | None, object]:
+        return (None, None) if p >= len(b) else (p + b[p] + 1, None) if b[p] else (None, p + 1)
+
+    def block(p: int) -> tuple[int | None, object]:
+        if p >= len(b):
+            return None, None
         if b[p] == 0x3B:
-            return p + 1
+            return None, p + 1
         if b[p] == 0x21:
-            p = blocks(p + 2)
-        elif b[p] == 0x2C and p + 10 <= len(b):
+            return v.chain("gif data", p + 2, data), None
+        if b[p] == 0x2C and p + 10 <= len(b):
             flags = b[p + 9]
-            p = blocks(p + 11 + (3 << ((flags & 7) + 1) if flags & 0x80 else 0))
-        else:
-            return None
-    return None
+            return v.chain("gif data", p + 11 + (3 << ((flags & 7) + 1) if flags & 0x80 else 0), data), None
+        return None, None
+
+    if at + 13 > len(b):
+        return None
+    return v.chain("gif", at + 13 + (3 << ((b[at + 10] & 7) + 1) if b[at + 10] & 0x80 else 0), block)
 
 
 def _jpeg(v: Value, at: int) -> int | None:
     b = v.b
-    p = at + 2
-    while p + 4 <= len(b):
-        if b[p] != 0xFF:
-            return None
+
+    def segment(p: int) -> tuple[int | None, object]:
+        if p + 4 > len(b) or b[p] != 0xFF:
+            return None, None
         mark, n = b[p + 1], int.from_bytes(b[p + 2 : p + 4], "big")
         if n < 2 or p + 2 + n > len(b):
-            return None
+            return None, None
         p += 2 + n
         if mark == 0xDA:  # entropy-coded data follows, up to a marker
             k = int(np.searchsorted(v.jpeg_marks, p))
             if k == len(v.jpeg_marks):
-                return None
+                return None, None
             p = int(v.jpeg_marks[k])
             if b[p + 1] == 0xD9:
-                return p + 2
-    return None
+                return None, p + 2
+        return p, None
+
+    return v.chain("jpeg", at + 2, segment)
 
 
 def _bmp(v: Value, at: int) -> int | None:
@@ -226,67 +381,77 @@ def _flac(v: Value, at: int) -> int | None:
     A frame ends where its checksum is right and the next header is; the last one at the value's end or, if it is not right there, where it
     first is.
     """
-    b, p, first, wanted = v.b, at + 4, True, 0
+    b = v.b
+
+    def block(p: int) -> tuple[int | None, object]:
+        if p + 4 > len(b) or p + 4 + (n := int.from_bytes(b[p + 1 : p + 4], "big")) > len(b):
+            return None, None
+        return (None, p + 4 + n) if b[p] >> 7 else (p + 4 + n, None)
+
+    p = at + 4
+    if p + 4 > len(b) or (b[p] & 127, int.from_bytes(b[p + 1 : p + 4], "big")) != (0, 34) or p + 38 > len(b):
+        return None
+    wanted = int.from_bytes(b[p + 17 : p + 22], "big") & ((1 << 36) - 1)
+    if (p := v.chain("flac", p, block)) is None or not _flac_header(b, p):
+        return None
+    sums, order, ordered, heads = v.frames
+
+    def frame(p: int) -> tuple[int | None, object]:
+        """The next frame, or none and the end of this one, if it is the last."""
+        least = p + _flac_header(b, p)[0] + 3
+        same = heads.get(int(sums[p]), [])
+        k = bisect_left(same, least)
+        return (same[k], None) if k < len(same) else (None, last(p, least))
+
+    def last(p: int, least: int) -> int | None:
+        if least <= len(b) and sums[len(b)] == sums[p]:
+            return len(b)
+        k = int(np.searchsorted(ordered, sums[p]))
+        k += int(np.searchsorted(order[k : int(np.searchsorted(ordered, sums[p], side="right"))], least))
+        return int(order[k]) if k < len(order) and ordered[k] == sums[p] and order[k] >= least else None
+
+    if not wanted:
+        return v.chain("flac frames", p, frame)
+    seen = 0
     while True:
-        if p + 4 > len(b):
-            return None
-        last, kind, n = b[p] >> 7, b[p] & 127, int.from_bytes(b[p + 1 : p + 4], "big")
-        if first and (kind, n) != (0, 34) or p + 4 + n > len(b):
-            return None
-        if first:
-            wanted = int.from_bytes(b[p + 17 : p + 22], "big") & ((1 << 36) - 1)
-        p, first = p + 4 + n, False
-        if last:
-            break
-    table, seen = _crc_table(16, 0x8005), 0
-    while header := _flac_header(b, p):
-        seen += header[1]
-        crc, ends, following = 0, None, False
-        for q in range(p, len(b)):
-            crc = ((crc << 8) & 0xFFFF) ^ table[(crc >> 8) ^ b[q]]
-            if crc == 0 and q >= p + header[0] + 2:
-                ends = ends or q + 1
-                if wanted and seen >= wanted:
-                    continue  # the last frame: right here first, and perhaps at the end
-                if following := _flac_header(b, q + 1) is not None:
-                    ends = q + 1
-                    break
-        if ends is None:
-            return None
-        p = ends
-        if not following:
-            return len(b) if crc == 0 else p
-    return p if seen else None
+        size, samples = _flac_header(b, p)
+        seen += samples
+        if seen >= wanted:
+            return last(p, p + size + 3)
+        following, end = frame(p)
+        if following is None:
+            return end
+        p = following
 
 
 def _ogg(v: Value, at: int) -> int | None:
     b = v.b
-    p = at
-    while p + 27 <= len(b) and bytes(b[p : p + 5]) == b"OggS\0":
-        n = b[p + 26]
-        if p + 27 + n > len(b):
-            return None
-        ends, p = b[p + 5] & 4, p + 27 + n + sum(b[p + 27 : p + 27 + n])
-        if p > len(b):
-            return None
-        if ends:
-            return p
-    return None
+
+    def page(p: int) -> tuple[int | None, object]:
+        if p + 27 > len(b) or bytes(b[p : p + 5]) != b"OggS\0" or p + 27 + b[p + 26] > len(b):
+            return None, None
+        after = p + 27 + b[p + 26] + sum(b[p + 27 : p + 27 + b[p + 26]])
+        return (None, None) if after > len(b) else (None, after) if b[p + 5] & 4 else (after, None)
+
+    return v.chain("ogg", at, page)
 
 
 def _mp4(v: Value, at: int) -> int | None:
+    """The boxes from one that names the type on, and what comes after the last; there must be one with content."""
     b = v.b
-    p = at = at - 4  # the box's length is before its name
-    if at < 0:
-        return None
-    kinds = set()
-    while p + 8 <= len(b):
+
+    def box(p: int, kinds: tuple[bytes, ...]) -> tuple[int | None, object]:
         n, kind = int.from_bytes(b[p : p + 4], "big"), bytes(b[p + 4 : p + 8])
-        if n < 8 or p + n > len(b) or not kind.isalnum():
-            break
-        kinds.add(kind)
-        p += n
-    return p if b"ftyp" in kinds and kinds & {b"moov", b"mdat", b"meta"} else None
+        if p + 8 > len(b) or n < 8 or p + n > len(b) or not kind.isalnum():
+            return None, p
+        return (None, True) if kind in kinds else (p + n, False)
+
+    if at < 4:
+        return None
+    # where the boxes end, and whether one with content is among them; a place that isn't a box ends both
+    end = v.chain("mp4", at - 4, lambda p: box(p, ()))
+    content = v.chain("mp4 content", at - 4, lambda p: box(p, (b"moov", b"mdat", b"meta")))
+    return end if end > at - 4 and content is True else None
 
 
 #: The magic strings that the formats' specifications give.
