@@ -44,11 +44,18 @@ ALWAYS_IDS = set(
 ALWAYS = ALWAYS_IDS | set("sponsor sponsored promo promotion reply replies share sharing social menu footer breadcrumb breadcrumbs newsletter pagination pager toolbar".split())
 #: Whole names of reader comments, which may well be longer than the article.
 COMMENTS = set("comment comments commentlist comment-list comments-area comments-section comment-section comment-form disqus disqus-thread respond reply replies".split())
+#: Words that a class begins or ends with, and whole ids, of parts that are no article within one either, if they have little of its points.
+WITHIN = set(
+    "ad ads adbox advert advertisement adverts advertising sponsor sponsored promo promotion notice notices cookie cookies consent gdpr alert newsletter subscribe subscription signup popup modal overlay"
+    " menu nav navbar navigation breadcrumb breadcrumbs sidebar pagination pager toolbar paywall".split()
+)
 _SEGMENT = re.compile(r"[-_]|(?<=[a-z])(?=[A-Z])")
 #: Shortest paragraph that passes points, and the points that an article element has of its own.
 LEAST, ARTICLE_POINTS = 25, 25.0
 #: A part with an unwanted name stays if it has more than this share of all points: a name that begins or ends so, and a whole one.
 MOST, MOST_WHOLE = 0.5, 0.8
+#: A part within an article whose name only begins or ends with an unwanted word is the article's own if it has more than this share of its points.
+MOST_WITHIN = 0.25
 
 
 def _named_unwanted(attrs: list[tuple[str, str | None]]) -> bool:
@@ -56,30 +63,36 @@ def _named_unwanted(attrs: list[tuple[str, str | None]]) -> bool:
         if key in ("class", "id", "role") and value:
             for name in value.split():
                 parts = [p.lower() for p in _SEGMENT.split(name) if p]
-                if parts and parts[0] not in ("has", "with", "no", "without", "is") and {parts[0], parts[-1]} & UNWANTED:
+                if parts and parts[0] not in TURNED and {parts[0], parts[-1]} & UNWANTED:
                     return True
         elif key == "hidden" or (key == "style" and value and re.search(r"display\s*:\s*none", value, re.IGNORECASE)):
             return True
     return False
 
 
-#: How an element is out: not at all, by a name, by a whole name, as reader comments, and always.
-IN, NAMED, WHOLE, COMMENT, ALWAYS_OUT = range(5)
+#: How an element is out: not at all, by a name, by one that tells within an article, too, by a whole name, as reader comments, and always.
+IN, NAMED, INNER, WHOLE, COMMENT, ALWAYS_OUT = range(6)
+#: Words before a name that turn it round.
+TURNED = ("has", "with", "no", "without", "is")
 
 
 def _how_out(attrs: list[tuple[str, str | None]]) -> int:
     found = NAMED if _named_unwanted(attrs) else IN
     for key, value in attrs:
         if key in ("class", "id") and value:
-            whole = {"-".join(p.lower() for p in _SEGMENT.split(name) if p) for name in value.split()}
-            if whole & COMMENTS:
+            names = [parts for name in value.split() if (parts := [p.lower() for p in _SEGMENT.split(name) if p]) and parts[0] not in TURNED]
+            whole = {"-".join(parts) for parts in names}
+            # reader comments are such whatever they are of, and may be longer than the article
+            if whole & COMMENTS or any(parts[-1] == "comments" or parts[0] == "comments" for parts in names):
                 return COMMENT
             if whole & (ALWAYS if key == "class" else ALWAYS_IDS):
-                found = WHOLE
+                found = max(found, WHOLE)
+            elif whole & WITHIN or (key == "class" and any({parts[0], parts[-1]} & WITHIN for parts in names)):
+                found = max(found, INNER)
         elif key in ("hidden", "style") and _named_unwanted([(key, value)]):
             return ALWAYS_OUT
         elif key == "role" and _named_unwanted([(key, value)]):
-            found = WHOLE
+            found = max(found, WHOLE)
     return found
 
 
@@ -193,7 +206,7 @@ def _left_out(tree: _Tree, blocks: list[_Block]) -> tuple[list[bool], list[bool]
     for k in range(1, len(out)):
         up = tree.parent[k]
         never[k] |= never[up] or (tree.how[k] == WHOLE and points[k] <= MOST_WHOLE * points[0])
-        out[k] |= out[up] or never[k] or (tree.how[k] == NAMED and points[k] <= MOST * points[0])
+        out[k] |= out[up] or never[k] or (NAMED <= tree.how[k] <= INNER and points[k] <= MOST * points[0])
     return out, never
 
 
@@ -240,15 +253,31 @@ def main_text(html: str | None) -> str:
     # names and lists of links within an article are its own; in a whole page they are menus and the like
     whole_page = tag[best] in ("#page", "html", "body")
     inside = [False] * len(tag)
+    # of a container, but not of a whole page, the next parts with paragraphs are the article's end or beginning
+    of_article = tag[parent[best]] not in ("#page", "html", "body")
+    spoken = [False] * len(tag)
+    for b in blocks:
+        spoken[b.node] |= tag[tree.block[b.node]] == "p"
+    weight = [0.0] * len(tag)
+    for b in every:
+        weight[b.node] += b.worth
+    for k in range(len(tag) - 1, 0, -1):
+        spoken[parent[k]] |= spoken[k]
+        weight[parent[k]] += weight[k]
+    inner = [False] * len(tag)
+    for k in range(1, len(tag)):
+        inner[k] = inner[parent[k]] or (tree.how[k] == INNER and k != best and weight[k] <= MOST_WITHIN * weight[best])
     for k in range(len(tag)):
-        inside[k] = not whole_page and (k == best or (k > 0 and inside[parent[k]]))
+        inside[k] = not whole_page and (k == best or (k > 0 and inside[parent[k]] and not inner[k]))
         if k == best or inside[k]:
             keep[k] = True
+        elif k and inner[k] and inside[parent[k]]:
+            keep[k] = False
         elif best and k and parent[k] == parent[best]:
             text_like = tag[k] in PARAGRAPH and (size[k] > 80 and density[k] < 0.25)
-            keep[k] = score[k] >= enough or text_like or (tag[k] in HEADING and density[k] < 0.5)
+            keep[k] = score[k] >= enough or text_like or (tag[k] in HEADING and density[k] < 0.5) or (of_article and spoken[k] and density[k] < 0.25)
         elif k:
-            keep[k] = keep[parent[k]] and not (tag[k] in lists_of_links and density[k] > 0.5)
+            keep[k] = keep[parent[k]] and not inner[k] and not (tag[k] in lists_of_links and density[k] > 0.5)
     return "\n\n".join(b.text for b in every if keep[b.node] and (inside[b.node] or not out[b.node]))
 
 
