@@ -267,12 +267,6 @@ def mutation_flips(spark, d):
     return both.where(F.col("status").isin(audit.ENFORCED) & ~F.col("after").isin(audit.ENFORCED)).select("mutation_id", "case").distinct()
 
 
-@query("""SELECT * FROM (VALUES ('a', 'prevented', false), ('b', 'realized', true), ('c', 'realized', false), ('d', 'not_executable', false), ('e', 'not_asserted', false)) t(obligation_id, expected, needs_post_state)""")
-def expected_writes(spark, d):
-    rows = [("a", "mandatory", "postgres", "native_enforced", True), ("b", "subset", "postgres", "represented_not_enforced", True), ("c", "uniqueness", "typedb", "represented_not_enforced", True), ("d", "ring", "mongo", "represented_not_enforced", False), ("e", "value", "mongo", "metadata_only", True)]
-    return audit.expected_writes(spark.createDataFrame(rows, "obligation_id string, kind string, target string, status string, lowered boolean")).select("obligation_id", "expected", "needs_post_state")
-
-
 TEAM = Model(
     "Team", values=(Value("Name", "String"), Value("Age", "Int", 0, 130)), entities=(Entity("Person", ("name",), (("name", "Name", True), ("age", "Age", False), ("nick", "Name", False))), Entity("Team"), Entity("Gone")),
     facts=(Fact("Member", (("who", "Person"), ("team", "Team"))),), rules=(Rule("frequency", "Member", ("who",), low=0, high=1),),
@@ -377,24 +371,6 @@ def conformance_case_counts(spark, d):
     return audit.conformance_cases(spark, model, TARGETS).groupBy("family", "target", "runtime").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT * FROM (VALUES ('o1', 't', 'c1', true), ('o1', 't', 'c2', false), ('o2', 't', 'c2', false)) t(obligation_id, target, case_id, runtime)")
-def cases_by_element(spark, d):
-    obligations = spark.createDataFrame([("o1", ["a", "b"]), ("o2", ["c"]), ("o3", ["z"])], "obligation_id string, elements array<string>")
-    cases = spark.createDataFrame([("t", "c1", True, ["a", "b"]), ("t", "c2", False, ["b", "c"]), ("t", "c3", True, [])], "target string, case_id string, runtime boolean, elements array<string>")
-    return audit.cases_of(obligations, cases)
-
-
-@query("SELECT * FROM (VALUES ('a', 2, false), ('b', 1, true), ('c', 0, false)) t(target, n, all_passed)")
-def static_results(spark, d):
-    return audit.static_results(spark.createDataFrame([("a", True), ("a", False), ("b", True), ("c", None)], "target string, passed boolean"))
-
-
-@query("SELECT * FROM (VALUES ('c1', 'role', 'population semantics', 4), ('c2', 'reading', 'verbalization', 3), ('c3', 'new kind', 'semantic element', 4)) t(conflict_id, term, impact, choices)".replace("'reading', 'verb", "'fact reading', 'verb"))
-def conflict_terms(spark, d):
-    rows = spark.createDataFrame([("c1", "role", "both modified"), ("c2", "reading", "both added"), ("c3", "new_kind", "deleted and modified")], "conflict_id string, element_kind string, reason string")
-    return evolution.explained(rows).select("conflict_id", "term", "impact", F.size("choices").alias("choices"))
-
-
 @query("""WITH o AS (SELECT o_orderkey, o_custkey, o_orderpriority AS s FROM orders), x AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE s END AS s FROM o), y AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'Y' ELSE s END AS s FROM o)
 SELECT o_orderkey, substr(sha256('{"p00":"row","p01":"' || o_orderkey || '","p02":"{\\"s\\":\\"' || o.s || '\\"}","p03":"{\\"s\\":\\"' || x.s || '\\"}","p04":"{\\"s\\":\\"' || y.s || '\\"}"}'), 1, 24) AS conflict_id FROM o JOIN x USING (o_orderkey) JOIN y USING (o_orderkey) WHERE o_orderkey % 6 = 0""")
 def conflict_ids(spark, d):

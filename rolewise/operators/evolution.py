@@ -162,11 +162,11 @@ def merge(base: DataFrame, ours: DataFrame, theirs: DataFrame, key: str, columns
     return seen.select(key, outcome.alias("outcome"), *[chosen[c].alias(c) for c in columns], "conflict_id", "reason")
 
 
-#: The kinds of elements that a merge of models compares, what each is called, and what a conflict about it bears on.
+#: The kinds of elements that a merge of models compares (fixed values), what each is called here, and what a conflict about it bears on.
 ELEMENTS = [
-    ("object_type", "object type", "population semantics"), ("fact_type", "fact type", "population semantics"), ("role", "role", "population semantics"), ("constraint", "constraint", "population validity"),
-    ("reading", "fact reading", "verbalization"), ("field_hint", "field projection", "target projection"), ("sample", "sample fact", "example population"), ("analysis", "analysis rule", "model analysis"),
-    ("model_name", "model name", "presentation"), ("model_identity", "model identity", "identity"),
+    ("object_type", "type of objects", "who there is"), ("fact_type", "kind of fact", "what can be stated"), ("role", "place in a fact", "who takes part in what"), ("constraint", "rule", "which populations are allowed"),
+    ("reading", "wording of a fact", "how facts are read out"), ("field_hint", "field of a type", "how types are laid out"), ("sample", "example", "what is shown as an example"), ("analysis", "analysis asked for", "what is found out about the model"),
+    ("model_name", "name of the model", "what the model is called"), ("model_identity", "identity of the model", "which model it is"),
 ]
 
 
@@ -178,4 +178,4 @@ def explained(conflicts: DataFrame, kind: str = "element_kind") -> DataFrame:
     known = conflicts.sparkSession.createDataFrame(ELEMENTS, "_kind string, term string, impact string")  # a row for each kind
     row = conflicts.join(known, F.col(kind) == F.col("_kind"), "left").drop("_kind")
     choices = F.when(F.col("reason") == "both added", F.array(*map(F.lit, ("ours", "theirs", "delete")))).otherwise(F.array(*map(F.lit, ("ours", "theirs", "base", "delete"))))
-    return row.withColumn("term", F.coalesce("term", F.replace(F.col(kind), F.lit("_"), F.lit(" ")))).withColumn("impact", F.coalesce("impact", F.lit("semantic element"))).withColumn("choices", choices)
+    return row.withColumn("term", F.coalesce("term", F.replace(F.col(kind), F.lit("_"), F.lit(" ")))).withColumn("impact", F.coalesce("impact", F.lit("an element of the model"))).withColumn("choices", choices)

@@ -460,51 +460,6 @@ def semantic_diff_rows(spark, d):
     return evolution.diff(parts.where("p_partkey % 10 <> 0"), after, "p_partkey", ["p_brand", "p_size"])
 
 
-CHANGES = [
-    ("add_fact", "F", None, None, None, None, None, None, "safe"),
-    ("drop_fact", "G", None, None, None, None, None, None, "destructive"),
-    ("add_constraint", "H", "mandatory", None, None, None, None, None, "requires_data_check"),
-    ("change_constraint", "I", "frequency", 0, 2, 0, 1, None, "requires_data_check"),
-    ("change_constraint", "J", "frequency", 1, 2, 0, 3, None, "safe"),
-    ("change_constraint", "K", "oneof", None, None, None, None, 1, "requires_data_check"),
-    ("change_constraint", "L", "oneof", None, None, None, None, 0, "safe"),
-    ("change_field_required", "M", None, 0, None, 1, None, None, "requires_data_check"),
-    ("change_role_player", "N", None, None, None, None, None, None, "manual"),
-    ("rename_fact", "O", None, None, None, None, None, None, "safe"),
-]
-
-
-def _changes(spark: SparkSession) -> DataFrame:
-    ddl = "kind string, subject string, rule string, low_before int, high_before int, low_after int, high_after int, removed int"
-    return evolution.safety(spark.createDataFrame([c[:-1] for c in CHANGES], ddl))
-
-
-@query(f"SELECT * FROM (VALUES {', '.join(repr((c[0], c[1], c[-1])) for c in CHANGES)}) t(kind, subject, safety)")
-def change_safety(spark, d):
-    return evolution.ordered(_changes(spark)).select("kind", "subject", "safety")
-
-
-@query(f"SELECT safety, kind, count(*) AS n FROM (VALUES {', '.join(repr((c[0], c[-1])) for c in CHANGES)}) t(kind, safety) GROUP BY 1, 2")
-def diff_summary(spark, d):
-    return evolution.diff_summary(_changes(spark))
-
-
-@query("""SELECT * FROM (VALUES ('a', true), ('b', false), ('c', false), ('d', true), ('e', false), ('f', true)) t(op, allowed)""")
-def policy_gate(spark, d):
-    rows = [("a", "safe", True, True, None, False, False), ("b", "safe", True, False, None, True, True), ("c", "manual", True, True, True, True, True),
-            ("d", "requires_data_check", False, True, True, True, False), ("e", "requires_data_check", False, True, None, True, False), ("f", "destructive", False, True, None, False, True)]
-    ops = spark.createDataFrame(rows, "op string, safety string, automatic boolean, has_command boolean, preflight_passed boolean, allow_risky boolean, allow_destructive boolean")
-    return evolution.gate(ops).select("op", "allowed")
-
-
-@query("SELECT * FROM (VALUES ('1', '1', 'id'), ('2', '9', 'hint'), ('3', '8', 'name')) t(before_id, after_id, \"by\")")
-def element_alignment(spark, d):
-    make = lambda rows, ddl: spark.createDataFrame(rows, ddl)
-    before = make([("1", "Person"), ("2", "Firm"), ("3", "Job"), ("4", "Gone")], "id string, name string")
-    after = make([("1", "Human"), ("9", "Company"), ("8", "Job"), ("7", "New")], "id string, name string")
-    return evolution.align(before, after, make([("Firm", "Company")], "before_name string, after_name string"))
-
-
 @query("""WITH b AS (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 13 <> 0), o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE o_orderstatus END AS s FROM orders WHERE o_orderkey % 11 <> 0),
 t AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'Y' ELSE o_orderstatus END AS s FROM orders WHERE o_orderkey % 17 <> 0),
 j AS (SELECT coalesce(b.o_orderkey, o.o_orderkey, t.o_orderkey) AS o_orderkey, b.o_orderstatus AS bs, o.s AS os, t.s AS ts FROM b FULL JOIN o USING (o_orderkey) FULL JOIN t ON t.o_orderkey = coalesce(b.o_orderkey, o.o_orderkey)),
@@ -540,81 +495,6 @@ def preflight_unique(spark, d):
     return evolution.unique_groups(table(spark, d, "orders"), "o_custkey", "o_orderdate")
 
 
-# -- audit -----------------------------------------------------------------------------------------------------------
-
-FOCAL = [("binary_uniqueness", "uniqueness"), ("compound_identifier", "preferred_identifier_compound"), ("simple_identifier", "preferred_identifier"), ("date_enum", "value_decimal_or_date"), ("decimal_range", "value_decimal_or_date"), ("frequency_max_one", "frequency_max_one"), ("frequency_max_two", "frequency_from_zero"), ("frequency_one_two", "frequency"), ("nary_uniqueness", "uniqueness_composite"), ("nary_set", "fact_set_semantics"), ("subset", "subset"), ("equality", "equality"), ("exclusion", "exclusion"), ("subtype", "subtype"), ("symmetry", "ring"), ("participation", "mandatory_fact"), ("unordered", "unordered_role_group"), ("value_enum", "value"), ("value_range", "value"), ("field", "mandatory_field"), ("unused_value", "value_unused"), ("reading", "reading")]
-#: What the portability corpus expects: P preserved as claimed, W weakened, M metadata only.
-_VERDICT = {"N": "preserved_claimed", "R": "weakened", "M": "metadata_only"}
-_EXPECTED = ", ".join(repr((o, t, _VERDICT[audit.CAPABILITIES[f][t]])) for o, f in FOCAL for t in ("postgres", "mongo", "typedb"))
-
-
-def _verdicts(spark: SparkSession) -> DataFrame:
-    declared = audit.capabilities(spark).where("target IN ('postgres', 'mongo', 'typedb')")
-    none = lambda ddl: spark.createDataFrame([], ddl)
-    return audit.verdicts(spark.createDataFrame(FOCAL, "obligation_id string, feature string"), declared, none("obligation_id string, target string, case_id string, runtime boolean"), none("target string, case_id string, passed boolean"), none("obligation_id string, target string, passed boolean"), ["postgres", "mongo", "typedb"])
-
-
-@query(f"SELECT * FROM (VALUES {_EXPECTED}) t(obligation_id, target, preservation)")
-def verdict_matrix(spark, d):
-    return _verdicts(spark).select("obligation_id", "target", "preservation")
-
-
-_COUNTS = ", ".join(f"count(*) FILTER (preservation = '{v}') AS {v}" for v in audit.VERDICTS)
-
-
-@query(f"SELECT target, count(*) AS obligations, {_COUNTS}, 0::BIGINT AS live_observed FROM (VALUES {_EXPECTED}) t(obligation_id, target, preservation) GROUP BY target")
-def verdict_summary(spark, d):
-    return audit.verdict_summary(_verdicts(spark))
-
-
-@query("SELECT * FROM (VALUES ('o1', 'preserved_observed', 'legacy_target_witness'), ('o2', 'claim_falsified', 'legacy_target_witness'), ('o3', 'preserved_claimed', 'generated_target_witness'), ('o4', 'weakened_observed', 'shared_semantic_witness'), ('o5', 'weakened', 'structural'), ('o6', 'unknown', 'none'), ('o7', 'preserved_claimed', 'capability_declaration')) t(obligation_id, preservation, evidence_source)")
-def verdict_evidence(spark, d):
-    make = lambda rows, ddl: spark.createDataFrame(rows, ddl)
-    obligations = make([("o1", "n"), ("o2", "n"), ("o3", "n"), ("o4", "r"), ("o5", "r"), ("o6", "none"), ("o7", "n")], "obligation_id string, feature string")
-    declared = make([("n", "t", "native_enforced"), ("r", "t", "represented_not_enforced")], "feature string, target string, status string")
-    cases = make([("o1", "t", "c1", True), ("o1", "t", "c2", True), ("o2", "t", "c3", True), ("o2", "t", "c4", True), ("o3", "t", "c5", True), ("o3", "t", "c6", True), ("o5", "t", "c7", False)], "obligation_id string, target string, case_id string, runtime boolean")
-    live = make([("t", "c1", True), ("t", "c2", True), ("t", "c3", False), ("t", "c5", True)], "target string, case_id string, passed boolean")
-    shared = make([("o4", "t", True), ("o7", "t", None)], "obligation_id string, target string, passed boolean")
-    return audit.verdicts(obligations, declared, cases, live, shared, ["t"]).select("obligation_id", "preservation", "evidence_source")
-
-
-@query("SELECT * FROM (VALUES ('a', 'prevented', 'preserved_or_stronger'), ('b', 'prevention_not_attributable', NULL), ('c', 'realized', 'weakened'), ('d', 'realized', 'preserved_or_stronger'), ('e', 'post_state_pending', NULL), ('f', 'not_executable', NULL)) t(\"case\", level, observed)")
-def write_outcome(spark, d):
-    rows = [("a", "uniqueness", "native_enforced", True, "prevented", None, True), ("b", "uniqueness", "native_enforced", True, "prevented", None, False), ("c", "uniqueness", "represented_not_enforced", True, "realized", None, True),
-            ("d", "subset", "represented_not_enforced", True, "realized", False, True), ("e", "subset", "represented_not_enforced", True, "realized", None, True), ("f", "ring", "represented_not_enforced", False, None, None, True)]
-    cases = spark.createDataFrame(rows, "case string, kind string, status string, lowered boolean, outcome string, post_state boolean, isolated boolean")
-    return audit.write_outcome(cases).select("case", "level", "observed")
-
-
-@query("SELECT * FROM (VALUES ('a', 'weakened'), ('b', NULL), ('c', 'stronger_or_incompatible'), ('d', 'preserved_on_tested_cases'), ('e', 'preserved_or_stronger')) t(obligation_id, refined)")
-def refined_observation(spark, d):
-    seen = spark.createDataFrame([("a", "weakened"), ("b", None), ("c", "preserved_or_stronger"), ("d", "preserved_or_stronger"), ("e", "preserved_or_stronger")], "obligation_id string, observed string")
-    probes = spark.createDataFrame([("a", True), ("c", True), ("c", False), ("d", True), ("d", True), ("e", True), ("e", None)], "obligation_id string, accepted boolean")
-    return audit.refined(seen, probes).select("obligation_id", "refined")
-
-
-@query("SELECT * FROM (VALUES ('m1', 'not_observed'), ('m2', 'invalid_baseline'), ('m3', 'not_observed'), ('m4', 'failed'), ('m5', 'survived_mutation'), ('m6', 'mutation_detected')) t(mutation_id, status)")
-def mutation_outcome(spark, d):
-    runs = spark.createDataFrame([("m1", False, False, True), ("m2", True, False, True), ("m3", True, True, False), ("m4", True, True, True), ("m5", True, True, True), ("m6", True, True, True)], "mutation_id string, baseline_completed boolean, baseline_passed boolean, mutated_completed boolean")
-    affected = spark.createDataFrame([("m4", "c", None), ("m4", "d", False), ("m5", "c", True), ("m6", "c", True), ("m6", "d", False)], "mutation_id string, case_id string, passed boolean")
-    return audit.mutation_outcome(runs, affected)
-
-
-@query("SELECT * FROM (VALUES ('r1', 1, 2, true), ('r2', 2, 1, false), ('r3', 1, 0, false), ('r4', 0, 0, true)) t(revision, required, accepted, passed)")
-def trust_evaluation(spark, d):
-    signed = spark.createDataFrame([("r1", "k1", True), ("r1", "k2", True), ("r1", "k3", True), ("r2", "k1", True), ("r2", "k2", True), ("r3", "k1", False)], "revision string, key_id string, valid boolean")
-    keys = spark.createDataFrame([("k1", "trusted"), ("k2", "trusted"), ("k3", "revoked")], "key_id string, status string")
-    needed = spark.createDataFrame([("r1", 1, []), ("r2", 2, ["k2"]), ("r3", 1, []), ("r4", 0, [])], "revision string, required int, allowed array<string>")
-    return audit.trust(signed, keys, needed)
-
-
-@query("""SELECT target, count(*) FILTER (status = 'N') AS native, count(*) FILTER (status = 'N' AND feature IN ('uniqueness', 'value')) AS covered, false AS complete
-FROM (VALUES """ + ", ".join(repr((f, t, s)) for f, by in audit.CAPABILITIES.items() for t, s in by.items()) + """) c(feature, target, status) WHERE status = 'N' GROUP BY target""")
-def conformance_coverage(spark, d):
-    cases = spark.createDataFrame([(t, f) for t in ("postgres", "mongo", "typedb", "graphql", "spark") for f in ("uniqueness", "value")], "target string, feature string")
-    return audit.coverage(audit.capabilities(spark), cases)
-
-
 # -- scalar functions ------------------------------------------------------------------------------------------------
 
 
@@ -635,13 +515,6 @@ def scalar_domains(spark, d):
 _OLDER = replace(COMMERCE, rules=tuple(r for r in COMMERCE.rules if r.kind not in ("frequency", "symmetric")), values=(Value("Size", "Int", 1, 60), *COMMERCE.values[1:]), _by_name={})
 
 
-@query(f"WITH r(fact, name, ordinal, player) AS (VALUES {', '.join(repr((f.name, r, k, p)) for f in COMMERCE.facts for k, (r, p) in enumerate(f.roles))}) SELECT fact, name, ordinal::INTEGER AS ordinal, player FROM r")
-def model_catalog(spark, d):
-    """The roles of the commerce model as a relation, after encoding, decoding and encoding again."""
-    again = catalog.decode(catalog.encode(spark, COMMERCE), COMMERCE.name)
-    return catalog.encode(spark, again)["roles"]
-
-
 @query("""SELECT * FROM (VALUES ('add_constraint', 'frequency:Contains(order)', 'requires_data_check', 'constraints'), ('add_constraint', 'symmetric:Handover()', 'requires_data_check', 'constraints'),
 ('change_constraint', 'Size', 'requires_data_check', 'constraints')) t(kind, subject, safety, phase)""")
 def model_changes(spark, d):
@@ -680,4 +553,4 @@ def violation_evidence(spark, d):
     return plan.evidence(_violations(spark, d), _lines(spark, d), "uniqueness:Line(order,number)", ["order", "number"])
 
 
-from rolewise import graph_queries, model_queries  # noqa: E402, F401 - register their queries
+from rolewise import audit_queries, graph_queries, model_queries  # noqa: E402, F401 - register their queries
