@@ -289,34 +289,6 @@ def migration_operations(spark, d):
     return catalog.operations(spark, TEAM, LATER, hints).drop("automatic")
 
 
-_FAULTS = [
-    ("BAD_FREQUENCY", "frequency:Line(order)"), ("BAD_SYMMETRIC_RING", "symmetric:Line()"), ("BAD_UNORDERED_GROUP", "unordered:Line(order,part)"), ("BAD_UNORDERED_GROUP", "unordered:Handover(prev)"), ("DUPLICATE_ROLE", "Twice"), ("FACT_ARITY_ZERO", "Empty"),
-    ("IDENTIFIER_NOT_FIELD", "Part.color"), ("IDENTIFIER_UNKNOWN_OBJECT", "Ghost"), ("READING_UNKNOWN_ROLE", "Handover"), ("SET_CONSTRAINT_ARITY", "subset:Supply(part,supplier)"), ("VALUE_CONSTRAINT_BAD_TYPE", "Customer"),
-]
-
-
-@query(f"SELECT 'error' AS severity, * FROM (VALUES {', '.join(map(repr, _FAULTS))}) t(code, element)")
-def structure_diagnostics(spark, d):
-    """The commerce model's relations with a fault of each kind added."""
-    given = catalog.encode(spark, replace(COMMERCE, readings=(("Line", "{order} has {part} at {number}"),), _by_name={}))
-    more = {
-        "facts": [("Empty", None), ("Twice", None)],
-        "roles": [("Twice", "x", 0, "Part"), ("Twice", "x", 1, "Part")],
-        "rules": [("frequency", "Line", ["order"], "", [], 3, 2, 90), ("symmetric", "Line", [], "", [], 0, None, 91), ("unordered", "Line", ["order", "part"], "", [], 0, None, 92), ("unordered", "Handover", ["prev"], "", [], 0, None, 93), ("subset", "Supply", ["part", "supplier"], "Contains", ["part"], 0, None, 94)],
-        "domains": [("Customer", "1", "2", [])],
-        "readings": [("Handover", "{prev} to {nobody}")],
-    }
-    relations = {k: df.union(spark.createDataFrame(more[k], df.schema)) if k in more else df for k, df in given.items()}
-    relations["identifiers"] = spark.createDataFrame([("Part", "brand"), ("Part", "color"), ("Ghost", "x")], "object string, field string")
-    return structure.diagnostics(relations)
-
-
-@query("""SELECT * FROM (VALUES ('uniform(2)', 'violated', 'Active,Line,Low,Urgent'), ('connected', 'violated', 'fact:Active,fact:Contains'), ('directed', 'unevaluated', ''), ('uniform', 'unevaluated', ''), ('planar', 'unevaluated', '')) t(analysis, status, offenders)""")
-def model_analyses(spark, d):
-    asked = replace(COMMERCE, analyses=(("uniform", ("2",)), ("connected", ()), ("directed", ()), ("uniform", ("x",)), ("planar", ())), _by_name={})
-    return graph.analyses(asked, spark).withColumn("offenders", F.array_join("offenders", ","))
-
-
 # -- small relations -------------------------------------------------------------------------------------------------------
 
 
@@ -330,32 +302,6 @@ def unique_probe(spark, d):
     return evolution.first_rows(evolution.unique_groups(table(spark, d, "part"), "p_brand", "p_type", "p_size"), "p_brand", "p_type", "p_size")
 
 
-@query("""SELECT * FROM (VALUES ('destructive', 2, 0, 2), ('manual', 1, 0, 1), ('requires_data_check', 2, 0, 2), ('safe', 6, 6, 0)) t(safety, n, automatic, blocked)""")
-def migration_summary(spark, d):
-    hints = spark.createDataFrame([("object", "Person", "Human"), ("role", "Member.who", "Member.person")], "element string, before_name string, after_name string")
-    found = catalog.changes(catalog.encode(spark, TEAM), catalog.encode(spark, LATER), hints)
-    return evolution.plan_summary(catalog.steps(found))
-
-
-@query("""SELECT * FROM (VALUES ('entity', 'Gone', 'Guest')) t(kind, dropped, added)""")
-def rename_ambiguities(spark, d):
-    later = replace(TEAM, entities=(*TEAM.entities[:2], Entity("Guest")), _by_name={})
-    a, b = catalog.encode(spark, TEAM), catalog.encode(spark, later)
-    return catalog.ambiguities(catalog.changes(a, b), a, b).select("kind", F.array_join("dropped", ",").alias("dropped"), F.array_join("added", ",").alias("added"))
-
-
-@query("SELECT 'fact' AS what, f AS name FROM (VALUES ('Active'), ('Contains'), ('Handover'), ('Line'), ('Low'), ('Supply'), ('Urgent')) t(f) UNION ALL SELECT 'unused', 'Spare' UNION ALL SELECT 'unused', 'Flag' UNION ALL SELECT 'columns', 'l_orderkey,l_partkey,l_suppkey' UNION ALL SELECT 'columns', 'p_partkey'")
-def model_projections(spark, d):
-    """Facts that aren't fields, value types that nothing uses, and the columns that the facts need of each table."""
-    given = catalog.encode(spark, replace(COMMERCE, values=(*COMMERCE.values, Value("Spare", "Int", 1, 2)), _by_name={}))
-    fields = given["fields"].select(F.concat_ws("__", "owner", "name").alias("field_fact"))
-    every = given["facts"].select(F.col("name").alias("fact")).union(fields)
-    stated = facts.source_facts(every, fields).select(F.lit("fact").alias("what"), F.col("fact").alias("name"))
-    unused = facts.unused_values(given["objects"], given["roles"], given["fields"]).select(F.lit("unused"), "name")
-    mapping = spark.createDataFrame([("lineitem", "l_partkey"), ("lineitem", "l_orderkey"), ("lineitem", "l_partkey"), ("lineitem", "l_suppkey"), ("part", "p_partkey"), ("part", None)], "table string, column string")
-    return stated.union(unused).union(facts.physical_columns(mapping).select(F.lit("columns"), F.array_join("columns", ",")))
-
-
 @query("SELECT p_partkey, CASE p_brand WHEN 'Brand#11' THEN 'first' WHEN 'Brand#12' THEN 'second' ELSE p_brand END AS brand, CASE WHEN p_size < 5 THEN 5 WHEN p_size > 45 THEN 45 ELSE p_size END AS size, 5 + (p_size - 5)::DOUBLE * 0.25::DOUBLE AS quarter FROM part")
 def scalar_helpers(spark, d):
     size = F.col("p_size")
@@ -396,15 +342,6 @@ SMALL = Model(
 )
 
 
-@query("SELECT * FROM (VALUES ('facts', 'right', 1), ('fields', 'left', 3), ('fields', 'right', 3), ('objects', 'left', 2), ('objects', 'right', 2), ('domains', 'left', 1), ('domains', 'right', 1), ('roles', 'left', 1), ('roles', 'right', 2), ('rules', 'left', 1)) t(relation, side, n)")
-def model_differences(spark, d):
-    """What the relations of one model have and another's lack; a model and what is decoded from it have no differences."""
-    a, b = catalog.encode(spark, TEAM), catalog.encode(spark, LATER)
-    again = catalog.encode(spark, catalog.decode(a, TEAM.name))
-    same = catalog.differences(a, again).select(F.lit("itself").alias("relation"), "side")
-    return audit.counts_by(catalog.differences(a, b).select("relation", "side").unionByName(same), "relation", "side")
-
-
 @query(f"""WITH {_RELATIONS}, used AS (SELECT DISTINCT unnest(p) AS i FROM fact)
 SELECT 'Size' AS value_type, count(*) AS standalone FROM val WHERE i NOT IN (SELECT i FROM used) AND t = 'Size' GROUP BY t""")
 def standalone_values(spark, d):

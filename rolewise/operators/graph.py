@@ -6,6 +6,8 @@ repeated until nothing changes.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,20 +114,25 @@ def closure_order(parents: DataFrame, head: object) -> DataFrame:
 
 
 def analyses(model: Model, spark: SparkSession) -> DataFrame:
-    """``analysis, status, offenders`` of the analyses that a model asks for: passed, violated, not_applicable or unevaluated.
+    """:func:`analyses_of` the facts of a model, as it asks for them."""
+    rows = [(f.name, r, p) for f in model.facts for r, p in f.roles]
+    return analyses_of(spark.createDataFrame(rows, "fact string, role string, player string"), model.analyses)
+
+
+def analyses_of(roles: DataFrame, asked: Sequence[tuple[str, tuple[str, ...]]]) -> DataFrame:
+    """``analysis, status, offenders`` of the analyses ``asked`` for of ``roles(fact, role, player)``: passed, violated, not_applicable or unevaluated.
 
     ``uniform`` takes one whole number and names the facts of another arity; ``connected`` names the parts that facts and players fall into by their least
     names, and is not applicable without facts.  What has no definition here, such as ``directed``, is unevaluated.
     """
-    rows = [(f.name, r, p) for f in model.facts for r, p in f.roles]
-    roles = spark.createDataFrame(rows, "fact string, role string, player string")
+    spark, some = roles.sparkSession, not roles.isEmpty()
     parts = None
-    for name, args in model.analyses:
+    for name, args in asked:
         none = F.array().cast("array<string>")
         if name == "uniform" and len(args) == 1 and args[0].isdigit():
             found, label = uniform(roles, int(args[0])).select(F.col("fact").alias("offender")), f"uniform({args[0]})"
             wrong = F.size("offenders") > 0
-        elif name == "connected" and rows:
+        elif name == "connected" and some:
             edges = roles.select(F.concat(F.lit("fact:"), "fact").alias("src"), F.concat(F.lit("type:"), "player").alias("dst"))
             found, label = components(edges).select(F.col("component").alias("offender")).distinct(), name
             wrong = F.size("offenders") > 1

@@ -515,13 +515,6 @@ def scalar_domains(spark, d):
 _OLDER = replace(COMMERCE, rules=tuple(r for r in COMMERCE.rules if r.kind not in ("frequency", "symmetric")), values=(Value("Size", "Int", 1, 60), *COMMERCE.values[1:]), _by_name={})
 
 
-@query("""SELECT * FROM (VALUES ('add_constraint', 'frequency:Contains(order)', 'requires_data_check', 'constraints'), ('add_constraint', 'symmetric:Handover()', 'requires_data_check', 'constraints'),
-('change_constraint', 'Size', 'requires_data_check', 'constraints')) t(kind, subject, safety, phase)""")
-def model_changes(spark, d):
-    found = catalog.changes(catalog.encode(spark, _OLDER), catalog.encode(spark, COMMERCE))
-    return catalog.steps(found).select("kind", "subject", "safety", "phase")
-
-
 @query(f"""{VIOLATIONS} SELECT k AS obligation_id, count(o)::BIGINT AS violations
 FROM (VALUES ('frequency:Contains(order):2..7'), ('symmetric:Handover()'), ('value:Part.size')) t(k) LEFT JOIN v ON o = k GROUP BY k""")
 def migration_preflight(spark, d):
@@ -553,4 +546,4 @@ def violation_evidence(spark, d):
     return plan.evidence(_violations(spark, d), _lines(spark, d), "uniqueness:Line(order,number)", ["order", "number"])
 
 
-from rolewise import audit_queries, graph_queries, model_queries  # noqa: E402, F401 - register their queries
+from rolewise import audit_queries, catalog_queries, graph_queries, model_queries  # noqa: E402, F401 - register their queries
