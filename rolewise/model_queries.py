@@ -92,6 +92,35 @@ def population_violations(spark, d):
     return population.violations(ORDERED, _population(spark, d)).select("obligation_id", "code", F.array_join("key", "|").alias("key"), "n")
 
 
+RECORDED = Model(
+    "Recorded", entities=(Entity("Customer"), Entity("Order")),
+    facts=(Fact("Placed", (("customer", "Customer"), ("order", "Order")), "Placing"), Fact("Shipped", (("placing", "Placing"), ("line", "Order")))), rules=(Rule("mandatory", "Shipped", ("placing",)), Rule("uniqueness", "Placed", ("order",))),
+)
+
+
+@query("""WITH i AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 40 = 3 THEN o_custkey + 1 ELSE o_custkey END AS c, CASE WHEN o_orderkey % 60 <> 7 THEN o_orderkey END AS o FROM orders WHERE o_orderkey % 9 > 0
+  UNION SELECT o_orderkey, o_custkey, o_orderkey FROM orders WHERE o_orderkey % 40 = 3 AND o_orderkey % 9 > 0 UNION SELECT 10000000 + o_orderkey, o_custkey, o_orderkey FROM orders WHERE o_orderkey % 25 = 1),
+h AS (SELECT i.*, p.o_orderkey IS NOT NULL AS held FROM i LEFT JOIN orders p ON p.o_orderkey = i.o AND p.o_custkey = i.c), s AS (SELECT DISTINCT l_orderkey AS p FROM lineitem)
+SELECT 'objectification:Placing' AS obligation_id, 'OBJECTIFICATION_OCCURRENCE' AS code, id::VARCHAR AS key FROM h GROUP BY id HAVING NOT bool_and(held)
+UNION ALL SELECT 'objectification:Placing', 'OBJECTIFICATION_FUNCTION', id::VARCHAR FROM h GROUP BY id HAVING count(*) > 1
+UNION ALL SELECT DISTINCT 'objectification:Placing', 'OBJECTIFICATION_INJECTIVITY', id::VARCHAR FROM h WHERE held AND id > (SELECT min(g.id) FROM h g WHERE g.held AND g.c = h.c AND g.o = h.o)
+UNION ALL SELECT 'player:Shipped.placing', 'ROLE_PLAYER_MEMBERSHIP', p::VARCHAR FROM s WHERE p NOT IN (SELECT id FROM i)
+UNION ALL SELECT DISTINCT 'mandatory:Shipped(placing)', 'MANDATORY_VIOLATION', id::VARCHAR FROM i WHERE id NOT IN (SELECT p FROM s)""")
+def record_violations(spark, d):
+    """Orders as what their customers' placing is objectified as, with wrong, missing, several and shared tuples, and lines that need one."""
+    orders, lines = table(spark, d, "orders"), table(spark, d, "lineitem")
+    wrong, key = F.expr("o_orderkey % 40 = 3"), F.col("o_orderkey")
+    own = orders.where("o_orderkey % 9 > 0")
+    instances = own.select(key.alias("id"), F.when(wrong, F.col("o_custkey") + 1).otherwise(F.col("o_custkey")).alias("c"), F.when(F.expr("o_orderkey % 60 <> 7"), key).alias("o"))
+    for more in (own.where(wrong).select(key, "o_custkey", key), orders.where("o_orderkey % 25 = 1").select(key + 10000000, "o_custkey", key)):
+        instances = instances.union(more)
+    bound = plan.Binding(
+        entities={"Customer": (table(spark, d, "customer"), "c_custkey", {}), "Order": (orders, "o_orderkey", {})}, records={"Placing": (instances, "id", {"customer": "c", "order": "o"})},
+        facts={"Placed": orders.select(F.col("o_custkey").alias("customer"), F.col("o_orderkey").alias("order")), "Shipped": lines.select(F.col("l_orderkey").alias("placing"), F.col("l_orderkey").alias("line")).distinct()},
+    )
+    return plan.violations(RECORDED, bound).select("obligation_id", "code", F.col("key")[0].alias("key"))
+
+
 @query(f"""WITH {_RELATIONS}, used AS (SELECT DISTINCT unnest(p) AS i FROM fact)
 SELECT 'standalone_value' AS gap, t AS element, i AS instance FROM val WHERE i NOT IN (SELECT i FROM used)
 UNION ALL SELECT 'unresolved_objectification', t, i FROM mem WHERE t = 'PlacedRecord' AND i NOT IN (SELECT i FROM ob WHERE t = 'PlacedRecord' AND f = 'Placed' AND k IN (SELECT k FROM fact WHERE f = 'Placed'))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -26,13 +26,15 @@ class Binding:
 
     ``projections`` name to (another bound fact, {role: its role}): facts that are projections of that one's, taken from its
     distinct tuples, so that a table is read and shuffled once for all of them.  ``literal`` gives the literal that a value-typed role's
-    column holds; without it such roles are played by instances, whose literals are elsewhere.
+    column holds; without it such roles are played by instances, whose literals are elsewhere.  ``records`` name what facts are objectified as to (table
+    of the instances, key column, {role of the fact: column}).
     """
 
     entities: dict[str, tuple[DataFrame, str, dict[str, str]]] = field(default_factory=dict)
     facts: dict[str, DataFrame] = field(default_factory=dict)
     projections: dict[str, tuple[str, dict[str, str]]] = field(default_factory=dict)
     literal: Callable[[Column], Column] | None = lambda value: value
+    records: dict[str, tuple[DataFrame, str, dict[str, str]]] = field(default_factory=dict)
 
 
 def binding_problems(model: Model, bound: Binding) -> list[tuple[str, str]]:
@@ -58,6 +60,14 @@ def binding_problems(model: Model, bound: Binding) -> list[tuple[str, str]]:
         else:
             out += [(f"{name}.{r}", "not bound") for r in facts[name].role_names if r not in roles]
             out += [(f"{name}.{r}", f"{base} has no role {c}") for r, c in roles.items() if c not in facts[base].role_names]
+    objectified = {f.objectified: f for f in model.facts if f.objectified}
+    for name, (table, key, roles) in bound.records.items():
+        if name not in objectified:
+            out.append((name, "no fact is objectified so"))
+            continue
+        out += [(name, f"the table has no key column {key}")] * (key not in table.columns)
+        out += [(f"{name}.{r}", "not bound") for r in objectified[name].role_names if r not in roles]
+        out += [(f"{name}.{r}", f"the table has no column {c}") for r, c in roles.items() if c not in table.columns]
     out += [(name, "bound twice") for name in set(bound.facts) & set(bound.projections)]
     out += [(e, "not bound") for e in entities if e not in bound.entities]
     return sorted(out + [(f, "not bound") for f in facts if f not in bound.facts and f not in bound.projections])
@@ -202,7 +212,7 @@ def _fact_plans(model: Model, bound: Binding) -> list[Plan]:
             found = rows.select(_each(wrong).alias("w")).groupBy("w.o", "w.c", "w.v").agg(F.count(F.lit(1)).alias("n"))
             plans.append((ids, _rows(found, F.col("o"), F.col("c"), fact.name, ["v"], "n")))
         plans += _ring_plans(model, fact, rows)
-    plans += _set_plans(model, stated)
+    plans += _set_plans(model, stated) + _record_plans(model, bound, stated)
     for player, parts in players.items():
         while parts:  # as many roles at a time as a mask has bits
             n, held = 0, 0
@@ -251,6 +261,31 @@ def _ring_plans(model: Model, fact: Fact, rows: DataFrame) -> list[Plan]:
     return plans
 
 
+def _record_plans(model: Model, bound: Binding, stated: dict[str, DataFrame]) -> list[Plan]:
+    """What facts are objectified as: every instance stands for one tuple that the fact holds of, and no two for the same.
+
+    The instances of a record are aggregated by tuple and by key, each before its shuffle, and meet the fact's distinct tuples in one join.  An instance that is bound to several tuples is told once,
+    and of several that are bound to one all but the least.  What has a null is bound to no tuple.
+    """
+    plans: list[Plan] = []
+    for fact in model.facts:
+        if fact.objectified not in bound.records or fact.name not in stated:
+            continue
+        table, key, columns = bound.records[fact.objectified]
+        roles = list(fact.role_names)
+        rows = table.select(F.col(key).alias("_id"), *[F.col(columns[r]).alias(r) for r in roles]).where("_id IS NOT NULL").distinct()
+        held = stated[fact.name].select(*[F.col(r).alias(f"_{r}") for r in roles], F.lit(True).alias("_held"))
+        known = rows.join(held, reduce(lambda a, b: a & b, [F.col(r) == F.col(f"_{r}") for r in roles]), "left").select("_id", *roles, F.coalesce("_held", F.lit(False)).alias("_held"))
+        by_id = known.groupBy("_id").agg(F.bool_and("_held").alias("_held"), F.count(F.lit(1)).alias("n"))
+        name = f"objectification:{fact.objectified}"
+        told = by_id.select("_id", _each([_found(~F.col("_held"), name, "OBJECTIFICATION_OCCURRENCE"), _found(F.col("n") > 1, name, "OBJECTIFICATION_FUNCTION")]).alias("w"))
+        found = _rows(told, F.col("w.o"), F.col("w.c"), fact.objectified, ["_id"])
+        first = known.where("_held").groupBy(*roles).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(*[F.col(r).alias(f"_{r}") for r in roles], "_first")
+        shared = known.where("_held").join(first, reduce(lambda a, b: a & b, [F.col(r) == F.col(f"_{r}") for r in roles])).where("_id <> _first").select("_id").distinct()
+        plans.append(([name], found.unionByName(_rows(shared, name, "OBJECTIFICATION_INJECTIVITY", fact.objectified, ["_id"]))))
+    return plans
+
+
 def _set_plans(model: Model, stated: dict[str, DataFrame]) -> list[Plan]:
     """Subsets, equalities and exclusions; all rules that compare the same two projections are one join."""
     compared: dict[tuple, list[Rule]] = defaultdict(list)
@@ -300,6 +335,9 @@ def _player_plan(model: Model, player: str, entity: tuple[DataFrame, str, dict[s
 
 def evaluated(model: Model, bound: Binding) -> tuple[DataFrame, set[str]]:
     """:func:`violations` and :func:`checked` of a model and its tables, planned once."""
+    # a record's instances play roles like members do
+    players = {name: (table, key, {}) for name, (table, key, _) in bound.records.items()}
+    bound = replace(bound, entities={**players, **bound.entities})
     plans = _entity_plans(model, bound) + _fact_plans(model, bound)
     if not plans:
         raise ValueError("nothing of the model is bound to a table")
@@ -336,6 +374,7 @@ def summary(model: Model, found: DataFrame, decided: set[str] | None = None) ->
     ``decided`` are the obligations that were checked (all if not given); the status of any other is ``not_checked``.
     """
     known = [(o, kind, decided is None or o in decided) for o, kind in obligations(model)]
+    known += [(o, "objectification", True) for o in sorted(decided or ()) if o.startswith("objectification:")]
     asked = found.sparkSession.createDataFrame(known, "obligation_id string, kind string, decided boolean")
     counted = found.groupBy("obligation_id").agg(F.count(F.lit(1)).alias("violations"))
     row = asked.join(counted, "obligation_id", "left").fillna(0, ["violations"])

@@ -423,13 +423,14 @@ def role_projection(spark, d):
 # -- graphs ----------------------------------------------------------------------------------------------------------
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT 'c' || o_custkey AS a, 'p' || o_orderpriority AS b FROM orders WHERE o_custkey % 50 = 0), b AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-reach(node, other) AS (SELECT a, b FROM b UNION SELECT r.node, b.b FROM reach r JOIN b ON r.other = b.a)
-SELECT node, least(node, min(other)) AS component FROM reach GROUP BY node""")
+# suppliers are few next to the lines, so the SQL walks among them
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT 'p' || l_partkey AS a, 's' || l_suppkey AS b FROM lineitem WHERE l_quantity > 48), h AS (SELECT DISTINCT x.b AS u, y.b AS v FROM e x JOIN e y ON x.a = y.a),
+reach(u, v) AS (SELECT u, v FROM h UNION SELECT r.u, h.v FROM reach r JOIN h ON r.v = h.u), m AS (SELECT u AS b, least(min(e.a), min(e.b)) AS component FROM reach JOIN e ON v = e.b GROUP BY u)
+SELECT b AS node, component FROM m UNION SELECT a, component FROM e JOIN m ON e.b = m.b""")
 def connected_components(spark, d):
-    rows = table(spark, d, "orders").where("o_custkey % 50 = 0")
-    edges = rows.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("o_orderpriority")).alias("dst"))
-    return graph.components(edges)
+    """Parts and suppliers that large lines connect."""
+    rows = table(spark, d, "lineitem").where("l_quantity > 48")
+    return graph.components(rows.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst")))
 
 
 # of all orders; as priorities are few, the SQL walks among them and costs in proportion to the edges
@@ -498,11 +499,16 @@ def preflight_unique(spark, d):
 # -- scalar functions ------------------------------------------------------------------------------------------------
 
 
-@query("""SELECT p_partkey, 'part:' || replace(replace(p_name, '%', '%25'), ':', '%3A') AS stable, trim(lower(regexp_replace(p_name, '[^a-zA-Z0-9_]+', '_', 'g')), '_') AS slug,
-trim(regexp_replace(p_name, '[^A-Za-z0-9._-]+', '_', 'g'), '._-') || '__' || substr(sha256(p_name), 1, 20) AS file FROM part WHERE p_name = lower(p_name)""")
+# a capital begins a word where small letters follow, and after a small letter or digit; twice, as the pattern takes the letter before it, too
+@query(r"""WITH n AS (SELECT p_partkey, p_name, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), '') || p_partkey || 'XMLBox of ' || p_brand || '!' AS camel FROM part),
+w AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(camel, '(.)([A-Z][a-z])', '\1_\2', 'g'), '([^_])([A-Z][a-z])', '\1_\2', 'g'), '([a-z0-9])([A-Z])', '\1_\2', 'g') AS words FROM n)
+SELECT p_partkey, 'part:' || replace(replace(p_name, '%', '%25'), ':', '%3A') AS stable, lower(trim(regexp_replace(words, '[^a-zA-Z0-9_]+', '_', 'g'), '_')) AS slug,
+trim(regexp_replace(camel, '[^A-Za-z0-9._-]+', '_', 'g'), '._-') || '__' || substr(sha256(camel), 1, 20) AS file FROM w""")
 def scalar_ids(spark, d):
+    """Ids of parts, and slugs and file names of ``SmallRing7XMLBox of Brand#12!`` and the like."""
     name = F.col("p_name")
-    return table(spark, d, "part").where("p_name = lower(p_name)").select("p_partkey", scalar.stable_id("part", name).alias("stable"), scalar.slug(name).alias("slug"), scalar.file_token(name).alias("file"))
+    camel = F.concat(F.replace(F.initcap(name), F.lit(" "), F.lit("")), F.col("p_partkey").cast("string"), F.lit("XMLBox of "), F.col("p_brand"), F.lit("!"))
+    return table(spark, d, "part").select("p_partkey", scalar.stable_id("part", name).alias("stable"), scalar.slug(camel).alias("slug"), scalar.file_token(camel).alias("file"))
 
 
 @query("SELECT event_id, coalesce(value BETWEEN 10 AND 50, false) AS in_range, event_type IN ('click', 'view') AS allowed FROM events")

@@ -119,3 +119,22 @@ def test_binding_problems(spark):
         ("P", "the table has no key column key"), ("P.c", "no such field"), ("P.b", "not bound"), ("R", "no such entity"), ("F.y", "the table has no such column"), ("Z", "no such fact"),
         ("G.x", "F has no role z"), ("Q", "not bound"), ("H", "not bound"),
     ])
+
+
+def test_what_facts_are_objectified_as(spark):
+    model = Model("R", entities=(Entity("A"),), facts=(Fact("F", (("x", "A"), ("y", "A")), "Rec"), Fact("G", (("of", "Rec"),))), rules=(Rule("mandatory", "G", ("of",)),))
+    make = lambda rows, ddl: spark.createDataFrame(rows, ddl)
+    records = make([(1, "a", "b"), (2, "a", "b"), (3, "a", "c"), (4, "z", "z"), (5, None, "b"), (6, "a", "c"), (6, "b", "a"), (3, "a", "c"), (None, "a", "b")], "id int, p string, q string")
+    bound = plan.Binding(
+        entities={"A": (make([("a",), ("b",), ("c",)], "k string"), "k", {})}, facts={"F": make([("a", "b"), ("a", "c"), ("b", "a"), ("a", "b")], "x string, y string"), "G": make([(1,), (2,), (9,)], "of int")}, records={"Rec": (records, "id", {"x": "p", "y": "q"})},
+    )
+    found, decided = plan.evaluated(model, bound)
+    got = {(r.obligation_id, r.code, r.key[0]) for r in found.collect() if not r.obligation_id.startswith("set:")}
+    name = "objectification:Rec"
+    assert got == {
+        (name, "OBJECTIFICATION_OCCURRENCE", "4"), (name, "OBJECTIFICATION_OCCURRENCE", "5"), (name, "OBJECTIFICATION_INJECTIVITY", "2"), (name, "OBJECTIFICATION_INJECTIVITY", "6"), (name, "OBJECTIFICATION_FUNCTION", "6"), ("player:G.of", "ROLE_PLAYER_MEMBERSHIP", "9"),
+        *[("mandatory:G(of)", "MANDATORY_VIOLATION", k) for k in "3456"],
+    }
+    assert {(r.kind, r.violations, r.status) for r in plan.summary(model, found, decided).collect() if r.obligation_id == name} == {("objectification", 5, "violated")}
+    assert plan.binding_problems(model, plan.Binding(records={"Rec": (records, "id", {"x": "p"}), "No": (records, "id", {})}))[:2] == [("A", "not bound"), ("F", "not bound")]
+    assert ("Rec.y", "not bound") in plan.binding_problems(model, plan.Binding(records={"Rec": (records, "id", {"x": "p"})}))
