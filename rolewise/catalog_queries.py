@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from rolewise.operators import audit, evolution, facts, graph
 from rolewise.plans import catalog, structure
 from rolewise.queries import query
+from rolewise.sources.tables import scanned_keys as scan
 from rolewise.sources.tables import table
 
 
@@ -130,3 +131,17 @@ def model_analyses(spark, d):
     """Orders as facts that share parts, so that all hang together."""
     lines = table(spark, d, "lineitem").select(_text("F", "l_orderkey").alias("fact"), _text("r", "l_linenumber").alias("role"), _text("P", "l_partkey").alias("player")).distinct()
     return graph.analyses_of(lines, [("uniform", ("4",)), ("connected", ()), ("planar", ())]).withColumn("offenders", F.coalesce(F.array_join("offenders", ","), F.lit("")))
+
+
+@query("""WITH k AS (SELECT l_orderkey AS t, l_linenumber AS c, l_partkey AS p, l_suppkey AS s, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) AS i FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem))
+SELECT 'T' || t AS "table", CASE c % 3 WHEN 0 THEN 'primary_key' WHEN 1 THEN 'unique' ELSE 'foreign_key' END AS kind, string_agg('p' || p, ',' ORDER BY i) AS columns, CASE WHEN c % 3 = 2 THEN 'S(' || string_agg('s' || s, ',' ORDER BY i) || ')' ELSE '' END AS text FROM k GROUP BY t, c
+UNION ALL SELECT 'T' || o_orderkey, 'check', '', 'c > ' || o_custkey FROM orders""")
+def scanned_keys(spark, d):
+    """Orders as tables whose keys are their line numbers, of as many columns as there are lines with the number."""
+    lines, orders = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct(), table(spark, d, "orders")
+    named = [_text("T", "l_orderkey").alias("table"), _text("n", "l_linenumber").alias("name")]
+    kind = F.when(F.expr("l_linenumber % 3 = 0"), "PRIMARY KEY").when(F.expr("l_linenumber % 3 = 1"), "UNIQUE").otherwise("FOREIGN KEY")
+    columns = lines.select(*named, _text("p", "l_partkey").alias("column"), F.struct("l_partkey", "l_suppkey").alias("ordinal"), F.lit("S").alias("target_table"), _text("s", "l_suppkey").alias("target_column"))
+    checks = orders.select(_text("T", "o_orderkey").alias("table"), F.lit("ck").alias("name"), _text("c > ", "o_custkey").alias("text"))
+    found = scan(lines.select(*named, kind.alias("kind")).unionByName(checks.select("table", "name", F.lit("check").alias("kind"))), columns, checks)
+    return found.withColumn("columns", F.array_join("columns", ","))

@@ -178,6 +178,25 @@ def compare_keys(a: DataFrame, b: DataFrame) -> DataFrame:
     return left.subtract(right).withColumn("problem", F.lit("missing")).unionByName(right.subtract(left).withColumn("problem", F.lit("unexpected")))
 
 
+def scanned_keys(constraints: DataFrame, key_columns: DataFrame, checks: DataFrame) -> DataFrame:
+    """A database's catalogue as :func:`compare_keys` takes it: ``table, kind, columns, text`` for every primary key, unique, foreign key and check, its columns in their order.
+
+    ``constraints(table, name, kind)`` has the kinds of the SQL standard in any case; ``key_columns(table, name, column, ordinal, target_table, target_column)`` a row for each column of a key, the
+    last two for foreign keys; ``checks(table, name, text)``.  They are what the views of an information schema give, read as any table is (:func:`read` with ``jdbc``, say).  A foreign key's text is its
+    target and that one's columns; of a check what is compared is its text, and NOT NULL checks are left to the columns.  A key without columns has none.
+    """
+    parts = F.sort_array(F.collect_list(F.struct("ordinal", "column", "target_column")))
+    keys = key_columns.groupBy("table", "name").agg(parts.alias("parts"), F.min("target_table").alias("target"))
+    kinds = {"PRIMARY KEY": "primary_key", "UNIQUE": "unique", "FOREIGN KEY": "foreign_key", "CHECK": "check"}
+    named = F.element_at(F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair]), F.upper(F.trim("kind")))
+    row = constraints.select("table", "name", F.coalesce(named, F.lower("kind")).alias("kind")).distinct().join(keys, ["table", "name"], "left").join(checks.select("table", "name", F.col("text").alias("check")), ["table", "name"], "left")
+    columns = F.coalesce(F.col("parts.column"), F.array().cast("array<string>"))
+    aim = F.concat("target", F.lit("("), F.array_join("parts.target_column", ","), F.lit(")"))
+    text = F.when(F.col("kind") == "foreign_key", aim).when(F.col("kind") == "check", F.col("check"))
+    rows = row.select("table", "kind", columns.alias("columns"), F.coalesce(text, F.lit("")).alias("text"))
+    return rows.where(~((F.col("kind") == "check") & F.col("text").rlike(r"(?i)^\W*\w+\W+is\s+not\s+null\W*$")))
+
+
 def write_bundle(relations: dict[str, DataFrame], path: str) -> None:
     """Relations as JSON lines, one folder each, and an ``index`` with the columns of each."""
     for name, df in relations.items():

@@ -115,3 +115,16 @@ def test_fixtures_keys_and_bundles(spark, tmp_path):
     assert {(r.kind, r.problem) for r in tables.compare_keys(a, b).collect()} == {("unique", "missing"), ("foreign", "unexpected")}
     tables.write_bundle({"a": a, "b": b}, str(tmp_path / "bundle"))
     assert spark.read.json(str(tmp_path / "bundle" / "a")).count() == 3 and [r.relation for r in spark.read.json(str(tmp_path / "bundle" / "index")).orderBy("relation").collect()] == ["a", "b"]
+
+
+def test_keys_of_a_scanned_catalogue(spark):
+    make = lambda rows, ddl: spark.createDataFrame(rows, ddl)
+    constraints = make([("a", "pk", "PRIMARY KEY"), ("a", "u", "unique"), ("b", "fk", "FOREIGN KEY"), ("b", "ck", "CHECK"), ("b", "nn", "CHECK"), ("b", "ck", "CHECK"), ("c", "none", "UNIQUE")], "table string, name string, kind string")
+    columns = make([("a", "pk", "y", 2, None, None), ("a", "pk", "x", 1, None, None), ("a", "u", "z", 1, None, None), ("b", "fk", "q", 2, "a", "y"), ("b", "fk", "p", 1, "a", "x")], "table string, name string, column string, ordinal int, target_table string, target_column string")
+    checks = make([("b", "ck", "((size >= 1))"), ("b", "nn", '"p" IS NOT NULL')], "table string, name string, text string")
+    found = tables.scanned_keys(constraints, columns, checks)
+    assert {(r.table, r.kind, tuple(r.columns), r.text) for r in found.collect()} == {
+        ("a", "primary_key", ("x", "y"), ""), ("a", "unique", ("z",), ""), ("b", "foreign_key", ("p", "q"), "a(x,y)"), ("b", "check", (), "((size >= 1))"), ("c", "unique", (), ""),
+    }
+    other = make([("a", "primary_key", ["x", "y"], ""), ("a", "unique", ["w"], ""), ("b", "foreign_key", ["p", "q"], "a(x,y)"), ("b", "check", [], "SIZE>=1"), ("c", "unique", [], "")], "table string, kind string, columns array<string>, text string")
+    assert {(r.kind, tuple(r.columns), r.problem) for r in tables.compare_keys(found, other).collect()} == {("unique", ("z",), "missing"), ("unique", ("w",), "unexpected")}
