@@ -145,3 +145,13 @@ def scanned_keys(spark, d):
     checks = orders.select(_text("T", "o_orderkey").alias("table"), F.lit("ck").alias("name"), _text("c > ", "o_custkey").alias("text"))
     found = scan(lines.select(*named, kind.alias("kind")).unionByName(checks.select("table", "name", F.lit("check").alias("kind"))), columns, checks)
     return found.withColumn("columns", F.array_join("columns", ","))
+
+
+@query(f"""WITH {_VERSIONS} SELECT 'set:' || name AS obligation_id, 'fact_set_semantics' AS kind, name || ' holds of the same players once.' AS reading, '{{"fact":"' || name || '"}}' AS params, 'One row of ' || name || '.|The same row again.|It is refused if the rule is kept.' AS recipe FROM b_facts
+UNION ALL SELECT 'frequency:' || name || '(r):' || low || '..' || high, 'frequency', 'In ' || name || ' each r that is there at all is there ' || low || ' to ' || high || ' times.', '{{"fact":"' || name || '","roles":["r"],"least":' || low || ',"most":' || high || '}}', 'One r.|' || high + 1 || ' rows with it that differ elsewhere.|It is refused if the rule is kept.' FROM b_rules
+UNION ALL SELECT 'value:' || name, 'value', 'A ' || name || ' is from ' || low || ' to ' || high || '.', '{{"value_type":"' || name || '","low":"' || low || '","high":"' || high || '"}}', 'A ' || name || ' that is not.|It is refused if the rule is kept.' FROM b_domains
+UNION ALL SELECT 'required:' || name || '.f', 'mandatory', 'Every ' || name || ' has a f.', '{{"owner":"' || name || '","field":"f"}}', 'A ' || name || ' without a f.|It is refused if the rule is kept.' FROM b_fields WHERE required
+UNION ALL SELECT 'subtype:' || name || '<' || sup, 'subtype', 'Every ' || name || ' is a ' || sup || '.', '{{"subtype":"' || name || '","supertype":"' || sup || '"}}', 'A ' || name || ' that is no ' || sup || '.|If it is taken the rule is not kept.' FROM b_subtypes""")
+def obligation_texts(spark, d):
+    """What every obligation of the first version says, of what, and how to see whether it is kept."""
+    return audit.described(versions(spark, d)[0]).withColumn("recipe", F.array_join("recipe", "|"))

@@ -6,8 +6,9 @@ Each is a join of small relations and a decision table written as a chain of con
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -89,6 +90,58 @@ def features(model: Model) -> list[tuple[str, str, str]]:
     return sorted(out, key=lambda o: (o[1], o[0]))
 
 
+def described(relations: dict[str, DataFrame]) -> DataFrame:
+    """``obligation_id, kind, reading, params, recipe`` of every obligation that a model's relations state: what it says in words, its parts as JSON, and how to see whether a target keeps it.
+
+    ``relations`` are those of :mod:`rolewise.plans.catalog`; ones that are missing state nothing.  Ids and kinds are those of :func:`features`.  Each relation is one pass of column expressions; only the players of mandatory roles are joined.
+    """
+    say, col, lit = F.format_string, F.col, F.lit
+    listed = lambda c: F.array_join(c, ", ")
+    refused, kept = lit("It is refused if the rule is kept."), lit("If it is taken the rule is not kept.")
+    parts: list[DataFrame] = []
+
+    def told(rows: DataFrame, id_: Column, kind: Column, reading: Column, params: Column, *recipe: Column) -> None:
+        parts.append(rows.select(id_.alias("obligation_id"), kind.alias("kind"), reading.alias("reading"), F.to_json(params).alias("params"), F.array(*recipe).alias("recipe")))
+
+    named = lambda **c: F.struct(*[v.alias(k) for k, v in c.items()])
+    if "facts" in relations:
+        told(relations["facts"], F.concat(lit("set:"), "name"), lit("fact_set_semantics"), say("%s holds of the same players once.", "name"), named(fact=col("name")), say("One row of %s.", "name"), lit("The same row again."), refused)
+    if "rules" in relations:
+        rules = relations["rules"].withColumns({"_left": say("%s(%s)", "fact", F.array_join("roles", ",")), "_right": say("%s(%s)", "other", F.array_join("other_roles", ","))})
+        bounds = F.when(col("kind") == "frequency", F.concat(lit(":"), col("low").cast("string"), lit(".."), F.coalesce(col("high").cast("string"), lit("")))).otherwise("")
+        id_ = F.concat("kind", lit(":"), "_left", F.when(col("other") != "", F.concat(lit(":"), "_right")).otherwise(""), bounds)
+        of = lambda *kinds: rules.where(col("kind").isin(*kinds))
+        roles, two, plain = listed("roles"), named(left=col("_left"), right=col("_right")), named(fact=col("fact"), roles=col("roles"))
+        told(of("uniqueness"), id_, col("kind"), say("No two rows of %s agree in %s.", "fact", roles), plain, say("One row of %s.", "fact"), say("Another with the same %s and another player elsewhere.", roles), refused)
+        most = F.when(col("high").isNull(), say("%d times or more", "low")).otherwise(say("%d to %d times", "low", "high"))
+        counted = named(fact=col("fact"), roles=col("roles"), least=col("low"), most=col("high"))
+        over = F.when(col("high").isNull(), say("Fewer than %d rows with it.", "low")).otherwise(say("%d rows with it that differ elsewhere.", F.coalesce(col("high") + 1, lit(0))))
+        told(of("frequency"), id_, col("kind"), say("In %s each %s that is there at all is there %s.", "fact", roles, most), counted, say("One %s.", roles), over, refused)
+        told(of("unordered"), id_, lit("unordered_role_group"), say("In %s the order of %s says nothing.", "fact", roles), plain, say("One row of %s with different players.", "fact"), lit("The same players the other way round."), refused)
+        told(of("symmetric"), id_, lit("ring"), say("Whatever %s says of two it says the other way round.", "fact"), plain, say("One row of %s with different players, and not its reverse.", "fact"), kept)
+        told(of("subset"), id_, col("kind"), say("All that is in %s is in %s.", "_left", "_right"), two, say("One in %s alone.", "_left"), kept)
+        told(of("equality"), id_, col("kind"), say("%s and %s have the same in them.", "_left", "_right"), two, say("One in %s alone, or in %s alone.", "_left", "_right"), kept)
+        told(of("exclusion"), id_, col("kind"), say("Nothing is in both %s and %s.", "_left", "_right"), two, say("The same in %s and in %s.", "_left", "_right"), kept)
+        if "roles" in relations:
+            player = relations["roles"].select(col("fact").alias("_fact"), col("name").alias("_role"), "player")
+            due = of("mandatory").withColumn("role", F.get("roles", lit(0))).join(player, (col("fact") == col("_fact")) & (col("role") == col("_role")))
+            told(due, id_, col("kind"), say("Every %s takes part in %s as %s.", "player", "fact", "role"), named(fact=col("fact"), role=col("role"), player=col("player")), say("A %s.", "player"), say("No row of %s with it as %s.", "fact", "role"), kept)
+    if "domains" in relations:
+        domains, ranged = relations["domains"], col("low").isNotNull()
+        within = F.when(ranged, say("from %s to %s", "low", "high")).otherwise(F.concat(lit("one of "), listed("allowed")))
+        told(domains, F.concat(lit("value:"), "value"), lit("value"), say("A %s is %s.", "value", within), named(value_type=col("value"), low=col("low"), high=col("high"), allowed=F.when(~ranged, col("allowed"))), say("A %s that is not.", "value"), refused)
+    if "fields" in relations:
+        fields, owned = relations["fields"], F.concat_ws(".", "owner", "name")
+        told(fields.where("required"), F.concat(lit("required:"), owned), lit("mandatory"), say("Every %s has a %s.", "owner", "name"), named(owner=col("owner"), field=col("name")), say("A %s without a %s.", "owner", "name"), refused)
+        ids = fields.where("identifying IS NOT NULL").groupBy("owner").agg(F.transform(F.sort_array(F.collect_list(F.struct("identifying", "name"))), lambda x: x["name"]).alias("names"))
+        told(ids, F.concat(lit("identifier:"), "owner"), lit("preferred_identifier"), say("A %s is known by its %s.", "owner", listed("names")), named(owner=col("owner"), fields=col("names")), say("Two %s with the same %s.", "owner", listed("names")), refused)
+    if "subtypes" in relations:
+        told(relations["subtypes"], say("subtype:%s<%s", "sub", "sup"), lit("subtype"), say("Every %s is a %s.", "sub", "sup"), named(subtype=col("sub"), supertype=col("sup")), say("A %s that is no %s.", "sub", "sup"), kept)
+    if not parts:
+        raise ValueError("the relations state no obligation")
+    return reduce(DataFrame.unionByName, parts)
+
+
 def of_model(spark: SparkSession, model: Model, targets: Sequence[str], cases: DataFrame | None = None, live: DataFrame | None = None, shared: DataFrame | None = None) -> DataFrame:
     """:func:`verdicts` of every obligation of a model, with its ``kind`` and ``feature``; evidence that isn't given is none."""
     known = spark.createDataFrame(features(model), "obligation_id string, kind string, feature string")

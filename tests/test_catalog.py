@@ -154,3 +154,20 @@ def test_differences_and_plan_fingerprints(spark):
     cases = audit.conformance_cases(spark, BEFORE, ["postgres"])
     one = audit.plan_fingerprint(cases)
     assert one == audit.plan_fingerprint(cases.orderBy("case_id").repartition(3)) and one != audit.plan_fingerprint(cases.where("family <> 'value'"))
+
+
+def test_every_obligation_is_described(spark):
+    from rolewise.operators import audit
+    from rolewise.plans import portability
+
+    for model, _ in portability.CORPUS.values():
+        told = {r.obligation_id: r for r in audit.described(catalog.encode(spark, model)).collect()}
+        wanted = {(o, k) for o, k, _ in audit.features(model) if k != "value"}
+        assert wanted == {(o, r.kind) for o, r in told.items() if r.kind != "value"}
+        assert all(r.reading.endswith(".") and len(r.recipe) > 1 and all(r.recipe) and r.params.startswith("{") for r in told.values())
+    rules = spark.createDataFrame([("mandatory", "Works", ["who"], "", [], 0, None, 0), ("subset", "Boss", ["who"], "Works", ["who"], 0, None, 1), ("frequency", "Works", ["who"], "", [], 2, None, 2)], catalog.RELATIONS["rules"])
+    roles = spark.createDataFrame([("Works", "who", 0, "Person")], catalog.RELATIONS["roles"])
+    told = {r.obligation_id: r for r in audit.described({"rules": rules, "roles": roles}).collect()}
+    assert told["mandatory:Works(who)"].reading == "Every Person takes part in Works as who."
+    assert told["subset:Boss(who):Works(who)"].params == '{"left":"Boss(who)","right":"Works(who)"}'
+    assert told["frequency:Works(who):2.."].reading == "In Works each who that is there at all is there 2 times or more." and told["frequency:Works(who):2.."].recipe[1] == "Fewer than 2 rows with it."
