@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rolewise.sources.tables import discard, durable
 
-__all__ = ["documents", "discard", "durable", "in_batches", "mix64", "word_hashes"]
+__all__ = ["Index", "documents", "discard", "durable", "in_batches", "mix64", "word_hashes"]
 
 #: A-Z to a-z and ASCII punctuation to a space; bytes over 127 stay, so UTF-8 stays whole.
 FOLD = bytes(
@@ -71,6 +71,45 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+class Index:
+    """Where different numbers are in an array, by a hash table with open addressing of two to four times their number, all in whole arrays."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys.astype(np.uint64)
+        bits = max(4, (2 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
+        self.slots = np.full(1 << bits, -1, dtype=np.int32)
+        rest = np.arange(len(keys), dtype=np.int32)
+        place = self._first(self.keys)
+        while len(rest):
+            free = self.slots[place] < 0
+            self.slots[place[free]] = rest[free]  # of several the last has it
+            out = self.slots[place] != rest
+            rest, place = rest[out], (place[out] + 1) & self.mask
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(_BASE)) >> self.shift).astype(np.int64)
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of ``wanted`` (any, if it isn't there), and which of them are there."""
+        if not len(self.keys):
+            return np.zeros(len(wanted), dtype=np.int32), np.zeros(len(wanted), dtype=bool)
+        wanted = wanted.astype(np.uint64)
+        place = self._first(wanted)
+        at = self.slots[place]
+        known = self.keys[at] == wanted  # an empty slot is checked below
+        known &= at >= 0
+        rest = np.flatnonzero(~known & (at >= 0))
+        while len(rest):
+            place = (place[rest] + 1) & self.mask if len(place) == len(wanted) else (place + 1) & self.mask
+            here = self.slots[place]
+            hit = (here >= 0) & (self.keys[here] == wanted[rest])
+            at[rest[hit]], known[rest[hit]] = here[hit], True
+            more = ~hit & (here >= 0)
+            rest, place = rest[more], place[more]
+        return at, known
+
+
 class _Powers:
     """Powers of the hash base and of its inverse, as many as have been asked for."""
 

@@ -18,13 +18,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rolewise.llm.common import discard, durable, in_batches
+from rolewise.llm.common import Index, discard, durable, in_batches
 
 #: Longest context in bytes, and the contexts of each length over one that the trees of all languages may have.
 ORDER, CONTEXTS = 4, 1 << 17
@@ -94,6 +95,14 @@ class Level:
     contexts: np.ndarray
     escapes: np.ndarray  # [context, language]; 0 where the language's tree lacks the context
 
+    @cached_property
+    def indexes(self) -> tuple[Index, Index]:
+        return Index(self.strings), Index(self.contexts)
+
+    def __getstate__(self) -> dict:
+        """Without the indexes: each worker makes its own."""
+        return {k: v for k, v in self.__dict__.items() if k != "indexes"}
+
 
 @dataclass
 class Model:
@@ -110,23 +119,17 @@ class Model:
         if order == 1:
             return self.pairs[strings]
         level = self.levels[order - 2]
-        at, known = _find(level.strings, strings)
+        at, known = level.indexes[0].find(strings)
         out = level.costs[at] if len(level.strings) else np.zeros((len(strings), len(self.langs)), dtype=np.float32)
         rest = np.flatnonzero(~known)
         if len(rest):
             lower = self.costs(strings[rest], order - 1)
-            at, known = _find(level.contexts, strings[rest] >> 8)
+            at, known = level.indexes[1].find(strings[rest] >> 8)
             lower[known] += level.escapes[at[known]]
             out[rest] = lower
         return out
 
 
-def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of ``wanted`` in the ordered ``keys``, and which of them are there."""
-    at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
-    return at, keys[at] == wanted if len(keys) else np.zeros(len(wanted), dtype=bool)
-
-
 def _pair_costs(n: np.ndarray) -> np.ndarray:
     """Bits of each byte after each single byte, from ``n[language, context, byte]``: orders 1, 0 and -1."""
     cost = np.full((n.shape[0], 1, 256), 8.0)

@@ -107,3 +107,17 @@ def test_pipeline_stages_do_what_their_operators_say(spark, tables):
             assert len(kept) == len(given)
         docs = out
     assert corpus_pipeline.run(spark, sf).count() == docs.count()
+
+
+def test_index_finds_what_is_there():
+    import numpy as np
+
+    from rolewise.llm.common import Index
+
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 100, 50_000):
+        keys = np.unique(np.concatenate((rng.integers(0, 1 << 40, n), np.arange(n // 2))))
+        wanted = np.concatenate((keys, rng.integers(0, 1 << 40, n + 3), np.arange(n)))
+        at, known = Index(keys).find(wanted)
+        assert (known == np.isin(wanted, keys)).all() and (keys[at[known]] == wanted[known]).all()
+    assert Index(np.arange(3)).find(np.zeros(0, dtype=np.int64))[1].shape == (0,)
