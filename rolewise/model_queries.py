@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rolewise.functions import scalar
 from rolewise.operators import audit, evolution, facts, graph
-from rolewise.plans import catalog, chase, population, portability, structure, witness
+from rolewise.plans import catalog, chase, population, portability, witness
 from rolewise.plans import compile as plan
 from rolewise.plans.model import Entity, Fact, Model, Rule, Value
 from rolewise.queries import COMMERCE, VIOLATIONS, binding, query
@@ -339,13 +339,6 @@ def scalar_helpers(spark, d):
     )
 
 
-@query("""SELECT * FROM (VALUES ('gap-frequency', 'mongo', true, 1), ('frequency', 'mongo', true, 2), ('fact-set', 'mongo', true, 6), ('gap-set', 'typedb', true, 3), ('gap-frequency', 'postgres', true, 1), ('frequency', 'postgres', true, 2), ('fact-set', 'postgres', true, 6), ('frequency', 'typedb', true, 4)) t(family, target, runtime, n)""")
-def conformance_case_counts(spark, d):
-    """The cases for three facts, one to be there once at most and one twice."""
-    model = replace(TEAM, values=(), entities=(Entity("A"),), facts=tuple(Fact(n, (("x", "A"), ("y", "A"))) for n in "FGH"), rules=(Rule("frequency", "F", ("x",), low=0, high=1), Rule("frequency", "G", ("x",), low=0, high=2)), _by_name={})
-    return audit.conformance_cases(spark, model, TARGETS).groupBy("family", "target", "runtime").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("""WITH o AS (SELECT o_orderkey, o_custkey, o_orderpriority AS s FROM orders), x AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE s END AS s FROM o), y AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'Y' ELSE s END AS s FROM o)
 SELECT o_orderkey, substr(sha256('{"p00":"row","p01":"' || o_orderkey || '","p02":"{\\"s\\":\\"' || o.s || '\\"}","p03":"{\\"s\\":\\"' || x.s || '\\"}","p04":"{\\"s\\":\\"' || y.s || '\\"}"}'), 1, 24) AS conflict_id FROM o JOIN x USING (o_orderkey) JOIN y USING (o_orderkey) WHERE o_orderkey % 6 = 0""")
 def conflict_ids(spark, d):
@@ -355,24 +348,40 @@ def conflict_ids(spark, d):
     return evolution.merge(rows, side(3, "X"), side(2, "Y"), "o_orderkey", ["s"]).where("outcome = 'conflict'").select("o_orderkey", "conflict_id")
 
 
-@query("SELECT * FROM (VALUES ('isolated', 11), ('collateral', 3)) t(status, n)")
-def counterexample_counts(spark, d):
-    return audit.counts_by(witness.counterexamples(spark, SMALL), "status")
+@query(f"""WITH {_RELATIONS}, used AS (SELECT DISTINCT unnest(p) AS i FROM fact)
+SELECT 'Size' AS value_type, count(*) AS standalone FROM val WHERE i NOT IN (SELECT i FROM used) AND t = 'Size' GROUP BY t""")
+def standalone_values(spark, d):
+    found = population.gaps(ORDERED, _population(spark, d)).where("gap = 'standalone_value' AND element = 'Size'")
+    return found.groupBy(F.col("element").alias("value_type")).agg(F.count(F.lit(1)).alias("standalone"))
 
 
-@query("SELECT true AS accepted, 12 AS n")
-def probe_counts(spark, d):
-    return audit.counts_by(witness.probes(spark, SMALL), "accepted")
+def _regions(spark: SparkSession, d: str) -> Model:
+    """A model with a fact for each region, bounded by how many nations it has; a model's declarations live on the driver."""
+    n = table(spark, d, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.count(F.lit(1)).alias("n"))
+    rows = table(spark, d, "region").join(n, "r_regionkey").orderBy("r_regionkey").collect()
+    rules = [Rule("frequency", f"In{r.r_regionkey}", ("nation",), low=1, high=r.n) for r in rows]
+    rules += [Rule("uniqueness", f"In{r.r_regionkey}", ("who",)) for r in rows if r.r_regionkey % 2 == 0] + [Rule("mandatory", f"In{r.r_regionkey}", ("who",)) for r in rows if r.r_regionkey % 3 == 1]
+    return Model("Regions", entities=(Entity("Person"), Entity("Nation")), facts=tuple(Fact(f"In{r.r_regionkey}", (("who", "Person"), ("nation", "Nation"))) for r in rows), rules=tuple(rules))
 
 
-SMALL = Model(
-    "Small", values=(Value("Name", "String"), Value("Age", "Int", 0, 130), Value("Day", "Date", "2024-01-01", "2024-12-31")), entities=(Entity("Person", ("name",), (("name", "Name", True), ("age", "Age", False))), Entity("Staff")),
-    facts=(Fact("Likes", (("a", "Person"), ("b", "Person"))), Fact("Born", (("who", "Person"), ("day", "Day")))), rules=(Rule("symmetric", "Likes"), Rule("frequency", "Born", ("who",), low=1, high=2), Rule("uniqueness", "Born", ("day",))), subtypes=(("Staff", "Person"),),
-)
+_PER_REGION = "r AS (SELECT r_regionkey AS k, count(n_nationkey) AS n FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1), c AS (SELECT count(*) AS facts, count(*) FILTER (k % 2 = 0) AS uniq, count(*) FILTER (k % 3 = 1) AS due FROM r)"
 
 
-@query(f"""WITH {_RELATIONS}, used AS (SELECT DISTINCT unnest(p) AS i FROM fact)
-SELECT 'Size' AS value_type, count(*) AS standalone FROM val WHERE i NOT IN (SELECT i FROM used) AND t = 'Size' GROUP BY t""")
-def standalone_values(spark, d):
-    found = population.gaps(ORDERED, _population(spark, d)).where("gap = 'standalone_value' AND element = 'Size'")
-    return found.groupBy(F.col("element").alias("value_type")).agg(F.count(F.lit(1)).alias("standalone"))
+@query(f"WITH {_PER_REGION} SELECT 'isolated' AS status, false AS implied, 4 * facts + uniq + due AS n FROM c")
+def counterexample_counts(spark, d):
+    """Each rule of the regions' model, its facts' set semantics and their players' types can be broken alone, and none follows from the others."""
+    return audit.counts_by(witness.counterexamples(spark, _regions(spark, d)), "status", "implied")
+
+
+@query(f"WITH {_PER_REGION} SELECT true AS accepted, 3 * facts + uniq + due AS n FROM c")
+def probe_counts(spark, d):
+    """A row of each fact, as little and as much as each frequency allows, two keys and a member that takes part."""
+    return audit.counts_by(witness.probes(spark, _regions(spark, d)), "accepted")
+
+
+@query(f"""WITH {_PER_REGION}, f AS (SELECT 'fact-set' AS native, 'gap-set' AS gap, facts AS n, ['N', 'N', 'R'] AS told FROM c UNION ALL SELECT 'unique', 'gap-set', uniq, ['N', 'N', 'N'] FROM c UNION ALL SELECT 'frequency', 'gap-frequency', facts, ['R', 'R', 'R'] FROM c UNION ALL SELECT 'mandatory', 'gap-mandatory', due, ['R', 'R', 'N'] FROM c),
+t AS (SELECT native, gap, n, unnest({TARGETS!r}) AS target, unnest(told) AS status FROM f)
+SELECT CASE WHEN status = 'N' THEN native ELSE gap END AS family, target, true AS runtime, sum(CASE WHEN status = 'N' THEN 2 * n ELSE n END)::BIGINT AS n FROM t GROUP BY 1, 2 HAVING sum(n) > 0""")
+def conformance_case_counts(spark, d):
+    """A valid and a violating case for each rule that a target enforces, and a probe of the gap for the others."""
+    return audit.counts_by(audit.conformance_cases(spark, _regions(spark, d), TARGETS), "family", "target", "runtime")

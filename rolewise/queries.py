@@ -7,7 +7,6 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from rolewise.functions import scalar
 from rolewise.operators import audit, evolution, facts, graph, rules

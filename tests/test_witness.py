@@ -42,10 +42,11 @@ def test_probes_are_accepted(spark):
 
 
 def test_shrunk_witnesses_have_nothing_to_spare(spark):
-    rows = {r.obligation_id: r for r in witness.shrunk(spark, SIMPLE).collect()}
+    small = witness.shrunk(spark, SIMPLE)
+    rows = {r.obligation_id: r for r in small.collect()}
     isolated = {r.obligation_id for r in witness.counterexamples(spark, SIMPLE).where("status = 'isolated'").collect()}
     assert set(rows) == isolated
     assert (rows["set:Keeps"].fact_rows, rows["uniqueness:Likes(who)"].fact_rows, rows["frequency:Owns(who):1..2"].fact_rows) == (3, 2, 3)  # a subset needs its other side
     assert (rows["value:Person.age"].fact_rows, rows["value:Person.age"].members, rows["subtype:Staff<Person"].members) == (0, 1, 1)
-    stats = witness.sizes(witness.shrunk(spark, SIMPLE)).first()
+    stats = witness.sizes(small).first()
     assert stats.witnesses == len(rows) and stats.most_fact_rows == 3 and stats.left_out == sum(r.left_out for r in rows.values())
