@@ -1,6 +1,7 @@
 """Quality by logistic regression on hashed word n-grams, trained by follow-the-regularised-leader.
 
-A text is its words and runs of other signs, as they are written, and their pairs, each hashed to one of ``2 ** BITS`` features.  A feature's value is the square root of its
+A text is its words and runs of other signs, as they are written, and their pairs, each hashed to one of ``2 ** BITS`` features.  A word that is the one before it again, or the one before
+that, is a pair of its own, whichever word it is.  A feature's value is the square root of its
 share of the text, so that a text is a sparse vector of length 1 whatever its size, and one feature more is 1 in all texts.  A score is the dot product with the weights.
 
 The proximal form of follow-the-regularised-leader keeps for each feature the sum z of its gradients, less what the weights that it had then account for, and the sum n of their
@@ -44,34 +45,40 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def _tokens(raw: np.ndarray) -> np.ndarray:
-    """A hash of each run of bytes of one kind but white space, in order: a polynomial in its bytes, from sums over all that is before its ends."""
+#: What a word is hashed to in a pair with itself, one and two words on.
+_AGAIN = mix64(np.array([1, 2], dtype=np.uint64))
+
+
+def _tokens(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each run of bytes of one kind but white space, in order, and which of them are words: a polynomial in its bytes, from sums over all that is before its ends."""
     kind = _KIND[raw]
     edge = np.flatnonzero(np.diff(kind, prepend=0))
     starts = edge[kind[edge] > 0]
     if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=bool)
     ends = np.append(edge, len(raw))[np.searchsorted(edge, starts) + 1]
     steps = np.full(len(raw) + 1, _BASE, dtype=np.uint64)
     steps[0] = 1
     up = np.cumprod(steps, dtype=np.uint64)
     sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:-1], dtype=np.uint64)))
     steps[1:] = _INVERSE
-    return mix64((sums[ends] - sums[starts]) * np.cumprod(steps, dtype=np.uint64)[starts] ^ (ends - starts).astype(np.uint64))
+    return mix64((sums[ends] - sums[starts]) * np.cumprod(steps, dtype=np.uint64)[starts] ^ (ends - starts).astype(np.uint64)), kind[starts] == 1
 
 
 def features(text: bytes, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """The numbers of the features of a text, ascending, and how often each is there; the one of every text is last, and there once."""
-    shift, before = np.uint64(64 - bits), np.zeros(0, dtype=np.uint64)
+    shift, before, earlier = np.uint64(64 - bits), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
     found, times = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
     for piece in blocks(text):
-        tokens = _tokens(np.frombuffer(piece, dtype=np.uint8))
+        tokens, is_word = _tokens(np.frombuffer(piece, dtype=np.uint8))
         pairs = np.concatenate((before, tokens))
         pairs = mix64(pairs[:-1] * np.uint64(3) + pairs[1:])
-        at, n = np.unique(np.concatenate((tokens, pairs)) >> shift, return_counts=True)
+        words, old = np.concatenate((earlier, tokens[is_word])), len(earlier)
+        again = [np.repeat(_AGAIN[k - 1], np.count_nonzero((words[k:] == words[:-k])[max(old - k, 0) :])) for k in (1, 2)]
+        at, n = np.unique(np.concatenate((tokens, pairs, *again)) >> shift, return_counts=True)
         found.append(at)
         times.append(n)
-        before = tokens[-1:] if len(tokens) else before
+        before, earlier = tokens[-1:] if len(tokens) else before, words[-2:]
     at, n = found[-1], times[-1]
     if len(found) > 2:
         at, place = np.unique(np.concatenate(found), return_inverse=True)

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rolewise.llm import divergence, merkle, quality
+from rolewise.llm.common import blocks
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -203,12 +204,15 @@ def plain_features(text):
     base = 0x9E3779B97F4A7C15
     hashes = [mixed(sum((c + 1) * pow(base, i, 2**64) for i, c in enumerate(t)) % 2**64 ^ len(t)) for t in tokens]
     pairs = [mixed((a * 3 + b) % 2**64) for a, b in zip(hashes, hashes[1:])]
-    return Counter(h >> 64 - quality.BITS for h in hashes + pairs)
+    words = [h for h, t in zip(hashes, tokens) if t[0] > 127 or chr(t[0]).isalnum()]
+    again = [mixed(k) for k in (1, 2) for a, b in zip(words, words[k:]) if a == b]
+    return Counter(h >> 64 - quality.BITS for h in hashes + pairs + again)
 
 
-@pytest.mark.parametrize("text", ["", "  ", "a", "The the!! $$$ | über 中文x9", "x" * 3000 + " !! " + "word, " * 500])
-def test_features(text, monkeypatch):
-    monkeypatch.setattr("rolewise.llm.common.BLOCK", 1 << 20)
+@pytest.mark.parametrize("size", [1 << 20, 12])
+@pytest.mark.parametrize("text", ["", "  ", "a", "The the!! $$$ | über 中文x9", "x" * 3000 + " !! " + "word, " * 500, "so so. so it so it it so, is is is is a b a b", "a a a a a a a a a a a a a"])
+def test_features(text, size, monkeypatch):
+    monkeypatch.setattr(quality, "blocks", lambda data: blocks(data, size))
     at, n = quality.features(text.encode())
     assert dict(zip(at.tolist(), n.tolist())) == {**plain_features(text.encode()), 1 << quality.BITS: 1}
     assert np.isclose((quality.values(n)[:-1] ** 2).sum(), 1 if len(n) > 1 else 0)
