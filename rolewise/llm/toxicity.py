@@ -21,6 +21,10 @@ doubles until they fit.
 
 The rows with a label are split by crc32(doc_id) mod 5: 0 is held out, 4 fits the curve that turns the mean into a chance, 1 to 3 are
 counted.  The curve is a logistic one above a floor, the chance of a label 1 that no text explains, so that wrong labels don't flatten it.
+
+Where a class has more or longer texts of a language or subject, all words of it lean a little to that class, and the mean of a text of hundreds of
+them is moved further than by its few insults.  So log ratios up to a margin, the same for all words, say nothing, and larger ones what they are over
+it.  The margin is the one of ``MARGINS`` whose curve makes the labels of fold 4 likeliest, or none unless that gains ``GAIN``, as in small tables.
 """
 
 from __future__ import annotations
@@ -51,6 +55,8 @@ MOST_LABELLED = 1_000_000
 COUNTED = 1 << 19
 #: Bins of the mean for calibration, from LOW to HIGH.
 BINS, LOW, HIGH = 4096, -1.0, 2.0
+#: Log ratios that may be ignored, and the gain in log-likelihood on the calibration rows that any of them needs over none.
+MARGINS, GAIN = (0.0, 0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0), 6.0
 #: The curve before calibration data: midpoint and slope, and the weight of this prior in rows.
 MIDPOINT, SLOPE, PRIOR = 0.1, 30.0, 2.0
 
@@ -115,13 +121,14 @@ def counts(rows: DataFrame) -> DataFrame:
 
 @dataclass
 class Model:
-    """The log ratios of words and pairs, by key in order, and the curve; what has no entry counts as its backoff says."""
+    """The log ratios of words and pairs, by key in order, the margin up to which they are ignored, and the curve; what has no entry counts as its backoff says."""
 
     keys: np.ndarray
     ratios: np.ndarray
     midpoint: float = MIDPOINT
     slope: float = SLOPE
     floor: float = 0.0
+    margin: float = 0.0
 
 
 def ratios(pairs: DataFrame) -> DataFrame:
@@ -179,11 +186,11 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, keys[at] == wanted if len(keys) else np.zeros(len(wanted), dtype=bool)
 
 
-def differences(texts: list[bytes], model: Model) -> np.ndarray:
-    """For each text the toxic less the ordinary log-likelihood over its pairs and ``NEUTRAL`` neutral ones, by their number; 0 without words."""
+def differences(texts: list[bytes], model: Model, margins: tuple[float, ...]) -> np.ndarray:
+    """For each text and margin the toxic less the ordinary log-likelihood over its pairs and ``NEUTRAL`` neutral ones, by their number; 0 without words."""
     each = [np.unique(_pairs(word_ids(t))) for t in texts]
     sizes = np.array([len(x) for x in each], dtype=np.int64)
-    sums = np.zeros(len(texts))
+    sums = np.zeros((len(texts), len(margins)))
     if sizes.sum() and len(model.keys):
         pairs = np.concatenate(each)
         at, there = _find(model.keys, ~(pairs & ((1 << WORD_BITS) - 1)))
@@ -191,8 +198,9 @@ def differences(texts: list[bytes], model: Model) -> np.ndarray:
         at, there = _find(model.keys, pairs)
         said = np.where(there, model.ratios[at], said)
         some = np.flatnonzero(sizes)
-        sums[some] = np.add.reduceat(said, (np.cumsum(sizes) - sizes)[some])
-    return sums / (sizes + NEUTRAL)
+        for k, margin in enumerate(margins):
+            sums[some, k] = np.add.reduceat(said - np.clip(said, -margin, margin), (np.cumsum(sizes) - sizes)[some])
+    return sums / (sizes + NEUTRAL)[:, None]
 
 
 def packed(model: Model) -> bytes:
@@ -227,20 +235,32 @@ def curve(x: np.ndarray, t: np.ndarray, n: np.ndarray) -> tuple[float, float, fl
     return float(-beta[0] / beta[1]), float(beta[1]), min(floor, 0.4)
 
 
+def likelihood(x: np.ndarray, t: np.ndarray, n: np.ndarray, fitted: tuple[float, float, float]) -> float:
+    """The log-likelihood of ``t`` of ``n`` toxic labels at each ``x`` by the curve of a midpoint, slope and floor."""
+    p = np.clip(_on_curve(x, *fitted), 1e-9, 1 - 1e-9)
+    return float((t * np.log(p) + (n - t) * np.log(1 - p)).sum())
+
+
 def calibrated(model: Model, rows: DataFrame) -> Model:
-    """The model with the curve that fits ``rows(fold, toxic, text)`` best, from counts of binned means."""
+    """The model with the margin and the curve that fit ``rows(fold, toxic, text)`` best, from counts of binned means."""
     shared = rows.sparkSession.sparkContext.broadcast(packed(model))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = differences([t.as_py() for t in batch.column(2)], unpacked(shared.value))
+            x = differences([t.as_py() for t in batch.column(2)], unpacked(shared.value), MARGINS)
             bins = np.clip((x - LOW) / (HIGH - LOW) * BINS, 0, BINS - 1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(bins, pa.int32()), batch.column(1)], names=["bin", "toxic"])
+            for k in range(len(MARGINS)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bins), k), pa.int32()), pa.array(bins[:, k]), batch.column(1)], names=["margin", "bin", "toxic"])
 
-    found = in_batches(rows, run, "bin int, toxic int").groupBy("bin").agg(F.count_if(F.col("toxic") == 1).alias("t"), F.count(F.lit(1)).alias("n")).toPandas()
-    x = LOW + (found["bin"].to_numpy(dtype=float) + 0.5) * (HIGH - LOW) / BINS
-    midpoint, slope, floor = curve(x, found["t"].to_numpy(dtype=float), found["n"].to_numpy(dtype=float))
-    return replace(model, midpoint=midpoint, slope=slope, floor=floor)
+    found = in_batches(rows, run, "margin int, bin int, toxic int").groupBy("margin", "bin").agg(F.count_if(F.col("toxic") == 1).alias("t"), F.count(F.lit(1)).alias("n")).toPandas().sort_values(["margin", "bin"])
+    tried = []
+    for k in range(len(MARGINS)):
+        own = found[found["margin"] == k]
+        x, t, n = LOW + (own["bin"].to_numpy(dtype=float) + 0.5) * (HIGH - LOW) / BINS, own["t"].to_numpy(dtype=float), own["n"].to_numpy(dtype=float)
+        fitted = curve(x, t, n)
+        tried.append((likelihood(x, t, n, fitted) - GAIN * (k > 0), -k, fitted))
+    _, k, (midpoint, slope, floor) = max(tried)
+    return replace(model, midpoint=midpoint, slope=slope, floor=floor, margin=MARGINS[-k])
 
 
 def score(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
@@ -261,9 +281,13 @@ def score(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> Dat
     return in_batches(rows, run, f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
+def _on_curve(x: np.ndarray, midpoint: float, slope: float, floor: float) -> np.ndarray:
+    return floor + (1 - floor) / (1 + np.exp(-np.clip(slope * (x - midpoint), -500, 500)))
+
+
 def _chances(texts: pa.Array, model: Model) -> np.ndarray:
-    x = differences([t.as_py() or b"" for t in texts], model)
-    return model.floor + (1 - model.floor) / (1 + np.exp(-np.clip(model.slope * (x - model.midpoint), -500, 500)))
+    x = differences([t.as_py() or b"" for t in texts], model, (model.margin,))[:, 0]
+    return _on_curve(x, model.midpoint, model.slope, model.floor)
 
 
 def keep_ordinary(docs: DataFrame, labels: DataFrame) -> DataFrame:

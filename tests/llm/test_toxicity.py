@@ -114,6 +114,26 @@ def test_held_out_toxic_texts_are_caught(spark):
         assert len(some) > 10 and np.mean(some) > 0.85
 
 
+def test_insults_in_texts_of_a_language_that_leans_to_ordinary_are_caught(spark):
+    """Toxic texts of the second language are shorter, so its words lean to ordinary ones by more than its few insults lean the other way."""
+    rng = np.random.default_rng(5)
+
+    def text(k, toxic):
+        other, size = k % 2, 150 if toxic and k % 2 else 300
+        w = [f"{'ab'[other]}{int(x)}" for x in np.minimum(rng.pareto(0.8, size), 400)]
+        for at in rng.choice(size, 2 if toxic else 0, replace=False):
+            w[at] = f"{'xy'[other]}{rng.integers(8)}"
+        return " ".join(w)
+
+    toxic = rng.random(6000) < 0.1
+    docs = spark.createDataFrame([(k, text(k, t)) for k, t in enumerate(toxic)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(t)) for k, t in enumerate(toxic)], "doc_id long, toxic int")
+    rows = toxicity.score(docs, labels).where("held_out").collect()
+    for other in (0, 1):
+        caught, marked = ([r.predicted for r in rows if r.doc_id % 2 == other and toxic[r.doc_id] == t] for t in (True, False))
+        assert len(caught) > 40 and np.mean(caught) > 0.9 and np.mean(marked) < 0.01
+
+
 def test_odd_rows(spark, docs, empty):
     labels = spark.createDataFrame([(1, 1, 1), (6, 0, 0), (6, 0, None), (None, 0, 1), (7, 1, 0), (7, 1, 0)], "doc_id long, quality int, toxic int")
     rows = toxicity.score(docs, labels).collect()
