@@ -86,6 +86,32 @@ def test_all_entries_beyond_the_tolerance_are_kept_until_they_are_too_many(table
     assert 0 < len(kept) <= len(everything.keys) // 2 and kept < set(everything.keys.tolist())
 
 
+def test_scores_are_the_same_however_few_entries_are_sent(tables, monkeypatch):
+    docs, labels = tables
+    docs = docs.union(docs.limit(50)).withColumn("more", F.lit(1))
+    monkeypatch.setattr(toxicity, "PAIR_BACKOFF", 50.0)
+    for gain in (toxicity.GAIN, 0.0):  # without and with a margin
+        monkeypatch.setattr(toxicity, "GAIN", gain)
+        whole = toxicity.fit(docs, labels)
+        wanted = sorted((r.doc_id, r.score) for r in toxicity.score(docs, labels, whole).collect())
+        with monkeypatch.context() as fewer:
+            fewer.setattr(toxicity, "MOST_ENTRIES", 40)
+            fewer.setattr(toxicity, "FILTER_BITS", 12)
+            parts = toxicity.fit(docs, labels)
+            assert len(parts.keys) <= 40 and parts.rest.count() == len(whole.keys) - len(parts.keys) > 0
+            assert (parts.margin > 0) == (gain == 0) and parts.margin == whole.margin
+            found = sorted((r.doc_id, r.score) for r in toxicity.score(docs, labels, parts).collect())
+            kept = sorted(r.doc_id for r in toxicity.keep_ordinary(docs, labels).collect())
+        assert [d for d, _ in found] == [d for d, _ in wanted] and np.abs(np.array(found)[:, 1] - np.array(wanted)[:, 1]).max() < 1e-5
+        assert kept == [d for d, p in wanted if p < 0.5]
+
+
+def test_all_labels_are_learned_from(tables):
+    docs, labels = tables
+    both = [sorted((r.fold, r.toxic, bytes(r.text)) for r in toxicity.labelled(docs, labels, most).collect()) for most in (10**6, 10)]
+    assert both[0] == both[1] and len(both[0]) > 200
+
+
 def test_curve_sees_past_wrong_labels():
     rng = np.random.default_rng(1)
     x = rng.normal(0, 0.02, 4000)
