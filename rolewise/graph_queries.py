@@ -122,8 +122,7 @@ def named_cycles(spark, d):
     """The same rings, each by its least part."""
     rows = table(spark, d, "part")
     n = rows.count()
-    at, found = ancestry.levels(rows.where("p_size <> 20").select(F.col("p_partkey").alias("src"), F.expr(f"(p_partkey * p_partkey * 31 + p_size) % {max(n, 1)}").alias("dst")))
-    return found
+    return ancestry.cycles(rows.where("p_size <> 20").select(F.col("p_partkey").alias("src"), F.expr(f"(p_partkey * p_partkey * 31 + p_size) % {max(n, 1)}").alias("dst")))
 
 
 @query("SELECT l_partkey AS player, string_agg(DISTINCT l_linenumber::VARCHAR, ',' ORDER BY l_linenumber::VARCHAR) AS roles, count(DISTINCT l_orderkey) AS n_facts FROM lineitem GROUP BY l_partkey")

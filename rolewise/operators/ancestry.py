@@ -240,6 +240,63 @@ def levels(edges: DataFrame, index: Runs | None = None) -> tuple[DataFrame, Data
     return at, cycles
 
 
+def rings(pointers: DataFrame) -> DataFrame:
+    """``node, least`` of ``pointers(node, next)``, in which each node has one row at most: the nodes on a ring, each with the least of its ring.
+
+    Every round doubles how far a pointer leads, and keeps only the nodes that some pointer leads to, as those on a ring always are.  So ways into a ring or to an end cost as many
+    rounds as the logarithm of their length, however many there are, and when no node goes any more all that are left are on rings.
+    """
+    last = durable(pointers.select("node", F.col("next").alias("to"), F.col("node").alias("least")), "rings")
+    n, span, settled = last.count(), 1, False
+    while n and not (settled and span >= n):
+        aims = last.select(F.col("to").alias("node")).distinct()
+        further = last.select(F.col("node").alias("at"), F.col("to").alias("on"), F.col("least").alias("low"))
+        moved = last.join(aims, "node", "left_semi").join(further, F.col("to") == F.col("at"))
+        before, last = last, durable(moved.select("node", F.col("on").alias("to"), F.least("least", "low").alias("least")), "rings")
+        discard(before)
+        m = last.count()
+        n, span, settled = m, 2 * span, m == n
+    return last.select("node", "least")
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """``node, cycle``: as the second table of :func:`levels`, without the levels, and so without rounds for every step of a way.
+
+    A node with a single link is passed by pointers, which double.  What they end in are nodes of several links; only these are searched by :func:`levels`, with a link for each way between
+    them.  The nodes on a way within a set are marked by the same pointers, from the widest to the nearest.
+    """
+    links = durable(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct(), "cycles-links")
+    many = durable(links.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("src").alias("node")), "cycles-many")
+    single = links.join(many.withColumnRenamed("node", "src"), "src", "left_anti").select(F.col("src").alias("node"), F.col("dst").alias("next"))
+    alone = rings(single)
+    if many.isEmpty():
+        found = durable(alone.select("node", F.col("least").alias("cycle")), "cycles")
+        discard(links, many, alone)
+        return found
+    ways, span = Grown("cycles-ways"), 1
+    last = ways.add(many.select("node", F.col("node").alias("to"), F.lit(True).alias("ended")).unionByName(single.select("node", F.col("next").alias("to"), F.lit(False).alias("ended"))))
+    n = last.count()
+    while span < n and not last.where("NOT ended").isEmpty():
+        further = ways.all.where("ended").unionByName(last.where("NOT ended")).select(F.col("node").alias("at"), F.col("to").alias("on"), F.col("ended").alias("there"))
+        last = ways.add(last.where("NOT ended").join(further, F.col("to") == F.col("at")).select("node", F.col("on").alias("to"), F.col("there").alias("ended")))
+        span *= 2
+    ends = ways.all.where("ended").select(F.col("node").alias("dst"), F.col("to").alias("end"))
+    between = durable(links.join(many.withColumnRenamed("node", "src"), "src").join(ends, "dst").select("src", "dst", "end"), "cycles-between")
+    at, sets = levels(between.select("src", F.col("end").alias("dst")))
+    of = lambda c: sets.select(F.col("node").alias(c), F.col("cycle").alias(f"{c}_set"))
+    inside = between.join(of("src"), "src").join(of("end"), "end").where("src_set = end_set").select(F.col("dst").alias("node"), F.col("src_set").alias("set")).distinct()
+    marked = durable(inside.union(sets.select("node", F.col("cycle").alias("set"))).distinct(), "cycles-marked")
+    for part in reversed(ways.parts):
+        step = marked.join(part.where("NOT ended"), "node").select(F.col("to").alias("node"), "set")
+        before, marked = marked, durable(marked.union(step).distinct(), "cycles-marked")
+        discard(before)
+    named = marked.groupBy("set").agg(F.min("node").alias("cycle"))
+    found = durable(marked.join(named, "set").select("node", "cycle").unionByName(alone.select("node", F.col("least").alias("cycle"))), "cycles")
+    ways.drop()
+    discard(links, many, alone, between, at, sets, marked)
+    return found
+
+
 def _spread(start: DataFrame, edges: DataFrame) -> DataFrame:
     """``node, label``: the least label of ``start(node, label)`` that leads to each node along ``edges(src, dst)``, in rounds over what changed."""
     found = Grown("spread")

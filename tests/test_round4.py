@@ -1,9 +1,13 @@
 """Queries over tables with other keys than the given ones, against their SQL, and what they write and run for it."""
 
+import random
+
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
 from rolewise import queries
-from rolewise.operators import evolution
+from rolewise.operators import ancestry, evolution
 
 
 def agrees(spark, folder, name, tables):
@@ -31,3 +35,56 @@ def test_alignment_is_one_to_one(spark):
     hints = spark.createDataFrame([("a", "z"), ("b", "y")], "before_name string, after_name string")
     found = evolution.align(frame((1, "a"), (2, "b"), (3, "c"), (4, "d")), frame((1, "z"), (12, "y"), (13, "c"), (14, "e")), hints).collect()
     assert sorted(tuple(r) for r in found) == [(1, 1, "id"), (2, 12, "hint"), (3, 13, "name")]
+
+
+def counted(monkeypatch, module):
+    """The names of the tables that ``module`` writes from now on."""
+    names, plain = [], module.durable
+    monkeypatch.setattr(module, "durable", lambda df, name="durable": (names.append(name), plain(df, name))[1])
+    return names
+
+
+def plain_cycles(edges):
+    """Each node on a cycle with the least node of its strongly connected set."""
+    after = {}
+    for a, b in edges:
+        after.setdefault(a, set()).add(b)
+
+    def reach(n):
+        found, open_ = set(), [n]
+        while open_:
+            for b in after.get(open_.pop(), ()):
+                if b not in found:
+                    found.add(b)
+                    open_.append(b)
+        return found
+
+    to = {n: reach(n) for n in after}
+    return {n: min(m for m in to[n] if n in to.get(m, ())) for n in to if n in to[n]}
+
+
+@pytest.mark.parametrize("seed", [0, 2])
+def test_cycles_past_single_links(spark, seed):
+    """Single links lead into rings, into ends and into nodes of several links; seed 0 has no others."""
+    rng = random.Random(seed)
+    edges = [(k, rng.randrange(90)) for k in range(80)] + [(100, 101), (101, 102), (102, 100), (110, 110), (120, None), (None, 3)]
+    for _ in range(3 * seed):
+        edges.append((rng.randrange(90), rng.randrange(90)))
+    if seed:
+        edges += [(300, 301), (301, 302), (302, 303), (303, 304), (304, 300), (302, 400), (400, 401), (401, 402), (402, 403), (403, 404), (404, 405), (405, 301), (403, 403), (302, 500), (500, 501), (100, 300)]
+    found = ancestry.cycles(spark.createDataFrame(edges + edges[:5], "src long, dst long").repartition(3)).collect()
+    want = plain_cycles([e for e in edges if None not in e])
+    assert {r.node: r.cycle for r in found} == want and len(found) == len(want)
+
+
+def test_named_cycles_behind_long_ways(spark, tmp_path, monkeypatch):
+    """A way on which many others end costs no round for each step."""
+    n = 600
+    ways = spark.range(n).select(F.col("id").alias("src"), F.when(F.col("id") > 2, F.col("id") - 1).otherwise((F.col("id") + 1) % 3).alias("dst"))
+    ways = ways.unionByName(spark.range(n).select((F.col("id") + n).alias("src"), F.col("id").alias("dst")))
+    names = counted(monkeypatch, ancestry)
+    assert sorted(tuple(r) for r in ancestry.cycles(ways).collect()) == [(0, 0), (1, 0), (2, 0)]
+    assert len(names) < 25
+    names.clear()
+    agrees(spark, tmp_path, "named_cycles", {"part": "SELECT k::BIGINT AS p_partkey, (k * 7 % 50 + 1)::INTEGER AS p_size FROM (SELECT unnest(range(3000)) AS k)"})
+    assert len(names) < 25
