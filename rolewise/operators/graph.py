@@ -44,12 +44,10 @@ def closure(edges: DataFrame, most_steps: int | None = None) -> DataFrame:
 
 
 def cycles(edges: DataFrame, most_steps: int | None = None) -> DataFrame:
-    """Nodes of ``edges(src, dst)`` that can reach themselves, found by stripping all others; with ``most_steps`` in at most so many steps, from their closure."""
+    """Nodes of ``edges(src, dst)`` that can reach themselves, without a closure; with ``most_steps`` in at most so many steps, from their closure."""
     if most_steps is not None:
         return closure(edges, most_steps).where("src = dst").select(F.col("src").alias("node"))
-    at, found = ancestry.levels(edges)
-    discard(at)
-    return found.select("node")
+    return ancestry.cycles(edges).select("node")
 
 
 def effective_identifier(subtypes: DataFrame, identified: DataFrame) -> DataFrame:

@@ -88,3 +88,9 @@ def test_named_cycles_behind_long_ways(spark, tmp_path, monkeypatch):
     names.clear()
     agrees(spark, tmp_path, "named_cycles", {"part": "SELECT k::BIGINT AS p_partkey, (k * 7 % 50 + 1)::INTEGER AS p_size FROM (SELECT unnest(range(3000)) AS k)"})
     assert len(names) < 25
+
+
+def test_subtype_cycles_behind_long_ways(spark, tmp_path, monkeypatch):
+    names = counted(monkeypatch, ancestry)
+    agrees(spark, tmp_path, "subtype_cycles", {"part": "SELECT k::BIGINT AS p_partkey, (k * 7 % 50 + 1)::INTEGER AS p_size FROM (SELECT unnest(range(3000)) AS k)"})
+    assert len(names) < 25
