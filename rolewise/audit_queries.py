@@ -143,9 +143,9 @@ def trust_evaluation(spark, d):
     suppliers = table(spark, d, "supplier")
     signed = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("revision"), F.col("l_suppkey").alias("key_id"), (F.col("l_returnflag") != "R").alias("valid"))
     keys = suppliers.select(F.col("s_suppkey").alias("key_id"), F.when(F.col("s_acctbal") > 0, "trusted").otherwise("revoked").alias("status"))
-    half = suppliers.where("s_suppkey % 10 < 5").agg(F.collect_list("s_suppkey").alias("half"))
-    rules = table(spark, d, "orders").join(F.broadcast(half), F.lit(True)).select(F.col("o_orderkey").alias("revision"), F.expr("int(o_custkey % 3)").alias("required"), F.when(F.expr("o_custkey % 4 = 0"), F.col("half")).otherwise(F.array().cast("array<bigint>")).alias("allowed"))
-    return audit.trust(signed, keys, rules)
+    half = suppliers.where("s_suppkey % 10 < 5").select(F.lit("half").alias("allowed"), F.col("s_suppkey").alias("key_id"))
+    rules = table(spark, d, "orders").select(F.col("o_orderkey").alias("revision"), F.expr("int(o_custkey % 3)").alias("required"), F.when(F.expr("o_custkey % 4 = 0"), "half").alias("allowed"))
+    return audit.trust(signed, keys, rules, half)
 
 
 @query(f"WITH {_WRITES} SELECT \"case\" AS obligation_id, CASE WHEN lowered THEN expected ELSE 'not_executable' END AS expected, needs AND lowered AS needs_post_state FROM n")

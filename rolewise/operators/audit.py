@@ -357,16 +357,21 @@ def mutation_outcome(experiments: DataFrame, affected: DataFrame) -> DataFrame:
     return row.select("mutation_id", status.alias("status"))
 
 
-def trust(attestations: DataFrame, keys: DataFrame, rules: DataFrame) -> DataFrame:
+def trust(attestations: DataFrame, keys: DataFrame, rules: DataFrame, sets: DataFrame | None = None) -> DataFrame:
     """Whether each protected revision has enough accepted signatures: ``revision, required, accepted, passed``.
 
     ``attestations(revision, key_id, valid)``, ``keys(key_id, status)``, ``rules(revision, required, allowed)`` where an empty ``allowed``
-    array allows every trusted key.
+    array allows every trusted key.  With ``sets(allowed, key_id)``, ``allowed`` is the name of a set of keys instead, null for every one, so that a set that many rules
+    share is stated once and no row carries it.
     """
-    signed = attestations.join(keys.where(F.col("status") == "trusted").select("key_id").withColumn("_trusted", F.lit(True)), "key_id", "left")
+    signed = attestations.where("valid").join(keys.where(F.col("status") == "trusted").select("key_id"), "key_id").select("revision", "key_id")
     row = rules.join(signed, "revision", "left")
-    ok = F.col("valid") & F.col("_trusted") & ((F.size("allowed") == 0) | F.array_contains("allowed", F.col("key_id")))
-    return row.groupBy("revision", "required").agg(F.count_if(ok).alias("accepted")).withColumn("passed", F.col("accepted") >= F.col("required"))
+    if sets is None:
+        within = (F.size("allowed") == 0) | F.array_contains("allowed", F.col("key_id"))
+    else:
+        row = row.join(sets.select("allowed", "key_id").distinct().withColumn("_in", F.lit(True)), ["allowed", "key_id"], "left")
+        within = F.col("allowed").isNull() | F.col("_in")
+    return row.groupBy("revision", "required").agg(F.count_if(F.col("key_id").isNotNull() & within).alias("accepted")).withColumn("passed", F.col("accepted") >= F.col("required"))
 
 
 def counts_by(rows: DataFrame, *columns: str) -> DataFrame:

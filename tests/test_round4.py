@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from rolewise import queries
-from rolewise.operators import ancestry, evolution
+from rolewise.operators import ancestry, audit, evolution
+
+SF = "/root/testdata/sf0.001"
 
 
 def agrees(spark, folder, name, tables):
@@ -94,3 +96,18 @@ def test_subtype_cycles_behind_long_ways(spark, tmp_path, monkeypatch):
     names = counted(monkeypatch, ancestry)
     agrees(spark, tmp_path, "subtype_cycles", {"part": "SELECT k::BIGINT AS p_partkey, (k * 7 % 50 + 1)::INTEGER AS p_size FROM (SELECT unnest(range(3000)) AS k)"})
     assert len(names) < 25
+
+
+def test_trusted_keys_are_no_part_of_a_rule(spark):
+    """A set of keys is stated once; a revision's rows don't grow with it."""
+    signed = spark.createDataFrame([(1, 10, True), (1, 11, True), (1, 12, False), (1, 13, True), (2, 10, True), (2, 11, None), (3, 10, True), (3, 14, True)], "revision long, key_id long, valid boolean")
+    keys = spark.createDataFrame([(10, "trusted"), (11, "trusted"), (12, "trusted"), (13, "revoked")], "key_id long, status string")
+    rules = spark.createDataFrame([(1, 2, None), (2, 1, "half"), (3, 2, "half"), (4, 0, "half"), (5, 1, "none")], "revision long, required int, allowed string")
+    sets = spark.createDataFrame([("half", 10), ("half", 10), ("half", 13), ("half", 14)], "allowed string, key_id long")
+    found = {r.revision: (r.accepted, r.passed) for r in audit.trust(signed, keys, rules, sets).collect()}
+    assert found == {1: (2, True), 2: (1, True), 3: (1, False), 4: (0, True), 5: (0, False)}
+    arrays = {None: [], "half": [10, 13, 14], "none": [99]}
+    listed = spark.createDataFrame([(r.revision, r.required, arrays[r.allowed]) for r in rules.collect()], "revision long, required int, allowed array<long>")
+    assert {r.revision: (r.accepted, r.passed) for r in audit.trust(signed, keys, listed).collect()} == found
+    df = queries.QUERIES["trust_evaluation"](spark, SF)
+    assert "array" not in df._jdf.queryExecution().optimizedPlan().toString()
