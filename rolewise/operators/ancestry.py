@@ -99,20 +99,35 @@ def runs(edges: DataFrame) -> Runs:
     return made
 
 
-def _searched(index: Runs, seeds: DataFrame, keep=lambda new, entries: new) -> Grown:
+class _Search:
     """The entries ``q, run, offset, depth`` of questions that begin at ``seeds(q, node)``: where each enters a run, and after how many steps.
 
-    An entry leads to all of its run from its offset on.  A round follows the links behind the last one's entries, and keeps those that reach a run's end sooner or begin it earlier than
-    any before, and that ``keep`` lets through.
+    An entry leads to all of its run from its offset on.  A round follows the ``links`` behind the last one's entries.  What is known already, as it reaches no run's end sooner and begins none
+    earlier than any before, is left out whenever there are twice as many entries as when that was last done, and in every fourth round, so that the work grows with the
+    entries and not with their number in every round; up to ``FEW`` entries it always is.  Until then an entry is met again at other depths, which changes no least one.
     """
-    entries = Grown("ancestry-entries")
-    last = entries.add(seeds.join(index.members, "node").select("q", "run", "offset", F.lit(0).cast("bigint").alias("depth")))
-    while not last.isEmpty():
-        ahead = last.join(index.links, "run").groupBy("q", F.col("to_run").alias("run"), F.col("to_offset").alias("offset")).agg(F.min(F.col("depth") + F.col("offset") + 1).alias("depth"))
-        known = entries.all.groupBy("q", "run").agg(F.min(F.col("depth") + F.col("offset")).alias("end"), F.max("offset").alias("begun"))
-        better = ahead.join(known, ["q", "run"], "left").where("end IS NULL OR depth + offset < end OR offset > begun")
-        last = entries.add(keep(better.select("q", "run", "offset", "depth"), entries.all))
-    return entries
+
+    FEW = 1_000_000
+
+    def __init__(self, index: Runs, seeds: DataFrame, links: DataFrame | None = None, near: str = "true"):
+        self.links, self.near, self.entries = index.links if links is None else links, near, Grown("ancestry-entries")
+        self.last = self.entries.add(seeds.join(index.members, "node").select("q", "run", "offset", F.lit(0).cast("bigint").alias("depth")))
+        self.n = self.total = self.last.count()
+        self.judged = self.since = 0
+
+    def step(self, open_: DataFrame | None = None) -> bool:
+        """One more round, from those of the last entries that are ``open_``; whether it found any."""
+        met = (self.last if open_ is None else open_).join(self.links, "run").where(self.near)
+        ahead = met.groupBy("q", F.col("to_run").alias("run"), F.col("to_offset").alias("offset")).agg(F.min(F.col("depth") + F.col("offset") + 1).alias("depth"))
+        self.since += 1
+        if self.total <= self.FEW or self.total >= 2 * self.judged or self.since >= 4:
+            known = self.entries.all.groupBy("q", "run").agg(F.min(F.col("depth") + F.col("offset")).alias("end"), F.max("offset").alias("begun"))
+            ahead = ahead.join(known, ["q", "run"], "left").where("end IS NULL OR depth + offset < end OR offset > begun")
+            self.judged, self.since = self.total, 0
+        self.last = self.entries.add(ahead.select("q", "run", "offset", "depth"))
+        self.n = self.last.count()
+        self.total += self.n
+        return self.n > 0
 
 
 def ancestors_of(parents: DataFrame, heads: DataFrame, index: Runs | None = None) -> DataFrame:
@@ -121,7 +136,10 @@ def ancestors_of(parents: DataFrame, heads: DataFrame, index: Runs | None = None
     What is written for a head is a row for each run that it goes through, and its answer.  Heads that aren't in ``parents`` have none.
     """
     own = index or runs(parents.select(F.col("revision").alias("src"), F.col("parent").alias("dst")))
-    entries = _searched(own, heads.select(F.col("revision").alias("q"), F.col("revision").alias("node")).distinct())
+    search = _Search(own, heads.select(F.col("revision").alias("q"), F.col("revision").alias("node")).distinct())
+    while search.step():
+        pass
+    entries = search.entries
     there = own.members.select("run", F.col("node").alias("ancestor"), F.col("offset").alias("place"))
     met = entries.all.join(there, "run").where("place <= offset").select("q", "ancestor", (F.col("depth") + F.col("offset") - F.col("place")).alias("depth"))
     found = durable(met.groupBy(F.col("q").alias("revision"), "ancestor").agg(F.min("depth").cast("int").alias("depth")), "ancestors")
@@ -167,7 +185,10 @@ def merge_base(parents: DataFrame, pairs: DataFrame, index: Runs | None = None)
         near = new.withColumn("ours", F.col("q.ours")).withColumn("theirs", F.col("q.theirs")).join(best, ["ours", "theirs"], "left")
         return near.where("best IS NULL OR depth <= best").select("q", "run", "offset", "depth")
 
-    entries = _searched(own, seeds, keep)
+    search = _Search(own, seeds)
+    while search.step(keep(search.last, search.entries.all)):
+        pass
+    entries = search.entries
     node = own.members.select("run", F.col("offset").alias("place"), F.col("node").alias("base"))
     found = _bases(entries.all).join(node, ["run", "place"])
     # distances of a revision may come by several entries: the least on each side count
@@ -181,16 +202,32 @@ def merge_base(parents: DataFrame, pairs: DataFrame, index: Runs | None = None)
 
 
 def fast_forward(parents: DataFrame, pairs: DataFrame, index: Runs | None = None) -> DataFrame:
-    """``old, new, fast_forward`` for ``pairs(old, new)``: whether ``old`` is ``new`` or before it; a question ends when it has been reached."""
-    own = index or runs(parents.select(F.col("revision").alias("src"), F.col("parent").alias("dst")))
+    """``old, new, fast_forward`` for ``pairs(old, new)``: whether ``old`` is ``new`` or before it; a question ends when it has been reached.
+
+    If there are as many questions as revisions, the levels of all are found first, as nothing leads to a revision of its own level or a higher one: a question then goes no deeper than what it looks for.
+    """
+    edges = parents.select(F.col("revision").alias("src"), F.col("parent").alias("dst"))
+    own = index or runs(edges)
     aim = own.members.select(F.col("node").alias("old"), F.col("run").alias("aim"), F.col("offset").alias("place"))
     asked = pairs.select("old", "new").distinct().join(aim, "old")
-    seeds = asked.select(F.struct("old", "new", "aim", "place").alias("q"), F.col("new").alias("node"))
+    made, links, near, low = [], own.links, "true", F.lit(0)
+    if asked.count() >= own.members.count():
+        at, on = levels(edges, own)
+        level = lambda c: at.select(F.col("node").alias(c), "level")
+        # what has no level is on a cycle or leads to one: it is followed, and nothing with a level leads to it
+        links = durable(own.links.join(level("to_run"), "to_run", "left").select("run", "to_run", "to_offset", (F.col("level") + F.col("to_offset")).alias("to_level")), "fast-forward-links")
+        asked, low = asked.join(level("aim"), "aim", "left"), F.coalesce(F.col("level") + F.col("place"), F.lit(2**63 - 1))
+        near = "to_level IS NULL OR to_level > q.low OR to_run = q.aim AND to_offset >= q.place"
+        made = [at, on, links]
+    seeds = asked.select(F.struct("old", "new", "aim", "place", low.cast("bigint").alias("low")).alias("q"), F.col("new").alias("node"))
     hit = lambda entries: entries.where("run = q.aim AND offset >= q.place").select("q").distinct()
-    entries = _searched(own, seeds, lambda new, entries: new.join(hit(entries), "q", "left_anti"))
-    reached = hit(entries.all).select("q.old", "q.new", F.lit(True).alias("_is"))
+    search = _Search(own, seeds, links, near)
+    while search.step(search.last.join(hit(search.last), "q", "left_anti")):
+        pass
+    reached = hit(search.entries.all).select("q.old", "q.new", F.lit(True).alias("_is"))
     answer = durable(pairs.join(reached, ["old", "new"], "left").select("old", "new", F.coalesce("_is", F.lit(False)).alias("fast_forward")), "fast-forward")
-    entries.drop()
+    search.entries.drop()
+    discard(*made)
     if index is None:
         own.drop()
     return answer
@@ -199,14 +236,16 @@ def fast_forward(parents: DataFrame, pairs: DataFrame, index: Runs | None = None
 def _stripped(runs_: DataFrame, links: DataFrame) -> Grown:
     """``run, level, length``: in rounds those of ``runs_(run, length)`` all of whose ``links(run, to_run)`` lead to stripped ones, with the longest way to one without a link."""
     needs = links.groupBy("run").agg(F.count(F.lit(1)).alias("needs"))
+    facts = durable(runs_.join(needs, "run", "left"), "stripped-needs")  # asked in every round
     done, hits = Grown("stripped"), Grown("stripped-hits")
-    last = done.add(runs_.join(needs, "run", "left_anti").select("run", F.lit(0).cast("bigint").alias("level"), "length"))
+    last = done.add(facts.where("needs IS NULL").select("run", F.lit(0).cast("bigint").alias("level"), "length"))
     while not last.isEmpty():
         below = last.select(F.col("run").alias("to_run"), (F.col("level") + F.col("length") + 1).alias("level"))
         touched = hits.add(links.join(below, "to_run").groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.max("level").alias("level")))
         met = hits.all.join(touched.select("run"), "run", "left_semi").groupBy("run").agg(F.sum("n").alias("n"), F.max("level").alias("level"))
-        last = done.add(met.join(needs, "run").where("n = needs").join(runs_, "run").select("run", "level", "length"))
+        last = done.add(met.join(facts, "run").where("n = needs").select("run", "level", "length"))
     hits.drop()
+    discard(facts)
     return done
 
 

@@ -111,3 +111,44 @@ def test_trusted_keys_are_no_part_of_a_rule(spark):
     assert {r.revision: (r.accepted, r.passed) for r in audit.trust(signed, keys, listed).collect()} == found
     df = queries.QUERIES["trust_evaluation"](spark, SF)
     assert "array" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def plain_up(edges, n):
+    found, open_ = {n: 0}, [n]
+    for a in open_:
+        for b in sorted(q for p, q in edges if p == a):
+            if b not in found:
+                found[b] = found[a] + 1
+                open_.append(b)
+    return found
+
+
+def many_ways(n=60):
+    """Each revision comes after that of half its number and of a third; the last lead into a cycle and past it."""
+    return sorted({(k, k // m) for k in range(1, n) for m in (2, 3) if k // m}) + [(100, 101), (101, 102), (102, 100), (102, 9), (59, 100), (103, 59)]
+
+
+def test_many_fast_forwards_go_no_deeper_than_asked(spark, monkeypatch):
+    edges = many_ways()
+    nodes = sorted({x for e in edges for x in e})
+    up = {n: plain_up(edges, n) for n in nodes}
+    parents = spark.createDataFrame(edges, "revision long, parent long")
+    pairs = [(a, b) for b in nodes for a in {b, b // 4, b // 5, b // 9, 7, 101}] + [(5, 777), (777, 5)]
+    monkeypatch.setattr(ancestry._Search, "FEW", 0)
+    for asked in (pairs, pairs[:7]):  # with levels and without
+        found = ancestry.fast_forward(parents, spark.createDataFrame(asked, "old long, new long")).collect()
+        assert sorted((r.old, r.new, r.fast_forward) for r in found) == sorted((a, b, b in up and a in up[b]) for a, b in asked)
+
+
+def test_fast_forward_all_writes_few_entries(spark, tmp_path, monkeypatch):
+    n, entries, plain = 3000, [], ancestry.durable
+
+    def counting(df, name="durable"):
+        made = plain(df, name)
+        if name == "ancestry-entries":
+            entries.append(made.count())
+        return made
+
+    monkeypatch.setattr(ancestry, "durable", counting)
+    agrees(spark, tmp_path, "fast_forward_all", {"part": f"SELECT unnest(range({n}))::BIGINT AS p_partkey"})
+    assert sum(entries) < 9 * 2 * n  # all that is before the revisions are over 20 for each question
