@@ -58,28 +58,39 @@ def effective_identifier(subtypes: DataFrame, identified: DataFrame) -> DataFram
 def components(edges: DataFrame, nodes: DataFrame | None = None, most_rounds: int = 100) -> DataFrame:
     """``node, component``: the least node connected to each, where edges ``src, dst`` lead both ways.
 
-    Every round takes the least label among a node's neighbours and then the label of that label, so the rounds grow with the logarithm
-    of a long chain (``most_rounds`` are more than any graph takes, and beyond them it raises); each writes its labels to the shared folder and removes those before.  Minima are aggregated before they are shuffled, so a
-    node with very many links is one row for each task.
+    Every round points each node at its least neighbour, if that is less, follows the pointers to their ends in doubling steps, and goes on with the edges between different ends, each once.  At
+    least half of the nodes with an edge are no end, so rounds grow with the logarithm of the nodes and shrink (``most_rounds`` are more than any graph takes, and beyond them it raises);
+    at last the rounds' pointers are put together.  Minima are aggregated before they are shuffled, so a node with very many links is one row for each task.
     """
-    both = durable(edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct())
-    # the first round needs no join: the least of a node and its neighbours
-    labels = both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select("node", F.least("node", "m").alias("component"))
+    open_ = durable(edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src <> dst"), "components-open")  # repeated edges go when minima are taken
+    rounds: list[DataFrame] = []
+    while not rounds or not open_.isEmpty():
+        if len(rounds) == most_rounds:
+            raise RuntimeError(f"no end after {most_rounds} rounds")
+        both = open_.select(F.col("src").alias("node"), "dst").union(open_.select("dst", "src"))
+        to = durable(both.groupBy("node").agg(F.min("dst").alias("m")).select("node", F.least("node", "m").alias("to")), "components-to")
+        while True:
+            up = to.select(F.col("node").alias("to"), F.col("to").alias("up"))
+            moved = durable(to.select("node", "to").join(up, "to").select("node", F.col("up").alias("to"), (F.col("up") < F.col("to")).alias("moved")), "components-to")
+            discard(to)
+            to = moved
+            if to.where("moved").isEmpty():
+                break
+        end = lambda c: to.select(F.col("node").alias(c), F.col("to").alias(f"{c}_end"))  # noqa: B023, E731
+        between = open_.join(end("src"), "src").join(end("dst"), "dst").where("src_end <> dst_end")
+        before, open_ = open_, durable(between.select(F.least("src_end", "dst_end").alias("src"), F.greatest("src_end", "dst_end").alias("dst")).distinct(), "components-open")
+        discard(before)
+        rounds.append(to)
+    labels = rounds[-1].select("node", F.col("to").alias("component"))
+    for one in reversed(rounds[:-1]):
+        further = labels.select(F.col("node").alias("to"), "component")
+        labels = one.select("node", "to").join(further, "to", "left").select("node", F.coalesce("component", "to").alias("component"))
     if nodes is not None:
-        alone = nodes.select("node").distinct().join(labels, "node", "left_anti")
+        alone = nodes.select("node").distinct().join(rounds[0].select("node"), "node", "left_anti")
         labels = labels.union(alone.select("node", F.col("node").alias("component")))
-    labels = durable(labels)
-    for _ in range(most_rounds):
-        near = both.join(labels, F.col("dst") == F.col("node")).groupBy(F.col("src").alias("node")).agg(F.min("component").alias("near"))
-        hooked = labels.join(near, "node", "left").select("node", "component", F.least("component", "near").alias("next"))
-        roots = labels.select(F.col("node").alias("next"), F.col("component").alias("root"))
-        moved = durable(hooked.join(roots, "next", "left").select("node", F.least("next", "root").alias("new"), (F.least("next", "root") < F.col("component")).alias("moved")))
-        discard(labels)
-        labels = moved.select("node", F.col("new").alias("component"))
-        if moved.where("moved").isEmpty():
-            discard(both)
-            return labels
-    raise RuntimeError(f"no end after {most_rounds} rounds")
+    labels = durable(labels, "components")
+    discard(open_, *rounds)
+    return labels
 
 
 def uniform(roles: DataFrame, arity: int) -> DataFrame:
@@ -117,22 +128,38 @@ def analyses(model: Model, spark: SparkSession) -> DataFrame:
     return analyses_of(spark.createDataFrame(rows, "fact string, role string, player string"), model.analyses)
 
 
+def _pieces(roles: DataFrame) -> DataFrame:
+    """``offender``: the least name of each part that facts and players fall into, ``fact:`` before ``type:``, so always that of a fact.
+
+    A fact links its players to the least of them, so only players are the graph's nodes; the facts are named after it is cut into parts.
+    """
+    plays = roles.select("fact", "player").where("fact IS NOT NULL AND player IS NOT NULL")
+    hubs = durable(plays.groupBy("fact").agg(F.min("player").alias("hub")), "pieces-hubs")
+    links = plays.join(hubs, "fact").where("player <> hub").select(F.col("player").alias("src"), F.col("hub").alias("dst"))
+    labels = components(links, hubs.select(F.col("hub").alias("node")))
+    named = hubs.join(labels, F.col("hub") == F.col("node")).groupBy("component").agg(F.concat(F.lit("fact:"), F.min("fact")).alias("offender"))
+    found = durable(named.select("offender"), "pieces")
+    discard(hubs, labels)
+    return found
+
+
 def analyses_of(roles: DataFrame, asked: Sequence[tuple[str, tuple[str, ...]]]) -> DataFrame:
     """``analysis, status, offenders`` of the analyses ``asked`` for of ``roles(fact, role, player)``: passed, violated, not_applicable or unevaluated.
 
     ``uniform`` takes one whole number and names the facts of another arity; ``connected`` names the parts that facts and players fall into by their least
     names, and is not applicable without facts.  What has no definition here, such as ``directed``, is unevaluated.
     """
-    spark, some = roles.sparkSession, not roles.isEmpty()
-    parts = None
+    spark = roles.sparkSession
+    if any(name == "connected" for name, _ in asked):  # read several times
+        roles = durable(roles.select("fact", "role", "player"), "analysed")
+    some, parts = not roles.isEmpty(), None
     for name, args in asked:
         none = F.array().cast("array<string>")
         if name == "uniform" and len(args) == 1 and args[0].isdigit():
             found, label = uniform(roles, int(args[0])).select(F.col("fact").alias("offender")), f"uniform({args[0]})"
             wrong = F.size("offenders") > 0
         elif name == "connected" and some:
-            edges = roles.select(F.concat(F.lit("fact:"), "fact").alias("src"), F.concat(F.lit("type:"), "player").alias("dst"))
-            found, label = components(edges).select(F.col("component").alias("offender")).distinct(), name
+            found, label = _pieces(roles), name
             wrong = F.size("offenders") > 1
         else:
             status = "not_applicable" if name == "connected" else "unevaluated"

@@ -7,11 +7,23 @@ import pytest
 from pyspark.sql import functions as F
 
 from rolewise import queries
-from rolewise.operators import ancestry, audit, evolution
+from rolewise.operators import ancestry, audit, evolution, graph
 
 SF = "/root/testdata/sf0.001"
 
 
+def plain_components(edges):
+    label = {x: x for e in edges for x in e}
+    moved = True
+    while moved:
+        moved = False
+        for a, b in edges:
+            low = min(label[a], label[b])
+            moved |= label[a] != low or label[b] != low
+            label[a] = label[b] = low
+    return label
+
+
 def agrees(spark, folder, name, tables):
     """Whether a query over ``tables`` (name to SQL that makes it) equals its SQL."""
     con = duckdb.connect()
@@ -152,3 +164,24 @@ def test_fast_forward_all_writes_few_entries(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(ancestry, "durable", counting)
     agrees(spark, tmp_path, "fast_forward_all", {"part": f"SELECT unnest(range({n}))::BIGINT AS p_partkey"})
     assert sum(entries) < 9 * 2 * n  # all that is before the revisions are over 20 for each question
+
+
+def test_pieces_are_named_by_facts_and_edges_shrink(spark, monkeypatch):
+    """Facts are no nodes of the graph that is cut into parts, and a round goes on with what connects parts, not with all edges."""
+    rows = [(f"f{k:03}", "a", f"p{k % 40}") for k in range(400)] + [(f"f{k:03}", "b", f"p{(k * 3 + 1) % 40}") for k in range(400)] + [("x1", "a", "q1"), ("x1", "b", "q2"), ("x0", "a", "q2"), ("y", "a", "r"), ("z", "a", None)]
+    sizes, plain = {}, graph.durable
+
+    def sized(df, name="durable"):
+        made = plain(df, name)
+        sizes.setdefault(name, []).append(made.count())
+        return made
+
+    monkeypatch.setattr(graph, "durable", sized)
+    roles = spark.createDataFrame(rows, "fact string, role string, player string").repartition(3)
+    (found,) = graph.analyses_of(roles, [("connected", ())]).collect()
+    want = sorted(set(plain_components([(f"fact:{f}", f"type:{p}") for f, _, p in rows if p]).values()))
+    assert (found.status, found.offenders) == ("violated", want) and {"fact:f000", "fact:x0", "fact:y"} < set(want)
+    assert max(sizes["components-to"]) <= 42 and sizes["components-open"][-1] == 0 and sum(sizes["components-open"][1:]) < sizes["components-open"][0] / 4
+    chain = spark.range(500).select(F.col("id").alias("src"), ((F.col("id") * 7 + 1) % 500).alias("dst")).union(spark.range(600, 900).selectExpr("id", "id + 1")).union(spark.createDataFrame([(5, None), (7, 7), (950, 950)], "src long, dst long"))
+    want = plain_components([tuple(r) for r in chain.collect() if r.dst is not None and r.src != r.dst])
+    assert {r.node: r.component for r in graph.components(chain).collect()} == want
