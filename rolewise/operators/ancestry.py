@@ -164,41 +164,59 @@ def reached(index: Runs, starts: DataFrame) -> DataFrame:
     return found
 
 
-def _bases(entries: DataFrame) -> DataFrame:
-    """``ours, theirs, run, place, a, b``: the nearest common revision of each run that both sides of a question have entered, and its distances."""
-    side = lambda k: entries.where(F.col("q.side") == k).select("q.ours", "q.theirs", "run", F.col("offset").alias(f"o{k}"), F.col("depth").alias(f"d{k}"))
-    both = side(0).join(side(1), ["ours", "theirs", "run"]).withColumn("place", F.least("o0", "o1"))
-    return both.select("ours", "theirs", "run", "place", *[(F.col(f"d{k}") + F.col(f"o{k}") - F.col("place")).alias(c) for k, c in enumerate("ab")])
+def _met(best: DataFrame, ours: DataFrame, theirs: DataFrame, members: DataFrame) -> DataFrame:
+    """``ours, theirs, at``: the least (greater distance, sum, base) of where entries of both sides are in one run, if it is no further than ``best(ours, theirs, at)`` has it."""
+    side = lambda df, q, k: df.select(F.col("q").alias(q), "run", F.col("offset").alias(f"o{k}"), F.col("depth").alias(f"d{k}"))
+    both = best.join(side(ours, "ours", 0), "ours").join(side(theirs, "theirs", 1), ["theirs", "run"]).withColumn("place", F.least("o0", "o1"))
+    a, b = [F.col(f"d{k}") + F.col(f"o{k}") - F.col("place") for k in (0, 1)]
+    near = both.select("ours", "theirs", "at", "run", "place", F.greatest(a, b).alias("far"), (a + b).alias("sum")).where("at IS NULL OR far <= at.far")
+    node = members.select("run", F.col("offset").alias("place"), F.col("node").alias("base"))
+    return near.join(node, ["run", "place"]).groupBy("ours", "theirs").agg(F.min(F.struct("far", "sum", "base")).alias("at"))
 
 
 def merge_base(parents: DataFrame, pairs: DataFrame, index: Runs | None = None) -> DataFrame:
     """``ours, theirs, base`` for ``pairs(ours, theirs)``: the common ancestor with the least (greater distance, sum, id); no row if there is none.
 
-    Both sides of a pair go on at once, and an entry that is further away than the best base known so far is not followed.
+    Each revision of a side is searched from once, for all of its pairs.  The side with fewer goes ahead by twice as many rounds each time, so that what the other side has searched already is
+    held against it as often as the logarithm of the rounds; in between only the other side's new entries are.  A pair's best base is kept, and entries as far away as it are not followed.
     """
     own = index or runs(parents.select(F.col("revision").alias("src"), F.col("parent").alias("dst")))
     asked = pairs.select("ours", "theirs").where("ours IS NOT NULL AND theirs IS NOT NULL").distinct()
-    seeds = reduce(DataFrame.union, [asked.select(F.struct("ours", "theirs", F.lit(k).alias("side")).alias("q"), F.col(c).alias("node")) for k, c in enumerate(("ours", "theirs"))])
-
-    def keep(new: DataFrame, entries: DataFrame) -> DataFrame:
-        best = _bases(entries).groupBy("ours", "theirs").agg(F.min(F.greatest("a", "b")).alias("best"))
-        near = new.withColumn("ours", F.col("q.ours")).withColumn("theirs", F.col("q.theirs")).join(best, ["ours", "theirs"], "left")
-        return near.where("best IS NULL OR depth <= best").select("q", "run", "offset", "depth")
-
-    search = _Search(own, seeds)
-    while search.step(keep(search.last, search.entries.all)):
-        pass
-    entries = search.entries
-    node = own.members.select("run", F.col("offset").alias("place"), F.col("node").alias("base"))
-    found = _bases(entries.all).join(node, ["run", "place"])
-    # distances of a revision may come by several entries: the least on each side count
-    each = found.groupBy("ours", "theirs", "base").agg(F.min("a").alias("a"), F.min("b").alias("b"))
-    order = F.struct(F.greatest("a", "b"), F.col("a") + F.col("b"), "base")
-    answer = durable(each.groupBy("ours", "theirs").agg(F.min_by("base", order).alias("base")), "merge-base")
-    entries.drop()
+    n = asked.agg(F.count_distinct("ours").alias("ours"), F.count_distinct("theirs").alias("theirs")).first()
+    few, many = ("ours", "theirs") if n.ours < n.theirs else ("theirs", "ours")
+    search = {c: _Search(own, asked.select(F.col(c).alias("q"), F.col(c).alias("node")).distinct()) for c in (few, many)}
+    best = asked.withColumn("at", F.lit(None).cast(f"struct<far: bigint, sum: bigint, base: {own.members.schema['node'].dataType.simpleString()}>"))
+
+    def update(of_few: DataFrame, of_many: DataFrame) -> DataFrame:
+        found = _met(best, *((of_few, of_many) if few == "ours" else (of_many, of_few)), own.members)
+        return durable(best.unionByName(found).groupBy("ours", "theirs").agg(F.min("at").alias("at")), "merge-base")
+
+    def open_(c: str) -> DataFrame:
+        """The last entries of a side from which some pair's best base could be bettered."""
+        bound = best.groupBy(F.col(c).alias("q")).agg(F.max(F.coalesce("at.far", F.lit(2**63 - 1))).alias("bound"))
+        return search[c].last.join(bound, "q").where("depth < bound").select("q", "run", "offset", "depth")
+
+    best, done, ahead = update(search[few].entries.all, search[many].entries.all), 0, 2
+    while search[few].n or search[many].n:
+        begun = len(search[few].entries.parts)
+        for _ in range(ahead - done):
+            if not search[few].n or not search[few].step(open_(few)):
+                break
+        fresh = [part for part in search[few].entries.parts[begun:]]
+        if fresh and sum(part.count() for part in fresh):
+            before, best = best, update(reduce(DataFrame.unionByName, fresh), search[many].entries.all)
+            discard(before)
+        for _ in range(ahead - done):
+            if not search[many].n or not search[many].step(open_(many)):
+                break
+            before, best = best, update(search[few].entries.all, search[many].last)
+            discard(before)
+        done, ahead = ahead, 2 * ahead
+    for one in search.values():
+        one.entries.drop()
     if index is None:
         own.drop()
-    return answer
+    return best.where("at IS NOT NULL").select("ours", "theirs", F.col("at.base").alias("base"))
 
 
 def fast_forward(parents: DataFrame, pairs: DataFrame, index: Runs | None = None) -> DataFrame:

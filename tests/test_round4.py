@@ -185,3 +185,29 @@ def test_pieces_are_named_by_facts_and_edges_shrink(spark, monkeypatch):
     chain = spark.range(500).select(F.col("id").alias("src"), ((F.col("id") * 7 + 1) % 500).alias("dst")).union(spark.range(600, 900).selectExpr("id", "id + 1")).union(spark.createDataFrame([(5, None), (7, 7), (950, 950)], "src long, dst long"))
     want = plain_components([tuple(r) for r in chain.collect() if r.dst is not None and r.src != r.dst])
     assert {r.node: r.component for r in graph.components(chain).collect()} == want
+
+
+def test_merge_bases_search_from_each_revision_once(spark, monkeypatch):
+    edges, sizes, plain = many_ways(), [], ancestry.durable
+
+    def sized(df, name="durable"):
+        made = plain(df, name)
+        sizes.append((name, made.count()))
+        return made
+
+    nodes = sorted({x for e in edges for x in e})
+    up = {n: plain_up(edges, n) for n in nodes}
+    parents = spark.createDataFrame(edges, "revision long, parent long")
+    monkeypatch.setattr(ancestry, "durable", sized)
+    monkeypatch.setattr(ancestry._Search, "FEW", 0)
+    for turned in (False, True):
+        pairs = [(n, m) for m in (11, 40) for n in nodes] + [(777, 40), (5, None)]
+        sizes.clear()
+        found = ancestry.merge_base(parents, spark.createDataFrame([p[::-1] if turned else p for p in pairs], "ours long, theirs long")).collect()
+        want = {}
+        for a, b in pairs:
+            common = [(max(up[a][c], up[b][c]), up[a][c] + up[b][c], c) for c in up[a] if c in up[b]] if a in up and b in up else []
+            if common:
+                want[a, b] = min(common)[2]
+        assert {((r.theirs, r.ours) if turned else (r.ours, r.theirs)): r.base for r in found} == want
+        assert [n for name, n in sizes if name == "ancestry-entries"][:2] == [2, len(nodes)]
